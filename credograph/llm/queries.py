@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from credograph.llm import decontamination, language, packing
+from credograph.llm import decontamination, jaccard, language, packing
 
 #: Place of the public tokenizer that op5 packs with; None: ask the package that holds it.
 TOKENIZER: str | None = None
@@ -44,8 +44,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_language": op7_language}
+    return {"op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_language": op7_language, "op9_jaccard": op9_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
