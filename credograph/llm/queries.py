@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from credograph.llm import decontamination, jaccard, language, packing
+from credograph.llm import decontamination, jaccard, kneser_ney, language, packing
 
 #: Place of the public tokenizer that op5 packs with; None: ask the package that holds it.
 TOKENIZER: str | None = None
@@ -29,6 +29,14 @@ def fold(parts: int, id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold(5) == 1, F.lit(False))
+    model = kneser_ney.train(docs.filter(~held_out))
+    found = kneser_ney.score(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.words.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,7 +57,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_language": op7_language, "op9_jaccard": op9_jaccard}
+    return {"op4_kneser_ney": op4_kneser_ney, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_language": op7_language, "op9_jaccard": op9_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
