@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from credograph.llm import decontamination, jaccard, kneser_ney, language, packing, quality
+from credograph.llm import decontamination, jaccard, kneser_ney, language, packing, quality, warc
 
 #: Place of the public tokenizer that op5 packs with; None: ask the package that holds it.
 TOKENIZER: str | None = None
@@ -29,6 +29,10 @@ def fold(parts: int, id_col: str = "doc_id"):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts))
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("good")))
@@ -63,7 +67,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_quality": op3_quality, "op4_kneser_ney": op4_kneser_ney, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_language": op7_language, "op9_jaccard": op9_jaccard}
+    return {"op1_warc": op1_warc, "op3_quality": op3_quality, "op4_kneser_ney": op4_kneser_ney, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_language": op7_language, "op9_jaccard": op9_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
