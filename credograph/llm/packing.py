@@ -112,8 +112,8 @@ def _pack(path: str, id_col: str, text_col: str, end_id: int, size: int, rows: i
         for b in batches:
             kind = b.schema.field(id_col).type
             ids_of, texts = b.column(b.schema.names.index(id_col)), b.column(b.schema.names.index(text_col))
-            for doc, text in zip(ids_of, texts):
-                ids = np.append(tokens.encode(text.as_py() or ""), np.int32(end_id))
+            for doc, own in zip(ids_of, tokens.encode_all(texts)):
+                ids = np.append(own, np.int32(end_id))
                 key = (doc.as_py(), len(ids))
                 for k in range(0, len(ids), size):
                     closed(packer.place((key, k, ids[k : k + size])))

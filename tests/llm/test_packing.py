@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 from credograph.llm.packing import Packer, pack
 from credograph.llm.tokens import WordIds
 from tokenizers import Tokenizer
@@ -16,15 +17,19 @@ def test_ids_match_the_library():
     rnd = random.Random(1)
     letters = "abcXYZ'sdtélÑß 0129.,!|#\n\t-_²ªº\xad\xb7×÷ÿŸĲĳ"
     texts += ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 80))) for _ in range(3000)]
-    for t in texts:
-        assert own.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    for t, ids in zip(texts, own.encode_all(pa.array(texts))):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert own.encode(t).tolist() == want, repr(t)
+        assert ids.tolist() == want, repr(t)
 
 
 def test_every_plain_character():
     own, library = WordIds(PATH), Tokenizer.from_file(PATH)
-    for c in map(chr, [*range(0x250), *range(0x2000, 0x2070), 0x20AC]):
-        for t in (c, f"a{c}b", f"A{c} 1{c}2"):
-            assert own.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    texts = [t for c in map(chr, [*range(0x250), *range(0x2000, 0x2070), 0x20AC]) for t in (c, f"a{c}b", f"A{c} 1{c}2")]
+    for t, ids in zip(texts, own.encode_all(pa.array(texts))):
+        want = library.encode(t, add_special_tokens=False).ids
+        assert own.encode(t).tolist() == want, repr(t)
+        assert ids.tolist() == want, repr(t)
 
 
 def test_pieces_tile_documents_and_sequences(spark):
