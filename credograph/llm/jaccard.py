@@ -11,10 +11,10 @@ is listed under these shingles and only lists are searched:
    partner; only their whole sets are sent.
 3. In each block of what remains, the tree is traversed again and pairs that no bound excludes
    are counted exactly. Pairs that are already connected are skipped, so a block gives at most
-   as many links as it has members.
-4. Links become components. Lists that were dealt out and still hold several components are
-   searched whole: the blocks of their largest component against those of the others, and the
-   others among themselves.
+   as many links as it has members. Each node's largest block comes first; of the others only
+   those that still hold several components follow.
+4. Lists that were dealt out and still hold several components are searched whole: the blocks of
+   their largest component against those of the others, and the others among themselves.
 
 No list, component or table of sets is ever held by one task or the driver; a task holds one
 block, or a pair of them.
@@ -39,6 +39,8 @@ from credograph.llm.spans import BLANKS, groups, mix, windows
 
 _SKETCH = 1 << 20
 _SLICE = 1 << 10
+_FILTER = 1 << 27
+_PART = 1 << 15
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -117,10 +119,15 @@ def _summaries(id_col: str, text_col: str, k: int, least: tree.Threshold, classe
     return run
 
 
-def _whole_sets(text_col: str, k: int):
+def _whole_sets(hash_col: str, text_col: str, k: int, marks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits: np.ndarray = marks.value
         for batch in batches:
-            own = [x for x in shingle_sets(batch.column(batch.schema.names.index(text_col)), k) if len(x)]
+            names = batch.schema.names
+            bit = batch.column(names.index(hash_col)).to_numpy(zero_copy_only=False) & (_FILTER - 1)
+            some = np.flatnonzero(bits[bit // 8] >> (7 - bit % 8).astype(np.uint8) & 1)
+            texts = batch.column(names.index(text_col)).take(pa.array(some))
+            own = [x for x in shingle_sets(texts, k) if len(x)]
             yield pa.RecordBatch.from_arrays([pa.array([set_hash(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], names=["node", "elements"])
 
     return run
@@ -215,23 +222,60 @@ _MEMBER = pa.schema([("key", pa.int64()), ("block", pa.string()), ("node", pa.in
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _mark(column: str):
+    """Bits of the hashes in ``column``, in slices of a filter of ``_FILTER`` bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bit = batch.column(batch.schema.names.index(column)).to_numpy(zero_copy_only=False) & (_FILTER - 1)
+            for i in np.unique(bit // _PART).tolist():
+                own = slices.setdefault(i, np.zeros(_PART, bool))
+                own[bit[bit // _PART == i] % _PART] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int64()), pa.array([np.packbits(x).tobytes() for x in slices.values()], pa.binary())], names=["slice", "bits"])
+
+    return run
+
+
+def _or_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            own = np.frombuffer(raw, np.uint8)
+            total[i] = total[i] | own if i in total else own
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "bits"])
+
+
 class _Search:
     def __init__(self, docs: DataFrame, summaries: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int, least: tree.Threshold):
         self.docs, self.summaries, self.nodes = docs, summaries, nodes
         self.id_col, self.text_col, self.k, self.least = id_col, text_col, k, least
 
-    def links(self, members: DataFrame) -> DataFrame:
-        """Links among members: rows of key, block, node, side, label."""
+    def possible(self, members: DataFrame) -> DataFrame:
+        """Of members (key, block, node, side, label), those with a possible partner in their
+        block; blocks with the same members stay once."""
         dealt = members.join(self.nodes.select("node", "n", "bits"), "node").repartition("key", "block").sortWithinPartitions("key", "block")
         some = dealt.select("key", "block", "node", "n", "side", "label", "bits").mapInArrow(_by_block(_possible, self.least, _MEMBER), "key bigint, block string, node bigint, n bigint, side int, label bigint")
         some = written(some, "possible")
-        # blocks with the same members are searched once
-        alike = some.groupBy("key", "block").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node", "side").cast("decimal(38,0)")).alias("h"))
-        once = alike.groupBy("c", "h").agg(F.min(F.struct("key", "block")).alias("first")).select("first.key", "first.block")
-        some = some.join(once, ["key", "block"])
-        wanted = self.summaries.join(some.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(self.id_col).alias("w")).select("w").distinct()
-        texts = self.docs.join(wanted, self.docs[self.id_col].eqNullSafe(wanted["w"]), "left_semi")
-        sets = texts.mapInArrow(_whole_sets(self.text_col, self.k), "node bigint, elements binary").dropDuplicates(["node"])
+        alike = some.groupBy("key", "block").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node", "side")).alias("h"))
+        once = alike.groupBy("c", "h").agg(F.min(F.struct("key", "block")).alias("first")).select("first.key", "first.block", "c")
+        return some.join(once, ["key", "block"])
+
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """Whole sets of the wanted nodes, made anew from the texts. Texts aren't shuffled: a
+        filter of fixed size, filled by tasks, passes the texts of wanted nodes and few others."""
+        own = self.summaries.join(wanted.distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.xxhash64(self.id_col)).alias("w"))
+        parts = own.select("w").mapInArrow(_mark("w"), "slice bigint, bits binary").repartition("slice").mapInArrow(_or_slices, "slice bigint, bits binary")
+        bits = np.zeros((_FILTER // _PART, _PART // 8), np.uint8)
+        for i, raw in parts.toLocalIterator():
+            bits[i] = np.frombuffer(raw, np.uint8)
+        marks = self.docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
+        texts = self.docs.select(F.xxhash64(self.id_col).alias("w"), self.text_col)
+        made = texts.mapInArrow(_whole_sets("w", self.text_col, self.k, marks), "node bigint, elements binary")
+        return written(made.join(wanted.distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+    def links(self, some: DataFrame, sets: DataFrame) -> DataFrame:
+        """Links within the blocks of ``some``."""
         full = some.join(sets, "node").select("key", "block", "node", "n", "side", "label", "elements").repartition("key", "block").sortWithinPartitions("key", "block")
         return written(full.mapInArrow(_by_block(_links, self.least, _LINK), "a bigint, b bigint"), "links")
 
@@ -263,20 +307,28 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(summaries.filter("n > 0").select("node", "n", "keys", "bits").dropDuplicates(["node"]), "nodes")
 
     listed = nodes.select("node", F.explode("keys").alias("key"))
-    lists = listed.groupBy("key").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h")).filter("c > 1")
+    lists = listed.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("h")).filter("c > 1")
     lists = lists.groupBy("c", "h").agg(F.min("key").alias("key")).select("key", "c")
     members = written(listed.join(lists, "key"), "members")
     search = _Search(docs, summaries, nodes, id_col, text_col, shingle, least)
     parts = F.ceil(F.col("c") / F.lit(float(block))).cast("int")
     dealt = members.select("key", F.pmod(F.xxhash64("node", "key"), parts).cast("string").alias("block"), "node", F.lit(2).alias("side"), F.col("node").alias("label"))
-    links = search.links(dealt)
-    labels = components(links)
+    some = written(search.possible(dealt), "some")
     dealt_out = members.filter(F.col("c") > block).select("key", "node")
+    sets = search.sets(some.select("node").union(dealt_out.select("node")))
+
+    # first the largest block of each node, which connects most; then what is not connected
+    largest = some.groupBy("node").agg(F.max(F.struct("c", "key", "block")).alias("b")).select("b.key", "b.block").distinct()
+    links = search.links(some.join(largest, ["key", "block"], "left_semi"), sets)
+    labels = written(components(links), "labels")
+    left = some.join(largest, ["key", "block"], "left_anti").drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_blocks = left.groupBy("key", "block").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key", "block")
+    left = left.join(open_blocks, ["key", "block"]).select(*_MEMBER.names)
     if not dealt_out.isEmpty():
-        labels = written(labels, "labels")
-        more = search.links(_rest(dealt_out, labels, block))
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+        left = left.unionByName(search.possible(_rest(dealt_out, labels, block)).select(*_MEMBER.names))
+    more = search.links(left, sets)
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     rows = summaries.select(id_col, "n", "node")
     own = rows.filter("n > 0").groupBy("node").agg(F.min(id_col).alias("own"))
