@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from credograph.llm import decontamination, jaccard, kneser_ney, language, packing, quality, warc
+from credograph.llm import decontamination, jaccard, kneser_ney, language, license_scan, packing, quality, secret_scan, token_counts, warc
+from credograph.llm.shared import new_path
 
 #: Place of the public tokenizer that op5 packs with; None: ask the package that holds it.
 TOKENIZER: str | None = None
@@ -33,6 +34,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.select(F.col("doc_id").alias("id"), F.col("quality").alias("good")))
@@ -62,13 +67,52 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches: every document is inserted; toxic ones are deleted; those of
+    low quality lose their repeated lines, which revises their counts; the insert is sent again."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    told = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    known = docs.join(told, "doc_id")
+    count = token_counts.counts
+    rollup = token_counts.Rollup(spark, new_path(spark, "token-counts"))
+    insert = count(docs, F.col("text")).withColumns({"change": F.lit("insert"), "old_tokens": F.lit(0)})
+    rollup.commit("crawl", insert)
+    gone = count(known.filter("toxic = 1"), F.col("text")).withColumnRenamed("tokens", "old_tokens")
+    rollup.commit("toxic", gone.withColumns({"change": F.lit("delete"), "tokens": F.lit(0)}))
+    rollup.compact()
+    lines = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
+    poor = count(known.filter("quality = 0 and (toxic is null or toxic != 1)"), F.col("text")).withColumnRenamed("tokens", "old_tokens").withColumnRenamed("version", "v")
+    revised = count(poor, lines).filter("v = version").drop("v")
+    rollup.commit("repeated lines", revised.withColumn("change", F.lit("revise")))
+    rollup.commit("crawl", insert)
+    return rollup.totals()
+
+
+OP8_SQL = r"""
+WITH told AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+lines AS (SELECT r, string_agg(line, chr(10) ORDER BY i) AS text FROM (
+    SELECT r, line, min(i) AS i FROM (SELECT r, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (
+      SELECT row_number() OVER () AS r, string_split(text, chr(10)) AS l FROM documents)) GROUP BY r, line) GROUP BY r),
+state AS (SELECT d.source, d.lang, CASE WHEN t.quality = 0 THEN l.text ELSE d.text END AS text
+  FROM (SELECT *, row_number() OVER () AS r FROM documents) d LEFT JOIN lines l USING (r) LEFT JOIN told t USING (doc_id) WHERE coalesce(t.toxic, 0) != 1),
+counted AS (
+  SELECT source, lang, 'blank-words-1' AS version, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS tokens FROM state
+  UNION ALL SELECT source, lang, 'letter-words-1', len(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) FROM state)
+SELECT source, lang, version, count(*) AS documents, sum(tokens)::bigint AS tokens FROM counted GROUP BY ALL"""
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_components(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op3_quality": op3_quality, "op4_kneser_ney": op4_kneser_ney, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_language": op7_language, "op9_jaccard": op9_jaccard}
+    every = (op1_warc, op2_license_scan, op3_quality, op4_kneser_ney, op5_packing, op6_decontamination, op7_language, op8_token_counts, op9_jaccard, op10_secret_scan)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": license_scan.sql(), "op8_token_counts": OP8_SQL}

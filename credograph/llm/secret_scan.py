@@ -110,7 +110,7 @@ def _tested(spans: Column) -> Column:
         cell = F.least(F.floor(-F.log10(p) * _PER_DECADE), F.lit(_CELLS - 1)).cast("int")
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), stratum.alias("stratum"), cell.alias("cell"))
 
-    return F.filter(F.transform(spans, one), lambda x: x["cell"].isNotNull())
+    return F.filter(F.transform(spans, one), lambda x: x["stratum"].isNotNull())
 
 
 def thresholds(docs: DataFrame, text_col: str, rate: float) -> dict[int, int]:
