@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from credograph.llm import language, packing, queries as q
+from credograph.llm import decontamination, jaccard, language, packing, queries as q, secret_scan
 from credograph.llm.shared import written
 
 #: SQL can express neither the mixture inference nor the packing.
@@ -16,12 +16,27 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.accept(docs, language.train(docs.filter(q.fold(4) != 2)))
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares most of its five-word shingles."""
+    return jaccard.keep_one(docs, shingle=5, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that repeat too much of the benchmark."""
+    return decontamination.clean(docs, q.table(spark, sf_dir, "benchmark"))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """With secrets masked in the texts, and ``n_chars`` of the new text."""
+    return secret_scan.redact(docs, length_col="n_chars")
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, by sequence and offset."""
     return packing.pack(docs, q.tokenizer_path())
 
 
-STAGES = [("language", language_stage), ("packing", packing_stage)]
+STAGES = [("language", language_stage), ("near-duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("secrets", secrets_stage), ("packing", packing_stage)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
