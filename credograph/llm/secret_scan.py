@@ -79,38 +79,49 @@ def _erfc(x: Column) -> Column:
     return series * F.exp(-x * x)
 
 
-def _p_value(token: Column, alphabet: str) -> Column:
-    """p-value of a token under evenly drawn characters of ``alphabet``."""
-    k = len(alphabet)
-    n = F.length(token).cast("double")
-    counts = F.array(*[F.length(token) - F.length(F.replace(token, F.lit(c), F.lit(""))) for c in alphabet])
-    squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-    uniform = F.greatest((k * squares / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n)), F.lit(0.0))
-    places = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - (k + 1) / 2)
-    pairs = F.arrays_zip(F.slice(places, 1, F.length(token) - 1).alias("a"), F.slice(places, 2, F.length(token) - 1).alias("b"))
-    serial = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x["a"] * x["b"]) / ((k * k - 1) / 12 * F.sqrt(n - 1))
-    # with an even alphabet, a change of side is as likely as none
-    changes = F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + F.when((x["a"] > 0) != (x["b"] > 0), 1.0).otherwise(0.0))
-    runs = (changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    t = uniform * uniform + serial * serial + runs * runs
-    return F.greatest(F.least(_erfc(F.sqrt(t / 2)) + F.sqrt(2 * t / 3.141592653589793) * F.exp(-t / 2), F.lit(1.0)), F.lit(1e-300))
+def _statistic(x: Column) -> Column:
+    """The sum of squares of the three statistics of a token (fields n, squares, places, k) under
+    evenly drawn characters."""
+    n, k = x["n"].cast("double"), x["k"].cast("double")
+    uniform = F.greatest((k * x["squares"] / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (1 - 1 / n)), F.lit(0.0))
+    zero = F.struct(F.lit(0.0).alias("before"), F.lit(0.0).alias("product"), F.lit(0.0).alias("changes"))
+
+    def add(acc: Column, v: Column) -> Column:
+        # places are never 0, so only the first has no place before it
+        change = F.when(acc["before"] * v < 0, 1.0).otherwise(0.0)
+        return F.struct(v.alias("before"), (acc["product"] + acc["before"] * v).alias("product"), (acc["changes"] + change).alias("changes"))
+
+    def statistic(acc: Column) -> Column:
+        serial = acc["product"] / ((k * k - 1) / 12 * F.sqrt(n - 1))
+        # with an even alphabet, a change of side is as likely as none
+        runs = (acc["changes"] - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+        return serial * serial + runs * runs
+
+    return uniform * uniform + F.aggregate(x["places"], zero, add, statistic)
+
+
+def _each(items: Column, make) -> Column:
+    """``items`` with the fields that ``make`` gives. A step of its own keeps the expression
+    small: what later steps use often is made once and named."""
+    return F.transform(items, lambda x: F.struct(*[c.alias(name) for name, c in make(x).items()]))
 
 
 def _tested(spans: Column) -> Column:
     """Candidates with stratum (encoding and length class) and cell of the p-value."""
-
-    def one(x: Column) -> Column:
-        body = F.regexp_replace(x["v"], "=+$", "")
-        encoding = _encoding(body)
-        same_case = F.when(body.rlike("[A-Z]") & encoding.isin(0, 2), F.lower(body)).otherwise(body)
-        p = F.lit(None).cast("double")
-        for i, (_, _, alphabet) in enumerate(ENCODINGS):
-            p = F.when(encoding == i, _p_value(same_case, alphabet)).otherwise(p)
-        stratum = encoding * 64 + F.floor(F.log2(F.length(body))).cast("int")
-        cell = F.least(F.floor(-F.log10(p) * _PER_DECADE), F.lit(_CELLS - 1)).cast("int")
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), stratum.alias("stratum"), cell.alias("cell"))
-
-    return F.filter(F.transform(spans, one), lambda x: x["stratum"].isNotNull())
+    alphabets = F.array(*[F.lit(a) for _, _, a in ENCODINGS])
+    kept = lambda x, *names: {c: x[c] for c in names}
+    out = _each(spans, lambda x: kept(x, "s", "e") | {"v": F.regexp_replace(x["v"], "=+$", "")})
+    out = F.filter(_each(out, lambda x: kept(x, "s", "e", "v") | {"encoding": _encoding(x["v"])}), lambda x: x["encoding"].isNotNull())
+    out = _each(out, lambda x: kept(x, "s", "e", "encoding") | {"v": F.when(x["encoding"].isin(0, 2), F.lower(x["v"])).otherwise(x["v"]), "alphabet": F.get(alphabets, x["encoding"])})
+    out = _each(out, lambda x: kept(x, "s", "e", "encoding", "v", "alphabet") | {"n": F.length(x["v"]), "k": F.length(x["alphabet"])})
+    places = lambda x: F.transform(F.split(x["v"], "(?!^)(?!$)"), lambda c: F.instr(x["alphabet"], c) - (x["k"] + 1) / 2)
+    squares = lambda x: F.aggregate(F.split(x["alphabet"], "(?!^)(?!$)"), F.lit(0.0), lambda a, c: a + F.pow(x["n"] - F.length(F.replace(x["v"], c, F.lit(""))), F.lit(2)))
+    out = _each(out, lambda x: kept(x, "s", "e", "encoding", "n", "k") | {"squares": squares(x), "places": places(x)})
+    out = _each(out, lambda x: kept(x, "s", "e", "encoding", "n") | {"t": _statistic(x)})
+    tail = lambda t: F.greatest(F.least(_erfc(F.sqrt(t / 2)) + F.sqrt(2 * t / 3.141592653589793) * F.exp(-t / 2), F.lit(1.0)), F.lit(1e-300))
+    out = _each(out, lambda x: kept(x, "s", "e", "encoding", "n") | {"p": tail(x["t"])})
+    cell = lambda x: F.least(F.floor(-F.log10(x["p"]) * _PER_DECADE), F.lit(_CELLS - 1)).cast("int")
+    return _each(out, lambda x: kept(x, "s", "e") | {"stratum": x["encoding"] * 64 + F.floor(F.log2(x["n"])).cast("int"), "cell": cell(x)})
 
 
 def thresholds(docs: DataFrame, text_col: str, rate: float) -> dict[int, int]:

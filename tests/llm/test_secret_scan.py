@@ -89,7 +89,7 @@ def test_matches_brute_force(spark):
 
 def test_redaction(spark):
     docs = corpus()
-    frame = spark.createDataFrame([(*d, d[1] and len(d[1])) for d in docs], "doc_id long, text string, n_chars long")
+    frame = spark.createDataFrame([(*d, None if d[1] is None else len(d[1])) for d in docs], "doc_id long, text string, n_chars long")
     spans = {d: x[-1] for d, x in brute(docs, 0.05).items()}
     for r in S.redact(frame, length_col="n_chars").collect():
         t = dict(docs)[r.doc_id]
