@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from credograph.llm.shared import written
+from credograph.llm.shared import small_batches, written
 from credograph.llm.spans import NON_ALNUM, groups
 
 SPANS, ITEMS, WORDS = "__hit_spans", "__hit_items", "__hit_words"
@@ -215,7 +215,7 @@ def blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_word
 def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, block_words: int = 2_000_000, keep_text: bool = True) -> DataFrame:
     """All columns of ``docs`` with the hit word spans [s0, e0, s1, e1, ...], the ids of the
     items found and the number of words (columns SPANS, ITEMS, WORDS)."""
-    spark, out, more = docs.sparkSession, docs, False
+    spark, out, more = docs.sparkSession, small_batches(docs), False
     fields = [f for f in docs.schema if keep_text or f.name != text_col]
     added = [T.StructField(SPANS, T.ArrayType(T.LongType())), T.StructField(ITEMS, T.ArrayType(T.StringType())), T.StructField(WORDS, T.LongType())]
     own = list(blocks(items, item_id, item_text, window, block_words))

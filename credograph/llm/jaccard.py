@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from credograph.llm import signature_tree as tree
 from credograph.llm.components import components
-from credograph.llm.shared import written
+from credograph.llm.shared import small_batches, written
 from credograph.llm.spans import BLANKS, groups, mix, windows
 
 _SKETCH = 1 << 20
@@ -55,8 +55,8 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 def set_hash(elements: np.ndarray) -> int:
     """64 bits that stand for a set; the same whatever made it."""
-    both = mix(elements).sum(dtype=np.uint64) ^ mix(elements ^ _SALT).sum(dtype=np.uint64) * _SALT
-    return int(mix(np.array([both + np.uint64(len(elements))], np.uint64)).astype(np.int64)[0])
+    total = lambda x: mix(x).sum(dtype=np.uint64, keepdims=True)
+    return int(mix((total(elements) ^ total(elements ^ _SALT) * _SALT) + np.uint64(len(elements))).astype(np.int64)[0])
 
 
 def _sketch(text_col: str, k: int):
@@ -300,7 +300,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row for each document: its id, n_shingles, and component_id, the smallest id that it
     reaches over links of at least ``percent`` hundredths of similarity."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
+    docs = small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
     kind, least = docs.schema[id_col].dataType.simpleString(), tree.Threshold(percent)
     classes = spark.sparkContext.broadcast(frequency_classes(docs, text_col, shingle))
     summaries = written(docs.mapInArrow(_summaries(id_col, text_col, shingle, least, classes), f"`{id_col}` {kind}, n bigint, node bigint, keys array<bigint>, bits binary"), "summaries")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from credograph.llm import files
-from credograph.llm.shared import new_path
+from credograph.llm.shared import new_path, small_batches
 from credograph.llm.spans import BLANKS, Group, groups, hash_words, mix
 
 END = hash_words([b"\n"])[0]
@@ -260,7 +260,7 @@ def train(docs: DataFrame, text_col: str = "text", word_shard: int = 1_000_000,
     """Count ``docs`` and write the model to the shared folder: about ``word_shard`` words or
     ``pair_shard`` tokens to a file; tasks add up about ``held`` counts before they send them."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(text_col).cast("string").alias("t"))
+    docs = small_batches(docs).select(F.col(text_col).cast("string").alias("t"))
     folder = new_path(spark, "kneser-ney")
     files.make_folder(folder)
     guess = docs.select(F.sum(F.octet_length("t")) / 6).first()[0] or 0
@@ -366,7 +366,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """id, n_tokens, n_known, base_score (add-half unigrams), score (log10 of the model) and
     perplexity of every document."""
     own = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t"))
+    docs = small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = own.value

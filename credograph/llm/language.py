@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from credograph.llm.shared import small_batches
 from credograph.llm.spans import Group, groups, mix
 
 UNKNOWN = "und"
@@ -119,7 +120,7 @@ class Model:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 4, buckets: int = 1 << 13, max_languages: int = 1024) -> Model:
-    own = docs.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).filter("l is not null and t is not null")
+    own = small_batches(docs).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t")).filter("l is not null and t is not null")
     counts = own.mapInArrow(_count("l", "t", n, buckets), "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     table: dict[str, np.ndarray] = {}
     for lang, bucket, k in counts.toLocalIterator():
@@ -135,7 +136,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: in
 def _predict(model, text_col: str, fields: list[str], penalty: float, max_set: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = model.value
-        limit = max(1 << 16, (1 << 21) // max(1, len(own.languages) // 4))
+        limit = max(1 << 16, (1 << 20) // max(1, len(own.languages) // 4))
         for batch in batches:
             text = batch.column(batch.schema.names.index(text_col))
             langs, scores = [UNKNOWN] * len(text), np.zeros(len(text))
@@ -160,7 +161,7 @@ def _with_prediction(docs: DataFrame, model: Model, text_col: str, keep_text: bo
     fields = [f for f in docs.schema if keep_text or f.name != text_col]
     schema = T.StructType([*fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
     own = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_predict(own, text_col, [f.name for f in fields], penalty, max_set), schema)
+    return small_batches(docs).mapInArrow(_predict(own, text_col, [f.name for f in fields], penalty, max_set), schema)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 4.0, max_set: int = 3) -> DataFrame:

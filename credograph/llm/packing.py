@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from credograph.llm.shared import small_batches
 from credograph.llm.tokens import encoder
 
 _COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -131,7 +132,7 @@ def _pack(path: str, id_col: str, text_col: str, end_id: int, size: int, rows: i
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, size: int = 2048) -> DataFrame:
     """One row for each piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
+    own = small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
     kind = own.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, " + ", ".join(f"`{c}` bigint" for c in _COLUMNS)
     return own.mapInArrow(_pack(tokenizer_path, id_col, text_col, end_id, size, 4096), schema)

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from credograph.llm.shared import small_batches
 from credograph.llm.spans import BLANKS, NEWLINE, Group, groups, hash_spans, mix, windows
 
 _SYMBOL = np.zeros(256, bool)
@@ -124,7 +125,7 @@ def _counts(docs: DataFrame, n: int, buckets: int) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, buckets: int = 1 << 15) -> Ratio:
     """Learn from all ``docs`` as raw corpus and from ``labels`` (id, good as 0 or 1)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"))
+    docs = small_batches(docs).select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"))
     told = labels.filter("good is not null").groupBy(F.col("id").alias("d")).agg(F.min("good").alias("good"))
     raw = _counts(docs.filter("t is not null").select("t"), n, buckets)
     labelled = docs.filter("t is not null").join(told, "d")
@@ -186,7 +187,7 @@ def _verdicts(model, fields: list[str], names: list[str]):
 def judge(docs: DataFrame, model: Ratio, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: its counts, base_failed, kept, and score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("t"))
+    own = small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias("t"))
     names = [id_col, *_RULES, "base_failed", "kept", "score"]
     schema = T.StructType([own.schema.fields[0], *(T.StructField(c, T.LongType()) for c in _RULES), T.StructField("base_failed", T.BooleanType()), T.StructField("kept", T.BooleanType()), T.StructField("score", T.DoubleType())])
     return own.mapInArrow(_verdicts(sent, [id_col], names), schema)

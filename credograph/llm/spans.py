@@ -8,6 +8,7 @@ is ``GROUP`` bytes of text or one document if that is longer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -129,6 +130,20 @@ class Group:
         return hash_spans(self.data, starts, ends), first
 
 
+_calls = 0
+
+
+def _hand_back() -> None:
+    """Let the system have freed memory again; else a worker that is reused keeps its peak."""
+    global _calls
+    _calls += 1
+    if _calls % 16 == 0:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def groups(column: pa.Array, lower: bool = False, limit: int = GROUP) -> Iterator[Group]:
     """``column`` (strings; null counts as empty) in groups of about ``limit`` bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -148,3 +163,4 @@ def groups(column: pa.Array, lower: bool = False, limit: int = GROUP) -> Iterato
         own = data[bounds[i] : bounds[j]]
         yield Group(i, LOWER[own] if lower else own, bounds[i : j + 1] - bounds[i])
         i = j
+    _hand_back()

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from credograph.llm import files
-from credograph.llm.shared import delete, new_path, written
+from credograph.llm.shared import delete, new_path, small_batches, written
 
 CHUNK = 1 << 20
 _GZIP = 31
@@ -245,7 +245,7 @@ def read_records(index: DataFrame) -> DataFrame:
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = 0) -> DataFrame:
     """Write ``pages`` as archives, normalise them, and read every record back."""
-    spark = pages.sparkSession
+    spark = small_batches(pages).sparkSession
     folder = new_path(spark, "warc")
     places = write_archives(with_references(pages, id_col, payload_col, least), f"{folder}/stream")
     index = normalise(spark, places, f"{folder}/records")
