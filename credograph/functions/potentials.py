@@ -42,6 +42,8 @@ def potential(kind: str, inputs: list[Column], conclusion: Column | None, p1: fl
     if kind in ("conditional", "pairwise"):
         cell = F.element_at(F.array(*map(F.lit, weights)), _index(inputs) + 1)
         return cell if kind == "pairwise" else F.when(conclusion == 1, cell).otherwise(1 - cell)
+    if not on:
+        raise ValueError(f"factor {kind} without inputs")
     every, some = reduce(lambda a, b: a & b, on), reduce(lambda a, b: a | b, on)
     truth = {"conjunction": every, "disjunction": some, "contradiction": ~every, "negation": ~on[0]}
     if len(on) > 1:
