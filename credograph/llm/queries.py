@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from credograph.llm import decontamination, jaccard, kneser_ney, language, license_scan, packing, quality, secret_scan, token_counts, warc
-from credograph.llm.shared import new_path
+from credograph.llm.shared import new_path, written
 
 #: Place of the public tokenizer that op5 packs with; None: ask the package that holds it.
 TOKENIZER: str | None = None
@@ -70,21 +70,19 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches: every document is inserted; toxic ones are deleted; those of
     low quality lose their repeated lines, which revises their counts; the insert is sent again."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    labels = table(spark, sf_dir, "labels")
     told = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    known = docs.join(told, "doc_id")
-    count = token_counts.counts
+    read = token_counts.counts_and_revisions(table(spark, sf_dir, "documents"), "text").select("doc_id", *token_counts.GROUPS, "tokens", "revised")
+    insert = written(read, "token-counts-read")  # counts only: no text is shuffled or read twice
+    known = insert.join(told, "doc_id").withColumnRenamed("tokens", "old_tokens")
     rollup = token_counts.Rollup(spark, new_path(spark, "token-counts"))
-    insert = count(docs, F.col("text")).withColumns({"change": F.lit("insert"), "old_tokens": F.lit(0)})
-    rollup.commit("crawl", insert)
-    gone = count(known.filter("toxic = 1"), F.col("text")).withColumnRenamed("tokens", "old_tokens")
-    rollup.commit("toxic", gone.withColumns({"change": F.lit("delete"), "tokens": F.lit(0)}))
+    crawl = insert.withColumns({"change": F.lit("insert"), "old_tokens": F.lit(0)})
+    rollup.commit("crawl", crawl)
+    rollup.commit("toxic", known.filter("toxic = 1").withColumns({"change": F.lit("delete"), "tokens": F.lit(0)}))
     rollup.compact()
-    lines = F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n")
-    poor = count(known.filter("quality = 0 and (toxic is null or toxic != 1)"), F.col("text")).withColumnRenamed("tokens", "old_tokens").withColumnRenamed("version", "v")
-    revised = count(poor, lines).filter("v = version").drop("v")
-    rollup.commit("repeated lines", revised.withColumn("change", F.lit("revise")))
-    rollup.commit("crawl", insert)
+    poor = known.filter("quality = 0 and (toxic is null or toxic != 1)").withColumnRenamed("revised", "tokens")
+    rollup.commit("repeated lines", poor.withColumn("change", F.lit("revise")))
+    rollup.commit("crawl", crawl)
     return rollup.totals()
 
 

@@ -108,7 +108,11 @@ def counted(text: Column, version: str) -> Column:
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(VERSIONS[version])).cast("long")
 
 
-def counts(docs: DataFrame, text: Column) -> DataFrame:
-    """A row for each row of ``docs`` and version, with ``tokens``."""
-    each = F.array(*[F.struct(F.lit(v).alias("version"), counted(text, v).alias("tokens")) for v in VERSIONS])
-    return docs.select("*", F.inline(each))
+def counts_and_revisions(docs: DataFrame, text: str) -> DataFrame:
+    """A row for each row of ``docs`` and version: ``tokens`` of the text, and ``revised``, those
+    that stay when each line is kept once. Only texts that repeat a line are counted twice."""
+    lines = F.split(F.col(text).cast("string"), "\n", -1)
+    once = F.array_distinct(lines)
+    revised = lambda v: F.when(F.size(once) == F.size(lines), counted(F.col(text), v)).otherwise(counted(F.array_join(once, "\n"), v))
+    each = F.array(*[F.struct(F.lit(v).alias("version"), counted(F.col(text), v).alias("tokens"), revised(v).alias("revised")) for v in VERSIONS])
+    return docs.select(*[c for c in docs.columns if c not in ("version", "tokens", "revised")], F.inline(each))

@@ -33,3 +33,24 @@ def test_batches(spark):
     with pytest.raises(Exception, match="unknown change"):
         r.commit("bad", batch(("a", "en", "1", "drop", 1, 5)))
     assert rows(r.totals()) == want
+
+
+def test_counts_and_revisions(spark):
+    docs = spark.createDataFrame([(1, "a b\nc\na b", "x"), (2, None, "x"), (3, "", "x"), (4, "a-1\nb", "x")], "id long, text string, tokens string")
+    found = {(r.id, r.version): (r.tokens, r.revised) for r in C.counts_and_revisions(docs, "text").collect()}
+    want = {1: ((5, 3), (5, 3)), 2: ((0, 0), (0, 0)), 3: ((0, 0), (0, 0)), 4: ((2, 2), (3, 3))}
+    assert found == {(i, v): pair for i, pairs in want.items() for v, pair in zip(C.VERSIONS, pairs)}
+
+
+def test_query_equals_sql(spark):
+    import duckdb
+
+    from credograph.llm import queries as q
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    want = con.sql(q.OP8_SQL)
+    got = q.op8_token_counts(spark, folder).select(*want.columns)
+    assert rows(got) == sorted(want.fetchall(), key=str)
