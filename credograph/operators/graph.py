@@ -54,3 +54,26 @@ def degrees(edges: DataFrame) -> DataFrame:
     """node, number of parents and of children."""
     ends = edges.select(F.col("child").alias("node"), F.lit(1).alias("p"), F.lit(0).alias("c")).unionByName(edges.select(F.col("parent").alias("node"), F.lit(0).alias("p"), F.lit(1).alias("c")))
     return ends.groupBy("node").agg(F.sum("p").alias("n_parents"), F.sum("c").alias("n_children"))
+
+
+def moral_edges(factors: DataFrame, most: int = 26) -> DataFrame:
+    """a, b (a < b): variables that share a factor. ``factors`` has factor and variable; a factor
+    of more than ``most`` variables, which no table could hold, raises an error."""
+    sets = factors.groupBy("factor").agg(F.sort_array(F.collect_set("variable")).alias("v"))
+    checked = sets.select(F.when(F.size("v") <= most, F.col("v")).otherwise(F.raise_error(F.lit("factor too wide")).cast(sets.schema["v"].dataType)).alias("v"))
+    return checked.select("v", F.posexplode("v").alias("i", "a")).select("a", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("b")).distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node). Each round takes the smallest label around a node,
+    then that label's own label, which halves the way."""
+    both = edges.select(F.col("child").alias("node"), F.col("parent").alias("other")).unionByName(edges.select(F.col("parent").alias("node"), F.col("child").alias("other"))).distinct()
+    labels = both.select("node", F.col("node").alias("label")).distinct()
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        step = cut(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low")))
+        jump = step.select(F.col("node").alias("low"), F.col("low").alias("lower"))
+        new = cut(step.join(jump, "low").select("node", "label", F.least("low", "lower").alias("next")))
+        labels = new.select("node", F.col("next").alias("label"))
+        if new.filter("label != next").isEmpty():
+            return labels.withColumnRenamed("label", "component")

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from credograph.operators.graph import cut
+
 
 def sequence_gaps(events: DataFrame) -> DataFrame:
     """Events whose number is not the one after the last; a log begins with 0."""
@@ -41,3 +43,34 @@ def statistics(events: DataFrame, kind: str) -> DataFrame:
     """Events, distinct actors and seconds from first to last, by kind."""
     span = F.unix_seconds(F.max("ts").cast("timestamp_ltz")) - F.unix_seconds(F.min("ts").cast("timestamp_ltz"))
     return events.groupBy(kind).agg(F.count("*").alias("n_events"), F.countDistinct("actor").alias("n_actors"), span.alias("seconds"))
+
+
+def open_tool_calls(events: DataFrame) -> DataFrame:
+    """Calls (kind tool_call) without a later result, retry or noted error: a tool_result or
+    retry whose parent is the call, or a decision or intermediate_state by the same actor with an
+    error. Only each key's last such event is joined, so long logs multiply nothing."""
+    last = lambda where, key, name: events.filter(where).groupBy("trace_id", F.col(key).alias(name)).agg(F.max("seq").alias(f"last_{name}"))
+    answers = last("kind in ('tool_result', 'retry') and parent_event_id is not null", "parent_event_id", "event_id")
+    errors = last("kind in ('decision', 'intermediate_state') and error is not null and error != ''", "actor", "actor")
+    calls = events.filter("kind = 'tool_call'").select("trace_id", "seq", "event_id", "actor")
+    late = lambda c: F.coalesce(F.col(c) > F.col("seq"), F.lit(False))
+    return calls.join(answers, ["trace_id", "event_id"], "left").join(errors, ["trace_id", "actor"], "left").filter(~late("last_event_id") & ~late("last_actor")).select("trace_id", "seq", "event_id")
+
+
+def orphans(events: DataFrame) -> DataFrame:
+    """Events whose parent isn't in their log."""
+    known = events.select("trace_id", F.col("event_id").alias("parent_event_id"))
+    return events.filter("parent_event_id is not null").join(known, ["trace_id", "parent_event_id"], "left_anti").select("trace_id", "event_id", "parent_event_id")
+
+
+def retry_chains(events: DataFrame, limit: int, most_doublings: int = 24) -> DataFrame:
+    """Retries with more than ``limit`` retries on their way up (themselves included), found by
+    doubling the way that each event has gone, so the rounds follow the logarithm of its length.
+    Event ids are unique; a ring of parents raises an error."""
+    way = events.select("event_id", F.col("parent_event_id").alias("to"), (F.col("kind") == "retry").cast("long").alias("n"))
+    for _ in range(most_doublings):
+        further = way.select(F.col("event_id").alias("to"), F.col("to").alias("next"), F.col("n").alias("more"))
+        way = cut(way.join(further, "to", "left").select("event_id", F.col("next").alias("to"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")))
+        if way.filter("`to` is not null").isEmpty():
+            return events.filter("kind = 'retry'").select("event_id").join(way, "event_id").filter(F.col("n") > limit).select("event_id", F.col("n").alias("n_retries"))
+    raise RuntimeError("parents form a ring")

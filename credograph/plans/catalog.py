@@ -8,6 +8,8 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from credograph.operators import changes, graph, inference, priors, reviews, trace
+from credograph.plans import modeling
+from credograph.plans.shared import EDGES, PRIORS, STATES, small_graph
 from credograph.sources import tables as T
 
 PRIORITY = ["1-URGENT", "2-*", "*"]
@@ -16,15 +18,12 @@ PHRASES = {" obviously ": "error", " it is known ": "warning", " the ": "warning
 RATES = {"low": 20.0, "middle": 25.5, "high": 30.0}
 ROUNDS = 4
 
-_PRIORS = "(SELECT o_custkey AS knowledge_id, o_orderpriority AS source_id, least(o_totalprice / 1e6, 0.999) AS value, o_orderdate AS created_at, o_orderkey AS pos FROM orders)"
 _REVIEWS = "(SELECT l_orderkey AS target_id, l_linenumber AS round, CASE WHEN l_returnflag = 'R' THEN 'rejected' WHEN l_linestatus = 'F' THEN 'accepted' ELSE 'unreviewed' END AS status FROM lineitem)"
-_EDGES = """(SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
-  UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"""
 
 
 def _winners(tier: str, where: str = "true") -> str:
     return f"""SELECT knowledge_id, round(value, 6) AS value, source_id, created_at FROM (
-  SELECT *, row_number() OVER (PARTITION BY knowledge_id ORDER BY tier, created_at DESC, pos) AS k FROM (SELECT *, {tier} AS tier FROM {_PRIORS} WHERE {where}) WHERE tier IS NOT NULL) WHERE k = 1"""
+  SELECT *, row_number() OVER (PARTITION BY knowledge_id ORDER BY tier, created_at DESC, pos) AS k FROM (SELECT *, {tier} AS tier FROM {PRIORS} WHERE {where}) WHERE tier IS NOT NULL) WHERE k = 1"""
 
 
 def _resolved(spark: SparkSession, sf_dir: str, *how) -> DataFrame:
@@ -134,30 +133,6 @@ def redteam_scan(spark, sf_dir):
     return changes.phrase_findings(T.table(spark, sf_dir, "documents"), "doc_id", "text", PHRASES)
 
 
-def small_graph(spark: SparkSession, sf_dir: str) -> inference.FactorGraph:
-    """Five nations that support their regions, and a contradiction of two regions. Priors are
-    mean balances of suppliers; at most ten rows come to the driver."""
-    n, s = T.table(spark, sf_dir, "nation").filter("n_nationkey < 5"), T.table(spark, sf_dir, "supplier")
-    rows = n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy("n_nationkey", "n_regionkey").agg(F.avg("s_acctbal").alias("m")).orderBy("n_nationkey").collect()
-    made = inference.FactorGraph()
-    for k, _, m in rows:
-        made.priors[f"n{k}"] = ((m or 0.0) + 1000) / 11000
-    for r in sorted({r for _, r, _ in rows}):
-        made.priors[f"r{r}"] = None
-    made.factors = [("soft_entailment", [f"n{k}"], f"r{r}", {"p1": 0.9, "p2": 0.6}) for k, r, _ in rows]
-    return made
-
-
-_STATES = """WITH v AS (SELECT n_nationkey AS k, n_regionkey AS r, (coalesce(avg(s_acctbal), 0) + 1000) / 11000 AS p FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey < 5 GROUP BY ALL),
-regions AS (SELECT r, row_number() OVER (ORDER BY r) + 4 AS bit FROM (SELECT DISTINCT r FROM v)),
-size AS (SELECT 5 + count(*) AS n FROM regions),
-states AS (SELECT unnest(range((1 << (SELECT n FROM size)::int)::bigint)) AS id),
-terms AS (SELECT id, 'n' || k AS child, 'r' || v.r AS parent, (id >> k) & 1 AS a, (id >> bit) & 1 AS b, least(greatest(p, 0.001), 0.999) AS p FROM states, v JOIN regions USING (r)),
-weights AS (SELECT id, exp(sum(ln(CASE WHEN a = 1 THEN p ELSE 1 - p END) + ln(CASE WHEN a = 1 THEN CASE WHEN b = 1 THEN 0.9 ELSE 0.1 END ELSE CASE WHEN b = 0 THEN 0.6 ELSE 0.4 END END))) AS w FROM terms GROUP BY id),
-names AS (SELECT 'n' || k AS variable, k AS bit FROM v UNION ALL SELECT 'r' || r, bit FROM regions)
-"""
-
-
 def exact_posterior_small(spark, sf_dir):
     return inference.marginals(spark, small_graph(spark, sf_dir)).withColumn("posterior", F.round("posterior", 5))
 
@@ -178,7 +153,7 @@ def belief_propagation(spark, sf_dir):
 
 
 def _bp_sql() -> str:
-    out = f"""WITH e AS {_EDGES}, nodes AS (SELECT DISTINCT variable FROM (SELECT child AS variable FROM e UNION ALL SELECT parent FROM e)),
+    out = f"""WITH e AS {EDGES}, nodes AS (SELECT DISTINCT variable FROM (SELECT child AS variable FROM e UNION ALL SELECT parent FROM e)),
 base AS (SELECT variable, ln(p) - ln(1 - p) AS base FROM (SELECT variable, least(greatest(0.2 + length(variable) / 10.0::double, 0.001), 0.999) AS p FROM nodes)),
 m0 AS (SELECT child, parent, 0.0::double AS up, 0.0::double AS down FROM e)"""
     total = lambda k: f"t{k} AS (SELECT variable, base + coalesce(m, 0) AS total FROM base LEFT JOIN (SELECT variable, sum(m) AS m FROM (SELECT parent AS variable, up AS m FROM m{k} UNION ALL SELECT child, down FROM m{k}) GROUP BY variable) USING (variable))"
@@ -212,7 +187,7 @@ def _closure(edges: str) -> str:
     return f"WITH RECURSIVE e AS {edges}, c AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION SELECT node, parent, depth + 1 FROM c JOIN e ON ancestor = child WHERE depth < 8)"
 
 
-_RING = f"(SELECT * FROM {_EDGES} WHERE child NOT LIKE 'c%' UNION ALL SELECT 'r' || n_regionkey, 'n3' FROM nation WHERE n_nationkey = 3)"
+_RING = f"(SELECT * FROM {EDGES} WHERE child NOT LIKE 'c%' UNION ALL SELECT 'r' || n_regionkey, 'n3' FROM nation WHERE n_nationkey = 3)"
 _LIKELIHOOD = " UNION ALL ".join(f"SELECT *, '{m}' AS model, s * ln({r}::double) - n * {r}::double - f AS l FROM sums" for m, r in RATES.items())
 _CHANGED = "CASE WHEN b.c_custkey IS NULL THEN 'added' WHEN a.c_custkey IS NULL THEN 'removed' ELSE 'changed' END"
 
@@ -221,16 +196,16 @@ SQL: dict[str, str] = {
     "prior_resolution_latest": _winners("0"),
     "prior_resolution_source": _winners("0", "source_id = '3-MEDIUM'"),
     "prior_resolution_cutoff": _winners("0", "created_at <= TIMESTAMP '1998-01-01'"),
-    "prior_dissent": f"SELECT knowledge_id, count(*) AS n_records, round(max(value) - min(value), 8) AS spread FROM {_PRIORS} GROUP BY 1 HAVING count(*) >= 2 AND max(value) - min(value) > 0.2",
+    "prior_dissent": f"SELECT knowledge_id, count(*) AS n_records, round(max(value) - min(value), 8) AS spread FROM {PRIORS} GROUP BY 1 HAVING count(*) >= 2 AND max(value) - min(value) > 0.2",
     "prior_coverage_gaps": "SELECT c_custkey AS knowledge_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "latest_review": _latest_sql(),
     "review_gate": f"SELECT o_orderkey AS target_id, nullif(o_orderstatus, 'P') AS label FROM orders LEFT JOIN ({_latest_sql()}) ON target_id = o_orderkey WHERE o_orderstatus = 'P' OR status = 'accepted'",
     "review_status_counts": f"SELECT status, count(*) AS n_targets FROM ({_latest_sql()}) GROUP BY 1",
-    "reachability": f"{_closure(_EDGES)} SELECT node, ancestor, min(depth)::int AS depth FROM c GROUP BY ALL",
-    "leaves": f"WITH e AS {_EDGES} SELECT DISTINCT child AS node FROM e WHERE child NOT IN (SELECT parent FROM e)",
-    "topo_layers": f"{_closure(_EDGES)} SELECT node, max(depth)::int AS layer FROM (SELECT node, depth FROM c UNION ALL SELECT parent, 0 FROM e) GROUP BY 1",
+    "reachability": f"{_closure(EDGES)} SELECT node, ancestor, min(depth)::int AS depth FROM c GROUP BY ALL",
+    "leaves": f"WITH e AS {EDGES} SELECT DISTINCT child AS node FROM e WHERE child NOT IN (SELECT parent FROM e)",
+    "topo_layers": f"{_closure(EDGES)} SELECT node, max(depth)::int AS layer FROM (SELECT node, depth FROM c UNION ALL SELECT parent, 0 FROM e) GROUP BY 1",
     "cycle_check": f"{_closure(_RING)} SELECT DISTINCT node FROM c WHERE node = ancestor",
-    "node_degrees": f"WITH e AS {_EDGES} SELECT node, sum(p)::bigint AS n_parents, sum(c)::bigint AS n_children FROM (SELECT child AS node, 1 AS p, 0 AS c FROM e UNION ALL SELECT parent, 0, 1 FROM e) GROUP BY 1",
+    "node_degrees": f"WITH e AS {EDGES} SELECT node, sum(p)::bigint AS n_parents, sum(c)::bigint AS n_children FROM (SELECT child AS node, 1 AS p, 0 AS c FROM e UNION ALL SELECT parent, 0, 1 FROM e) GROUP BY 1",
     "trace_seq_gaps": "SELECT * FROM (SELECT conv_id AS trace_id, turn AS seq, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) + 1 AS expected FROM conversations WHERE role != 'system') WHERE seq != expected",
     "trace_ts_disorder": "SELECT * FROM (SELECT user_id AS trace_id, value AS at, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY value, event_id) AS before FROM events) WHERE ts < before",
     "actor_switches": "SELECT * FROM (SELECT conv_id AS trace_id, turn AS seq, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, role AS actor FROM conversations) WHERE before != actor",
@@ -244,8 +219,8 @@ UNION ALL SELECT category, id, 'c_name', b1, a1 FROM j WHERE category = 'changed
     "duplicate_content": r"""WITH t AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', ' ', 'g'))) AS c FROM documents)
 SELECT doc_id, "first", n AS n_alike FROM t JOIN (SELECT c, min(doc_id) AS "first", count(*) AS n FROM t GROUP BY c HAVING count(*) > 1) USING (c) WHERE doc_id != "first\"""".replace('\\"', '"'),
     "redteam_scan": " UNION ALL ".join(f"SELECT doc_id, '{p}' AS phrase, '{s}' AS severity FROM documents WHERE contains(lower(' ' || coalesce(text, '') || ' '), '{p}')" for p, s in PHRASES.items()),
-    "exact_posterior_small": _STATES + "SELECT variable, round(sum(CASE WHEN (id >> bit) & 1 = 1 THEN w ELSE 0 END) / sum(w), 5) AS posterior FROM weights, names GROUP BY 1",
-    "exact_joint_small": _STATES + "SELECT (id & 1)::int AS n0, ((id >> 1) & 1)::int AS n1, round(sum(w) / (SELECT sum(w) FROM weights), 6) AS p FROM weights GROUP BY 1, 2",
+    "exact_posterior_small": STATES + "SELECT variable, round(sum(CASE WHEN (id >> bit) & 1 = 1 THEN w ELSE 0 END) / sum(w), 5) AS posterior FROM weights, names GROUP BY 1",
+    "exact_joint_small": STATES + "SELECT (id & 1)::int AS n0, ((id >> 1) & 1)::int AS n1, round(sum(w) / (SELECT sum(w) FROM weights), 6) AS p FROM weights GROUP BY 1, 2",
     "belief_propagation": _bp_sql(),
     "mutual_information": f"SELECT s_suppkey, round(greatest({_entropy('c')} - q * {_entropy('0.9::double')} - (1 - q) * {_entropy('0.3::double')}, 0.0), 6) AS bits FROM (SELECT *, q * 0.9::double + (1 - q) * 0.3::double AS c FROM (SELECT s_suppkey, (s_acctbal + 1000) / 11000 AS q FROM supplier))",
     "model_compare": f"""WITH sums AS (SELECT l_partkey, count(*) AS n, sum(l_quantity) AS s, sum(lgamma(l_quantity + 1)) AS f FROM lineitem GROUP BY 1),
@@ -253,8 +228,12 @@ l AS ({_LIKELIHOOD}) SELECT l_partkey, n AS n_observations, model, round(l, 4) A
 }
 
 
+OWN = tuple(SQL)
+SQL |= modeling.SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in SQL}
+    return {name: globals()[name] for name in OWN} | {name: getattr(modeling, name) for name in (*modeling.SQL, *modeling.ROWS_ONLY)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ import pytest
 from credograph.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier orders lineitem events documents labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
 
 
 @pytest.fixture(scope="module")
