@@ -6,7 +6,8 @@ its n-grams of log(trusted / raw). The threshold is where scores of trusted and
 labelled documents that pass the fixed rules part best, found on a fixed grid of scores; it is
 one number for all documents, so a verdict depends on the text and the model alone.
 
-What is gathered is bounded by the number of buckets and of grid cells.
+What is gathered is bounded by the number of buckets and of grid cells. Up to ``MOST_SENT``
+labels are sent to the texts; more of them are joined by a shuffle, with the same result.
 
 Defined cases: null texts have no words and no lines; a text without n-grams scores 0; without
 trusted documents every score is 0 and without labels of both kinds the threshold is minus
@@ -27,6 +28,8 @@ from credograph.llm.spans import BLANKS, NEWLINE, Group, groups, hash_spans, mix
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
+#: Labels that are sent to all executors at most, an id and a bit each.
+MOST_SENT = 4_000_000
 _LOW, _HIGH, _CELLS = -4.0, 4.0, 8000
 
 
@@ -128,6 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     docs = small_batches(docs).select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"))
     told = labels.filter("good is not null").groupBy(F.col("id").alias("d")).agg(F.min("good").alias("good"))
     raw = _counts(docs.filter("t is not null").select("t"), n, buckets)
+    if told.count() <= MOST_SENT:  # else an ordinary join, which shuffles the texts
+        told = F.broadcast(told)
     labelled = docs.filter("t is not null").join(told, "d")
     trusted = _counts(labelled.filter("good = 1").select("t"), n, buckets)
     if not trusted.sum():

@@ -56,3 +56,12 @@ def test_cut():
     table[10, 0] = table[20, 1] = 5
     cut = (Q.best_cut(table) - Q._LOW) / (Q._HIGH - Q._LOW) * Q._CELLS
     assert 10 < round(cut) <= 20
+
+
+def test_sent_and_shuffled_labels_teach_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "spam %% junk ") * (i + 20)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "id long, good int")
+    sent = Q.train(docs, labels)
+    monkeypatch.setattr(Q, "MOST_SENT", 0)
+    joined = Q.train(docs, labels)
+    assert sent.threshold == joined.threshold and (sent.weights == joined.weights).all()
