@@ -4,8 +4,15 @@ Each language has a multinomial over hashed byte n-grams, counted in Spark from
 For a document, expectation-maximisation estimates the proportions of all languages from the
 n-grams' likelihoods. Then the sets of the first 1, 2, ... languages by proportion are fitted
 alone and the set with the best likelihood, less half of log(n-grams) for each language and
-scaled by ``penalty``, is chosen. The prediction is the largest language of that set and the
-score its proportion.
+scaled by ``penalty``, is chosen. Sets grow until no mixture could make up for one language
+more, or up to ``max_set``. The prediction is the largest language of that set and the score its
+proportion.
+
+``accept`` also rejects on the chosen set's likelihood for each n-gram. The floor of a language
+lies halfway between the mean over its training n-grams, each left out of the counts once, and
+the mean over all buckets, which n-grams that have nothing to do with the language get. Short
+texts get room of two standard errors; fewer than n n-grams, which all overlap, tell nothing.
+``predict`` gives the best language in any case.
 
 The model has ``buckets`` counts for each language, so its size is bounded by the number of
 language tags; more than ``max_languages`` tags are refused with an error.
@@ -70,18 +77,29 @@ def _count(lang_col: str, text_col: str, n: int, buckets: int):
 class Model:
     def __init__(self, languages: list[str], counts: np.ndarray, n: int):
         self.languages, self.n, self.buckets = languages, n, counts.shape[1]
-        smooth = counts + 0.5
-        self.likelihood = (smooth / smooth.sum(axis=1, keepdims=True)).T.astype(np.float32).copy() if len(languages) else None
-
-    def infer(self, g: Group, penalty: float, max_set: int, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        """Best language and its proportion for each document of a group; -1 without n-grams."""
+        self.likelihood = None
+        if not len(languages):
+            return
+        total = counts.sum(axis=1, keepdims=True)
+        own = (counts + 0.5) / (total + 0.5 * self.buckets)
+        self.likelihood = own.T.astype(np.float32).copy()
+        left_out = np.log(np.maximum(counts - 0.5, 0.5) / (total - 1 + 0.5 * self.buckets))
+        often = counts / total
+        usual = (often * left_out).sum(axis=1)
+        #: By language: the likelihood that parts its texts from others, and how much single n-grams differ.
+        self.floor = (usual + np.log(own).mean(axis=1)) / 2
+        self.spread = np.sqrt((often * (left_out - usual[:, None]) ** 2).sum(axis=1))
+
+    def infer(self, g: Group, penalty: float, max_set: int | None, rounds: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Best language and its proportion for each document of a group, -1 without n-grams, and
+        whether the n-grams are as likely under the chosen set as texts of that language are."""
         codes, doc = grams(g, self.n, self.buckets)
         size = len(self.languages)
-        best, share = np.full(g.n, -1), np.zeros(g.n)
+        best, share, known = np.full(g.n, -1), np.zeros(g.n), np.ones(g.n, bool)
         table = np.bincount(doc * self.buckets + codes, minlength=g.n * self.buckets)
         cells = np.flatnonzero(table)
         if not len(cells) or not size:
-            return best, share
+            return best, share, known
         count = table[cells].astype(np.float32)
         row = cells // self.buckets
         docs, first = np.unique(row, return_index=True)
@@ -89,34 +107,48 @@ class Model:
         like = self.likelihood[cells % self.buckets]
         total = np.add.reduceat(count, first)
 
-        def fit(weight: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
+        def fit(weight: np.ndarray, times: int, row: np.ndarray, like: np.ndarray, count: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            n = np.add.reduceat(count, first)
             for _ in range(times):
                 part = weight[row] * like
                 part *= (count / part.sum(axis=1))[:, None]
-                weight = np.add.reduceat(part, first, axis=0) / total[:, None]
+                weight = np.add.reduceat(part, first, axis=0) / n[:, None]
             mixed = (weight[row] * like).sum(axis=1)
-            return weight, np.add.reduceat(count * np.log(mixed), first)
+            return weight, np.add.reduceat(count * np.log(mixed), first), mixed
 
         alone = np.add.reduceat(count[:, None] * np.log(like), first, axis=0)
-        weight, _ = fit(np.full((len(docs), size), 1 / size, np.float32), rounds)
+        weight, logs, mixed = fit(np.full((len(docs), size), 1 / size, np.float32), rounds, row, like, count, first)
+        # the likelihood is concave in the proportions, so no mixture comes over this
+        slope = np.add.reduceat((count / mixed)[:, None] * like, first, axis=0).max(axis=1) / total
+        bound = logs + total * np.log(np.maximum(slope, 1.0)) + 1e-5 * np.abs(logs)
         order = np.argsort(-weight, axis=1, kind="stable")
         chosen = np.argmax(alone, axis=1)
-        value = alone[np.arange(len(docs)), chosen] - penalty * 0.5 * np.log(total)
+        reached = alone[np.arange(len(docs)), chosen].astype(np.float64)
+        cost = penalty * 0.5 * np.log(total)
+        value = reached - cost
         part = np.ones(len(docs))
-        for k in range(2, min(size, max_set) + 1):
-            start = np.zeros_like(weight)
-            np.put_along_axis(start, order[:, :k], 1.0, axis=1)
-            start *= np.maximum(weight, 1e-3)
+        for k in range(2, min(size, max_set or size) + 1):
+            rising = bound - k * cost > value
+            at = np.flatnonzero(rising)
+            if not len(at):
+                break
+            start = np.zeros((len(at), size), weight.dtype)
+            np.put_along_axis(start, order[at, :k], 1.0, axis=1)
+            start *= np.maximum(weight[at], 1e-3)
             start /= start.sum(axis=1, keepdims=True)
-            fitted, logs = fit(start, rounds // 2)
-            own = logs - penalty * 0.5 * k * np.log(total)
-            better = own > value
-            value = np.where(better, own, value)
+            some = rising[row]
+            own_row = np.searchsorted(at, row[some])
+            fitted, logs, _ = fit(start, rounds // 2, own_row, like[some], count[some], np.searchsorted(own_row, np.arange(len(at))))
+            better = logs - k * cost[at] > value[at]
             top = np.argmax(fitted, axis=1)
-            chosen = np.where(better, top, chosen)
-            part = np.where(better, fitted[np.arange(len(docs)), top], part)
+            won = at[better]
+            value[won], reached[won] = logs[better] - k * cost[won], logs[better]
+            chosen[won], part[won] = top[better], fitted[better, top[better]]
         best[docs], share[docs] = chosen, part
-        return best, share
+        # n-grams that overlap aren't independent: n of them count as one
+        room = 2 * self.spread[chosen] * np.sqrt(self.n / total)
+        known[docs] = (total < self.n) | (reached / total >= self.floor[chosen] - room)
+        return best, share, known
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: int = 4, buckets: int = 1 << 13, max_languages: int = 1024) -> Model:
@@ -133,15 +165,16 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: in
     return Model(names, np.array([table[x] for x in names]).reshape(len(names), buckets), n)
 
 
-def _predict(model, text_col: str, fields: list[str], penalty: float, max_set: int):
+def _predict(model, text_col: str, fields: list[str], penalty: float, max_set: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = model.value
         limit = max(1 << 16, (1 << 20) // max(1, len(own.languages) // 4))
         for batch in batches:
             text = batch.column(batch.schema.names.index(text_col))
-            langs, scores = [UNKNOWN] * len(text), np.zeros(len(text))
+            langs, scores, clear = [UNKNOWN] * len(text), np.zeros(len(text)), np.ones(len(text), bool)
             for g in groups(text, lower=True, limit=limit):
-                best, share = own.infer(g, penalty, max_set)
+                best, share, known = own.infer(g, penalty, max_set)
+                clear[g.first : g.first + g.n] = known
                 ascii_first = np.concatenate(([0], np.cumsum(_ASCII_LETTER[g.data])))
                 letters = ascii_first[g.bounds[1:]] > ascii_first[g.bounds[:-1]]
                 for i in range(g.n):
@@ -152,27 +185,28 @@ def _predict(model, text_col: str, fields: list[str], penalty: float, max_set: i
                     elif own.languages:
                         langs[g.first + i], scores[g.first + i] = own.languages[0], 1 / len(own.languages)
             passed = [batch.column(batch.schema.names.index(f)) for f in fields]
-            yield pa.RecordBatch.from_arrays([*passed, pa.array(langs, pa.string()), pa.array(scores)], names=[*fields, "__lang", "__score"])
+            yield pa.RecordBatch.from_arrays([*passed, pa.array(langs, pa.string()), pa.array(scores), pa.array(clear)], names=[*fields, "__lang", "__score", "__known"])
 
     return run
 
 
-def _with_prediction(docs: DataFrame, model: Model, text_col: str, keep_text: bool, penalty: float, max_set: int) -> DataFrame:
+def _with_prediction(docs: DataFrame, model: Model, text_col: str, keep_text: bool, penalty: float, max_set: int | None) -> DataFrame:
     fields = [f for f in docs.schema if keep_text or f.name != text_col]
-    schema = T.StructType([*fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType())])
+    schema = T.StructType([*fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__known", T.BooleanType())])
     own = docs.sparkSession.sparkContext.broadcast(model)
     return small_batches(docs).mapInArrow(_predict(own, text_col, [f.name for f in fields], penalty, max_set), schema)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 4.0, max_set: int = 3) -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 4.0, max_set: int | None = None) -> DataFrame:
     """id, lang_pred and score of every document."""
     return _with_prediction(docs.select(id_col, text_col), model, text_col, False, penalty, max_set).select(id_col, F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def accept(docs: DataFrame, model: Model, text_col: str = "text", languages: list[str] | None = None, penalty: float = 4.0, max_set: int = 3) -> DataFrame:
-    """``docs`` without those whose language is unknown or not one of ``languages``."""
+def accept(docs: DataFrame, model: Model, text_col: str = "text", languages: list[str] | None = None, penalty: float = 4.0, max_set: int | None = None) -> DataFrame:
+    """``docs`` without those whose language is unknown, whose n-grams are too unlikely in it, or
+    whose language is not one of ``languages``."""
     out = _with_prediction(docs, model, text_col, True, penalty, max_set)
-    wanted: Column = F.col("__lang") != UNKNOWN
+    wanted: Column = (F.col("__lang") != UNKNOWN) & F.col("__known")
     if languages is not None:
         wanted = wanted & F.col("__lang").isin(languages)
     return out.filter(wanted).select(*docs.columns)

@@ -1,8 +1,11 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from credograph.llm import language as L
+from credograph.llm.spans import groups
 
 WORDS = {"x": "alpha gamma delta omega kappa sigma theta".split(), "y": "zwölf über straße brücke größe möwe fünf".split(), "z": "écrire être garçon façade hôtel noël forêt".split()}
 
@@ -39,3 +42,28 @@ def test_edges(spark):
     assert {r.lang_pred for r in L.predict(docs, nothing).collect()} == {"und"}
     assert L.predict(docs.limit(0), model).count() == 0
     assert L.accept(docs, model, languages=["y"]).filter(F.col("text").startswith("alpha")).count() == 0
+
+
+def test_accept_rejects_unlearned_languages(spark):
+    rows, text = corpus()
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rnd = random.Random(4)
+    junk = " ".join("".join(rnd.choice("bcdfghjkmnpqrvwxz") for _ in range(7)) for _ in range(30))
+    strange = ["日本語の文章はとても長いです。" * 5, "это документ на другом языке " * 5, junk]
+    clean = [t for _, t, _ in rows] + [text("x", 60) + " " + text("y", 60), "alpha"]
+    docs = spark.createDataFrame(list(enumerate(strange + clean)), "doc_id long, text string")
+    assert {r.doc_id for r in L.accept(docs, model).collect()} == set(range(len(strange), len(strange + clean)))
+
+
+def test_sets_of_all_languages():
+    rnd = random.Random(6)
+    names = [f"l{i}" for i in range(6)]
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(60)]
+    make = lambda i, n: " ".join(rnd.choice(words[10 * i : 10 * i + 10]) for _ in range(n))
+    group = lambda t: next(groups(pa.array([t]), lower=True))
+    counts = np.array([np.bincount(L.grams(group(make(i, 500)), 4, 1 << 13)[0], minlength=1 << 13) for i in range(6)])
+    model = L.Model(names, counts, 4)
+    even = group(" ".join(make(i, 60 if i else 80) for i in range(6)))
+    best, share, known = model.infer(even, 4.0, None)
+    assert names[best[0]] == "l0" and share[0] < 0.3 and known[0]
+    assert model.infer(even, 4.0, 3)[1][0] > 0.3
