@@ -22,8 +22,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that repeat too much of the benchmark."""
-    return decontamination.clean(docs, q.table(spark, sf_dir, "benchmark"))
+    """Without documents that repeat too much of the benchmark, and without the 13 words and more
+    that others share with it; ``n_chars`` of the new text."""
+    return decontamination.clean(docs, q.table(spark, sf_dir, "benchmark"), max_span=12, length_col="n_chars")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

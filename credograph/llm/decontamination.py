@@ -250,9 +250,10 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", limit: int = 20, max_span: int | None = None, **how) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", limit: int = 20, max_span: int | None = None, length_col: str | None = None, **how) -> DataFrame:
     """``docs`` without documents over the coverage limit. With ``max_span``, the words of
-    longer hit spans are also cut out of the documents that stay."""
+    longer hit spans are also cut out of the documents that stay; ``length_col``, if there, is
+    set anew for these."""
     names = docs.columns
     marked = mark(docs, items, text_col, **how)
     _, contaminated = _flag(limit)
@@ -263,7 +264,9 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", limit: int
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text_col)).to_pylist()
+            column = lambda name: batch.column(batch.schema.names.index(name)).to_pylist()
+            texts, lengths = column(text_col), column(length_col) if length_col else []
+            changed = {text_col: texts} | ({length_col: lengths} if length_col else {})
             for i, s in enumerate(batch.column(SPANS).to_pylist()):
                 long = [(a, b) for a, b in zip(s[::2], s[1::2]) if b - a > max_span]
                 if long:
@@ -274,7 +277,10 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", limit: int
                         out.append(raw[at : starts[a]])
                         at = ends[b - 1]
                     texts[i] = b"".join([*out, raw[at:]]).decode()
-            arrays = [pa.array(texts, pa.string()) if n == text_col else batch.column(batch.schema.names.index(n)) for n in names]
+                    if length_col:
+                        lengths[i] = len(texts[i])
+            own = [batch.column(batch.schema.names.index(n)) for n in names]
+            arrays = [pa.array(changed[n], c.type) if n in changed else c for n, c in zip(names, own)]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return kept.mapInArrow(cut, schema)

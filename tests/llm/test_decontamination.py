@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 import pytest
 from credograph.llm import decontamination as D
 from pyspark.sql import functions as F
@@ -56,3 +57,30 @@ def test_clean_and_edges(spark):
     assert none.count() == 4 and none.filter("n_hit > 0").count() == 0
     assert D.report(docs.limit(0), items).count() == 0
     assert none.filter("doc_id=3").select(F.col("items_sha256")).first()[0].startswith("e3b0c442")
+
+
+def test_stage_cuts_long_spans_of_documents_that_stay(spark, tmp_path):
+    rnd = random.Random(8)
+    text = lambda n: " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") + rnd.choice(["é", "ß", "q", "Z"]) * 2 for _ in range(n))
+    items = [(i, text(rnd.randint(5, 40))) for i in range(8)] + [(20, text(400))]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(i, f"{text(rnd.randint(0, 900))}, {items[i % 8][1].upper()}! {text(rnd.randint(0, 900))}") for i in range(30)]
+    docs += [(90, f"{text(9000)} ({items[8][1]}) {text(9000)}\n{items[7][1]}"), (91, ""), (92, None), (93, items[8][1])]
+    frame = spark.createDataFrame([(*d, None if d[1] is None else -1) for d in docs], "doc_id long, text string, n_chars int")
+    shared = brute(docs, items)
+    want = {}
+    own = {tuple(words(t)[k : k + 13]) for _, t in items for k in range(len(words(t)) - 12)}
+    for d, t in docs:
+        if shared[d][3]:
+            continue
+        places, low = [m.span() for m in WORD.finditer(t or "")], words(t)
+        hit = {k + j for k in range(len(low) - 12) if tuple(low[k : k + 13]) in own for j in range(13)}
+        out, at = "", 0
+        for k in sorted(hit):
+            if k - 1 not in hit:
+                out += t[at : places[k][0]]
+            at = places[k][1]
+        want[d] = (None if t is None else out + t[at:], None if t is None else len(out + t[at:]) if hit else -1)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.decontamination_stage(spark, frame, str(tmp_path)).collect()}
+    assert got == want
+    assert 90 in want and items[8][1] not in got[90][0] and 3 < len(want) < len(docs)
