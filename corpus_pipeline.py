@@ -29,7 +29,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """With secrets masked in the texts, and ``n_chars`` of the new text."""
-    return secret_scan.redact(docs, length_col="n_chars")
+    return secret_scan.redact(docs, length_col="n_chars", parts=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

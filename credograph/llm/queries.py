@@ -104,7 +104,7 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.report(table(spark, sf_dir, "documents"))
+    return secret_scan.report(table(spark, sf_dir, "documents"), parts=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

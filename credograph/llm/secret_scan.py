@@ -3,7 +3,8 @@
 Only DataFrame functions are used. The fixed kinds are found by regular expressions. Besides,
 every run of at least ``SHORTEST`` characters that encoders write is a candidate if its
 characters suggest an encoding (hexadecimal, base 32, 36, 62 or 64; a word or a number suggests
-none). For its encoding three things are tested: that all characters of the alphabet are as
+none). With ``parts``, so are the parts of a run between its signs, as in a path; a part inside a
+longer one that is reported isn't reported again. For its encoding three things are tested: that all characters of the alphabet are as
 frequent (chi-squared), that runs above and below the middle of the alphabet are as long as
 chance makes them, and that neighbours don't correlate. The three statistics are near normal if
 the candidate is random; the sum of their squares gives one p-value.
@@ -29,8 +30,10 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
-SHORTEST = 20
+SHORTEST = 16
 CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST
+#: Besides whole runs, their parts between the signs of one or the other base 64, or of both.
+PARTS = tuple(r"[A-Za-z0-9%s]{%d,}={0,2}" % (signs, SHORTEST) for signs in ("+/", "_-", ""))
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Name, pattern of its texts, alphabet; the first that fits is taken.
 ENCODINGS = (
@@ -124,9 +127,13 @@ def _tested(spans: Column) -> Column:
     return _each(out, lambda x: kept(x, "s", "e") | {"stratum": x["encoding"] * 64 + F.floor(F.log2(x["n"])).cast("int"), "cell": cell(x)})
 
 
-def thresholds(docs: DataFrame, text_col: str, rate: float) -> dict[int, int]:
+def _candidates(text: Column, parts: bool) -> Column:
+    return F.array_distinct(F.concat(*[located(text, x) for x in (CANDIDATE, *PARTS)])) if parts else located(text, CANDIDATE)
+
+
+def thresholds(docs: DataFrame, text_col: str, rate: float, parts: bool = False) -> dict[int, int]:
     """By stratum, the first cell whose candidates are too regular."""
-    candidates = docs.select(F.explode(_tested(located(F.col(text_col), CANDIDATE))).alias("x"))
+    candidates = docs.select(F.explode(_tested(_candidates(F.col(text_col), parts))).alias("x"))
     table: dict[int, dict[int, int]] = {}
     for stratum, cell, n in candidates.groupBy("x.stratum", "x.cell").agg(F.count("*").alias("n")).collect():
         table.setdefault(stratum, {})[cell] = n
@@ -143,12 +150,12 @@ def _first_rejected(cells: dict[int, int], rate: float) -> int:
     return first
 
 
-def spans(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> DataFrame:
+def spans(docs: DataFrame, text_col: str = "text", rate: float = 0.05, parts: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``__base`` and ``__spans``: arrays of (s, kind number, e)
     in order, of the fixed kinds and of all kinds."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     known = docs.select(text.alias("t"))
-    first = thresholds(known, "t", rate)
+    first = thresholds(known, "t", rate, parts)
     limits = F.create_map(*[F.lit(int(x)) for pair in first.items() for x in pair]) if first else None
     with_kind = lambda found, kind: F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e")))
     assign = F.filter(located(text, ASSIGN, 1), lambda x: F.length(x["v"]) >= 6)
@@ -156,10 +163,14 @@ def spans(docs: DataFrame, text_col: str = "text", rate: float = 0.05) -> DataFr
     out = docs.withColumn("__base", base)
     added = F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")
     if limits is not None:
-        tested = F.filter(_tested(located(text, CANDIDATE)), lambda x: x["cell"] < F.element_at(limits, x["stratum"]))
+        tested = F.filter(_tested(_candidates(text, parts)), lambda x: x["cell"] < F.element_at(limits, x["stratum"]))
+        if parts:
+            out = out.withColumn("__tested", tested)
+            longer = lambda x, y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])
+            tested = F.filter("__tested", lambda x: ~F.exists("__tested", lambda y: longer(x, y)))
         outside = F.filter(tested, lambda x: ~F.exists("__base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
         added = with_kind(outside, 3)
-    return out.withColumn("__spans", F.array_sort(F.concat(F.col("__base"), added)))
+    return out.withColumn("__spans", F.array_sort(F.concat(F.col("__base"), added))).drop("__tested")
 
 
 def _joined(found: str) -> Column:
@@ -167,17 +178,17 @@ def _joined(found: str) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", F.get(names, x["k"]), x["s"], x["e"])), ",")
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05, parts: bool = False) -> DataFrame:
     """One row for each document: counts of the fixed kinds, a digest of their spans, all spans."""
-    found = spans(docs.select(F.col(id_col), F.col(text_col)), text_col, rate)
+    found = spans(docs.select(F.col(id_col), F.col(text_col)), text_col, rate, parts)
     count = lambda kind: F.size(F.filter("__base", lambda x: x["k"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
     return found.select(id_col, count(0), count(1), count(2), F.sha2(_joined("__base"), 256).alias("base_sha256"), _joined("__spans").alias("spans"))
 
 
-def redact(docs: DataFrame, text_col: str = "text", rate: float = 0.05, mask: str = "[SECRET]", length_col: str | None = None) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", rate: float = 0.05, mask: str = "[SECRET]", length_col: str | None = None, parts: bool = False) -> DataFrame:
     """``docs`` with every secret replaced by ``mask``; ``length_col``, if there, is set anew."""
     names = docs.columns
-    found = spans(docs, text_col, rate)
+    found = spans(docs, text_col, rate, parts)
     text = F.col(text_col)
     zero = F.struct(F.lit(0).cast("bigint").alias("p"), F.lit("").alias("o"))
 
