@@ -7,6 +7,7 @@ task that is run twice or killed leaves either the same file or none.
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import os
 import tempfile
 import uuid
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyarrow import fs
 
-_LOCAL: dict[str, str] = {}
+_OPEN: dict[tuple, np.ndarray] = {}
 
 
 def at(uri: str) -> tuple[fs.FileSystem, str]:
@@ -54,16 +55,18 @@ def delete_file(uri: str) -> None:
 
 
 def local(uri: str) -> str:
-    """A path of the file on this machine: itself if the folder is mounted here, else a copy
-    that this worker keeps."""
+    """A path of the file on this machine: itself if the folder is mounted here, else a copy of
+    it, one for all workers of the machine, which they take from the shared folder as they need it."""
     store, path = at(uri)
     if isinstance(store, fs.LocalFileSystem):
         return path
-    if uri not in _LOCAL:
-        own = os.path.join(tempfile.mkdtemp(prefix="credograph-"), os.path.basename(path))
-        fs.copy_files(path, own, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
-        _LOCAL[uri] = own
-    return _LOCAL[uri]
+    own = os.path.join(tempfile.gettempdir(), "credograph-copies", hashlib.sha256(uri.encode()).hexdigest())
+    if not os.path.exists(own):
+        os.makedirs(os.path.dirname(own), exist_ok=True)
+        part = f"{own}.{uuid.uuid4().hex}.part"
+        fs.copy_files(path, part, source_filesystem=store, destination_filesystem=fs.LocalFileSystem())
+        os.replace(part, own)
+    return own
 
 
 def write_array(uri: str, values: np.ndarray) -> None:
@@ -72,6 +75,11 @@ def write_array(uri: str, values: np.ndarray) -> None:
 
 
 def mapped(uri: str, kind) -> np.ndarray:
-    """The file's values, memory-mapped."""
-    path = local(uri)
-    return np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+    """The file's values, memory-mapped; a worker keeps its last maps open."""
+    key = (uri, np.dtype(kind).str)
+    if key not in _OPEN:
+        if len(_OPEN) > 4096:
+            _OPEN.clear()
+        path = local(uri)
+        _OPEN[key] = np.memmap(path, kind, "r") if os.path.getsize(path) else np.zeros(0, kind)
+    return _OPEN[key]

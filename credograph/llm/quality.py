@@ -6,13 +6,14 @@ its n-grams of log(trusted / raw). The threshold is where scores of trusted and
 labelled documents that pass the fixed rules part best, found on a fixed grid of scores; it is
 one number for all documents, so a verdict depends on the text and the model alone.
 
-What is gathered is bounded by the number of buckets and of grid cells. Up to ``MOST_SENT``
-labels are sent to the texts; more of them are joined by a shuffle, with the same result.
+What is gathered is bounded by the number of buckets and of grid cells. Texts find their labels in
+sorted arrays of the shared folder (``lookup``), so neither texts are shuffled nor labels sent out,
+however many there are.
 
 Defined cases: null texts have no words and no lines; a text without n-grams scores 0; without
 trusted documents every score is 0 and without labels of both kinds the threshold is minus
-infinity; repeated rows count each; a document with labels of both kinds is not trusted; other
-columns are ignored, and kept by ``keep``.
+infinity; repeated rows count each; a document with labels of both kinds is not trusted; labels
+without id or verdict tell nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from credograph.llm.shared import small_batches
+from credograph.llm import lookup
+from credograph.llm.shared import delete, id_key, new_path, small_batches
 from credograph.llm.spans import BLANKS, NEWLINE, Group, groups, hash_spans, mix, windows
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
-#: Labels that are sent to all executors at most, an id and a bit each.
-MOST_SENT = 4_000_000
 _LOW, _HIGH, _CELLS = -4.0, 4.0, 8000
 
 
@@ -110,52 +110,63 @@ def _texts(batch: pa.RecordBatch, limit: int = 1 << 21) -> Iterator[Group]:
     return groups(batch.column(batch.schema.names.index("t")), limit=limit)
 
 
-def _counts(docs: DataFrame, n: int, buckets: int) -> np.ndarray:
+def _sums(docs: DataFrame, work, cells: int) -> np.ndarray:
+    """Adds up in each task what ``work`` counts in (group of texts, their labels: -1 none, 0, 1)
+    as an array of ``cells`` counts, and then over all tasks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+        total = np.zeros(cells, np.int64)
         for batch in batches:
-            for g in _texts(batch):
-                total += np.bincount(grams(g, n, buckets)[0], minlength=buckets)
+            work(batch, total)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    out = np.zeros(buckets, np.int64)
-    for bucket, k in docs.mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[bucket] = k
+    out = np.zeros(cells, np.int64)
+    for cell, k in docs.mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[cell] = k
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, buckets: int = 1 << 15) -> Ratio:
-    """Learn from all ``docs`` as raw corpus and from ``labels`` (id, good as 0 or 1)."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, buckets: int = 1 << 15, shard: int = 1 << 20) -> Ratio:
+    """Learn from all ``docs`` as raw corpus and from all ``labels`` (id, good as 0 or 1), which
+    are kept in files of about ``shard`` of them."""
     spark = docs.sparkSession
-    docs = small_batches(docs).select(F.col(id_col).alias("d"), F.col(text_col).cast("string").alias("t"))
-    told = labels.filter("good is not null").groupBy(F.col("id").alias("d")).agg(F.min("good").alias("good"))
-    raw = _counts(docs.filter("t is not null").select("t"), n, buckets)
-    if told.count() <= MOST_SENT:  # else an ordinary join, which shuffles the texts
-        told = F.broadcast(told)
-    labelled = docs.filter("t is not null").join(told, "d")
-    trusted = _counts(labelled.filter("good = 1").select("t"), n, buckets)
+    told = labels.select(F.col("id").cast(docs.schema[id_col].dataType).alias("id"), "good").filter("id is not null and good is not null")
+    told = told.groupBy(id_key(told, "id").alias("key")).agg(F.min(F.col("good") == 1).cast("long").alias("value"))
+    folder = new_path(spark, "labels")
+    table = lookup.write(told, folder, shard)
+    docs = small_batches(docs).select(id_key(docs, id_col).alias("k"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
+
+    def labelled(batch: pa.RecordBatch) -> np.ndarray:
+        found, good = table.find(batch.column(batch.schema.names.index("k")))
+        return np.where(found, good, -1)
+
+    def count(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        good = labelled(batch)
+        for g in _texts(batch):
+            codes, doc = grams(g, n, buckets)
+            total[:buckets] += np.bincount(codes, minlength=buckets)
+            total[buckets:] += np.bincount(codes[good[g.first : g.first + g.n][doc] == 1], minlength=buckets)
+
+    raw, trusted = _sums(docs, count, 2 * buckets).reshape(2, buckets)
     if not trusted.sum():
+        delete(spark, folder)
         return Ratio(n, np.zeros(buckets))
     share = lambda c: (c + 1.0) / (c.sum() + buckets)
     model = Ratio(n, np.log(share(trusted)) - np.log(share(raw)))
     sent = spark.sparkContext.broadcast(model)
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * (_CELLS + 1), np.int64)
-        for batch in batches:
-            good = batch.column(batch.schema.names.index("good")).to_numpy(zero_copy_only=False)
-            for g in _texts(batch):
-                passed = ~failed(rules(g))
-                cell = np.clip((sent.value.scores(g) - _LOW) / (_HIGH - _LOW) * _CELLS, 0, _CELLS).astype(np.int64)
-                np.add.at(total, (cell * 2 + (good[g.first : g.first + g.n] == 1))[passed], 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
-
-    table = np.zeros((_CELLS + 1, 2), np.int64)
-    for cell, k in labelled.select("t", "good").mapInArrow(cells, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toLocalIterator():
-        table[cell // 2, cell % 2] = k
-    return Ratio(n, model.weights, best_cut(table))
+    def place(batch: pa.RecordBatch, total: np.ndarray) -> None:
+        good = labelled(batch)
+        some = np.flatnonzero(good >= 0)
+        good = good[some]
+        for g in groups(batch.column(batch.schema.names.index("t")).take(pa.array(some)), limit=1 << 21):
+            cell = np.clip((sent.value.scores(g) - _LOW) / (_HIGH - _LOW) * _CELLS, 0, _CELLS).astype(np.int64)
+            np.add.at(total, (cell * 2 + good[g.first : g.first + g.n])[~failed(rules(g))], 1)
+
+    cells = _sums(docs, place, 2 * (_CELLS + 1)).reshape(-1, 2)
+    delete(spark, folder)
+    return Ratio(n, model.weights, best_cut(cells))
 
 
 def best_cut(table: np.ndarray) -> float:

@@ -5,12 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 
 #: Rows of an Arrow batch at most. Spark's own default, 10,000, makes batches of long texts large.
 BATCH_ROWS = 1000
 
+_OWN: dict[str, str] = {}
+
 
 def small_batches(df: DataFrame) -> DataFrame:
     """``df`` itself; from now on its session sends at most ``BATCH_ROWS`` rows at once to Python,
@@ -22,13 +24,22 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
+    """The folder that the cluster names in ``spark.checkpoint.dir``, or the one that the session
+    was given by ``setCheckpointDir``.
 
-    Only where that setting is absent (tests, a laptop) is a temporary folder made and set."""
+    A local session without either (tests, a laptop) gets a temporary folder, which it keeps; on
+    a cluster this is an error, as executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="credograph-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = given.get() if given.isDefined() else None
+    if not found:
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="credograph-")
+        found = _OWN[app]
     return found.rstrip("/")
 
 
@@ -39,10 +50,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: lineage ends here and a lost
     executor costs only the tasks that it was running."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
+    return stored(df, new_path(df.sparkSession, name))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -50,3 +63,36 @@ def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Intermediate tables of one job, in a folder that ``close`` removes when all who read them
+    are done."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.made = spark, new_path(spark, name), 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.made += 1
+        return stored(df, f"{self.path}/{self.made}-{name}")
+
+    def close(self) -> None:
+        delete(self.spark, self.path)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, each made longer until it is none of ``columns``, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def id_key(df: DataFrame, id_col: str) -> Column:
+    """A 64-bit key of an id: whole numbers themselves, others by hash; null stays null."""
+    own = F.col(id_col)
+    whole = isinstance(df.schema[id_col].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    return own.cast("long") if whole else F.when(own.isNotNull(), F.xxhash64(own))

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from credograph.llm import quality as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,10 +59,49 @@ def test_cut():
     assert 10 < round(cut) <= 20
 
 
-def test_sent_and_shuffled_labels_teach_the_same(spark, monkeypatch):
-    docs = spark.createDataFrame([(i, ("good words here " if i % 2 else "spam %% junk ") * (i + 20)) for i in range(40)], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "id long, good int")
-    sent = Q.train(docs, labels)
-    monkeypatch.setattr(Q, "MOST_SENT", 0)
-    joined = Q.train(docs, labels)
-    assert sent.threshold == joined.threshold and (sent.weights == joined.weights).all()
+def verdicts(docs, labels, n=3, buckets=1 << 15):
+    """The method written out: scores, threshold and verdict of each document."""
+    grams = lambda t: Counter(bytes(32 if c in b" \t\n\v\f\r" else 48 if 48 <= c < 58 else c for c in x) for x in (t.encode()[i : i + n] for i in range(len(t.encode()) - n + 1)))
+    bucket = lambda x: int(Q.mix(np.array([int.from_bytes(x, "big")], np.uint64))[0]) % buckets
+    good = {}
+    for i, q in labels:
+        if i is not None and q is not None:
+            good[i] = min(good.get(i, 1), q)
+    raw, trusted = Counter(), Counter()
+    for i, t in docs:
+        for x, k in grams(t or "").items():
+            raw[bucket(x)] += k
+            trusted[bucket(x)] += k * (good.get(i) == 1)
+    share = lambda c, b: (c[b] + 1) / (sum(c.values()) + buckets)
+    weight = {b: np.log(share(trusted, b)) - np.log(share(raw, b)) for b in raw}
+    score = {}
+    for i, t in docs:
+        own = grams(t or "")
+        score[i] = sum(k * weight[bucket(x)] for x, k in own.items()) / max(sum(own.values()), 1)
+    table = np.zeros((Q._CELLS + 1, 2), int)
+    for i, t in docs:
+        if i in good and t is not None and not brute(t)[5]:
+            table[int(min(max((score[i] + 4) * 1000, 0), 8000)), good[i]] += 1
+    shares = [(table[:c, 0].sum() / table[:, 0].sum() - table[:c, 1].sum() / table[:, 1].sum(), c) for c in range(Q._CELLS + 2)]
+    best = [c for v, c in shares if v >= max(shares)[0] - 1e-12]
+    cut = -4 + best[len(best) // 2] / 1000
+    return score, {i: not brute(t)[5] and score[i] >= cut for i, t in docs}, cut
+
+
+@pytest.mark.parametrize("shard", [7, 1 << 20])
+def test_verdicts_match_brute_force(spark, shard):
+    rnd = random.Random(6)
+    clean, junk = "alpha beta gamma delta epsilon zeta eta theta 12 34".split(), "xx% yy# zz 77 qq|q alpha beta".split()
+    docs = []
+    for i in range(150):
+        mixed = rnd.random()
+        docs.append((i, " ".join(rnd.choice(clean if rnd.random() < mixed else junk) + rnd.choice("abcdef") for _ in range(rnd.randint(40, 90)))))
+    docs += [(900, None), (901, "")]
+    labels = [(i, int(len([w for w in docs[i][1].split() if "%" not in w and "#" not in w]) > 40)) for i in range(0, 150, 2)] + [(0, 0), (3, None), (None, 1), (901, 1), (5000, 1)]
+    frame = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, good string").repartition(3)
+    model = Q.train(frame, spark.createDataFrame(labels, "id int, good int"), shard=shard)
+    score, kept, cut = verdicts(docs, labels)
+    got = Q.judge(frame, model).collect()
+    assert abs(model.threshold - cut) < 1e-9
+    assert all(abs(r.score - score[r.doc_id]) < 1e-9 and r.kept == kept[r.doc_id] for r in got)
+    assert 10 < sum(kept.values()) < 140
