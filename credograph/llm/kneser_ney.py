@@ -1,10 +1,11 @@
 """An interpolated modified Kneser-Ney bigram model, counted in Spark.
 
 Counts are made in two passes. The first counts words; their sorted 64-bit hashes are the
-vocabulary, and a word's place there is its number. The second counts pairs of numbers. Both are
-added up within each task first, then dealt out to shards by hash, and each shard is written as
-sorted arrays to the shared folder. Scoring tasks memory-map these arrays and search them for all
-words of a group of documents at once.
+vocabulary, and a word's place there is its number. The second counts pairs of numbers, which are
+told apart by a 64-bit hash of both. Both are added up within each task first, then dealt out to
+shards, one to a partition, and each shard is written as sorted hash arrays to the shared folder.
+Scoring tasks memory-map these arrays and search them for all words of a group of documents at
+once.
 
 A pair's shard follows from its first word, so what a context needs (its total and how many
 pairs occur once, twice or more often) is added up there; pairs of words with more than a
@@ -32,17 +33,6 @@ from credograph.llm.spans import BLANKS, Group, groups, hash_words, mix
 
 END = hash_words([b"\n"])[0]
 _HELD = 3_000_000
-_OPEN: dict[str, np.ndarray] = {}
-
-
-def _mapped(uri: str, kind) -> np.ndarray:
-    if uri not in _OPEN:
-        if len(_OPEN) > 4096:
-            _OPEN.clear()
-        _OPEN[uri] = files.mapped(uri, kind)
-    return _OPEN[uri]
-
-
 def with_ends(g: Group) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of a group, each document's followed by an end, and first tokens' places."""
     h, first = g.words(BLANKS)
@@ -50,74 +40,74 @@ def with_ends(g: Group) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Sum:
-    """Counts by key, added up whenever many have been put in."""
+    """Counts by key, added up whenever many have been put in. Each key may bring columns, which
+    are the same wherever it occurs."""
 
     def __init__(self, most: int) -> None:
-        self.most = most
-        self.keys: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.held, self.clean = 0, True
-
-    def put(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
-        else:
-            self.clean = False
-        self.keys.append(keys)
-        self.counts.append(counts)
+        self.most, self.held = most, 0
+        self.parts: list[tuple[np.ndarray, ...]] = []
+
+    def put(self, keys: np.ndarray, counts: np.ndarray, *columns: np.ndarray) -> None:
+        self.parts.append((keys, counts, *columns))
         self.held += len(keys)
         if self.held > self.most:
             self.take()
 
-    def take(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted keys and their counts so far; both stay."""
-        if len(self.keys) != 1 or not self.clean:
-            keys = np.concatenate(self.keys) if self.keys else np.zeros(0, np.uint64)
-            counts = np.concatenate(self.counts) if self.counts else np.zeros(0, np.int64)
-            order = np.argsort(keys)
-            keys, counts = keys[order], counts[order]
-            at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-            self.keys, self.counts = [keys[at]], [np.add.reduceat(counts, at) if len(at) else counts]
-            self.held, self.clean = len(at), True
-        return self.keys[0], self.counts[0]
-
-
-def _rows(shard: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(keys), 200_000):
+    def take(self) -> tuple[np.ndarray, ...]:
+        """Sorted keys, their counts so far, and their columns; all stay."""
+        if not self.parts:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, counts, *columns = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(keys)
+        keys = keys[order]
+        at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(counts[order], at) if len(at) else counts
+        self.parts = [(keys[at], sums, *(x[order[at]] for x in columns))]
+        self.held = len(at)
+        return self.parts[0]
+
+
+def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The hash that tells a pair of word numbers."""
+    return mix(mix(first.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64))
+
+
+def _rows(shard: np.ndarray, columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(shard), 200_000):
         s = slice(i, i + 200_000)
-        yield pa.RecordBatch.from_arrays([pa.array(shard[s].astype(np.int32)), pa.array(keys[s].view(np.int64)), pa.array(counts[s].astype(np.int64))], names=["shard", "key", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(shard[s].astype(np.int32)), *(pa.array(x[s].view(np.int64)) for x in columns)], names=["shard", *names])
 
 
 _COUNTS = "shard int, key bigint, c bigint"
+_PAIRS = "shard int, first bigint, second bigint, c bigint"
 
 
 def _text(batch: pa.RecordBatch) -> pa.Array:
     return batch.column(batch.schema.names.index("t"))
 
 
-def _added_up(batches: Iterator[pa.RecordBatch], keys_of, shard_of, most: int) -> Iterator[pa.RecordBatch]:
+def _added_up(batches: Iterator[pa.RecordBatch], put, rows, most: int) -> Iterator[pa.RecordBatch]:
     """Counts of a task's keys; what it holds is sent on whenever it stays too much."""
     total = _Sum(most)
     for batch in batches:
         for g in groups(_text(batch), limit=1 << 22, lower=True):
-            total.put(keys_of(g))
-            if total.held > 2 * most // 3 and len(total.keys) == 1:
-                yield from _rows(shard_of(total.keys[0]), *total.take())
+            put(total, g)
+            if total.held > 2 * most // 3 and len(total.parts) == 1:
+                yield from rows(total.take())
                 total = _Sum(most)
-    keys, counts = total.take()
-    yield from _rows(shard_of(keys), keys, counts)
+    yield from rows(total.take())
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> dict[int, _Sum]:
+def _by_shard(batches: Iterator[pa.RecordBatch], put) -> dict[int, _Sum]:
     """The counts of the shards in a partition."""
     out: dict[int, _Sum] = {}
     for batch in batches:
-        shard, key, c = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        shard, *columns = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
         order = np.argsort(shard, kind="stable")
-        shard, key, c = shard[order], key[order].view(np.uint64), c[order]
+        shard, columns = shard[order], [x[order] for x in columns]
         cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(shard) else []
         for i, j in zip(cuts[:-1], cuts[1:]):
-            out.setdefault(int(shard[i]), _Sum(_HELD)).put(key[i:j], c[i:j])
+            put(out.setdefault(int(shard[i]), _Sum(_HELD)), *(x[i:j] for x in columns))
     return out
 
 
@@ -140,14 +130,14 @@ class Words:
         cuts = np.searchsorted(shard, np.arange(len(self.first)))
         for s in np.unique(shard).tolist():
             own = distinct[cuts[s] : cuts[s + 1]]
-            keys = _mapped(f"{self.folder}/words-{s}", np.uint64)
+            keys = files.mapped(f"{self.folder}/words-{s}", np.uint64)
             if not len(keys):
                 continue
             at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
             hit = keys[at] == own
             part = np.arange(cuts[s], cuts[s + 1])[hit]
             number[part] = at[hit] + self.first[s]
-            count[part] = _mapped(f"{self.folder}/counts-{s}", np.int64)[at[hit]]
+            count[part] = files.mapped(f"{self.folder}/counts-{s}", np.int64)[at[hit]]
         return number[inverse], count[inverse]
 
 
@@ -157,17 +147,18 @@ def count_words(docs: DataFrame, folder: str, tokens_guess: int, part: int, most
     shape = Words(folder, bits, [0] * (1 << bits), 0, part)
 
     def count(batches):
-        return _added_up(batches, lambda g: with_ends(g)[0], shape.shard, most)
+        put = lambda total, g: total.put(*np.unique(with_ends(g)[0], return_counts=True))
+        return _added_up(batches, put, lambda found: _rows(shape.shard(found[0]), [*found[:2]], ["key", "c"]), most)
 
     def write(batches):
-        own = _by_shard(batches)
+        own = _by_shard(batches, lambda total, key, c: total.put(key.view(np.uint64), c))
         for s, total in own.items():
-            keys, counts = total.take()
+            keys, counts = total.take()[:2]
             files.write_array(f"{folder}/words-{s}", keys)
-            files.write_array(f"{folder}/counts-{s}", counts.astype(np.int64))
+            files.write_array(f"{folder}/counts-{s}", counts)
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], names=["shard", "key", "c"])
 
-    made = docs.mapInArrow(count, _COUNTS).repartition(1 << bits, "shard").mapInArrow(write, _COUNTS).collect()
+    made = docs.mapInArrow(count, _COUNTS).repartitionById(1 << bits, "shard").mapInArrow(write, _COUNTS).collect()
     sizes, tokens = [0] * (1 << bits), 0
     for s, size, n in made:
         sizes[s], tokens = size, tokens + n
@@ -207,23 +198,22 @@ class Model:
         part = number // self.words.part
         for p in np.unique(part).tolist():
             own = part == p
-            out[own] = _mapped(f"{self.words.folder}/{name}-{p}", np.int64).reshape(-1, 5)[number[own] - p * self.words.part]
+            out[own] = files.mapped(f"{self.words.folder}/{name}-{p}", np.int64).reshape(-1, 5)[number[own] - p * self.words.part]
         return out
 
     def pair_counts(self, first: np.ndarray, second: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        key = first.astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)
-        shard = self.shard(first, second, tokens)
+        key, shard = pair_key(first, second), self.shard(first, second, tokens)
         order = np.lexsort((key, shard))
         out = np.zeros(len(key), np.int64)
         shard, key = shard[order], key[order]
         cuts = np.searchsorted(shard, np.arange(self.shards + 1))
         for s in np.unique(shard).tolist():
             own = key[cuts[s] : cuts[s + 1]]
-            keys = _mapped(f"{self.words.folder}/pairs-{s}", np.uint64)
+            keys = files.mapped(f"{self.words.folder}/pairs-{s}", np.uint64)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                 hit = keys[at] == own
-                out[order[cuts[s] : cuts[s + 1]][hit]] = _mapped(f"{self.words.folder}/times-{s}", np.int32)[at[hit]]
+                out[order[cuts[s] : cuts[s + 1]][hit]] = files.mapped(f"{self.words.folder}/times-{s}", np.int64)[at[hit]]
         return out
 
     def score(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -267,21 +257,20 @@ def train(docs: DataFrame, text_col: str = "text", word_shard: int = 1_000_000,
     words = count_words(docs, folder, int(guess), word_shard, held)
     if not words.size:
         return Model(words, 1, [0] * 4)
-    if words.size >= 1 << 32:
-        raise ValueError("pairs of word numbers take 64 bits: at most 2^32 words")
     shards = max(1, -(-words.tokens // pair_shard))
     shape = Model(words, shards, [0] * 4)
 
-    def pairs(g: Group) -> np.ndarray:
+    def pairs(total: _Sum, g: Group) -> None:
         h, first = with_ends(g)
         number, _ = words.find(h)
         context = np.concatenate((number[:1], number[:-1]))
         context[first[:-1]] = words.find(np.array([END], np.uint64))[0][0]
-        return context.astype(np.uint64) << np.uint64(32) | number.astype(np.uint64)
+        keys, at, counts = np.unique(pair_key(context, number), return_index=True, return_counts=True)
+        total.put(keys, counts, context[at], number[at])
 
-    def shard_of(key: np.ndarray) -> np.ndarray:
-        a, b = key >> np.uint64(32), key & np.uint64((1 << 32) - 1)
-        return shape.shard(a, b, tokens_of(a.astype(np.int64)))
+    def rows(found: tuple) -> Iterator[pa.RecordBatch]:
+        _, times, a, b = found
+        return _rows(shape.shard(a, b, tokens_of(a)), [a, b, times], ["first", "second", "c"])
 
     def tokens_of(number: np.ndarray) -> np.ndarray:
         out = np.zeros(len(number), np.int64)
@@ -289,19 +278,20 @@ def train(docs: DataFrame, text_col: str = "text", word_shard: int = 1_000_000,
         shard = np.searchsorted(words.first, distinct, "right") - 1
         counts = np.zeros(len(distinct), np.int64)
         for s in np.unique(shard).tolist():
-            counts[shard == s] = _mapped(f"{folder}/counts-{s}", np.int64)[distinct[shard == s] - words.first[s]]
+            counts[shard == s] = files.mapped(f"{folder}/counts-{s}", np.int64)[distinct[shard == s] - words.first[s]]
         out[:] = counts[inverse]
         return out
 
     def count(batches):
-        return _added_up(batches, pairs, shard_of, held)
+        return _added_up(batches, pairs, rows, held)
 
     def write(batches):
-        for s, total in _by_shard(batches).items():
-            keys, times = total.take()
+        for s, total in _by_shard(batches, lambda total, a, b, c: total.put(pair_key(a, b), c, a, b)).items():
+            keys, times, a, b = total.take()
             files.write_array(f"{folder}/pairs-{s}", keys)
-            files.write_array(f"{folder}/times-{s}", np.minimum(times, (1 << 31) - 1).astype(np.int32))
-            a, b = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64((1 << 32) - 1)).astype(np.int64)
+            files.write_array(f"{folder}/times-{s}", times)
+            order = np.argsort(a, kind="stable")
+            a, b, times = a[order], b[order], times[order]
             at = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
             seen = [np.add.reduceat(x.astype(np.int64), at) for x in (times, times == 1, times == 2, times >= 3)]
             second, n = np.unique(b, return_counts=True)
@@ -313,7 +303,7 @@ def train(docs: DataFrame, text_col: str = "text", word_shard: int = 1_000_000,
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (-1, *ones, len(keys))], names=_STAT)
 
     schema = ", ".join(f"{c} bigint" for c in _STAT)
-    found = docs.mapInArrow(count, _COUNTS).repartition(shards, "shard").mapInArrow(write, schema)
+    found = docs.mapInArrow(count, _PAIRS).repartitionById(shards, "shard").mapInArrow(write, schema)
     stats = found.groupBy("word").agg(*(F.sum(c).alias(c) for c in _STAT[1:]))
     parts = -(-words.size // word_shard)
 
@@ -336,7 +326,7 @@ def train(docs: DataFrame, text_col: str = "text", word_shard: int = 1_000_000,
         if ones.any():
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (-1, *ones.tolist())], names=_STAT)
 
-    by_part = stats.repartition(parts, F.floor(F.col("word") / F.lit(word_shard)))
+    by_part = stats.repartitionById(parts, F.pmod(F.floor(F.col("word") / F.lit(word_shard)), F.lit(parts)).cast("int"))
     made = by_part.mapInArrow(write_stats, schema).collect()
     model = Model(words, shards, [sum(r[k] for r in made if r[0] < 0) for k in (1, 2, 3, 4)])
     follows = [sum(r[k] for r in made if r[0] >= 0) for k in (1, 2, 3, 4)]
@@ -347,7 +337,7 @@ def train(docs: DataFrame, text_col: str = "text", word_shard: int = 1_000_000,
     missing = set(range(shards)) - set(_written(folder, "pairs-"))
     for s in missing:
         files.write_array(f"{folder}/pairs-{s}", np.zeros(0, np.uint64))
-        files.write_array(f"{folder}/times-{s}", np.zeros(0, np.int32))
+        files.write_array(f"{folder}/times-{s}", np.zeros(0, np.int64))
     return model
 
 
