@@ -7,7 +7,9 @@ a table. ``read_records`` then fetches records by offset. Files are read and wri
 records are not held whole by the normaliser, and a task that runs again writes the same files.
 
 A revisit record stands for a payload that another record of the set holds: it keeps the HTTP
-header and the digest and names the other record.
+header and the digest and names the other record. Only digests are shuffled to find these. What
+each revisit refers to is kept in sorted arrays, by a 64-bit hash of page and digest, which the
+writing tasks search; payloads are never shuffled or sent out.
 
 Defined cases: a null payload is empty; a null address leaves its header out; repeated rows are
 records of their own; of equal payloads the record with the largest id is the response (rows
@@ -27,11 +29,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
-from credograph.llm import files
-from credograph.llm.shared import delete, new_path, small_batches, written
+from credograph.llm import files, lookup
+from credograph.llm.shared import Scratch, delete, new_path, small_batches, stored
 
 CHUNK = 1 << 20
+#: Bytes of payloads that are handed on at once.
+HANDED = 8 << 20
 _GZIP = 31
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
 
@@ -69,24 +74,41 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def with_references(pages: DataFrame, id_col: str, payload_col: str, least: int = 0) -> DataFrame:
-    """Columns page, url, payload, refers_to. Pages are only grouped by digest without their
-    payloads; the payloads are shuffled, by id, only if the revisits are too many to send out."""
-    payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
-    narrow = pages.select(F.col(id_col).alias("page"), F.sha1(payload).alias("sha"), F.length(payload).alias("size")).filter(F.col("size") >= least)
+def references(pages: DataFrame, folder: str, id_col: str, payload_col: str, least: int = 0) -> lookup.Table:
+    """What the revisits refer to, by ``_mark`` of page and payload."""
+    work, payload = Scratch(pages.sparkSession, "revisits"), _payload(payload_col)
+    narrow = pages.select(F.col(id_col).cast("long").alias("page"), F.sha1(payload).alias("sha"), F.length(payload).alias("size"), _mark(id_col, payload_col).alias("key")).filter(F.col("size") >= least)
     first = narrow.groupBy("sha").agg(F.max("page").alias("to"), F.count("*").alias("n")).filter("n > 1 and to is not null").select("sha", "to")
-    revisits = written(narrow.select("page", "sha").join(first, "sha").filter(~F.col("page").eqNullSafe(F.col("to"))).distinct(), "revisits")
-    own = pages.select(F.col(id_col).alias("page"), F.col("url"), payload.alias("payload"))
-    r = revisits.select(F.col("page").alias("p"), F.col("sha").alias("s"), F.col("to").alias("refers_to"))
-    return own.join(r, own.page.eqNullSafe(r.p) & (F.sha1(own.payload) == r.s), "left").select("page", "url", "payload", "refers_to")
+    revisits = narrow.join(first, "sha").filter(~F.col("page").eqNullSafe(F.col("to"))).groupBy("key").agg(F.max("to").alias("value"))
+    table = lookup.write(work.write(revisits, "pages"), folder)
+    work.close()
+    return table
 
 
-def write_archives(records: DataFrame, folder: str) -> list[str]:
+def _payload(payload_col: str):
+    return F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
+
+
+def _mark(id_col: str, payload_col: str):
+    return F.xxhash64(F.col(id_col).cast("long"), F.sha1(_payload(payload_col)))
+
+
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", payload_col: str = "html", least: int = 0) -> list[str]:
     """One stream-compressed archive for each partition with rows; their places."""
     files.make_folder(folder)
+    refers = references(pages, f"{folder}/refers-to", id_col, payload_col, least)
+    own = pages.select(F.col(id_col).cast("long").alias("page"), F.col("url").cast("string").alias("url"), _payload(payload_col).alias("payload"), _mark(id_col, payload_col).alias("key"))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        for batch in batches:
+            page, url, payload, key = batch.columns
+            found, to = refers.find(key)
+            for i in range(len(page)):  # one payload at a time, whatever a batch holds
+                data = payload[i].as_py()
+                yield record(page[i].as_py(), url[i].as_py(), data, base32_sha1(data), int(to[i]) if found[i] else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for batch in batches for row in batch.to_pylist())
+        rows = records(batches)
         row = next(rows, None)
         if row is None:
             return
@@ -94,13 +116,15 @@ def write_archives(records: DataFrame, folder: str) -> list[str]:
         with files.writing(place) as out:
             squeeze = zlib.compressobj(1, zlib.DEFLATED, _GZIP)
             while row is not None:
-                out.write(squeeze.compress(record(row["page"], row["url"], row["payload"], base32_sha1(row["payload"]), row["refers_to"])))
+                out.write(squeeze.compress(row))
                 row, n = next(rows, None), n + 1
             out.write(squeeze.flush())
         yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([n], pa.int64())], names=["place", "n"])
 
     # one short row for each archive
-    return sorted(r.place for r in records.mapInArrow(run, "place string, n bigint").collect())
+    places = sorted(r.place for r in own.mapInArrow(run, "place string, n bigint").collect())
+    delete(pages.sparkSession, f"{folder}/refers-to")
+    return places
 
 
 def inflate(source) -> Iterator[bytes]:
@@ -196,16 +220,15 @@ def normalise(spark: SparkSession, places: list[str], folder: str) -> DataFrame:
 
     n = len(places)
     made = spark.range(0, n, 1, max(n, 1)).mapInArrow(run, "place string, record_id string, type string, uri string, digest string, start bigint, size bigint")
-    return written(made, "warc-index")
+    return stored(made, f"{folder}/index")
 
 
-def _bodies(index: DataFrame, make, schema: str) -> DataFrame:
+def _bodies(index: DataFrame, make, schema: pa.Schema) -> DataFrame:
     """``make`` applied to (index row, record head fields, HTTP head fields, payload)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, source = None, None
+        place, source, rows, held = None, None, [], 0
         for batch in batches:
-            rows = []
             for x in batch.to_pylist():
                 if x["place"] != place:
                     if source is not None:
@@ -217,16 +240,24 @@ def _bodies(index: DataFrame, make, schema: str) -> DataFrame:
                 fields = head_fields(head)
                 http, _, payload = block[: int(fields["content-length"])].partition(b"\r\n\r\n")
                 rows.append(make(x, fields, head_fields(http), payload))
-            yield pa.RecordBatch.from_pylist(rows)
+                held += len(payload) if "payload" in rows[-1] else 0
+                if held > HANDED or len(rows) >= 1000:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, held = [], 0
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
         if source is not None:
             source.close()
 
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(run, from_arrow_schema(schema))
+
+
+_PAYLOADS = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("payload", pa.binary())])
+_RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
 
 def read_payloads(index: DataFrame) -> DataFrame:
     """record_id, type, uri and payload (binary) of every record."""
-    return _bodies(index, lambda x, f, h, payload: {"record_id": x["record_id"], "type": x["type"], "uri": x["uri"], "payload": payload}, "record_id string, type string, uri string, payload binary")
+    return _bodies(index, lambda x, f, h, payload: {"record_id": x["record_id"], "type": x["type"], "uri": x["uri"], "payload": payload}, _PAYLOADS)
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -240,14 +271,26 @@ def read_records(index: DataFrame) -> DataFrame:
         digest = base32_sha1(payload) if full else fields["warc-payload-digest"].removeprefix("sha1:")
         return {"page_id": _page(fields["warc-record-id"]), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": _page(fields.get("warc-refers-to"))}
 
-    return _bodies(index, make, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    return _bodies(index, make, _RECORDS)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = 0) -> DataFrame:
     """Write ``pages`` as archives, normalise them, and read every record back."""
     spark = small_batches(pages).sparkSession
     folder = new_path(spark, "warc")
-    places = write_archives(with_references(pages, id_col, payload_col, least), f"{folder}/stream")
+    places = write_archives(pages, f"{folder}/stream", id_col, payload_col, least)
     index = normalise(spark, places, f"{folder}/records")
     delete(spark, f"{folder}/stream")
     return read_records(index)
+
+
+#: The same rows in DuckDB's SQL. Base 32 is written 20 bits, or four characters, at a time.
+SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, encode(coalesce(html, '')) AS body FROM pages),
+t AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex, max(page_id) OVER (PARTITION BY html) AS top, count(*) OVER (PARTITION BY html) AS alike FROM p)
+SELECT page_id, n::bigint AS payload_bytes,
+  list_aggregate(list_transform(range(0, 8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(((('0x' || hex[5 * i + 1 : 5 * i + 5])::bigint >> s) & 31) + 1)::bigint]), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+  CASE WHEN alike > 1 AND top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN alike > 1 AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM t"""

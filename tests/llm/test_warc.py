@@ -5,6 +5,8 @@ import io
 import json
 import random
 
+import duckdb
+import pandas as pd
 import pytest
 from credograph.llm import files, warc
 from credograph.llm.shared import new_path
@@ -39,7 +41,7 @@ def test_round_trip(spark, least):
 def test_normalised_members_and_index(spark):
     frame = spark.createDataFrame([(i, f"http://h/{i}", f"<p>{i}</p>" * i) for i in range(50)], "page_id long, url string, html string").coalesce(1)
     folder = new_path(spark, "test")
-    places = warc.write_archives(warc.with_references(frame, "page_id", "html"), f"{folder}/a")
+    places = warc.write_archives(frame, f"{folder}/a")
     index = warc.normalise(spark, places, f"{folder}/b")
     rows = index.collect()
     with files.reading(rows[0].place) as f:
@@ -55,6 +57,19 @@ def test_normalised_members_and_index(spark):
     assert {r.record_id: r.payload.decode() for r in warc.read_payloads(index).collect()}["<urn:page:3>"] == "<p>3</p>" * 3
 
 
+def test_rare_revisits_over_several_batches_and_the_sql(spark):
+    html = [None if i % 700 == 5 else f"<p>{i}</p>é" for i in range(2500)] + ["<p>7</p>é", "<p>7</p>é"]
+    pages = pd.DataFrame({"page_id": range(len(html)), "url": [None if i % 1100 < 1050 else "u" for i in range(len(html))], "html": html})
+    frame = spark.createDataFrame(pages).coalesce(1)
+    got = warc.round_trip(frame).toPandas().astype({"refers_to": "Int64"})
+    assert list(got.record_type).count("revisit") == 5
+    want = duckdb.sql(warc.SQL).df().astype({"refers_to": "Int64"})
+    key = lambda t: t.sort_values("page_id").reset_index(drop=True)[want.columns]
+    pd.testing.assert_frame_equal(key(got), key(want), check_dtype=False)
+    index = warc.normalise(spark, warc.write_archives(frame, new_path(spark, "test")), new_path(spark, "test"))
+    assert warc.read_payloads(index).filter("uri is null").count() > 2000
+
+
 def test_members_in_pieces_and_cut_files(monkeypatch):
     monkeypatch.setattr(warc, "CHUNK", 7)
     one = warc.record(1, "u", b"hello" * 50, "D", None)
