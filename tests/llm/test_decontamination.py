@@ -2,6 +2,8 @@ import random
 import re
 
 import corpus_pipeline
+import duckdb
+import pandas as pd
 import pytest
 from credograph.llm import decontamination as D
 from pyspark.sql import functions as F
@@ -43,6 +45,8 @@ def test_matches_brute_force(spark, short, block):
     docs = [(d, text(rnd.randint(0, 60))) for d in range(40)] + [(90, None), (91, ""), (92, items[0][1]), (93, f"{text(3)}-{items[1][1].upper()}! {text(900)}")]
     got = D.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), block_words=block)
     assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got.collect()} == brute(docs, items)
+    documents, benchmark = pd.DataFrame(docs, columns=["doc_id", "text"]), pd.DataFrame(items, columns=["item_id", "text"]).astype({"item_id": "Int64"})  # noqa: F841
+    assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(D.SQL).fetchall())
 
 
 def test_clean_and_edges(spark):
@@ -59,6 +63,20 @@ def test_clean_and_edges(spark):
     assert none.filter("doc_id=3").select(F.col("items_sha256")).first()[0].startswith("e3b0c442")
 
 
+def test_long_items_in_pieces_and_clashing_names(spark):
+    rnd = random.Random(9)
+    text = lambda n: " ".join(rnd.choice(["a", "b", "c"]) for _ in range(n))
+    items = [(1, text(700)), (2, text(20)), (3, None)]
+    items.append((4, items[0][1]))
+    docs = [(i, f"x {items[0][1][40 * i : 40 * i + rnd.randint(0, 900)]} y {text(30)}") for i in range(20)]
+    frame = spark.createDataFrame([(*d, "mine", [1]) for d in docs], "doc_id long, text string, hit_items string, HIT_SPANS array<long>")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = D.report(frame, benchmark, block_words=50)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in got.collect()} == brute(docs, items)
+    kept = D.clean(frame, benchmark, max_span=12, limit=0, block_words=50).collect()
+    assert all(r.hit_items == "mine" and r.HIT_SPANS == [1] for r in kept)
+
+
 def test_stage_cuts_long_spans_of_documents_that_stay(spark, tmp_path):
     rnd = random.Random(8)
     text = lambda n: " ".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") + rnd.choice(["é", "ß", "q", "Z"]) * 2 for _ in range(n))
