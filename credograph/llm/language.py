@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from credograph.llm.shared import small_batches
+from credograph.llm.shared import small_batches, unused
 from credograph.llm.spans import Group, groups, mix
 
 UNKNOWN = "und"
@@ -165,7 +165,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: in
     return Model(names, np.array([table[x] for x in names]).reshape(len(names), buckets), n)
 
 
-def _predict(model, text_col: str, fields: list[str], penalty: float, max_set: int | None):
+def _predict(model, text_col: str, fields: list[str], added: list[str], penalty: float, max_set: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = model.value
         limit = max(1 << 16, (1 << 20) // max(1, len(own.languages) // 4))
@@ -185,28 +185,32 @@ def _predict(model, text_col: str, fields: list[str], penalty: float, max_set: i
                     elif own.languages:
                         langs[g.first + i], scores[g.first + i] = own.languages[0], 1 / len(own.languages)
             passed = [batch.column(batch.schema.names.index(f)) for f in fields]
-            yield pa.RecordBatch.from_arrays([*passed, pa.array(langs, pa.string()), pa.array(scores), pa.array(clear)], names=[*fields, "__lang", "__score", "__known"])
+            yield pa.RecordBatch.from_arrays([*passed, pa.array(langs, pa.string()), pa.array(scores), pa.array(clear)], names=[*fields, *added])
 
     return run
 
 
-def _with_prediction(docs: DataFrame, model: Model, text_col: str, keep_text: bool, penalty: float, max_set: int | None) -> DataFrame:
+def _with_prediction(docs: DataFrame, model: Model, text_col: str, keep_text: bool, penalty: float, max_set: int | None) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns for language, score and whether its n-grams are likely; and these."""
     fields = [f for f in docs.schema if keep_text or f.name != text_col]
-    schema = T.StructType([*fields, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__known", T.BooleanType())])
+    added = unused(docs.columns, "lang_found", "lang_score", "lang_known")
+    schema = T.StructType([*fields, *map(T.StructField, added, (T.StringType(), T.DoubleType(), T.BooleanType()))])
     own = docs.sparkSession.sparkContext.broadcast(model)
-    return small_batches(docs).mapInArrow(_predict(own, text_col, [f.name for f in fields], penalty, max_set), schema)
+    out = small_batches(docs).mapInArrow(_predict(own, text_col, [f.name for f in fields], added, penalty, max_set), schema)
+    return out, [F.col(f"`{x}`") for x in added]
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", penalty: float = 4.0, max_set: int | None = None) -> DataFrame:
     """id, lang_pred and score of every document."""
-    return _with_prediction(docs.select(id_col, text_col), model, text_col, False, penalty, max_set).select(id_col, F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    out, (lang, score, _) = _with_prediction(docs.select(id_col, text_col), model, text_col, False, penalty, max_set)
+    return out.select(id_col, lang.alias("lang_pred"), score.alias("score"))
 
 
 def accept(docs: DataFrame, model: Model, text_col: str = "text", languages: list[str] | None = None, penalty: float = 4.0, max_set: int | None = None) -> DataFrame:
     """``docs`` without those whose language is unknown, whose n-grams are too unlikely in it, or
     whose language is not one of ``languages``."""
-    out = _with_prediction(docs, model, text_col, True, penalty, max_set)
-    wanted: Column = (F.col("__lang") != UNKNOWN) & F.col("__known")
+    out, (lang, _, known) = _with_prediction(docs, model, text_col, True, penalty, max_set)
+    wanted = (lang != UNKNOWN) & known
     if languages is not None:
-        wanted = wanted & F.col("__lang").isin(languages)
+        wanted = wanted & lang.isin(languages)
     return out.filter(wanted).select(*docs.columns)

@@ -12,7 +12,8 @@ the candidate is random; the sum of their squares gives one p-value.
 Whether a candidate is too regular is decided with false-discovery control over all candidates
 of the same encoding and length class (Benjamini-Hochberg at ``rate``; short ones, with little
 power, aren't mixed with long ones). Those not found too regular are reported as kind
-``random``. The p-values are counted in a fixed number of cells for that, so what is gathered is
+``random``. So ``rate`` bounds the share of truly random runs among those passed over as too
+regular, not the share of other runs among those reported. The p-values are counted in a fixed number of cells for that, so what is gathered is
 bounded: encodings times length classes times cells.
 
 Positions count code points and ends are exclusive. Defined cases: a null text is empty; a
@@ -24,6 +25,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from credograph.llm.shared import unused
+
 #: Kinds in their order, and the patterns of the base.
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -150,9 +153,10 @@ def _first_rejected(cells: dict[int, int], rate: float) -> int:
     return first
 
 
-def spans(docs: DataFrame, text_col: str = "text", rate: float = 0.05, parts: bool = False) -> DataFrame:
-    """All columns of ``docs`` with ``__base`` and ``__spans``: arrays of (s, kind number, e)
-    in order, of the fixed kinds and of all kinds."""
+def spans(docs: DataFrame, text_col: str = "text", rate: float = 0.05, parts: bool = False) -> tuple[DataFrame, str, str]:
+    """All columns of ``docs`` with two more: arrays of (s, kind number, e) in order, of the fixed
+    kinds and of all kinds; and their names."""
+    base_col, tested_col, spans_col = unused(docs.columns, "base_spans", "tested_spans", "all_spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     known = docs.select(text.alias("t"))
     first = thresholds(known, "t", rate, parts)
@@ -160,17 +164,17 @@ def spans(docs: DataFrame, text_col: str = "text", rate: float = 0.05, parts: bo
     with_kind = lambda found, kind: F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e")))
     assign = F.filter(located(text, ASSIGN, 1), lambda x: F.length(x["v"]) >= 6)
     base = F.array_sort(F.concat(with_kind(assign, 0), with_kind(located(text, ACCESS), 1), with_kind(located(text, HEX), 2)))
-    out = docs.withColumn("__base", base)
+    out = docs.withColumn(base_col, base)
     added = F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")
     if limits is not None:
         tested = F.filter(_tested(_candidates(text, parts)), lambda x: x["cell"] < F.element_at(limits, x["stratum"]))
         if parts:
-            out = out.withColumn("__tested", tested)
+            out = out.withColumn(tested_col, tested)
             longer = lambda x, y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])
-            tested = F.filter("__tested", lambda x: ~F.exists("__tested", lambda y: longer(x, y)))
-        outside = F.filter(tested, lambda x: ~F.exists("__base", lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
+            tested = F.filter(tested_col, lambda x: ~F.exists(tested_col, lambda y: longer(x, y)))
+        outside = F.filter(tested, lambda x: ~F.exists(base_col, lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
         added = with_kind(outside, 3)
-    return out.withColumn("__spans", F.array_sort(F.concat(F.col("__base"), added))).drop("__tested")
+    return out.withColumn(spans_col, F.array_sort(F.concat(F.col(base_col), added))).drop(tested_col), base_col, spans_col
 
 
 def _joined(found: str) -> Column:
@@ -180,15 +184,16 @@ def _joined(found: str) -> Column:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05, parts: bool = False) -> DataFrame:
     """One row for each document: counts of the fixed kinds, a digest of their spans, all spans."""
-    found = spans(docs.select(F.col(id_col), F.col(text_col)), text_col, rate, parts)
-    count = lambda kind: F.size(F.filter("__base", lambda x: x["k"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
-    return found.select(id_col, count(0), count(1), count(2), F.sha2(_joined("__base"), 256).alias("base_sha256"), _joined("__spans").alias("spans"))
+    found, base_col, spans_col = spans(docs.select(F.col(id_col), F.col(text_col)), text_col, rate, parts)
+    count = lambda kind: F.size(F.filter(base_col, lambda x: x["k"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+    return found.select(id_col, count(0), count(1), count(2), F.sha2(_joined(base_col), 256).alias("base_sha256"), _joined(spans_col).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", rate: float = 0.05, mask: str = "[SECRET]", length_col: str | None = None, parts: bool = False) -> DataFrame:
     """``docs`` with every secret replaced by ``mask``; ``length_col``, if there, is set anew."""
     names = docs.columns
-    found = spans(docs, text_col, rate, parts)
+    found, _, spans_col = spans(docs, text_col, rate, parts)
+    (clean_col,) = unused(found.columns, "clean_text")
     text = F.col(text_col)
     zero = F.struct(F.lit(0).cast("bigint").alias("p"), F.lit("").alias("o"))
 
@@ -198,7 +203,7 @@ def redact(docs: DataFrame, text_col: str = "text", rate: float = 0.05, mask: st
         piece = F.when(fresh, F.concat(acc["o"], F.substring(text, acc["p"].cast("int") + 1, (x["s"] - acc["p"]).cast("int")), F.lit(mask))).otherwise(acc["o"])
         return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), piece.alias("o"))
 
-    clean = F.aggregate("__spans", zero, add, lambda acc: F.concat(acc["o"], F.substring(text, acc["p"].cast("int") + 1, F.length(text))))
-    out = found.withColumn("__clean", F.when(F.size("__spans") > 0, clean).otherwise(text))
-    change = lambda c: F.col("__clean").alias(c) if c == text_col else F.when(F.size("__spans") > 0, F.length("__clean").cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == length_col else F.col(c)
+    clean = F.aggregate(spans_col, zero, add, lambda acc: F.concat(acc["o"], F.substring(text, acc["p"].cast("int") + 1, F.length(text))))
+    out = found.withColumn(clean_col, F.when(F.size(spans_col) > 0, clean).otherwise(text))
+    change = lambda c: F.col(clean_col).alias(c) if c == text_col else F.when(F.size(spans_col) > 0, F.length(clean_col).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == length_col else F.col(c)
     return out.select(*[change(c) for c in names])

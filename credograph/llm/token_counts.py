@@ -5,9 +5,12 @@ come in batches. A row inserts a document's count (+1 document, +tokens), delete
 or revises it (0, new tokens - old tokens). A batch is added up to one row for each group before it
 is stored, so the folder's size follows the number of groups and not that of documents.
 
-A batch is stored under its name by one rename. If that name is there already, or a compaction has
-taken it in, nothing happens: a batch that is sent again, or whose job is run twice, counts once.
-``totals`` adds up the last compaction and the batches after it; ``compact`` merges them.
+A batch is a folder named after it, which holds one table for each attempt to store it. The first
+finished attempt counts and later ones don't: a batch that is sent again, or whose job is run twice
+at once, counts once. A compaction lists batches and attempts once and records what it took in;
+batches that come later, also while it runs, are left for the next. ``totals`` adds up the last
+compaction and the batches after it. Commits may run side by side, also with a compaction;
+compactions have to take turns: one that finds its number taken when it ends changes nothing.
 
 Hot groups: counts are added up in each task before they are shuffled, so a source with any share
 of the rows sends one row for each task.
@@ -21,10 +24,12 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from credograph.llm.shared import delete, new_path
+from credograph.llm.shared import delete
 
 GROUPS = ("source", "lang", "version")
 _SCHEMA = "source string, lang string, version string, documents bigint, tokens bigint"
@@ -36,68 +41,91 @@ class Rollup:
         self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _names(self, kind: str) -> list[str]:
-        where = self._path(f"{self.folder}/{kind}")
-        return sorted(x.getPath().getName() for x in self._fs.listStatus(where)) if self._fs.exists(where) else []
-
-    def _merged(self) -> tuple[str | None, set[str]]:
-        """The last compaction, and the batches that it holds."""
-        names = self._names("merged")
-        if not names:
-            return None, set()
-        path = f"{self.folder}/merged/{names[-1]}"
-        return f"{path}/totals", {r.name for r in self.spark.read.schema("name string").parquet(f"{path}/batches").collect()}
-
-    def _put(self, write, place: str) -> bool:
-        """Let ``write`` fill a new folder, and give it its name unless that is taken."""
-        target, own = self._path(f"{self.folder}/{place}"), new_path(self.spark, "rollup")
-        self._fs.mkdirs(target.getParent())
-        write(own)
-        done = not self._fs.exists(target) and self._fs.rename(self._path(own), target)
-        if not done:
-            delete(self.spark, own)
-        return done
+    def _list(self, place: str) -> list:
+        where = self._path(f"{self.folder}/{place}")
+        return list(self._fs.listStatus(where)) if self._fs.exists(where) else []
+
+    def _attempt(self, batch: str) -> str | None:
+        """The first finished attempt to store a batch."""
+        done = []
+        for x in self._list(f"batches/{batch}"):
+            end = self._path(x.getPath(), "_SUCCESS")
+            if self._fs.exists(end):
+                done.append((self._fs.getFileStatus(end).getModificationTime(), x.getPath().getName()))
+        return f"{self.folder}/batches/{batch}/{min(done)[1]}" if done else None
+
+    def _compaction(self) -> str | None:
+        """The last finished compaction: a marker file names its folder."""
+        for x in sorted(self._list("merged"), key=lambda x: x.getPath().getName(), reverse=True):
+            if x.getLen():
+                return f"{self.folder}/tables/{self.spark.read.text(x.getPath().toString()).first()[0]}"
+        return None
+
+    def _held(self, merged: str | None, names: list[str]) -> set[str]:
+        """Those of ``names`` that the compaction took in."""
+        if merged is None or not names:
+            return set()
+        wanted = self.spark.createDataFrame([(x,) for x in names], "name string")
+        held = self.spark.read.schema("name string").parquet(f"{merged}/batches")
+        return {r.name for r in held.join(F.broadcast(wanted), "name").collect()}
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Store a batch of changes (source, lang, version, change: insert, delete or revise,
         tokens, old_tokens). False if it was there already."""
         name = hashlib.sha256(batch.encode()).hexdigest()
-        if name in self._names("batches") or name in self._merged()[1]:
+        if self._attempt(name) or self._held(self._compaction(), [name]):
             return False
         new, old = F.coalesce("tokens", F.lit(0)), F.coalesce("old_tokens", F.lit(0))
         wrong = F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce("change", F.lit("null"))))
         sign = F.when(F.col("change") == "insert", 1).when(F.col("change") == "delete", -1).when(F.col("change") == "revise", 0).otherwise(wrong.cast("int"))
         signed = F.when(F.col("change") == "insert", new).when(F.col("change") == "delete", -old).otherwise(new - old)
         delta = changes.groupBy(*GROUPS).agg(F.sum(sign).cast("long").alias("documents"), F.sum(signed).cast("long").alias("tokens"))
-        return self._put(lambda own: delta.write.parquet(own), f"batches/{name}")
-
-    def _parts(self) -> tuple[DataFrame, list[str]]:
-        """Rows to add up, and the names of all batches in them."""
-        merged, held = self._merged()
-        fresh = [x for x in self._names("batches") if x not in held]
-        places = [*([merged] if merged else []), *(f"{self.folder}/batches/{x}" for x in fresh)]
-        return (self.spark.read.schema(_SCHEMA).parquet(*places) if places else self.spark.createDataFrame([], _SCHEMA)), [*held, *fresh]
+        own = f"{self.folder}/batches/{name}/{uuid.uuid4().hex}"
+        delta.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(own)
+        return self._attempt(name) == own
+
+    def _parts(self) -> tuple[str | None, dict[str, str]]:
+        """The last compaction, and the attempts that count of the batches after it."""
+        names = [x.getPath().getName() for x in self._list("batches")]
+        merged = self._compaction()
+        held = self._held(merged, names)
+        attempts = {x: self._attempt(x) for x in names if x not in held}
+        return merged, {x: place for x, place in attempts.items() if place}
+
+    def _sums(self, merged: str | None, fresh: dict[str, str]) -> DataFrame:
+        places = [*([f"{merged}/totals"] if merged else []), *fresh.values()]
+        rows = self.spark.read.schema(_SCHEMA).parquet(*places) if places else self.spark.createDataFrame([], _SCHEMA)
+        return rows.groupBy(*GROUPS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).filter("documents != 0 or tokens != 0")
 
     def totals(self) -> DataFrame:
         """source, lang, version, documents, tokens of all batches so far."""
-        rows, _ = self._parts()
-        return rows.groupBy(*GROUPS).agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).filter("documents != 0 or tokens != 0")
-
-    def compact(self) -> None:
-        """Merge the totals so far into one table, beside the names of the batches in it. Only
-        then are the batches deleted, so a stop at any point loses and doubles nothing."""
-        totals, (_, names) = self.totals(), self._parts()
-
-        def write(own: str) -> None:
-            totals.write.parquet(f"{own}/totals")
-            self.spark.createDataFrame([(x,) for x in names], "name string").write.parquet(f"{own}/batches")
-
-        before = self._names("merged")
-        if names and self._put(write, f"merged/{int(before[-1]) + 1 if before else 0:012d}"):
-            for x in names:
-                delete(self.spark, f"{self.folder}/batches/{x}")
-            for x in before:
-                delete(self.spark, f"{self.folder}/merged/{x}")
+        return self._sums(*self._parts())
+
+    def compact(self) -> bool:
+        """Merge the totals so far into one table, beside the names of all batches ever in it.
+        Only then are the batches deleted, so a stop at any point loses and doubles nothing."""
+        number = max((int(x.getPath().getName()) for x in self._list("merged")), default=-1) + 1
+        merged, fresh = self._parts()
+        if not fresh:
+            return False
+        own = uuid.uuid4().hex
+        self._sums(merged, fresh).write.parquet(f"{self.folder}/tables/{own}/totals")
+        names = self.spark.createDataFrame([(x,) for x in fresh], "name string")
+        if merged:
+            names = names.unionByName(self.spark.read.schema("name string").parquet(f"{merged}/batches"))
+        names.write.parquet(f"{self.folder}/tables/{own}/batches")
+        try:
+            marker = self._fs.create(self._path(f"{self.folder}/merged/{number:012d}"), False)
+        except Py4JJavaError:  # another compaction took the number
+            delete(self.spark, f"{self.folder}/tables/{own}")
+            return False
+        marker.write(bytearray(own.encode()))
+        marker.close()
+        for x in fresh:
+            delete(self.spark, f"{self.folder}/batches/{x}")
+        if merged:
+            delete(self.spark, merged)
+        return True
 
 
 #: Tokenizer versions of the production query: what counts as a token.

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from credograph.llm import token_counts as C
 from credograph.llm.shared import new_path
@@ -54,3 +55,33 @@ def test_query_equals_sql(spark):
     want = con.sql(q.OP8_SQL)
     got = q.op8_token_counts(spark, folder).select(*want.columns)
     assert rows(got) == sorted(want.fetchall(), key=str)
+
+
+def test_commits_during_a_compaction_and_attempts_side_by_side(spark, monkeypatch):
+    folder = new_path(spark, "rollup-test")
+    r, other = C.Rollup(spark, folder), C.Rollup(spark, folder)
+    batch = lambda n: spark.createDataFrame([("a", "en", "1", "insert", n, None, "x")], SCHEMA)
+    assert r.commit("one", batch(1))
+    sums = C.Rollup._sums
+
+    def late(self, merged, fresh):
+        if self is r and not late.done:
+            late.done = True
+            assert other.commit("two", batch(10))
+        return sums(self, merged, fresh)
+
+    late.done = False
+    monkeypatch.setattr(C.Rollup, "_sums", late)
+    assert r.compact() and rows(r.totals()) == [("a", "en", "1", 2, 11)]
+    assert not r.commit("two", batch(10)) and not r.commit("one", batch(1))
+    # both writers saw no attempt before they wrote
+    seen = C.Rollup._attempt
+    answers = iter([None, None])
+    monkeypatch.setattr(C.Rollup, "_attempt", lambda self, name: next(answers, seen(self, name)))
+    first = r.commit("three", batch(100))
+    monkeypatch.setattr(C.Rollup, "_attempt", seen)
+    assert not first  # the second answer was foreseen too
+    batch(100).groupBy("source", "lang", "version").agg(F.lit(1).cast("long").alias("documents"), F.lit(100).cast("long").alias("tokens")).write.parquet(f"{folder}/batches/{C.hashlib.sha256(b'three').hexdigest()}/again")
+    assert rows(r.totals()) == [("a", "en", "1", 3, 111)]
+    assert r.compact() and rows(r.totals()) == [("a", "en", "1", 3, 111)] and not r.compact()
+    assert not r.commit("three", batch(100))
