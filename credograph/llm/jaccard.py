@@ -29,12 +29,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from credograph.llm import signature_tree as tree
 from credograph.llm.components import components
-from credograph.llm.shared import small_batches, written
+from credograph.llm import lookup
+from credograph.llm.shared import Scratch, id_key, new_path, small_batches, stored
 from credograph.llm.spans import BLANKS, groups, mix, windows
 
 _SKETCH = 1 << 20
@@ -247,8 +249,8 @@ def _or_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Search:
-    def __init__(self, docs: DataFrame, summaries: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int, least: tree.Threshold):
-        self.docs, self.summaries, self.nodes = docs, summaries, nodes
+    def __init__(self, work: Scratch, docs: DataFrame, summaries: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int, least: tree.Threshold):
+        self.work, self.docs, self.summaries, self.nodes = work, docs, summaries, nodes
         self.id_col, self.text_col, self.k, self.least = id_col, text_col, k, least
 
     def possible(self, members: DataFrame) -> DataFrame:
@@ -256,7 +258,7 @@ class _Search:
         block; blocks with the same members stay once."""
         dealt = members.join(self.nodes.select("node", "n", "bits"), "node").repartition("key", "block").sortWithinPartitions("key", "block")
         some = dealt.select("key", "block", "node", "n", "side", "label", "bits").mapInArrow(_by_block(_possible, self.least, _MEMBER), "key bigint, block string, node bigint, n bigint, side int, label bigint")
-        some = written(some, "possible")
+        some = self.work.write(some, "possible")
         alike = some.groupBy("key", "block").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node", "side")).alias("h"))
         once = alike.groupBy("c", "h").agg(F.min(F.struct("key", "block")).alias("first")).select("first.key", "first.block", "c")
         return some.join(once, ["key", "block"])
@@ -272,12 +274,12 @@ class _Search:
         marks = self.docs.sparkSession.sparkContext.broadcast(bits.reshape(-1))
         texts = self.docs.select(F.xxhash64(self.id_col).alias("w"), self.text_col)
         made = texts.mapInArrow(_whole_sets("w", self.text_col, self.k, marks), "node bigint, elements binary")
-        return written(made.join(wanted.distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
+        return self.work.write(made.join(wanted.distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
     def links(self, some: DataFrame, sets: DataFrame) -> DataFrame:
         """Links within the blocks of ``some``."""
         full = some.join(sets, "node").select("key", "block", "node", "n", "side", "label", "elements").repartition("key", "block").sortWithinPartitions("key", "block")
-        return written(full.mapInArrow(_by_block(_links, self.least, _LINK), "a bigint, b bigint"), "links")
+        return self.work.write(full.mapInArrow(_by_block(_links, self.least, _LINK), "a bigint, b bigint"), "links")
 
 
 def _rest(lists: DataFrame, labels: DataFrame, size: int) -> DataFrame:
@@ -303,24 +305,25 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = small_batches(docs).select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
     kind, least = docs.schema[id_col].dataType.simpleString(), tree.Threshold(percent)
     classes = spark.sparkContext.broadcast(frequency_classes(docs, text_col, shingle))
-    summaries = written(docs.mapInArrow(_summaries(id_col, text_col, shingle, least, classes), f"`{id_col}` {kind}, n bigint, node bigint, keys array<bigint>, bits binary"), "summaries")
-    nodes = written(summaries.filter("n > 0").select("node", "n", "keys", "bits").dropDuplicates(["node"]), "nodes")
+    path, work = new_path(spark, "jaccard"), Scratch(spark, "jaccard-work")
+    summaries = work.write(docs.mapInArrow(_summaries(id_col, text_col, shingle, least, classes), f"`{id_col}` {kind}, n bigint, node bigint, keys array<bigint>, bits binary"), "summaries")
+    nodes = work.write(summaries.filter("n > 0").select("node", "n", "keys", "bits").dropDuplicates(["node"]), "nodes")
 
     listed = nodes.select("node", F.explode("keys").alias("key"))
     lists = listed.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("h")).filter("c > 1")
     lists = lists.groupBy("c", "h").agg(F.min("key").alias("key")).select("key", "c")
-    members = written(listed.join(lists, "key"), "members")
-    search = _Search(docs, summaries, nodes, id_col, text_col, shingle, least)
+    members = work.write(listed.join(lists, "key"), "members")
+    search = _Search(work, docs, summaries, nodes, id_col, text_col, shingle, least)
     parts = F.ceil(F.col("c") / F.lit(float(block))).cast("int")
     dealt = members.select("key", F.pmod(F.xxhash64("node", "key"), parts).cast("string").alias("block"), "node", F.lit(2).alias("side"), F.col("node").alias("label"))
-    some = written(search.possible(dealt), "some")
+    some = work.write(search.possible(dealt), "some")
     dealt_out = members.filter(F.col("c") > block).select("key", "node")
     sets = search.sets(some.select("node").union(dealt_out.select("node")))
 
     # first the largest block of each node, which connects most; then what is not connected
     largest = some.groupBy("node").agg(F.max(F.struct("c", "key", "block")).alias("b")).select("b.key", "b.block").distinct()
     links = search.links(some.join(largest, ["key", "block"], "left_semi"), sets)
-    labels = written(components(links), "labels")
+    labels = components(links, f"{work.path}/labels")
     left = some.join(largest, ["key", "block"], "left_anti").drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_blocks = left.groupBy("key", "block").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("key", "block")
     left = left.join(open_blocks, ["key", "block"]).select(*_MEMBER.names)
@@ -328,20 +331,53 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         left = left.unionByName(search.possible(_rest(dealt_out, labels, block)).select(*_MEMBER.names))
     more = search.links(left, sets)
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = components(links.unionByName(more), f"{work.path}/more-labels")
 
     rows = summaries.select(id_col, "n", "node")
     own = rows.filter("n > 0").groupBy("node").agg(F.min(id_col).alias("own"))
     own = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     first = own.groupBy("label").agg(F.min("own").alias("component_id"))
     answer = own.join(first, "label").select("node", "component_id")
-    return rows.join(answer, "node", "left").select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component_id", id_col).alias("component_id"))
+    answer = rows.join(answer, "node", "left").select(id_col, F.col("n").alias("n_shingles"), F.coalesce("component_id", id_col).alias("component_id"))
+    answer = stored(answer, path)
+    work.close()
+    return answer
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block: int = 256) -> DataFrame:
     """``docs`` with one document of each component, that with the smallest id. Documents
-    without words stay, and so do rows without an id. Rows that repeat id and text stay once."""
-    found = link_components(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, shingle, percent, block)
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    one = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return one.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
+    without words stay, and so do rows without an id. Rows that repeat id and text stay once.
+
+    Texts aren't shuffled: ids that go are looked up in sorted arrays, and only rows whose id
+    repeats are dealt out by id and text."""
+    spark, own_id = docs.sparkSession, F.col(f"`{id_col}`")
+    found = link_components(docs.filter(own_id.isNotNull()), id_col, text_col, shingle, percent, block)
+    by_id = found.groupBy(id_key(found, id_col).alias("key"), id_col).agg(F.max(F.col(id_col) == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    told = by_id.groupBy("key").agg(F.max(F.when(~F.col("stays"), 1).when(F.col("n") > 1, 2).otherwise(0)).alias("value")).filter("value > 0")
+    table = lookup.write(told, new_path(spark, "duplicates"))
+
+    @F.pandas_udf("bigint")
+    def told_of(key: pd.Series) -> pd.Series:
+        return pd.Series(table.find(pa.array(key, pa.int64(), from_pandas=True))[1])
+
+    what = told_of(id_key(docs, id_col))
+    again = docs.filter(what == 2).dropDuplicates([id_col, text_col])
+    return docs.filter(what == 0).unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: ``link_components`` with its defaults over ``documents`` in DuckDB's SQL, each pair that shares a shingle.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i + 1 : i + least(len(w), 3)], ' ') AS g
+  FROM (SELECT r, w, unnest(range(0, greatest(len(w) - 2, 1)::bigint)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+node AS (SELECT r, n, min(r) OVER (PARTITION BY h, n) AS node FROM (SELECT r, count(*) AS n, string_agg(g, chr(10) ORDER BY g) AS h FROM s GROUP BY r)),
+one AS (SELECT DISTINCT node AS r, n FROM node),
+links AS (SELECT a.r AS x, b.r AS y FROM s a JOIN one p ON a.r = p.r JOIN s b ON a.g = b.g JOIN one q ON b.r = q.r
+  WHERE a.r < b.r AND 100 * least(p.n, q.n) >= 90 * greatest(p.n, q.n) GROUP BY a.r, b.r, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
+both_ways AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT r AS x, r AS y FROM one UNION SELECT reach.x, b.y FROM reach JOIN both_ways b ON reach.y = b.x),
+label AS (SELECT x, min(y) AS label FROM reach GROUP BY x),
+least_id AS (SELECT label, min(doc_id) AS component_id FROM d JOIN node USING (r) JOIN label ON x = node GROUP BY label)
+SELECT doc_id, coalesce(node.n, 0)::bigint AS n_shingles, coalesce(component_id, doc_id) AS component_id
+FROM d LEFT JOIN node USING (r) LEFT JOIN label ON x = node LEFT JOIN least_id USING (label)"""

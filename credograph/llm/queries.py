@@ -113,4 +113,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.SQL, "op2_license_scan": license_scan.sql(), "op6_decontamination": decontamination.SQL, "op8_token_counts": OP8_SQL}
+    return {"op1_warc": warc.SQL, "op2_license_scan": license_scan.sql(), "op6_decontamination": decontamination.SQL, "op8_token_counts": OP8_SQL, "op9_jaccard": jaccard.SQL}

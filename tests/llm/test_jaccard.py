@@ -1,11 +1,14 @@
 import random
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from credograph.llm import jaccard as J
 from credograph.llm import signature_tree as S
 from credograph.llm.components import components
+from credograph.llm.shared import new_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -61,6 +64,9 @@ def test_matches_brute_force(spark, seed, k, percent, block):
     frame = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, n int").repartition(3)
     got = sorted(tuple(r) for r in J.link_components(frame, "doc_id", "text", k, percent, block).collect())
     assert got == brute(docs, k, percent)
+    if (k, percent) == (3, 90):
+        documents = pd.DataFrame(docs, columns=["doc_id", "text"])  # noqa: F841
+        assert sorted(duckdb.sql(J.SQL).fetchall()) == got
     if seed < 3:
         kept = J.keep_one(frame, shingle=k, percent=percent, block=block)
         want = {c for _, n, c in brute(docs, k, percent)}
@@ -96,5 +102,5 @@ def test_tree_keeps_every_similar_pair():
 
 def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 70), (70, 90)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long"), new_path(spark, "test")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 70: 70, 90: 70, 100: 70}

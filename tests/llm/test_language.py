@@ -67,3 +67,54 @@ def test_sets_of_all_languages():
     best, share, known = model.infer(even, 4.0, None)
     assert names[best[0]] == "l0" and share[0] < 0.3 and known[0]
     assert model.infer(even, 4.0, 3)[1][0] > 0.3
+
+
+def brute(model, text, penalty):
+    """The method written out for one text, over every set of the most proportionate languages."""
+    raw = (text or "").translate({i: i + 32 for i in range(65, 91)}).encode()
+    raw = bytes(c if chr(c).isascii() and chr(c).isalpha() or c >= 128 else 32 for c in raw)
+    codes = [int(L.mix(np.array([int.from_bytes(raw[i : i + model.n], "big")], np.uint64))[0]) % model.buckets for i in range(len(raw) - model.n + 1)]
+    if not any(map(str.isalpha, text or "")):
+        return "und", 0.0
+    if not codes:
+        return model.languages[0], 1 / len(model.languages)
+    like = model.likelihood[codes].astype(float)
+
+    def fit(weight, rounds):
+        for _ in range(rounds):
+            part = weight * like
+            weight = (part / part.sum(axis=1, keepdims=True)).mean(axis=0)
+        return weight, np.log((weight * like).sum(axis=1)).sum()
+
+    size, n = len(model.languages), len(codes)
+    cost = penalty * 0.5 * np.log(n)
+    alone = np.log(like).sum(axis=0)
+    best, share, value = int(np.argmax(alone)), 1.0, alone.max() - cost
+    weight, _ = fit(np.full(size, 1 / size), 8)
+    order = np.argsort(-weight, kind="stable")
+    for k in range(2, size + 1):
+        start = np.where(np.isin(np.arange(size), order[:k]), np.maximum(weight, 1e-3), 0)
+        fitted, logs = fit(start / start.sum(), 4)
+        if logs - k * cost > value:
+            best, share, value = int(np.argmax(fitted)), fitted.max(), logs - k * cost
+    return model.languages[best], share
+
+
+def test_matches_brute_force(spark):
+    rows, text = corpus()
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    rnd = random.Random(12)
+    texts = [" ".join(text(x, rnd.randint(1, 40)) for x in rnd.choices("xyz", k=rnd.randint(1, 4))) for _ in range(120)]
+    texts += [None, "", "12", "ab", "Ab", "é", "alpha 1!", "日本語の文章"]
+    found = {r.doc_id: r for r in L.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), model).collect()}
+    want = [brute(model, t, 4.0) for t in texts]
+    assert [found[i].lang_pred for i in range(len(texts))] == [x for x, _ in want]
+    assert all(abs(found[i].score - s) < 1e-3 for i, (_, s) in enumerate(want))
+    assert sum(s < 0.95 for _, s in want) > 20
+
+
+def test_clashing_columns(spark):
+    rows, _ = corpus()
+    docs = spark.createDataFrame([(*r, "mine", True) for r in rows[:5]], "doc_id long, text string, lang string, lang_found string, LANG_known boolean")
+    kept = L.accept(docs, L.train(docs))
+    assert kept.columns == docs.columns and {r.lang_found for r in kept.collect()} == {"mine"}

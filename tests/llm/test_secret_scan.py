@@ -123,3 +123,28 @@ def test_parts_between_signs_and_short_keys(spark):
     masked = {r.doc_id: r.text for r in S.redact(frame, parts=True).collect()}
     assert masked[0] == "get v1/my-[SECRET] now" and masked[3] == texts[3]
     assert not any(x in masked[2] for x in signed.split("-"))
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "token=abcdef123", ["mine"], "x")], "doc_id long, text string, all_spans array<string>, Base_Spans string")
+    r = S.redact(docs, parts=True).first()
+    assert (r.text, r.all_spans, r.Base_Spans) == ("[SECRET]", ["mine"], "x")
+
+
+def test_share_of_random_tokens_found(spark):
+    rnd = random.Random(5)
+    alphabets = {"hex": "0123456789abcdef", "base32": string.ascii_uppercase + "234567", "base62": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/"}
+    docs, kinds = [], {}
+    for name, letters in alphabets.items():
+        for n in (20, 24, 32, 40, 64):
+            for _ in range(20):
+                kinds[len(docs)] = name
+                docs.append((len(docs), f"see {''.join(rnd.choice(letters) for _ in range(n))} here"))
+    words = ["Parser", "Node", "Stream", "Factory", "Buffer", "Token", "Reader", "Cache", "Index", "Value"]
+    first = len(docs)
+    docs += [(first + i, f"class {''.join(rnd.sample(words, 4))} is") for i in range(200)]
+    got = {r.doc_id: r.spans for r in S.report(spark.createDataFrame(docs, "doc_id long, text string"), parts=True).collect()}
+    for name in alphabets:
+        own = [i for i, k in kinds.items() if k == name]
+        assert sum(got[i] != "" for i in own) >= 0.9 * len(own)
+    assert sum(got[i] != "" for i in range(first, len(docs))) <= 20  # 13 here
