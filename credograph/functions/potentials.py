@@ -12,7 +12,8 @@ KINDS = ("implication", "conjunction", "disjunction", "negation", "equivalence",
 
 
 def clamp(p: Column) -> Column:
-    return F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), p))
+    """``p`` in bounds; null stays null (an unknown prior is none)."""
+    return F.when(p.isNotNull(), F.greatest(F.lit(EPSILON), F.least(F.lit(1 - EPSILON), p)))
 
 
 def logit(p: Column) -> Column:

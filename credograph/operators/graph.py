@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-
-def cut(df: DataFrame) -> DataFrame:
-    """End the lineage in the session's shared checkpoint folder, where it has one."""
-    return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df
+from credograph.sources.folders import cut
 
 
 def reachable(edges: DataFrame, start: DataFrame | None = None, most: int = 64) -> DataFrame:

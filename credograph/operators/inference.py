@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from credograph.functions.potentials import clamp, entropy_bits, logit, potential, sigmoid
-from credograph.operators.graph import cut
+from credograph.sources.folders import cut
 
 MOST_VARIABLES = 26
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from credograph.operators.graph import cut
+from credograph.sources.folders import cut
 
 
 def sequence_gaps(events: DataFrame) -> DataFrame:
