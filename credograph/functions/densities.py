@@ -5,9 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import DoubleType
 
 _SHIFT = 8
 
@@ -72,9 +70,3 @@ def log_density(kind: str, x: Column, **given: Column | float) -> Column:
     if kind in _WHOLE:
         inside = inside & (x == F.floor(x))
     return F.when(x.isNull(), F.lit(None)).when(inside, out).otherwise(float("-inf"))
-
-
-@F.pandas_udf(DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    """P(Z <= z) of a standard normal variable; Spark has no error function."""
-    return z.map(lambda v: 0.5 * math.erfc(-v / math.sqrt(2)), na_action="ignore")

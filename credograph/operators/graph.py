@@ -7,20 +7,21 @@ from pyspark.sql import DataFrame, functions as F
 from credograph.sources.folders import cut
 
 
-def reachable(edges: DataFrame, start: DataFrame | None = None, most: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
     """node, ancestor, depth (shortest) of all that nodes reach over their parents."""
     edges = edges.select("child", "parent").distinct()
     front = edges.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     if start is not None:
         front = front.join(start, "node", "left_semi")
     found = front
-    for depth in range(2, most + 1):
+    depth = 1
+    while True:
+        depth += 1
         step = front.join(edges, front.ancestor == edges.child).select("node", F.col("parent").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
         front = cut(step.join(found, ["node", "ancestor"], "left_anti"))
         if front.isEmpty():
             return found
         found = cut(found.unionByName(front))
-    raise RuntimeError(f"paths are longer than {most}")
 
 
 def leaves(edges: DataFrame) -> DataFrame:
@@ -28,15 +29,31 @@ def leaves(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("child").alias("node")).distinct().join(edges.select(F.col("parent").alias("node")), "node", "left_anti")
 
 
+def peeled(edges: DataFrame) -> DataFrame:
+    """The edges that stay when nodes without parents or without children are taken away again and
+    again: those on cycles and on ways between cycles. Empty if there is no cycle."""
+    left = cut(edges.select("child", "parent").distinct())
+    n = left.count()
+    while n:
+        ends = left.select(F.col("parent").alias("node")).intersect(left.select(F.col("child").alias("node")))
+        left = cut(left.join(ends.withColumnRenamed("node", "child"), "child", "left_semi").join(ends.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent"))
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves."""
-    return reachable(edges).filter("node = ancestor").select("node")
+    """Nodes that reach themselves. Only what peeling leaves is searched."""
+    return reachable(peeled(edges)).filter("node = ancestor").select("node")
 
 
 def layers(edges: DataFrame) -> DataFrame:
-    """node and its layer: roots are 0, all others one more than their deepest parent. The graph
-    must have no cycle."""
-    edges = edges.select("child", "parent").distinct()
+    """node and its layer: roots are 0, all others one more than their deepest parent. A graph with
+    a cycle raises an error."""
+    edges = cut(edges.select("child", "parent").distinct())
+    if not peeled(edges).isEmpty():
+        raise ValueError("the graph has a cycle")
     nodes = edges.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
     out = nodes.select("node", F.lit(0).alias("layer"))
     while True:
@@ -47,6 +64,18 @@ def layers(edges: DataFrame) -> DataFrame:
             return out
 
 
+def reaching(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """Nodes from which a target (node) is reached over parents, targets included. Only nodes are
+    kept, whatever the number of ways."""
+    edges = cut(edges.select("child", "parent").distinct())
+    found = front = cut(targets.select("node").distinct())
+    while not front.isEmpty():
+        step = edges.join(front.withColumnRenamed("node", "parent"), "parent", "left_semi").select(F.col("child").alias("node")).distinct()
+        front = cut(step.join(found, "node", "left_anti"))
+        found = cut(found.unionByName(front))
+    return found
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """node, number of parents and of children."""
     ends = edges.select(F.col("child").alias("node"), F.lit(1).alias("p"), F.lit(0).alias("c")).unionByName(edges.select(F.col("parent").alias("node"), F.lit(0).alias("p"), F.lit(1).alias("c")))
@@ -56,8 +85,11 @@ def degrees(edges: DataFrame) -> DataFrame:
 def moral_edges(factors: DataFrame, most: int = 26) -> DataFrame:
     """a, b (a < b): variables that share a factor. ``factors`` has factor and variable; a factor
     of more than ``most`` variables, which no table could hold, raises an error."""
-    sets = factors.groupBy("factor").agg(F.sort_array(F.collect_set("variable")).alias("v"))
-    checked = sets.select(F.when(F.size("v") <= most, F.col("v")).otherwise(F.raise_error(F.lit("factor too wide")).cast(sets.schema["v"].dataType)).alias("v"))
+    once = factors.select("factor", "variable").distinct()
+    wide = once.groupBy("factor").agg(F.count("*").alias("n"))
+    # counted first, so that no wide factor is ever gathered
+    fit = wide.select(F.when(F.col("n") <= most, F.col("factor")).otherwise(F.raise_error(F.lit("factor too wide")).cast(wide.schema["factor"].dataType)).alias("factor"))
+    checked = once.join(fit, "factor").groupBy("factor").agg(F.sort_array(F.collect_list("variable")).alias("v"))
     return checked.select("v", F.posexplode("v").alias("i", "a")).select("a", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("b")).distinct()
 
 

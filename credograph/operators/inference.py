@@ -1,13 +1,15 @@
-"""Posterior beliefs: exact enumeration of small graphs, and belief propagation on large ones."""
+"""Exact enumeration of one small graph given as Python values, and comparison of models. Graphs as
+relations are in ``factor_graph`` and the modules that read it."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from credograph.functions.potentials import clamp, entropy_bits, logit, potential, sigmoid
-from credograph.sources.folders import cut
+from credograph.functions.densities import log_gamma
+from credograph.functions.potentials import clamp, entropy_bits, potential
 
 MOST_VARIABLES = 26
 
@@ -35,7 +37,7 @@ def states(spark: SparkSession, graph: FactorGraph) -> DataFrame:
     """Every assignment with its bits and log weight; states are dealt out over all tasks."""
     names = list(graph.priors)
     if len(names) > MOST_VARIABLES:
-        raise ValueError(f"more than {MOST_VARIABLES} variables; use propagate")
+        raise ValueError(f"more than {MOST_VARIABLES} variables; use message_passing")
     bits = {v: F.shiftright("id", i).bitwiseAND(1).cast("int") for i, v in enumerate(names)}
     own = spark.range(1 << len(names)).select("id", *[b.alias(v) for v, b in bits.items()])
     return own.withColumn("log_weight", graph.log_weight({v: F.col(v) for v in names}))
@@ -59,31 +61,6 @@ def marginals(spark: SparkSession, graph: FactorGraph) -> DataFrame:
     return sums.select(F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), (F.col(v) / F.col("z")).alias("posterior")) for v in graph.priors])))
 
 
-def propagate(variables: DataFrame, factors: DataFrame, rounds: int) -> DataFrame:
-    """variable, belief after ``rounds`` of flooding belief propagation. ``variables`` has
-    variable and prior; ``factors`` has factor, premise, conclusion, p1 and p2 (soft
-    entailments). Messages are log odds: what a variable sends to a factor is its sum without
-    that factor's own message. Sums combine within tasks, so a variable with very many factors
-    is no hot group; handing sums out is an ordinary join, split by Spark where it is skewed."""
-    own = variables.select("variable", logit(clamp(F.col("prior"))).alias("base"))
-    messages = factors.select("factor", "premise", "conclusion", "p1", "p2", F.lit(0.0).alias("up"), F.lit(0.0).alias("down"))
-
-    def sums(sent: DataFrame) -> DataFrame:
-        ends = sent.select(F.inline(F.array(F.struct(F.col("conclusion").alias("variable"), F.col("up").alias("m")), F.struct(F.col("premise").alias("variable"), F.col("down").alias("m")))))
-        came = ends.groupBy("variable").agg(F.sum("m").alias("m"))
-        return own.join(came, "variable", "left").select("variable", (F.col("base") + F.coalesce("m", F.lit(0.0))).alias("total"))
-
-    for _ in range(rounds):
-        total = sums(messages)
-        with_ends = messages.join(total.select(F.col("variable").alias("premise"), F.col("total").alias("a")), "premise").join(total.select(F.col("variable").alias("conclusion"), F.col("total").alias("b")), "conclusion")
-        q, r = sigmoid(F.col("a") - F.col("down")), sigmoid(F.col("b") - F.col("up"))
-        p1, p2 = F.col("p1"), F.col("p2")
-        up = logit(q * p1 + (1 - q) * (1 - p2))
-        down = F.log(r * p1 + (1 - r) * (1 - p1)) - F.log(r * (1 - p2) + (1 - r) * p2)
-        messages = cut(with_ends.select("factor", "premise", "conclusion", "p1", "p2", up.alias("up"), down.alias("down")))
-    return sums(messages).select("variable", sigmoid(F.col("total")).alias("belief"))
-
-
 def conditional_information(rows: DataFrame, p1: str, p2: str, prior: str) -> Column:
     """Bits that a premise of the given prior tells about the conclusion of a soft entailment."""
     q, a, b = F.col(prior), F.col(p1), 1 - F.col(p2)
@@ -94,11 +71,9 @@ def log_likelihood(observations: DataFrame, key: str, value: str, rates: dict[st
     """Per key, Poisson log likelihoods of whole-number observations under each rate, and the
     posterior of the models from equal priors. Only sums are shuffled."""
     x = F.col(value)
-    log_factorial = F.aggregate(F.when(x >= 2, F.sequence(F.lit(2), x.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + F.log(i))
+    log_factorial = log_gamma(x + 1)
     sums = observations.groupBy(key).agg(F.count("*").alias("n"), F.sum(x).alias("s"), F.sum(log_factorial).alias("f"))
-    import math
-
     logs = {m: F.col("s") * math.log(r) - F.col("n") * r - F.col("f") for m, r in rates.items()}
-    top = F.greatest(*logs.values())
+    top = F.array_max(F.array(*logs.values()))
     total = sum((F.exp(v - top) for v in logs.values()), F.lit(0.0))
     return sums.select(key, F.col("n").alias("n_observations"), F.inline(F.array(*[F.struct(F.lit(m).alias("model"), v.alias("log_likelihood"), (F.exp(v - top) / total).alias("posterior")) for m, v in logs.items()])))

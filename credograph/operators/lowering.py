@@ -46,12 +46,13 @@ def associate(rows: DataFrame, a_given_b: str, b_given_a: str, prior_a: str, pri
     marginals; over 1/4 where neither prior is known) and ``problem``: null, or why the given
     numbers fit no joint (cells and weights are then null)."""
     ab, ba = clamp(F.col(a_given_b)), clamp(F.col(b_given_a))
+    untold = ab.isNull() | ba.isNull()
     free = F.col(prior_a).isNull() & F.col(prior_b).isNull()
     a = F.coalesce(F.col(prior_a), F.col(prior_b) * ab / ba)
     b = F.coalesce(F.col(prior_b), F.col(prior_a) * ba / ab)
     both = (ba * a + ab * b) / 2
     told = {"p00": 1 - a - b + both, "p10": a - both, "p01": b - both, "p11": both}
-    problem = F.when(free, None).when(~((a > 0) & (a < 1) & (b > 0) & (b < 1)), "marginal").when(F.abs(ba * a - ab * b) > TOLERANCE, "inconsistent").when(F.least(*told.values()) < -TOLERANCE, "negative")
+    problem = F.when(untold, "conditional").when(free, None).when(~((a > 0) & (a < 1) & (b > 0) & (b < 1)), "marginal").when(F.abs(ba * a - ab * b) > TOLERANCE, "inconsistent").when(F.least(*told.values()) < -TOLERANCE, "negative")
     most = maxent_joint(ab, ba)
     base = {"p00": (1 - a) * (1 - b), "p10": a * (1 - b), "p01": (1 - a) * b, "p11": a * b}
     cell = {k: F.when(free, most[k]).otherwise(F.greatest(told[k], F.lit(0.0))) for k in told}

@@ -17,7 +17,8 @@ def matches(source: Column, pattern: str) -> Column:
 def resolve(records: DataFrame, policy: str, sources: list[str] = (), cutoff: datetime | None = None) -> DataFrame:
     """The winning record of each knowledge_id. ``latest``: the newest; ``source``: the newest of
     the first pattern alone; ``explicit_priority``: the newest of the first pattern that matches.
-    Records after ``cutoff`` don't count; of equal ones the first (least pos) wins. Winners are
+    Records after ``cutoff`` don't count; one without a time counts as older than all others; of
+    equal ones the first (least pos) wins. Winners are
     picked by an aggregate, which combines within tasks, so a claim with many records is no burden."""
     if cutoff is not None:
         records = records.filter(F.col("created_at") <= F.lit(cutoff))
@@ -26,7 +27,7 @@ def resolve(records: DataFrame, policy: str, sources: list[str] = (), cutoff: da
         wanted = list(sources)[:1] if policy == "source" else list(sources)
         tier = F.coalesce(*[F.when(matches(F.col("source_id"), p), i) for i, p in enumerate(wanted)])
     ranked = records.withColumn("tier", tier).filter("tier is not null")
-    best = F.min_by(F.struct("value", "source_id", "created_at"), F.struct("tier", -F.unix_micros(F.col("created_at").cast("timestamp_ltz")), "pos"))
+    best = F.min_by(F.struct("value", "source_id", "created_at"), F.struct("tier", -F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp_ltz")), F.lit(-(1 << 62))), "pos"))
     return ranked.groupBy("knowledge_id").agg(best.alias("w")).select("knowledge_id", "w.*")
 
 

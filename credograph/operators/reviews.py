@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def latest(reviews: DataFrame) -> DataFrame:
-    """target_id and the status of its highest round."""
-    return reviews.groupBy("target_id").agg(F.max_by("status", "round").alias("status"), F.max("round").alias("round"))
+    """target_id and the status of its highest round; of equal rounds the first (least ``pos``, or
+    least status where there is none) counts."""
+    first = F.col("pos") if "pos" in reviews.columns else F.col("status")
+    return reviews.groupBy("target_id").agg(F.min_by("status", F.struct(-F.col("round"), first)).alias("status"), F.max("round").alias("round"))
 
 
 def gate(targets: DataFrame, reviews: DataFrame) -> DataFrame:

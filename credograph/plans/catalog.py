@@ -8,15 +8,14 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from credograph.operators import changes, graph, inference, priors, reviews, trace
-from credograph.plans import modeling
-from credograph.plans.shared import EDGES, PRIORS, STATES, small_graph
+from credograph.plans import beliefs, modeling
+from credograph.plans.shared import EDGES, PRIORS
 from credograph.sources import tables as T
 
 PRIORITY = ["1-URGENT", "2-*", "*"]
 #: Phrases that weaken a claim, by severity.
 PHRASES = {" obviously ": "error", " it is known ": "warning", " the ": "warning", " und ": "warning"}
 RATES = {"low": 20.0, "middle": 25.5, "high": 30.0}
-ROUNDS = 4
 
 _REVIEWS = "(SELECT l_orderkey AS target_id, l_linenumber AS round, CASE WHEN l_returnflag = 'R' THEN 'rejected' WHEN l_linestatus = 'F' THEN 'accepted' ELSE 'unreviewed' END AS status FROM lineitem)"
 
@@ -51,7 +50,7 @@ def prior_dissent(spark, sf_dir):
 
 
 def prior_coverage_gaps(spark, sf_dir):
-    return priors.uncovered(T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("knowledge_id")), T.prior_records(spark, sf_dir))
+    return priors.uncovered(T.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("knowledge_id")), T.prior_records(spark, sf_dir))
 
 
 def latest_review(spark, sf_dir):
@@ -82,10 +81,14 @@ def topo_layers(spark, sf_dir):
 
 
 def cycle_check(spark, sf_dir):
-    """A ring of each nation's key and the next one, beside the strategy edges."""
+    """All strategy edges, and one from a region back to the nation of key 3."""
     n = T.table(spark, sf_dir, "nation")
-    ring = n.select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("child"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("parent")).filter("parent = 'n3'")
-    return graph.cycles(T.strategy_edges(spark, sf_dir).filter("child not like 'c%'").unionByName(ring))
+    back = n.filter("n_nationkey = 3").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("child"), F.lit("n3").alias("parent"))
+    return graph.cycles(T.strategy_edges(spark, sf_dir).unionByName(back))
+
+
+def reaching_exports(spark, sf_dir):
+    return graph.reaching(T.strategy_edges(spark, sf_dir), T.table(spark, sf_dir, "region").filter("r_name < 'B'").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node")))
 
 
 def node_degrees(spark, sf_dir):
@@ -133,38 +136,6 @@ def redteam_scan(spark, sf_dir):
     return changes.phrase_findings(T.table(spark, sf_dir, "documents"), "doc_id", "text", PHRASES)
 
 
-def exact_posterior_small(spark, sf_dir):
-    return inference.marginals(spark, small_graph(spark, sf_dir)).withColumn("posterior", F.round("posterior", 5))
-
-
-def exact_joint_small(spark, sf_dir):
-    return inference.joint(spark, small_graph(spark, sf_dir), ["n0", "n1"]).withColumn("p", F.round("p", 6))
-
-
-def _tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges = T.strategy_edges(spark, sf_dir)
-    factors = edges.select(F.concat_ws(">", "child", "parent").alias("factor"), F.col("child").alias("premise"), F.col("parent").alias("conclusion"), F.lit(0.55).alias("p1"), F.lit(0.6).alias("p2"))
-    nodes = edges.select(F.explode(F.array("child", "parent")).alias("variable")).distinct()
-    return nodes.select("variable", (0.2 + F.length("variable") / 10).alias("prior")), factors
-
-
-def belief_propagation(spark, sf_dir):
-    return inference.propagate(*_tree(spark, sf_dir), ROUNDS).withColumn("belief", F.round("belief", 6))
-
-
-def _bp_sql() -> str:
-    out = f"""WITH e AS {EDGES}, nodes AS (SELECT DISTINCT variable FROM (SELECT child AS variable FROM e UNION ALL SELECT parent FROM e)),
-base AS (SELECT variable, ln(p) - ln(1 - p) AS base FROM (SELECT variable, least(greatest(0.2 + length(variable) / 10.0::double, 0.001), 0.999) AS p FROM nodes)),
-m0 AS (SELECT child, parent, 0.0::double AS up, 0.0::double AS down FROM e)"""
-    total = lambda k: f"t{k} AS (SELECT variable, base + coalesce(m, 0) AS total FROM base LEFT JOIN (SELECT variable, sum(m) AS m FROM (SELECT parent AS variable, up AS m FROM m{k} UNION ALL SELECT child, down FROM m{k}) GROUP BY variable) USING (variable))"
-    for k in range(ROUNDS):
-        out += f""",
-{total(k)},
-m{k + 1} AS (SELECT child, parent, ln(q * 0.55 + (1 - q) * 0.4) - ln(1 - (q * 0.55 + (1 - q) * 0.4)) AS up, ln(r * 0.55 + (1 - r) * 0.45) - ln(r * 0.4 + (1 - r) * 0.6) AS down
-  FROM (SELECT child, parent, 1 / (1 + exp(-(a.total - down))) AS q, 1 / (1 + exp(-(b.total - up))) AS r FROM m{k} JOIN t{k} a ON a.variable = child JOIN t{k} b ON b.variable = parent))"""
-    return out + f",\n{total(ROUNDS)}\nSELECT variable, round(1 / (1 + exp(-total)), 6) AS belief FROM t{ROUNDS}"
-
-
 def mutual_information(spark, sf_dir):
     rows = T.table(spark, sf_dir, "supplier").select("s_suppkey", ((F.col("s_acctbal") + 1000) / 11000).alias("prior"), F.lit(0.9).alias("p1"), F.lit(0.7).alias("p2"))
     return rows.select("s_suppkey", F.round(inference.conditional_information(rows, "p1", "p2", "prior"), 6).alias("bits"))
@@ -187,7 +158,7 @@ def _closure(edges: str) -> str:
     return f"WITH RECURSIVE e AS {edges}, c AS (SELECT child AS node, parent AS ancestor, 1 AS depth FROM e UNION SELECT node, parent, depth + 1 FROM c JOIN e ON ancestor = child WHERE depth < 8)"
 
 
-_RING = f"(SELECT * FROM {EDGES} WHERE child NOT LIKE 'c%' UNION ALL SELECT 'r' || n_regionkey, 'n3' FROM nation WHERE n_nationkey = 3)"
+_RING = f"(SELECT * FROM {EDGES} UNION ALL SELECT 'r' || n_regionkey, 'n3' FROM nation WHERE n_nationkey = 3)"
 _LIKELIHOOD = " UNION ALL ".join(f"SELECT *, '{m}' AS model, s * ln({r}::double) - n * {r}::double - f AS l FROM sums" for m, r in RATES.items())
 _CHANGED = "CASE WHEN b.c_custkey IS NULL THEN 'added' WHEN a.c_custkey IS NULL THEN 'removed' ELSE 'changed' END"
 
@@ -197,7 +168,7 @@ SQL: dict[str, str] = {
     "prior_resolution_source": _winners("0", "source_id = '3-MEDIUM'"),
     "prior_resolution_cutoff": _winners("0", "created_at <= TIMESTAMP '1998-01-01'"),
     "prior_dissent": f"SELECT knowledge_id, count(*) AS n_records, round(max(value) - min(value), 8) AS spread FROM {PRIORS} GROUP BY 1 HAVING count(*) >= 2 AND max(value) - min(value) > 0.2",
-    "prior_coverage_gaps": "SELECT c_custkey AS knowledge_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "prior_coverage_gaps": "SELECT p_partkey AS knowledge_id FROM part WHERE p_partkey NOT IN (SELECT o_custkey FROM orders)",
     "latest_review": _latest_sql(),
     "review_gate": f"SELECT o_orderkey AS target_id, nullif(o_orderstatus, 'P') AS label FROM orders LEFT JOIN ({_latest_sql()}) ON target_id = o_orderkey WHERE o_orderstatus = 'P' OR status = 'accepted'",
     "review_status_counts": f"SELECT status, count(*) AS n_targets FROM ({_latest_sql()}) GROUP BY 1",
@@ -205,6 +176,7 @@ SQL: dict[str, str] = {
     "leaves": f"WITH e AS {EDGES} SELECT DISTINCT child AS node FROM e WHERE child NOT IN (SELECT parent FROM e)",
     "topo_layers": f"{_closure(EDGES)} SELECT node, max(depth)::int AS layer FROM (SELECT node, depth FROM c UNION ALL SELECT parent, 0 FROM e) GROUP BY 1",
     "cycle_check": f"{_closure(_RING)} SELECT DISTINCT node FROM c WHERE node = ancestor",
+    "reaching_exports": f"{_closure(EDGES)}, t AS (SELECT 'r' || r_regionkey AS node FROM region WHERE r_name < 'B') SELECT DISTINCT node FROM c WHERE ancestor IN (SELECT node FROM t) UNION SELECT node FROM t",
     "node_degrees": f"WITH e AS {EDGES} SELECT node, sum(p)::bigint AS n_parents, sum(c)::bigint AS n_children FROM (SELECT child AS node, 1 AS p, 0 AS c FROM e UNION ALL SELECT parent, 0, 1 FROM e) GROUP BY 1",
     "trace_seq_gaps": "SELECT * FROM (SELECT conv_id AS trace_id, turn AS seq, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) + 1 AS expected FROM conversations WHERE role != 'system') WHERE seq != expected",
     "trace_ts_disorder": "SELECT * FROM (SELECT user_id AS trace_id, value AS at, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY value, event_id) AS before FROM events) WHERE ts < before",
@@ -219,9 +191,6 @@ UNION ALL SELECT category, id, 'c_name', b1, a1 FROM j WHERE category = 'changed
     "duplicate_content": r"""WITH t AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', ' ', 'g'))) AS c FROM documents)
 SELECT doc_id, "first", n AS n_alike FROM t JOIN (SELECT c, min(doc_id) AS "first", count(*) AS n FROM t GROUP BY c HAVING count(*) > 1) USING (c) WHERE doc_id != "first\"""".replace('\\"', '"'),
     "redteam_scan": " UNION ALL ".join(f"SELECT doc_id, '{p}' AS phrase, '{s}' AS severity FROM documents WHERE contains(lower(' ' || coalesce(text, '') || ' '), '{p}')" for p, s in PHRASES.items()),
-    "exact_posterior_small": STATES + "SELECT variable, round(sum(CASE WHEN (id >> bit) & 1 = 1 THEN w ELSE 0 END) / sum(w), 5) AS posterior FROM weights, names GROUP BY 1",
-    "exact_joint_small": STATES + "SELECT (id & 1)::int AS n0, ((id >> 1) & 1)::int AS n1, round(sum(w) / (SELECT sum(w) FROM weights), 6) AS p FROM weights GROUP BY 1, 2",
-    "belief_propagation": _bp_sql(),
     "mutual_information": f"SELECT s_suppkey, round(greatest({_entropy('c')} - q * {_entropy('0.9::double')} - (1 - q) * {_entropy('0.3::double')}, 0.0), 6) AS bits FROM (SELECT *, q * 0.9::double + (1 - q) * 0.3::double AS c FROM (SELECT s_suppkey, (s_acctbal + 1000) / 11000 AS q FROM supplier))",
     "model_compare": f"""WITH sums AS (SELECT l_partkey, count(*) AS n, sum(l_quantity) AS s, sum(lgamma(l_quantity + 1)) AS f FROM lineitem GROUP BY 1),
 l AS ({_LIKELIHOOD}) SELECT l_partkey, n AS n_observations, model, round(l, 4) AS log_likelihood, round(exp(l - max(l) OVER w) / sum(exp(l - m)) OVER w, 5) AS posterior FROM (SELECT *, max(l) OVER (PARTITION BY l_partkey) AS m FROM l) WINDOW w AS (PARTITION BY l_partkey)""",
@@ -229,11 +198,11 @@ l AS ({_LIKELIHOOD}) SELECT l_partkey, n AS n_observations, model, round(l, 4) A
 
 
 OWN = tuple(SQL)
-SQL |= modeling.SQL
+SQL |= modeling.SQL | beliefs.SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in OWN} | {name: getattr(modeling, name) for name in (*modeling.SQL, *modeling.ROWS_ONLY)}
+    return {name: globals()[name] for name in OWN} | {name: getattr(part, name) for part in (modeling, beliefs) for name in (*part.SQL, *part.ROWS_ONLY)}
 
 
 def oracle_sql() -> dict[str, str]:

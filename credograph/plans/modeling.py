@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from credograph.functions.densities import log_density, normal_cdf
+from credograph.functions.densities import log_density
 from credograph.operators import graph, inference, logic, lowering, priors, trace, validation
 from credograph.plans import shared as S
 from credograph.sources import tables as T
 
 FORMULAS = {"f1": ("implies", "a", "b"), "f2": ("or", ("not", "a"), "b"), "f3": ("and", "a", ("not", "b")), "f4": ("iff", "c", "d"), "f5": ("and", "c", "d"), "f6": ("or", "d", ("not", "d"))}
-EVENT = ("or", "n0", ("not", "n1"))
 
 
 def _unit(column: str) -> Column:
@@ -18,7 +17,7 @@ def _unit(column: str) -> Column:
 
 
 def support_factors(spark, sf_dir):
-    p1, p2 = lowering.support(F.least(_unit("o_totalprice"), F.lit(0.999)))
+    p1, p2 = lowering.support(F.when(F.col("o_totalprice").isNotNull(), F.least(_unit("o_totalprice"), F.lit(0.999))))
     return T.table(spark, sf_dir, "orders").select("o_orderkey", F.round(p1, 6).alias("p1"), p2.alias("p2"))
 
 
@@ -67,11 +66,6 @@ def connected_components(spark, sf_dir):
     return graph.components(T.strategy_edges(spark, sf_dir))
 
 
-def event_probability(spark, sf_dir):
-    joint = inference.joint(spark, S.small_graph(spark, sf_dir), ["n0", "n1"])
-    return logic.event_probability(joint, EVENT).withColumn("p", F.round("p", 6))
-
-
 def formula_findings(spark, sf_dir):
     return logic.inspect(spark, FORMULAS)
 
@@ -88,13 +82,6 @@ def log_densities(spark, sf_dir):
     return rows.filter("log_p > double('-infinity')").withColumn("log_p", F.round("log_p", 6))
 
 
-def normal_cdf_prior(spark, sf_dir):
-    """P(balance above 5000), clamped, where the balance is measured with an error of 2000. Tested
-    against the error function; SQL has none."""
-    z = (F.col("c_acctbal") - 5000) / 2000
-    return T.table(spark, sf_dir, "customer").select("c_custkey", F.greatest(F.lit(0.001), F.least(F.lit(0.999), normal_cdf(z))).alias("prior"))
-
-
 def prior_overridden(spark, sf_dir):
     records = T.prior_records(spark, sf_dir)
     winner = priors.resolve(records, "latest").select("knowledge_id", F.col("value").alias("winner"))
@@ -102,12 +89,13 @@ def prior_overridden(spark, sf_dir):
 
 
 def _claims(spark, sf_dir):
-    return T.table(spark, sf_dir, "customer").filter("c_custkey % 10 != 3").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
+    return T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("label"))
 
 
 def validate_priors(spark, sf_dir):
-    helpers = T.table(spark, sf_dir, "customer").filter("c_nationkey = 7").select(F.col("c_custkey").alias("id"))
-    return validation.check_priors(T.prior_records(spark, sf_dir), _claims(spark, sf_dir), helpers)
+    """Records of customers, where only keys that are a supplier's too are known claims."""
+    claims = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey")
+    return validation.check_priors(T.prior_records(spark, sf_dir), claims, claims.filter("s_nationkey = 7"))
 
 
 def validate_strategies(spark, sf_dir):
@@ -178,7 +166,7 @@ def _formula_sql() -> str:
     return " UNION ALL ".join(rows)
 
 
-_CLAIMS = "(SELECT c_custkey AS id, c_mktsegment AS label FROM customer WHERE c_custkey % 10 != 3)"
+_CLAIMS = "(SELECT c_custkey AS id, c_mktsegment AS label FROM customer)"
 _N = "(SELECT n_nationkey AS id FROM nation WHERE n_nationkey BETWEEN 2 AND 19)"
 
 SQL: dict[str, str] = {
@@ -198,12 +186,11 @@ s AS (SELECT factor, bool_or(NOT hard) AS soft FROM h GROUP BY 1) SELECT factor,
     "moral_graph": "SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey",
     "connected_components": f"""WITH RECURSIVE e AS (SELECT child AS x, parent AS y FROM {S.EDGES} UNION ALL SELECT parent, child FROM {S.EDGES}), up AS (SELECT child AS node, parent AS root FROM {S.EDGES} UNION SELECT node, parent FROM up JOIN {S.EDGES} g ON root = g.child),
 r AS (SELECT node, root FROM up WHERE root LIKE 'r%' UNION SELECT root, root FROM up WHERE root LIKE 'r%') SELECT node, min(node) OVER (PARTITION BY root) AS component FROM r""",
-    "event_probability": S.STATES + "SELECT round(sum(CASE WHEN id & 1 = 1 OR id & 2 = 0 THEN w ELSE 0 END) / sum(w), 6) AS p FROM weights",
     "formula_findings": _formula_sql(),
     "log_densities": _density_sql(),
     "prior_overridden": f"WITH p AS {S.PRIORS} SELECT knowledge_id, pos, round(value, 6) AS value, round(winner, 6) AS winner FROM (SELECT *, first_value(value) OVER (PARTITION BY knowledge_id ORDER BY created_at DESC, pos) AS winner FROM p) WHERE abs(value - winner) > 1e-9",
-    "validate_priors": f"""WITH p AS {S.PRIORS}, f AS (SELECT 'prior_dangling' AS check_name, knowledge_id FROM p WHERE knowledge_id NOT IN (SELECT id FROM {_CLAIMS})
-UNION ALL SELECT 'prior_on_helper', knowledge_id FROM p WHERE knowledge_id IN (SELECT c_custkey FROM customer WHERE c_nationkey = 7) UNION ALL SELECT 'prior_out_of_bounds', knowledge_id FROM p WHERE NOT value BETWEEN 0.001 AND 0.999)
+    "validate_priors": f"""WITH p AS {S.PRIORS}, f AS (SELECT 'prior_dangling' AS check_name, knowledge_id FROM p WHERE knowledge_id NOT IN (SELECT s_suppkey FROM supplier)
+UNION ALL SELECT 'prior_on_helper', knowledge_id FROM p WHERE knowledge_id IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 7) UNION ALL SELECT 'prior_out_of_bounds', knowledge_id FROM p WHERE NOT value BETWEEN 0.001 AND 0.999)
 SELECT check_name, knowledge_id::varchar AS id, count(*) AS n_records FROM f GROUP BY ALL""",
     "validate_strategies": f"SELECT DISTINCT check_name, id::varchar AS id FROM (SELECT 'premise_unknown' AS check_name, n_nationkey AS id FROM nation WHERE n_nationkey NOT IN {_N} UNION ALL SELECT 'conclusion_unknown', n_regionkey FROM nation WHERE n_regionkey NOT IN {_N} UNION ALL SELECT 'self_loop', n_nationkey FROM nation WHERE n_nationkey = n_regionkey)",
     "validate_claims": f"SELECT 'id_shape' AS check_name, id::varchar AS id FROM {_CLAIMS} WHERE NOT regexp_full_match(id::varchar, '[1-9]*') UNION ALL SELECT 'id_repeated', id::varchar FROM {_CLAIMS} GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'label_repeated', label FROM {_CLAIMS} GROUP BY label HAVING count(*) > 1",
@@ -214,5 +201,5 @@ SELECT check_name, knowledge_id::varchar AS id, count(*) AS n_records FROM f GRO
 SELECT event_id, max(n)::bigint AS n_retries FROM w GROUP BY 1""",
 }
 
-#: Registered without SQL: DuckDB has no error function.
-ROWS_ONLY = ("normal_cdf_prior",)
+#: Registered without SQL.
+ROWS_ONLY = ()

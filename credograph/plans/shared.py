@@ -1,36 +1,7 @@
-"""Parts that several query modules use: views in SQL, and the small factor graph."""
+"""SQL that several query modules use."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, functions as F
-
-from credograph.operators import inference
-from credograph.sources import tables as T
-
 PRIORS = "(SELECT o_custkey AS knowledge_id, o_orderpriority AS source_id, least(o_totalprice / 1e6, 0.999) AS value, o_orderdate AS created_at, o_orderkey AS pos FROM orders)"
 EDGES = """(SELECT 'n' || n_nationkey AS child, 'r' || n_regionkey AS parent FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier
   UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer)"""
-
-
-def small_graph(spark: SparkSession, sf_dir: str) -> inference.FactorGraph:
-    """Five nations that support their regions, and a contradiction of two regions. Priors are
-    mean balances of suppliers; at most ten rows come to the driver."""
-    n, s = T.table(spark, sf_dir, "nation").filter("n_nationkey < 5"), T.table(spark, sf_dir, "supplier")
-    rows = n.join(s, n.n_nationkey == s.s_nationkey, "left").groupBy("n_nationkey", "n_regionkey").agg(F.avg("s_acctbal").alias("m")).orderBy("n_nationkey").collect()
-    made = inference.FactorGraph()
-    for k, _, m in rows:
-        made.priors[f"n{k}"] = ((m or 0.0) + 1000) / 11000
-    for r in sorted({r for _, r, _ in rows}):
-        made.priors[f"r{r}"] = None
-    made.factors = [("soft_entailment", [f"n{k}"], f"r{r}", {"p1": 0.9, "p2": 0.6}) for k, r, _ in rows]
-    return made
-
-
-STATES = """WITH v AS (SELECT n_nationkey AS k, n_regionkey AS r, (coalesce(avg(s_acctbal), 0) + 1000) / 11000 AS p FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE n_nationkey < 5 GROUP BY ALL),
-regions AS (SELECT r, row_number() OVER (ORDER BY r) + 4 AS bit FROM (SELECT DISTINCT r FROM v)),
-size AS (SELECT 5 + count(*) AS n FROM regions),
-states AS (SELECT unnest(range((1 << (SELECT n FROM size)::int)::bigint)) AS id),
-terms AS (SELECT id, 'n' || k AS child, 'r' || v.r AS parent, (id >> k) & 1 AS a, (id >> bit) & 1 AS b, least(greatest(p, 0.001), 0.999) AS p FROM states, v JOIN regions USING (r)),
-weights AS (SELECT id, exp(sum(ln(CASE WHEN a = 1 THEN p ELSE 1 - p END) + ln(CASE WHEN a = 1 THEN CASE WHEN b = 1 THEN 0.9 ELSE 0.1 END ELSE CASE WHEN b = 0 THEN 0.6 ELSE 0.4 END END))) AS w FROM terms GROUP BY id),
-names AS (SELECT 'n' || k AS variable, k AS bit FROM v UNION ALL SELECT 'r' || r, bit FROM regions)
-"""

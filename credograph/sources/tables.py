@@ -12,7 +12,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prior_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """knowledge_id, source_id, value, created_at, pos: one record for each order of a customer."""
     return table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("knowledge_id"), F.col("o_orderpriority").alias("source_id"), F.least(F.col("o_totalprice") / 1e6, F.lit(0.999)).alias("value"),
+        F.col("o_custkey").alias("knowledge_id"), F.col("o_orderpriority").alias("source_id"), F.when(F.col("o_totalprice").isNotNull(), F.least(F.col("o_totalprice") / 1e6, F.lit(0.999))).alias("value"),
         F.col("o_orderdate").alias("created_at"), F.col("o_orderkey").alias("pos"),
     )
 

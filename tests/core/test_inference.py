@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credograph.functions import potentials
-from credograph.operators import graph, inference, priors, trace
+from credograph.operators import graph, inference, message_passing, priors, trace
 
 TRUTH = {
     "implication": lambda a, b: not a or b, "conjunction": lambda a, b: a and b, "disjunction": lambda a, b: a or b,
@@ -39,9 +39,9 @@ def test_exact_and_propagated_beliefs_agree_on_a_tree(spark):
         for v in mass:
             mass[v] += w * x[v]
     assert exact == pytest.approx({v: m / total for v, m in mass.items()}, abs=1e-9)
-    variables = spark.createDataFrame(list(g.priors.items()), "variable string, prior double")
-    factors = spark.createDataFrame([(f"{m}>{c}", m, c, how["p1"], how["p2"]) for _, (m,), c, how in g.factors], "factor string, premise string, conclusion string, p1 double, p2 double")
-    assert {r.variable: r.belief for r in inference.propagate(variables, factors, 4).collect()} == pytest.approx(exact, abs=1e-9)
+    variables = spark.createDataFrame([(v, p, None) for v, p in g.priors.items()], "variable string, prior double, hard int")
+    factors = spark.createDataFrame([(f"{m}>{c}", kind, [m], c, how["p1"], how["p2"], None) for kind, (m,), c, how in g.factors], "factor string, kind string, inputs array<string>, conclusion string, p1 double, p2 double, weights array<double>")
+    assert {r.variable: r.belief for r in message_passing.loopy(variables, factors, damping=1.0).collect()} == pytest.approx(exact, abs=1e-9)
 
 
 def test_too_many_variables(spark):

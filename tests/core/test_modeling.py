@@ -3,7 +3,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from credograph.functions.densities import log_density, normal_cdf
+from credograph.functions.cumulative import cumulative
+from credograph.functions.densities import log_density
 from credograph.operators import graph, logic, trace
 
 
@@ -11,7 +12,7 @@ def test_densities(spark):
     row = spark.range(1).select(
         log_density("binomial", F.lit(295), n=395, p=0.75).alias("b"), log_density("betabinomial", F.lit(295), n=395, alpha=1, beta=1).alias("bb"),
         log_density("exponential", F.lit(-1), rate=2).alias("out"), log_density("poisson", F.lit(1.5), rate=2).alias("half"), log_density("normal", F.lit(None), mu=0, sigma=1).alias("none"),
-        normal_cdf(F.lit(1.0)).alias("cdf"), normal_cdf(F.lit(None).cast("double")).alias("null_cdf"),
+        cumulative("normal", F.lit(1.0), mu=0, sigma=1).alias("cdf"), cumulative("normal", F.lit(None).cast("double"), mu=0, sigma=1).alias("null_cdf"),
     ).first()
     want = math.lgamma(396) - math.lgamma(296) - math.lgamma(101) + 295 * math.log(0.75) + 100 * math.log(0.25)
     assert row.b == pytest.approx(want, rel=1e-9)
