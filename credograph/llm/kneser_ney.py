@@ -79,7 +79,33 @@ def _rows(shard: np.ndarray, columns: list[np.ndarray], names: list[str]) -> Ite
 
 
 _COUNTS = "shard int, key bigint, c bigint"
-_PAIRS = "shard int, first bigint, second bigint, c bigint"
+_PAIRS = "shard int, first binary, second binary, c binary"
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on in as many bytes each (1, 2, 4 or 8) as the largest needs."""
+    top = int(x.max()) if len(x) else 0
+    width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w - (w == 8))
+    return bytes([width]) + x.astype(f"<u{width}").tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def _pair_rows(shard: np.ndarray, first: np.ndarray, second: np.ndarray, counts: np.ndarray, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """Pairs by shard and first number, many in a row, so that little is written for each."""
+    order = np.lexsort((first, shard))
+    shard, first, second, counts = shard[order], first[order], second[order], counts[order]
+    cuts = np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1], [True]))) if len(shard) else []
+    rows: list[tuple] = []
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        for k in range(i, j, most):
+            s = slice(k, min(k + most, j))
+            rows.append((int(shard[i]), packed(np.diff(first[s], prepend=0)), packed(second[s]), packed(counts[s])))
+            if len(rows) >= 200 or s.stop == len(shard):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "first", "second", "c"])
+                rows = []
 
 
 def _text(batch: pa.RecordBatch) -> pa.Array:
@@ -270,7 +296,7 @@ def train(docs: DataFrame, text_col: str = "text", word_shard: int = 1_000_000,
 
     def rows(found: tuple) -> Iterator[pa.RecordBatch]:
         _, times, a, b = found
-        return _rows(shape.shard(a, b, tokens_of(a)), [a, b, times], ["first", "second", "c"])
+        return _pair_rows(shape.shard(a, b, tokens_of(a)), a, b, times)
 
     def tokens_of(number: np.ndarray) -> np.ndarray:
         out = np.zeros(len(number), np.int64)
@@ -286,7 +312,13 @@ def train(docs: DataFrame, text_col: str = "text", word_shard: int = 1_000_000,
         return _added_up(batches, pairs, rows, held)
 
     def write(batches):
-        for s, total in _by_shard(batches, lambda total, a, b, c: total.put(pair_key(a, b), c, a, b)).items():
+        shards: dict[int, _Sum] = {}
+        for batch in batches:
+            for s, *raw in zip(*(x.to_pylist() for x in batch.columns)):
+                a, b, c = map(unpacked, raw)
+                a = np.cumsum(a)
+                shards.setdefault(s, _Sum(_HELD)).put(pair_key(a, b), c, a, b)
+        for s, total in shards.items():
             keys, times, a, b = total.take()
             files.write_array(f"{folder}/pairs-{s}", keys)
             files.write_array(f"{folder}/times-{s}", times)

@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from credograph.llm import kneser_ney as K
 
@@ -71,6 +72,13 @@ def test_matches_brute_force(spark, how):
         assert r.base_score == pytest.approx(base, abs=1e-9) and r.score == pytest.approx(logs, abs=1e-9)
 
 
+def test_packed_numbers():
+    for top in (0, 255, 256, 1 << 31, (1 << 32) + 5, (1 << 62) + 1):
+        x = np.array([0, 3, top], np.int64)
+        assert K.unpacked(K.packed(x)).tolist() == x.tolist()
+    assert len(K.packed(np.array([255]))) == 2 and K.unpacked(K.packed(np.zeros(0, np.int64))).tolist() == []
+
+
 def test_nothing_to_learn(spark):
     frame = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     r = K.score(frame, K.train(frame.limit(0))).first()
