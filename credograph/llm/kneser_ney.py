@@ -93,7 +93,7 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
-def _pair_rows(shard: np.ndarray, first: np.ndarray, second: np.ndarray, counts: np.ndarray, most: int = 100_000) -> Iterator[pa.RecordBatch]:
+def _pair_rows(shard: np.ndarray, first: np.ndarray, second: np.ndarray, counts: np.ndarray, most: int = 4_000) -> Iterator[pa.RecordBatch]:
     """Pairs by shard and first number, many in a row, so that little is written for each."""
     order = np.lexsort((first, shard))
     shard, first, second, counts = shard[order], first[order], second[order], counts[order]
@@ -103,7 +103,7 @@ def _pair_rows(shard: np.ndarray, first: np.ndarray, second: np.ndarray, counts:
         for k in range(i, j, most):
             s = slice(k, min(k + most, j))
             rows.append((int(shard[i]), packed(np.diff(first[s], prepend=0)), packed(second[s]), packed(counts[s])))
-            if len(rows) >= 200 or s.stop == len(shard):
+            if len(rows) >= 1000 or s.stop == len(shard):
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "first", "second", "c"])
                 rows = []
 
