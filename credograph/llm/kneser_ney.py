@@ -32,7 +32,7 @@ from credograph.llm.shared import new_path, small_batches
 from credograph.llm.spans import BLANKS, Group, groups, hash_words, mix
 
 END = hash_words([b"\n"])[0]
-_HELD = 3_000_000
+_HELD = 2_000_000
 def with_ends(g: Group) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of a group, each document's followed by an end, and first tokens' places."""
     h, first = g.words(BLANKS)
