@@ -31,8 +31,17 @@ def duplicates(claims: DataFrame, key: str, content: str) -> DataFrame:
     return own.join(groups, "h").filter(F.col(key) != F.col("first")).select(key, "first", F.col("n").alias("n_alike"))
 
 
-def phrase_findings(claims: DataFrame, key: str, content: str, phrases: dict[str, str]) -> DataFrame:
-    """A row for each claim and phrase in its text, with the phrase's severity."""
+#: Phrases by detector, with its severity.
+PHRASES = {
+    "redteam_shortcut": ("error", ("sorry", "admit", "axiom", "assume without proof")),
+    "redteam_weak_provenance": ("warning", ("obvious", "clearly", "trivial", "self-evident")),
+    "redteam_target_weakening": ("warning", ("there exists", "at least one", "some ", " may ", " could ")),
+}
+
+
+def phrase_findings(claims: DataFrame, key: str, content: str, phrases: dict[str, tuple[str, tuple[str, ...]]] = PHRASES) -> DataFrame:
+    """A row for each claim and phrase in its text: detector, phrase, severity."""
     text = F.lower(F.concat(F.lit(" "), F.coalesce(content, F.lit("")), F.lit(" ")))
-    hits = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(p)), F.struct(F.lit(p).alias("phrase"), F.lit(s).alias("severity"))) for p, s in phrases.items()]))
-    return claims.select(key, F.inline(hits))
+    found = lambda d, p, s: F.struct(F.lit(d).alias("detector"), F.lit(p).alias("phrase"), F.lit(s).alias("severity"))
+    own = [F.when(F.contains(text, F.lit(p)), found(d, p, s)) for d, (s, each) in phrases.items() for p in each]
+    return claims.select(key, F.inline(F.array_compact(F.array(*own))))

@@ -3,7 +3,11 @@ work is split by trace; counts combine within tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from credograph.sources.folders import cut
 
@@ -26,17 +30,89 @@ def actor_switches(events: DataFrame) -> DataFrame:
     return events.select("trace_id", "seq", before.alias("before"), "actor").filter("before != actor")
 
 
+def json_text(text: Column) -> Column:
+    """A string as canonical JSON: quotes, backslashes and control characters escaped, nothing
+    else; null for a null."""
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    full = plain
+    for code in range(32):
+        short = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}.get(code, f"\\u{code:04x}")
+        full = F.replace(full, F.lit(chr(code)), F.lit(short))
+    return F.coalesce(F.concat(F.lit('"'), F.when(text.rlike("[\\x00-\\x1f]"), full).otherwise(plain), F.lit('"')), F.lit("null"))
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """An object of JSON values, keys in order and without blanks."""
+    parts = [F.concat(F.lit(f'"{k}":'), fields[k]) for k in sorted(fields)]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def payload(events: DataFrame) -> Column:
+    """An event as canonical JSON. All columns but the recorded ``prev_hash`` take part; columns
+    named ``*_json`` hold JSON already and go under the name without that ending."""
+    fields = {}
+    for f in events.schema:
+        if f.name == "prev_hash":
+            continue
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        if f.name.endswith("_json"):
+            fields[f.name[:-5]] = F.coalesce(c, F.lit("null"))
+        elif kind in ("byte", "short", "integer", "long", "boolean"):
+            fields[f.name] = F.coalesce(c.cast("string"), F.lit("null"))
+        else:
+            fields[f.name] = json_text(c.cast("string"))
+    return canonical_json(fields)
+
+
 def hash_chain(events: DataFrame) -> DataFrame:
     """Each event's hash, and that of the event before (empty for the first)."""
-    text = F.concat_ws("|", F.col("trace_id").cast("string"), F.col("seq").cast("string"), F.col("actor"), F.col("reason"))
-    hashed = events.select("trace_id", "seq", F.sha2(text, 256).alias("event_hash"))
+    hashed = events.select("trace_id", "seq", F.sha2(payload(events), 256).alias("event_hash"))
     return hashed.withColumn("prev_hash", F.coalesce(F.lag("event_hash").over(Window.partitionBy("trace_id").orderBy("seq")), F.lit("")))
 
 
-def broken_links(events: DataFrame) -> DataFrame:
-    """Events (with a recorded prev_hash) that don't follow the event before them."""
-    chain = hash_chain(events).select("trace_id", "seq", F.col("prev_hash").alias("expected"))
-    return events.join(chain, ["trace_id", "seq"]).filter("not prev_hash <=> expected").select("trace_id", "seq", "prev_hash", "expected")
+def broken_links(events: DataFrame, genesis: str = "") -> DataFrame:
+    """Events (with a recorded prev_hash) that don't follow the event before them; a log's first
+    must follow ``genesis``."""
+    own = events.select("trace_id", "seq", "prev_hash", F.sha2(payload(events), 256).alias("event_hash"))
+    expected = F.coalesce(F.lag("event_hash").over(Window.partitionBy("trace_id").orderBy("seq")), F.lit(genesis))
+    return own.withColumn("expected", expected).filter("not prev_hash <=> expected").select("trace_id", "seq", "prev_hash", "expected")
+
+
+def verify(events: DataFrame, genesis: str = "") -> DataFrame:
+    """trace_id, ok, first_broken: the number of the first event that breaks the chain, or null."""
+    bad = broken_links(events, genesis).groupBy("trace_id").agg(F.min("seq").alias("first_broken"))
+    return events.select("trace_id").distinct().join(bad, "trace_id", "left").select("trace_id", F.col("first_broken").isNull().alias("ok"), "first_broken")
+
+
+def events_root(events: DataFrame) -> DataFrame:
+    """trace_id, root: the hash of the JSON list of a log's events. Logs are hashed as they stream
+    through a task in order; none is held whole."""
+    rows = events.select(F.col("trace_id").cast("string").alias("trace_id"), "seq", payload(events).alias("j")).repartition("trace_id").sortWithinPartitions("trace_id", "seq")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest, out = None, None, []
+        for batch in batches:
+            for trace, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if digest is None or trace != at:
+                    if digest is not None:
+                        digest.update(b"]")
+                        out.append((at, digest.hexdigest()))
+                    at, digest = trace, hashlib.sha256(b"[")
+                else:
+                    digest.update(b",")
+                digest.update(text.encode())
+            yield _roots(out)
+            out = []
+        if digest is not None:
+            digest.update(b"]")
+            yield _roots([(at, digest.hexdigest())])
+
+    return rows.mapInArrow(run, "trace_id string, root string")
+
+
+def _roots(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["trace_id", "root"])
 
 
 def statistics(events: DataFrame, kind: str) -> DataFrame:

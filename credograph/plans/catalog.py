@@ -8,13 +8,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from credograph.operators import changes, graph, inference, priors, reviews, trace
-from credograph.plans import beliefs, modeling
+from credograph.plans import beliefs, checks, modeling
 from credograph.plans.shared import EDGES, PRIORS
 from credograph.sources import tables as T
 
 PRIORITY = ["1-URGENT", "2-*", "*"]
-#: Phrases that weaken a claim, by severity.
-PHRASES = {" obviously ": "error", " it is known ": "warning", " the ": "warning", " und ": "warning"}
+#: What is said after each text, by its key: the prose itself has none of the phrases.
+_SAID = ("Clearly so", "we ADMIT it", "it may be", "nothing", "some  of it is trivial", "self-evident, I am sorry")
 RATES = {"low": 20.0, "middle": 25.5, "high": 30.0}
 
 _REVIEWS = "(SELECT l_orderkey AS target_id, l_linenumber AS round, CASE WHEN l_returnflag = 'R' THEN 'rejected' WHEN l_linestatus = 'F' THEN 'accepted' ELSE 'unreviewed' END AS status FROM lineitem)"
@@ -112,6 +112,25 @@ def hash_chain(spark, sf_dir):
     return trace.hash_chain(T.conversation_trace(spark, sf_dir))
 
 
+def _with_breaks(spark, sf_dir):
+    """The logs with their recorded links, some of them forged."""
+    events = T.conversation_trace(spark, sf_dir)
+    linked = events.join(trace.hash_chain(events).select("trace_id", "seq", "prev_hash"), ["trace_id", "seq"])
+    return linked.withColumn("prev_hash", F.when(F.col("seq") % 5 == 3, "forged").otherwise(F.col("prev_hash")))
+
+
+def chain_breaks(spark, sf_dir):
+    return trace.broken_links(_with_breaks(spark, sf_dir))
+
+
+def chain_verdicts(spark, sf_dir):
+    return trace.verify(_with_breaks(spark, sf_dir))
+
+
+def events_roots(spark, sf_dir):
+    return trace.events_root(T.conversation_trace(spark, sf_dir))
+
+
 def trace_statistics(spark, sf_dir):
     e = T.table(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("actor"), "ts")
     return trace.statistics(e, "event_type")
@@ -133,7 +152,7 @@ def duplicate_content(spark, sf_dir):
 
 
 def redteam_scan(spark, sf_dir):
-    return changes.phrase_findings(T.table(spark, sf_dir, "documents"), "doc_id", "text", PHRASES)
+    return changes.phrase_findings(T.table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.element_at(F.array(*map(F.lit, _SAID)), (F.col("doc_id") % len(_SAID) + 1).cast("int"))).alias("text")), "doc_id", "text")
 
 
 def mutual_information(spark, sf_dir):
@@ -162,6 +181,13 @@ _RING = f"(SELECT * FROM {EDGES} UNION ALL SELECT 'r' || n_regionkey, 'n3' FROM
 _LIKELIHOOD = " UNION ALL ".join(f"SELECT *, '{m}' AS model, s * ln({r}::double) - n * {r}::double - f AS l FROM sums" for m, r in RATES.items())
 _CHANGED = "CASE WHEN b.c_custkey IS NULL THEN 'added' WHEN a.c_custkey IS NULL THEN 'removed' ELSE 'changed' END"
 
+def _json(c: str) -> str:
+    escaped = f"replace(replace(replace(replace(replace({c}, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+    return f"coalesce('\"' || {escaped} || '\"', 'null')"
+
+
+_EVENTS = f"""(SELECT conv_id AS trace_id, turn AS seq, '{{"actor":' || {_json("role")} || ',"reason":' || {_json("text")} || ',"seq":' || turn || ',"trace_id":' || conv_id || '}}' AS j FROM conversations)"""
+
 SQL: dict[str, str] = {
     "prior_resolution_priority": _winners("CASE WHEN source_id = '1-URGENT' THEN 0 WHEN source_id LIKE '2-%' THEN 1 ELSE 2 END"),
     "prior_resolution_latest": _winners("0"),
@@ -181,7 +207,10 @@ SQL: dict[str, str] = {
     "trace_seq_gaps": "SELECT * FROM (SELECT conv_id AS trace_id, turn AS seq, coalesce(lag(turn) OVER (PARTITION BY conv_id ORDER BY turn), -1) + 1 AS expected FROM conversations WHERE role != 'system') WHERE seq != expected",
     "trace_ts_disorder": "SELECT * FROM (SELECT user_id AS trace_id, value AS at, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY value, event_id) AS before FROM events) WHERE ts < before",
     "actor_switches": "SELECT * FROM (SELECT conv_id AS trace_id, turn AS seq, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, role AS actor FROM conversations) WHERE before != actor",
-    "hash_chain": "SELECT *, coalesce(lag(event_hash) OVER (PARTITION BY trace_id ORDER BY seq), '') AS prev_hash FROM (SELECT conv_id AS trace_id, turn AS seq, sha256(concat_ws('|', conv_id, turn, role, text)) AS event_hash FROM conversations)",
+    "hash_chain": f"SELECT trace_id, seq, event_hash, coalesce(lag(event_hash) OVER (PARTITION BY trace_id ORDER BY seq), '') AS prev_hash FROM (SELECT trace_id, seq, sha256(j) AS event_hash FROM {_EVENTS})",
+    "chain_breaks": f"SELECT * FROM (SELECT trace_id, seq, CASE WHEN seq % 5 = 3 THEN 'forged' ELSE e END AS prev_hash, e AS expected FROM (SELECT trace_id, seq, coalesce(lag(sha256(j)) OVER (PARTITION BY trace_id ORDER BY seq), '') AS e FROM {_EVENTS})) WHERE prev_hash != expected",
+    "chain_verdicts": f"SELECT trace_id, min(CASE WHEN seq % 5 = 3 THEN seq END) IS NULL AS ok, min(CASE WHEN seq % 5 = 3 THEN seq END) AS first_broken FROM {_EVENTS} GROUP BY trace_id",
+    "events_roots": f"SELECT trace_id::varchar AS trace_id, sha256('[' || string_agg(j, ',' ORDER BY seq) || ']') AS root FROM {_EVENTS} GROUP BY trace_id",
     "trace_statistics": "SELECT event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_actors, floor(epoch(max(ts)))::bigint - floor(epoch(min(ts)))::bigint AS seconds FROM events GROUP BY 1",
     "semantic_diff": f"""WITH b AS (SELECT * FROM customer WHERE c_acctbal < 5000), a AS (SELECT c_custkey, c_name, CASE WHEN c_nationkey = 3 THEN 'OTHER' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_acctbal > 0),
 j AS (SELECT {_CHANGED} AS category, coalesce(a.c_custkey, b.c_custkey) AS id, b.c_name AS b1, a.c_name AS a1, b.c_mktsegment AS b2, a.c_mktsegment AS a2 FROM b FULL JOIN a ON a.c_custkey = b.c_custkey)
@@ -190,7 +219,7 @@ UNION ALL SELECT category, id, 'c_name', b1, a1 FROM j WHERE category = 'changed
     "topk_delta": "SELECT s_suppkey, round(s_acctbal - 4500, 2) AS delta FROM supplier ORDER BY abs(round(s_acctbal - 4500, 2)) DESC, s_suppkey LIMIT 20",
     "duplicate_content": r"""WITH t AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(text, ''), '[ \t\n\r]+', ' ', 'g'))) AS c FROM documents)
 SELECT doc_id, "first", n AS n_alike FROM t JOIN (SELECT c, min(doc_id) AS "first", count(*) AS n FROM t GROUP BY c HAVING count(*) > 1) USING (c) WHERE doc_id != "first\"""".replace('\\"', '"'),
-    "redteam_scan": " UNION ALL ".join(f"SELECT doc_id, '{p}' AS phrase, '{s}' AS severity FROM documents WHERE contains(lower(' ' || coalesce(text, '') || ' '), '{p}')" for p, s in PHRASES.items()),
+    "redteam_scan": " UNION ALL ".join(f"SELECT doc_id, '{d}' AS detector, '{p}' AS phrase, '{s}' AS severity FROM documents WHERE contains(lower(' ' || coalesce(text, '') || ' ' || {list(_SAID)}[doc_id % {len(_SAID)} + 1] || ' '), '{p}')" for d, (s, phrases) in changes.PHRASES.items() for p in phrases),
     "mutual_information": f"SELECT s_suppkey, round(greatest({_entropy('c')} - q * {_entropy('0.9::double')} - (1 - q) * {_entropy('0.3::double')}, 0.0), 6) AS bits FROM (SELECT *, q * 0.9::double + (1 - q) * 0.3::double AS c FROM (SELECT s_suppkey, (s_acctbal + 1000) / 11000 AS q FROM supplier))",
     "model_compare": f"""WITH sums AS (SELECT l_partkey, count(*) AS n, sum(l_quantity) AS s, sum(lgamma(l_quantity + 1)) AS f FROM lineitem GROUP BY 1),
 l AS ({_LIKELIHOOD}) SELECT l_partkey, n AS n_observations, model, round(l, 4) AS log_likelihood, round(exp(l - max(l) OVER w) / sum(exp(l - m)) OVER w, 5) AS posterior FROM (SELECT *, max(l) OVER (PARTITION BY l_partkey) AS m FROM l) WINDOW w AS (PARTITION BY l_partkey)""",
@@ -198,11 +227,11 @@ l AS ({_LIKELIHOOD}) SELECT l_partkey, n AS n_observations, model, round(l, 4) A
 
 
 OWN = tuple(SQL)
-SQL |= modeling.SQL | beliefs.SQL
+SQL |= modeling.SQL | beliefs.SQL | checks.SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in OWN} | {name: getattr(part, name) for part in (modeling, beliefs) for name in (*part.SQL, *part.ROWS_ONLY)}
+    return {name: globals()[name] for name in OWN} | {name: getattr(part, name) for part in (modeling, beliefs, checks) for name in (*part.SQL, *part.ROWS_ONLY)}
 
 
 def oracle_sql() -> dict[str, str]:
