@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from credograph.sources.folders import shared_dir
 
 #: Rows of an Arrow batch at most. Spark's own default, 10,000, makes batches of long texts large.
 BATCH_ROWS = 1000
 
-_OWN: dict[str, str] = {}
-
 
 def small_batches(df: DataFrame) -> DataFrame:
     """``df`` itself; from now on its session sends at most ``BATCH_ROWS`` rows at once to Python,
@@ -23,26 +21,6 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``, or the one that the session
-    was given by ``setCheckpointDir``.
-
-    A local session without either (tests, a laptop) gets a temporary folder, which it keeps; on
-    a cluster this is an error, as executors share no local folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        given = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = given.get() if given.isDefined() else None
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            if not spark.sparkContext.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="credograph-")
-        found = _OWN[app]
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
