@@ -88,21 +88,22 @@ def _factors(rows: DataFrame, name: Column, kind, inputs, conclusion, p1=None, p
     return rows.select(name.alias("factor"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), inputs.alias("inputs"), conclusion.alias("conclusion"), number(p1).alias("p1"), number(p2).alias("p2"), table.alias("weights"))
 
 
-def expand(strategies: DataFrame) -> DataFrame:
+def expand(strategies: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Leaves: strategies that aren't composite, each once. Parts of composites are rows of
-    ``strategies`` themselves; a part that is missing raises an error."""
+    ``strategies`` themselves; a part that isn't among ``known`` (all strategies, also those that
+    reviews keep out) raises an error."""
     whole = strategies.filter(F.size(F.coalesce("sub_strategies", F.array().cast("array<string>"))) > 0)
     parts = whole.select("strategy_id", F.explode("sub_strategies").alias("part"))
-    missing = parts.join(strategies.select(F.col("strategy_id").alias("part")), "part", "left_anti").agg(F.min("part").alias("part"))
+    missing = parts.join((strategies if known is None else known).select(F.col("strategy_id").alias("part")), "part", "left_anti").agg(F.min("part").alias("part"))
     leaves = strategies.join(whole.select("strategy_id"), "strategy_id", "left_anti").dropDuplicates(["strategy_id"])
     guard = missing.select(F.when(F.col("part").isNotNull(), F.raise_error(F.concat(F.lit("composite names a missing strategy: "), F.col("part"))).cast("boolean")).otherwise(True).alias("whole"))
     return leaves.crossJoin(F.broadcast(guard)).filter("whole").drop("whole")  # one row
 
 
-def strategy_factors(strategies: DataFrame, claims: DataFrame, told: DataFrame, degraded: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def strategy_factors(strategies: DataFrame, claims: DataFrame, told: DataFrame, degraded: bool = False, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """factors; extra variables (conjunctions of premises; conclusions of formal operators); and
     claims that are no variables any more (helpers of deductions, supports and associations)."""
-    leaves = cut(expand(strategies))
+    leaves = cut(expand(strategies, known))
     kind, sid, premises, conclusion = F.col("type"), F.col("strategy_id"), F.col("premises"), F.col("conclusion")
     size = F.size("premises")
     named = lambda prefix: F.concat(F.lit(prefix), sid)
@@ -154,10 +155,11 @@ def strategy_factors(strategies: DataFrame, claims: DataFrame, told: DataFrame,
 def lower(claims: DataFrame, operators: DataFrame, strategies: DataFrame, priors: DataFrame, reviews: DataFrame | None = None, degraded: bool = False, qualifier: str = "local:package") -> tuple[DataFrame, DataFrame]:
     """variables and factors of the graph; with ``reviews``, of what they let pass."""
     operators = cut(first_of_same(admitted(operators, "operator_id", reviews)))
+    every = strategies.select("strategy_id")
     strategies = formalize.fill(admitted(strategies, "strategy_id", reviews), qualifier)
     told = cut(told_priors(claims, priors))
     own = _factors(operators, F.concat(F.lit("op:"), "operator_id"), F.col("operator"), F.col("variables"), F.col("conclusion"))
-    more, extra, gone = strategy_factors(strategies, claims, told, degraded)
+    more, extra, gone = strategy_factors(strategies, claims, told, degraded, every)
     factors, extra, gone = cut(own.unionByName(more)), cut(extra), cut(gone)
     named = claim_variables(claims, operators, told).join(gone, "variable", "left_anti")
     # a relation inside a strategy is taken as sure where nothing else is known of it

@@ -27,7 +27,8 @@ def _even(p):
 
 
 def gallery(spark: SparkSession, sf_dir: str) -> Graph:
-    """For each supplier one factor of every kind, over variables of its own."""
+    """For each supplier one factor of every kind, over variables of its own. (The balance is divided
+    by 11003, so that no belief lies between two rounded ones.)"""
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(n).alias("n"), F.lit(p1).cast("double").alias("p1"), F.lit(p2).cast("double").alias("p2"), F.lit(w).cast("array<double>").alias("weights")) for k, (n, p1, p2, w) in GALLERY.items()])
     rows = T.table(spark, sf_dir, "supplier").select("*", F.explode(kinds).alias("k"))
     name = lambda i: F.concat_ws("-", "s_suppkey", "k.kind", i)
@@ -35,7 +36,7 @@ def gallery(spark: SparkSession, sf_dir: str) -> Graph:
     slots = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("k.n"))).alias("i"))
     last, key = F.col("i") == F.col("k.n"), F.col("s_suppkey")
     hard = F.when(last & (F.col("s_nationkey") == 3), 1)
-    prior = F.when(last, F.when(key % 2 == 0, 0.7)).when(F.col("i") == 0, _even((F.col("s_acctbal") + 1000) / 11000)).when(F.col("i") == 1, F.when(key % 3 != 0, (key % 9 + 1) / 10)).otherwise(0.4)
+    prior = F.when(last, F.when(key % 2 == 0, 0.7)).when(F.col("i") == 0, _even((F.col("s_acctbal") + 1000) / 11003)).when(F.col("i") == 1, F.when(key % 3 != 0, (key % 9 + 1) / 10)).otherwise(0.4)
     return slots.select(name(F.col("i")).alias("variable"), F.when(hard.isNull(), prior).cast("double").alias("prior"), hard.cast("int").alias("hard")), factors
 
 
@@ -56,9 +57,9 @@ weights AS (SELECT s_suppkey, kind, n, x,
   * CASE WHEN n < 2 OR s_suppkey % 3 = 0 THEN 1 WHEN {b} THEN (s_suppkey % 9 + 1) / 10 ELSE 1 - (s_suppkey % 9 + 1) / 10 END
   * CASE WHEN n < 3 THEN 1 WHEN ((x >> 2) & 1) = 1 THEN 0.4 ELSE 0.6 END
   * CASE WHEN s_nationkey = 3 THEN CASE WHEN c = 1 THEN 0.999 ELSE 0.001 END WHEN s_suppkey % 2 = 0 THEN CASE WHEN c = 1 THEN 0.7 ELSE 0.3 END ELSE 1 END AS w
-  FROM (SELECT *, least(greatest((s_acctbal + 1000) / 11000, 0.001), 0.999) AS p0 FROM truth)),
+  FROM (SELECT *, least(greatest((s_acctbal + 1000) / 11003, 0.001), 0.999) AS p0 FROM truth)),
 slots AS (SELECT s_suppkey, kind, n, unnest(range((n + 1)::bigint)) AS i FROM supplier, kinds)
-SELECT s_suppkey || '-' || kind || '-' || i AS variable, round(sum(CASE WHEN ((x >> i::int) & 1) = 1 THEN w ELSE 0 END) / sum(w), 4) AS belief FROM slots JOIN weights USING (s_suppkey, kind, n) GROUP BY s_suppkey, kind, i"""
+SELECT s_suppkey || '-' || kind || '-' || i AS variable, round(sum(CASE WHEN ((x >> i::int) & 1) = 1 THEN w ELSE 0 END) / sum(w), 6) AS belief FROM slots JOIN weights USING (s_suppkey, kind, n) GROUP BY s_suppkey, kind, i"""
 
 
 def _rounded(df: DataFrame, digits: int = 5) -> DataFrame:
@@ -66,16 +67,16 @@ def _rounded(df: DataFrame, digits: int = 5) -> DataFrame:
 
 
 def every_kind_exact(spark, sf_dir):
-    return _rounded(exact.marginals(*gallery(spark, sf_dir)), 4)
+    return _rounded(exact.marginals(*gallery(spark, sf_dir)), 6)
 
 
 def every_kind_junction_tree(spark, sf_dir):
-    return _rounded(junction_tree.marginals(*gallery(spark, sf_dir)), 4)
+    return _rounded(junction_tree.marginals(*gallery(spark, sf_dir)), 6)
 
 
 def every_kind_loopy(spark, sf_dir):
     """Trees, on which undamped propagation ends with strict potentials' exact beliefs."""
-    return _rounded(message_passing.loopy(*gallery(spark, sf_dir), damping=1.0), 4)
+    return _rounded(message_passing.loopy(*gallery(spark, sf_dir), damping=1.0), 6)
 
 
 def regions(spark: SparkSession, sf_dir: str) -> Graph:
