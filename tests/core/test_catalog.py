@@ -26,3 +26,10 @@ def test_query_equals_sql(spark, duck, name):
     assert names == sorted(want.columns)
     ordered = lambda rows: sorted(rows, key=str)
     assert ordered(tuple(r) for r in got.select(*names).collect()) == ordered(tuple(r[want.columns.index(c)] for c in names) for r in want.fetchall())
+
+
+def test_entry(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).columns == ["variable", "belief"]
+    assert set(entry.oracle_sql()) <= set(entry.queries())
