@@ -4,20 +4,22 @@ Only DataFrame functions are used. Fixed phrases are found as runs of words. Bes
 set-similarity join finds every block of text that holds at least ``percent`` hundredths of the
 words of a template:
 
-1. A block is ``BLOCK`` consecutive words; blocks begin every ``STEP`` words, so each run of
-   ``BLOCK - STEP + 1`` words lies whole in one. No template is longer.
+1. A block for a template is ``STRETCH`` times as many consecutive words as the template has
+   (fewer at the end of a text); one begins at every word. Texts are cut into pieces, in each of
+   which every block that begins in its first half lies whole.
 2. The templates' words are ordered by the number of documents that hold them, rare ones first.
-3. Prefix filter: a block with the required overlap holds one of a template's rarest words; other
-   blocks are dropped, and the rest join the templates on such a word.
-4. Length filter: the block must hold enough words of any template. Positional filter: the words
+3. Prefix filter: a piece with the required overlap holds one of a template's rarest words; other
+   pieces are dropped, and the rest join the templates on such a word.
+4. Length filter: the piece must hold enough words of any template. Positional filter: the words
    after the common one, in either order, and those before it must be enough for the overlap.
-5. What is left is counted exactly.
+5. The blocks of what is left are counted exactly. Licenses that share a sentence differ in a few
+   words: a block must hold all words of ``must`` and none of ``without``. ``must`` names words on both
+   sides of those that tell the licenses apart, so that a block can't end just before them.
 
 Words of no template can't overlap and take no part. The templates are fixed and few; they and
 their words are all that is broadcast.
 
-Defined cases: a null text is empty and has no words; a text shorter than a block is one block and
-its tail; repeated rows are rows of their own; equal counts order words by name; an empty table
+Defined cases: a null text is empty and has no words; a text shorter than a block is a block; repeated rows are rows of their own; equal counts order words by name; an empty table
 gives no rows; other columns are ignored.
 """
 
@@ -31,19 +33,41 @@ from credograph.llm.shared import written
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: Sentences by which licenses are known, with their labels.
+#: Sentences by which licenses are known: label, words, words that decide, words that another license has.
+_CC = "this work is licensed under a creative commons attribution {}4 0 international license"
+_FREE = "this {} is free software you can redistribute it and or modify it under the terms of the gnu {}general public license"
+_GNU = "this work is licensed under the gnu {}general public license version {}"
 TEMPLATES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license"),
-    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "charge obtaining", "organization"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "organization", ""),
+    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache 2", ""),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "", ""),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "", ""),
+    ("cc-by", _CC.format(""), "attribution license", "noncommercial commercial sharealike alike noderivatives noderivs derivatives"),
+    ("cc-by-sa", _CC.format("sharealike "), "attribution sharealike license", "noncommercial commercial"),
+    ("cc-by-nd", _CC.format("noderivatives "), "attribution noderivatives license", "noncommercial commercial"),
+    ("cc-by-nc", _CC.format("noncommercial "), "attribution noncommercial license", "sharealike alike noderivatives noderivs derivatives"),
+    ("cc-by-nc-sa", _CC.format("noncommercial sharealike "), "noncommercial sharealike", ""),
+    ("cc-by-nc-nd", _CC.format("noncommercial noderivatives "), "noncommercial noderivatives", ""),
+    ("gpl", _FREE.format("program", ""), "gnu general public license", "lesser affero"),
+    ("lgpl", _FREE.format("library", "lesser "), "gnu lesser", ""),
+    ("agpl", _FREE.format("program", "affero "), "gnu affero", ""),
+    ("gpl-2", _GNU.format("", 2), "gnu version 2", "lesser affero 3"),
+    ("gpl-3", _GNU.format("", 3), "gnu version 3", "lesser affero 2"),
+    ("lgpl-3", _GNU.format("lesser ", 3), "gnu lesser 3", "2"),
+    ("agpl-3", _GNU.format("affero ", 3), "gnu affero 3", "2"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "fee", ""),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla 2", ""),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license v 2 0", "eclipse 2", ""),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered", ""),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "", ""),
 )
-BLOCK, STEP = 48, 24
+STRETCH = 2
+
+
+def block(text: str) -> int:
+    """Words of a block for a template."""
+    return STRETCH * len(text.split())
 
 
 def required(size: int, percent: int) -> int:
@@ -75,7 +99,7 @@ def _places(spaced: Column, n_words: Column, phrase: str) -> Column:
 
 def ranked_words(docs: DataFrame, text_col: str, templates=TEMPLATES) -> list[str]:
     """The templates' words from rare to frequent, by the number of documents that hold them."""
-    words = sorted({w for _, t in templates for w in t.split()})
+    words = sorted({w for _, t, _, _ in templates for w in t.split()})
     held = docs.select(F.explode(F.array_intersect(_strings(words), F.split(_spaced(F.col(text_col)), " "))).alias("w"))
     counts = {r.w: r.n for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
     return sorted(words, key=lambda w: (counts.get(w, 0), w))
@@ -85,12 +109,13 @@ def _template_table(spark: SparkSession, ranked: list[str], percent: int, templa
     """A row for each template and word of its prefix; and all prefix words."""
     rank = {w: i for i, w in enumerate(ranked)}
     rows, prefixes = [], set()
-    for label, text in templates:
+    for label, text, must, without in templates:
         words = sorted(set(text.split()), key=rank.__getitem__)
         need = required(len(words), percent)
         for i, w in enumerate(words[: len(words) - need + 1]):
             prefixes.add(w)
-            rows.append(F.struct(F.lit(w).alias("word"), F.lit(label).alias("label"), F.lit(i).alias("i"), F.lit(need).alias("need"), _strings(words).alias("template")))
+            rows.append(F.struct(F.lit(w).alias("word"), F.lit(label).alias("label"), F.lit(i).alias("i"), F.lit(need).alias("need"), F.lit(block(text)).alias("length"),
+                                 _strings(words).alias("template"), _strings(must.split()).alias("must"), _strings(without.split()).alias("without")))
     return spark.range(1).select(F.inline(F.array(*rows))), sorted(prefixes, key=rank.__getitem__)
 
 
@@ -105,19 +130,23 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, percent: int, templates
     for k, (phrase, _) in enumerate(PHRASES):
         own = own.withColumn(f"p{k}", _places(F.col("spaced"), F.col("n_words"), phrase))
     own = own.withColumn("words", F.slice(F.split("spaced", " "), 2, F.col("n_words").cast("int")))
-    starts = F.sequence(F.lit(0), F.greatest(F.col("n_words") - 1, F.lit(0)).cast("int"), F.lit(STEP))
-    held = F.transform(starts, lambda s: F.array_intersect(_strings(ranked), F.slice("words", s + 1, BLOCK)))
+    step = max((block(t) for _, t, _, _ in templates), default=1)
+    starts = F.sequence(F.lit(0), F.greatest(F.col("n_words") - 1, F.lit(0)).cast("int"), F.lit(step))
+    held = F.transform(starts, lambda s: F.slice("words", s + 1, 2 * step - 1))
     held = F.filter(held, lambda b: F.arrays_overlap(b, _strings(prefixes)))
-    blocks = F.when(F.arrays_overlap("words", _strings(prefixes)), held)
-    own = own.select("id", "n_words", *(f"p{k}" for k in range(len(PHRASES))), blocks.alias("blocks"))
-    rows = written(own.withColumn("row", F.monotonically_increasing_id()), "license-blocks")
-
-    common = rows.select("row", F.explode("blocks").alias("block")).select("row", "block", F.posexplode("block").alias("j", "word"))
-    pairs = common.join(F.broadcast(table), "word").filter(F.size("block") >= F.col("need"))
-    after = F.least(F.size("template") - F.col("i"), F.size("block") - F.col("j"))
-    pairs = pairs.filter(F.least("i", "j") + after >= F.col("need"))
+    pieces = F.when(F.arrays_overlap("words", _strings(prefixes)), held)
+    own = own.select("id", "n_words", *(f"p{k}" for k in range(len(PHRASES))), pieces.alias("pieces"))
+    rows = written(own.withColumn("row", F.monotonically_increasing_id()), "license-pieces")
+
+    common = rows.select("row", F.explode("pieces").alias("piece")).withColumn("held", F.array_intersect(_strings(ranked), "piece"))
+    pairs = common.select("*", F.posexplode("held").alias("j", "word")).join(F.broadcast(table), "word").filter(F.size("held") >= F.col("need"))
+    after = F.least(F.size("template") - F.col("i"), F.size("held") - F.col("j"))
+    pairs = pairs.filter((F.least("i", "j") + after >= F.col("need")) & (F.size(F.array_intersect("template", "held")) >= F.col("need")))
+    starts = F.sequence(F.lit(1), F.least(F.lit(step), F.size("piece")))
+    blocks = pairs.select("row", "label", "need", "template", "must", "without", F.explode(F.transform(starts, lambda s: F.slice("piece", s, F.col("length")))).alias("block"))
+    fits = (F.size(F.array_intersect("must", "block")) == F.size("must")) & ~F.arrays_overlap("without", "block")
     overlap = F.size(F.array_intersect("template", "block"))
-    exact = pairs.filter(overlap >= F.col("need")).select("row", "label", (overlap / F.size("template")).alias("containment"))
+    exact = blocks.filter((overlap >= F.col("need")) & fits).select("row", "label", (overlap / F.size("template")).alias("containment"))
     return rows, exact
 
 
@@ -139,21 +168,23 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", perc
 
 
 def sql(percent: int = 80) -> str:
-    """The same report over ``documents`` in DuckDB's SQL, each block against each template."""
+    """The same report over ``documents`` in DuckDB's SQL: each block against each template that the whole text holds enough of."""
     phrase = lambda p: "[" + ", ".join(f"'{w}'" for w in p.split()) + "]"
     starts = lambda p: f"list_filter(range(0, len(w)::bigint), lambda i: w[i + 1 : i + {len(p.split())}] = {phrase(p)})"
     places = ", ".join(f"{starts(p)} AS p{k}" for k, (p, _) in enumerate(PHRASES))
     joined = "list_concat(" + "list_concat(p0, p1), p2)"
     base = "list_concat(list_concat(" + "), ".join(f"CASE WHEN len(p{k}) > 0 THEN ['{label}'] ELSE []::varchar[] END" + (", " if k == 0 else "") for k, (_, label) in enumerate(PHRASES[:2])) + f", CASE WHEN len(p2) > 0 THEN ['{PHRASES[2][1]}'] ELSE []::varchar[] END)"
-    templates = ", ".join(f"('{label}', {phrase(' '.join(sorted(set(t.split()))))})" for label, t in TEMPLATES)
+    words = lambda t: phrase(" ".join(sorted(set(t.split())))) + "::varchar[]"
+    templates = ", ".join(f"('{label}', {words(t)}, {block(t)}, {words(m)}, {words(o)})" for label, t, m, o in TEMPLATES)
     return rf"""
 WITH words AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 base AS (SELECT r, doc_id, w, {places} FROM words),
-blocks AS (SELECT r, list_distinct(w[s + 1 : s + {BLOCK}]) AS b FROM (SELECT r, w, unnest(range(0, len(w)::bigint, {STEP})) AS s FROM words)),
-templates(label, t) AS (VALUES {templates}),
-pairs AS (SELECT r, label, len(list_intersect(b, t)) AS k, len(t) AS n FROM blocks, templates),
+templates(label, t, size, must, without) AS (VALUES {templates}),
+held AS (SELECT * FROM (SELECT r, w, list_distinct(w) AS d FROM words), templates WHERE 100 * len(list_intersect(d, t)) >= {percent} * len(t)),
+blocks AS (SELECT label, t, must, without, r, unnest(list_transform(range(0, len(w)::bigint), lambda s: w[s + 1 : s + size])) AS b FROM held),
+pairs AS (SELECT r, label, len(list_intersect(list_distinct(b), t)) AS k, len(t) AS n FROM blocks WHERE len(list_intersect(list_distinct(b), must)) = len(must) AND len(list_intersect(b, without)) = 0),
 found AS (SELECT r, list(DISTINCT label) AS more, max(k / n) AS best FROM pairs WHERE 100 * k >= {percent} * n GROUP BY r),
 all_of AS (SELECT *, {joined} AS p, {base} AS own FROM base LEFT JOIN found USING (r))
 SELECT doc_id, len(w)::bigint AS n_words, len(p)::bigint AS n_base, list_min(p)::bigint AS first_word, list_max(p)::bigint AS last_word,
