@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from credograph.llm import decontamination, jaccard, kneser_ney, language, license_scan, packing, quality, secret_scan, token_counts, warc
+from credograph.llm import chat_format, conversation_repair, decontamination, hard_negatives, jaccard, kneser_ney, language, license_scan, packing, quality, secret_scan, token_counts, warc
 from credograph.llm.shared import new_path, written
 
 #: Place of the public tokenizer that op5 packs with; None: ask the package that holds it.
@@ -107,10 +107,36 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"), parts=True)
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.get(F.array(F.lit("user"), F.lit("assistant")), F.col("id").cast("int")).alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat_format.digest(chat_format.examples(turns))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the damaged conversations, and of those that lost all rows."""
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    turns = table(spark, sf_dir, "conversations")
+    kind = F.crc32(F.concat(told("conv_id"), F.lit(":"), told("turn")).cast("binary")) % 20
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    own = turns.select("conv_id", "turn", told("role").alias("role"), told("text").alias("text"), kind.alias("kind")).filter("kind != 0")
+    damaged = own.select("conv_id", "turn", F.when(F.col("kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy"))
+    found = conversation_repair.report(damaged.drop("copy"))
+    every = turns.select(F.col("conv_id").alias("id")).distinct()
+    figures = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(F.col("id").alias("conv_id"), *figures, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_warc, op2_license_scan, op3_quality, op4_kneser_ney, op5_packing, op6_decontamination, op7_language, op8_token_counts, op9_jaccard, op10_secret_scan)
+    every = (op1_warc, op2_license_scan, op3_quality, op4_kneser_ney, op5_packing, op6_decontamination, op7_language, op8_token_counts, op9_jaccard, op10_secret_scan, op11_chat_format, op12_hard_negatives, op13_conversation_repair)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.SQL, "op2_license_scan": license_scan.sql(), "op6_decontamination": decontamination.SQL, "op8_token_counts": OP8_SQL, "op9_jaccard": jaccard.SQL}
+    return {"op1_warc": warc.SQL, "op2_license_scan": license_scan.sql(), "op6_decontamination": decontamination.SQL, "op8_token_counts": OP8_SQL, "op9_jaccard": jaccard.SQL, "op11_chat_format": chat_format.SQL, "op12_hard_negatives": hard_negatives.SQL, "op13_conversation_repair": conversation_repair.SQL}
