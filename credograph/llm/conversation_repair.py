@@ -81,9 +81,21 @@ class Walk:
                 offer(MOVES[state, _MUST[state]], cost + REROLE + extra, audit + "R")
         self.best = found
         self._insert()
+        self._prune()
         if max(len(way[1]) for way in self.best if way is not None) > _LONG:
             self._settle(os.path.commonprefix([way[1] for way in self.best if way is not None]))
 
+    def _prune(self) -> None:
+        """Take away ways that can't be the cheapest any more. What may follow nothing may follow
+        an assistant turn, but for a system turn, which can be deleted; what may follow a system
+        turn may follow an assistant turn."""
+        after = self.best[3]
+        if after is not None:
+            if self.best[0] is not None and after[0] + DELETE < self.best[0][0]:
+                self.best[0] = None
+            if self.best[1] is not None and after[0] < self.best[1][0]:
+                self.best[1] = None
+
     def _settle(self, edits: str) -> None:
         """``edits`` are final."""
         for edit in edits:
