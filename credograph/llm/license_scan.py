@@ -13,8 +13,10 @@ words of a template:
 4. Length filter: the piece must hold enough words of any template. Positional filter: the words
    after the common one, in either order, and those before it must be enough for the overlap.
 5. The blocks of what is left are counted exactly. Licenses that share a sentence differ in a few
-   words: a block must hold all words of ``must`` and none of ``without``. ``must`` names words on both
-   sides of those that tell the licenses apart, so that a block can't end just before them.
+   words: a block ends before the first word of ``without``, and what is left of it must hold the
+   words of ``must`` in their order. ``must`` names words on both sides of those that tell the licenses
+   apart, so that a block can't end just before them or begin just behind. As a block
+   begins at every word, what stands before or behind a notice decides nothing.
 
 Words of no template can't overlap and take no part. The templates are fixed and few; they and
 their words are all that is broadcast.
@@ -144,9 +146,14 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, percent: int, templates
     pairs = pairs.filter((F.least("i", "j") + after >= F.col("need")) & (F.size(F.array_intersect("template", "held")) >= F.col("need")))
     starts = F.sequence(F.lit(1), F.least(F.lit(step), F.size("piece")))
     blocks = pairs.select("row", "label", "need", "template", "must", "without", F.explode(F.transform(starts, lambda s: F.slice("piece", s, F.col("length")))).alias("block"))
-    fits = (F.size(F.array_intersect("must", "block")) == F.size("must")) & ~F.arrays_overlap("without", "block")
     overlap = F.size(F.array_intersect("template", "block"))
-    exact = blocks.filter((overlap >= F.col("need")) & fits).select("row", "label", (overlap / F.size("template")).alias("containment"))
+    whole = blocks.filter(overlap >= F.col("need"))
+    first = lambda end, w: F.least(end, F.nullif(F.array_position("block", w), F.lit(0)))
+    ended = whole.withColumn("block", F.slice("block", 1, F.aggregate("without", F.size("block").cast("long") + 1, first).cast("int") - 1))
+    # the place of each word behind the one before, 0 once one is missing
+    behind = lambda at, w: F.when(at >= 0, F.nullif(F.array_position(F.slice("block", at + 1, F.size("block")), w).cast("int"), F.lit(0)) + at)
+    fits = F.aggregate("must", F.lit(0), behind).isNotNull()
+    exact = ended.filter((overlap >= F.col("need")) & fits).select("row", "label", (overlap / F.size("template")).alias("containment"))
     return rows, exact
 
 
@@ -175,7 +182,7 @@ def sql(percent: int = 80) -> str:
     joined = "list_concat(" + "list_concat(p0, p1), p2)"
     base = "list_concat(list_concat(" + "), ".join(f"CASE WHEN len(p{k}) > 0 THEN ['{label}'] ELSE []::varchar[] END" + (", " if k == 0 else "") for k, (_, label) in enumerate(PHRASES[:2])) + f", CASE WHEN len(p2) > 0 THEN ['{PHRASES[2][1]}'] ELSE []::varchar[] END)"
     words = lambda t: phrase(" ".join(sorted(set(t.split())))) + "::varchar[]"
-    templates = ", ".join(f"('{label}', {words(t)}, {block(t)}, {words(m)}, {words(o)})" for label, t, m, o in TEMPLATES)
+    templates = ", ".join(f"('{label}', {words(t)}, {block(t)}, {phrase(m) if m else '[]'}::varchar[], {words(o)})" for label, t, m, o in TEMPLATES)
     return rf"""
 WITH words AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
@@ -184,7 +191,8 @@ base AS (SELECT r, doc_id, w, {places} FROM words),
 templates(label, t, size, must, without) AS (VALUES {templates}),
 held AS (SELECT * FROM (SELECT r, w, list_distinct(w) AS d FROM words), templates WHERE 100 * len(list_intersect(d, t)) >= {percent} * len(t)),
 blocks AS (SELECT label, t, must, without, r, unnest(list_transform(range(0, len(w)::bigint), lambda s: w[s + 1 : s + size])) AS b FROM held),
-pairs AS (SELECT r, label, len(list_intersect(list_distinct(b), t)) AS k, len(t) AS n FROM blocks WHERE len(list_intersect(list_distinct(b), must)) = len(must) AND len(list_intersect(b, without)) = 0),
+ended AS (SELECT label, t, must, r, b[: coalesce(list_min(list_filter(list_transform(without, lambda x: list_position(b, x)), lambda p: p > 0)), len(b) + 1) - 1] AS b FROM blocks),
+pairs AS (SELECT r, label, len(list_intersect(list_distinct(b), t)) AS k, len(t) AS n FROM ended WHERE (' ' || array_to_string(b, '  ') || ' ') LIKE '%' || array_to_string(list_transform(must, lambda x: ' ' || x || ' '), '%') || '%'),
 found AS (SELECT r, list(DISTINCT label) AS more, max(k / n) AS best FROM pairs WHERE 100 * k >= {percent} * n GROUP BY r),
 all_of AS (SELECT *, {joined} AS p, {base} AS own FROM base LEFT JOIN found USING (r))
 SELECT doc_id, len(w)::bigint AS n_words, len(p)::bigint AS n_base, list_min(p)::bigint AS first_word, list_max(p)::bigint AS last_word,
