@@ -16,6 +16,11 @@ power, aren't mixed with long ones). Those not found too regular are reported as
 regular, not the share of other runs among those reported. The p-values are counted in a fixed number of cells for that, so what is gathered is
 bounded: encodings times length classes times cells.
 
+Texts are searched and candidates tested once; what was found is written beside the documents,
+read for the counts, and read again for the result. No text is shuffled. Within a text the work grows with its length: places
+are running sums, spans inside others are dropped in one sweep over sorted spans, and masks are
+put in block by block.
+
 Positions count code points and ends are exclusive. Defined cases: a null text is empty; a
 candidate inside a span of a fixed kind is not added; repeated rows count each; an empty table
 gives no rows; other columns are ignored, and kept by ``redact``.
@@ -25,7 +30,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from credograph.llm.shared import unused
+from credograph.llm.shared import unused, written
 
 #: Kinds in their order, and the patterns of the base.
 KINDS = ("assign", "access", "hex", "random")
@@ -34,9 +39,10 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 
 SHORTEST = 16
-CANDIDATE = r"[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST
+#: A run is looked at from its first character only.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % SHORTEST
 #: Besides whole runs, their parts between the signs of one or the other base 64, or of both.
-PARTS = tuple(r"[A-Za-z0-9%s]{%d,}={0,2}" % (signs, SHORTEST) for signs in ("+/", "_-", ""))
+PARTS = tuple(r"(?<![A-Za-z0-9%s])[A-Za-z0-9%s]{%d,}={0,2}" % (signs, signs, SHORTEST) for signs in ("+/", "_-", ""))
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Name, pattern of its texts, alphabet; the first that fits is taken.
 ENCODINGS = (
@@ -48,24 +54,42 @@ ENCODINGS = (
     ("base64url", r"^[A-Za-z0-9_-]+$", _UPPER + _LOWER + _DIGITS + "-_"),
 )
 _CELLS, _PER_DECADE = 400, 20
+#: Items of a list that are folded in one go, and code points of a text that masks are put in at once.
+_CHUNK, _BLOCK = 256, 4096
+
+
+def bound(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` made once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(items: Column, zero: Column, step, make, state: str, kind: str) -> Column:
+    """``make(s, x)`` (of type ``kind``) for each item, s (of type ``state``) being ``step`` folded over
+    the items before it. Lists grow by copying, so they are folded in chunks."""
+    none = lambda t: F.array().cast(f"array<{t}>")
+    grown = lambda acc, s, x: F.struct(s.alias("s"), F.concat(acc["o"], F.array(x)).alias("o"))
+    begin = lambda s, t: F.struct(s.alias("s"), none(t).alias("o"))
+    within = lambda c, s: F.aggregate(c, begin(s, kind), lambda acc, x: grown(acc, step(acc["s"], x), make(acc["s"], x)), lambda acc: acc["o"])
+    firsts = lambda cs: F.aggregate(cs, begin(zero, state), lambda acc, c: grown(acc, F.aggregate(c, acc["s"], step), acc["s"]), lambda acc: acc["o"])
+    chunks = bound(items, lambda xs: F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(_CHUNK)), lambda i: F.slice(xs, i, _CHUNK)))
+    return bound(chunks, lambda cs: F.flatten(F.zip_with(cs, firsts(cs), within)))
+
+
+_SPANS = "array<struct<s:bigint,e:bigint,v:string>>"
 
 
 def located(text: Column, pattern: str, group: int = 0) -> Column:
     """Spans (s, e, v) of all matches of ``pattern``, v the text of ``group``. The text between
-    matches gives their places, added up in one pass."""
-    gaps, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    none = F.array().cast("array<struct<s:bigint,e:bigint,v:string>>")
-    zero = F.struct(F.lit(0).cast("bigint").alias("p"), none.alias("o"))
+    matches gives their places."""
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["p"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.cast("bigint").alias("s"), end.cast("bigint").alias("e"), x["v"].alias("v"))
-        return F.struct(end.cast("bigint").alias("p"), F.concat(acc["o"], F.array(one)).alias("o"))
+    def placed(whole: Column) -> Column:
+        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+        rows = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("gap"), whole.alias("m"), value.alias("v"))
+        after = lambda p, x: p + F.length(x["gap"]) + F.length(x["m"])
+        one = lambda p, x: F.struct((p + F.length(x["gap"])).alias("s"), after(p, x).alias("e"), x["v"].alias("v"))
+        return F.when(F.size(whole) == 0, F.array().cast(_SPANS)).otherwise(running(rows, F.lit(0).cast("bigint"), after, one, "bigint", "struct<s:bigint,e:bigint,v:string>"))
 
-    rows = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("m"), value.alias("v"))
-    return F.when(F.size(whole) == 0, none).otherwise(F.aggregate(rows, zero, add, lambda acc: acc["o"]))
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _encoding(token: Column) -> Column:
@@ -131,12 +155,24 @@ def _tested(spans: Column) -> Column:
 
 
 def _candidates(text: Column, parts: bool) -> Column:
-    return F.array_distinct(F.concat(*[located(text, x) for x in (CANDIDATE, *PARTS)])) if parts else located(text, CANDIDATE)
+    """Runs, and with ``parts`` what lies between their signs. A part between signs of one kind
+    that has none of the other is one between signs of both, and is taken as such only."""
+    if not parts:
+        return located(text, CANDIDATE)
+    none = F.array().cast(_SPANS)
+
+    def inside(x: Column) -> Column:
+        plus, dash = x["v"].rlike("[+/]"), x["v"].rlike("[_-]")
+        signed = lambda pattern, own: F.when(plus & dash, F.filter(located(x["v"], pattern), lambda y: y["v"].rlike(own))).otherwise(none)
+        found = F.concat(signed(PARTS[0], "[+/]"), signed(PARTS[1], "[_-]"), F.when(plus | dash, located(x["v"], PARTS[2])).otherwise(none))
+        return F.transform(found, lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e"), y["v"].alias("v")))
 
+    return bound(located(text, CANDIDATE), lambda runs: F.concat(runs, F.flatten(F.transform(F.filter(runs, lambda x: x["v"].rlike("[+/_-]")), inside))))
 
-def thresholds(docs: DataFrame, text_col: str, rate: float, parts: bool = False) -> dict[int, int]:
+
+def thresholds(found: DataFrame, tested_col: str, rate: float) -> dict[int, int]:
     """By stratum, the first cell whose candidates are too regular."""
-    candidates = docs.select(F.explode(_tested(_candidates(F.col(text_col), parts))).alias("x"))
+    candidates = found.select(F.explode(tested_col).alias("x"))
     table: dict[int, dict[int, int]] = {}
     for stratum, cell, n in candidates.groupBy("x.stratum", "x.cell").agg(F.count("*").alias("n")).collect():
         table.setdefault(stratum, {})[cell] = n
@@ -153,28 +189,33 @@ def _first_rejected(cells: dict[int, int], rate: float) -> int:
     return first
 
 
-def spans(docs: DataFrame, text_col: str = "text", rate: float = 0.05, parts: bool = False) -> tuple[DataFrame, str, str]:
-    """All columns of ``docs`` with two more: arrays of (s, kind number, e) in order, of the fixed
-    kinds and of all kinds; and their names."""
+def spans(docs: DataFrame, text_col: str = "text", rate: float = 0.05, parts: bool = False, keep_text: bool = True) -> tuple[DataFrame, str, str]:
+    """All columns of ``docs`` (the text only with ``keep_text``) with two more: arrays of
+    (s, kind number, e) in order, of the fixed kinds and of all kinds; and their names."""
     base_col, tested_col, spans_col = unused(docs.columns, "base_spans", "tested_spans", "all_spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    known = docs.select(text.alias("t"))
-    first = thresholds(known, "t", rate, parts)
-    limits = F.create_map(*[F.lit(int(x)) for pair in first.items() for x in pair]) if first else None
     with_kind = lambda found, kind: F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(kind).alias("k"), x["e"].alias("e")))
     assign = F.filter(located(text, ASSIGN, 1), lambda x: F.length(x["v"]) >= 6)
     base = F.array_sort(F.concat(with_kind(assign, 0), with_kind(located(text, ACCESS), 1), with_kind(located(text, HEX), 2)))
-    out = docs.withColumn(base_col, base)
-    added = F.array().cast("array<struct<s:bigint,k:int,e:bigint>>")
-    if limits is not None:
-        tested = F.filter(_tested(_candidates(text, parts)), lambda x: x["cell"] < F.element_at(limits, x["stratum"]))
-        if parts:
-            out = out.withColumn(tested_col, tested)
-            longer = lambda x, y: (y["s"] <= x["s"]) & (y["e"] >= x["e"]) & (y["e"] - y["s"] > x["e"] - x["s"])
-            tested = F.filter(tested_col, lambda x: ~F.exists(tested_col, lambda y: longer(x, y)))
-        outside = F.filter(tested, lambda x: ~F.exists(base_col, lambda b: (b["s"] <= x["s"]) & (b["e"] >= x["e"])))
-        added = with_kind(outside, 3)
-    return out.withColumn(spans_col, F.array_sort(F.concat(F.col(base_col), added))).drop(tested_col), base_col, spans_col
+    own = docs.withColumns({base_col: base, tested_col: _tested(_candidates(text, parts))})
+    out = written(own if keep_text else own.drop(text_col), "secret-spans")
+    first = thresholds(out, tested_col, rate)
+    if not first:
+        return out.withColumn(spans_col, F.col(base_col)).drop(tested_col), base_col, spans_col
+    limits = F.create_map(*[F.lit(int(x)) for pair in first.items() for x in pair])
+    accepted = F.filter(tested_col, lambda x: x["cell"] < F.element_at(limits, x["stratum"]))
+    return out.withColumn(spans_col, bound(accepted, lambda a: F.when(F.size(a) == 0, F.col(base_col)).otherwise(_outermost(F.col(base_col), a)))).drop(tested_col), base_col, spans_col
+
+
+def _outermost(base: Column, accepted: Column) -> Column:
+    """``base`` and those of ``accepted`` that lie in no other span, in order: sorted by start, longer
+    ones first, a span lies in another if one before it ends there or later."""
+    rows = lambda found, kind: F.transform(found, lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("ne"), kind(x).alias("k")))
+    swept = running(
+        F.array_sort(F.concat(rows(base, lambda x: x["k"]), rows(accepted, lambda x: F.lit(3)))), F.lit(0).cast("bigint"), lambda e, x: F.greatest(e, -x["ne"]),
+        lambda e, x: F.struct(x["s"].alias("s"), x["k"].alias("k"), (-x["ne"]).alias("e"), ((x["k"] == 3) & (e >= -x["ne"])).alias("inner")), "bigint", "struct<s:bigint,k:int,e:bigint,inner:boolean>",
+    )
+    return F.array_sort(F.transform(F.filter(swept, lambda x: ~x["inner"]), lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"))))
 
 
 def _joined(found: str) -> Column:
@@ -184,7 +225,7 @@ def _joined(found: str) -> Column:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.05, parts: bool = False) -> DataFrame:
     """One row for each document: counts of the fixed kinds, a digest of their spans, all spans."""
-    found, base_col, spans_col = spans(docs.select(F.col(id_col), F.col(text_col)), text_col, rate, parts)
+    found, base_col, spans_col = spans(docs.select(F.col(id_col), F.col(text_col)), text_col, rate, parts, keep_text=False)
     count = lambda kind: F.size(F.filter(base_col, lambda x: x["k"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
     return found.select(id_col, count(0), count(1), count(2), F.sha2(_joined(base_col), 256).alias("base_sha256"), _joined(spans_col).alias("spans"))
 
@@ -194,16 +235,26 @@ def redact(docs: DataFrame, text_col: str = "text", rate: float = 0.05, mask: st
     names = docs.columns
     found, _, spans_col = spans(docs, text_col, rate, parts)
     (clean_col,) = unused(found.columns, "clean_text")
-    text = F.col(text_col)
-    zero = F.struct(F.lit(0).cast("bigint").alias("p"), F.lit("").alias("o"))
-
-    def add(acc: Column, x: Column) -> Column:
-        # overlapping spans make one mask
-        fresh = (x["s"] >= acc["p"]) & ((x["s"] > acc["p"]) | (acc["p"] == 0))
-        piece = F.when(fresh, F.concat(acc["o"], F.substring(text, acc["p"].cast("int") + 1, (x["s"] - acc["p"]).cast("int")), F.lit(mask))).otherwise(acc["o"])
-        return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), piece.alias("o"))
-
-    clean = F.aggregate(spans_col, zero, add, lambda acc: F.concat(acc["o"], F.substring(text, acc["p"].cast("int") + 1, F.length(text))))
-    out = found.withColumn(clean_col, F.when(F.size(spans_col) > 0, clean).otherwise(text))
+    text, own = F.col(text_col), F.col(spans_col)
+    clean = F.when(F.size(own) == 0, text).otherwise(_masked(text, own, mask))
+    out = found.withColumn(clean_col, clean)
     change = lambda c: F.col(clean_col).alias(c) if c == text_col else F.when(F.size(spans_col) > 0, F.length(clean_col).cast(docs.schema[c].dataType)).otherwise(F.col(c)).alias(c) if c == length_col else F.col(c)
     return out.select(*[change(c) for c in names])
+
+
+def _masked(text: Column, found: Column, mask: str) -> Column:
+    """``text`` with ``mask`` for each of the spans; overlapping and touching ones make one mask."""
+    # what stays before each span, and whether a mask begins there
+    fresh = lambda p, x: (x["s"] >= p) & ((x["s"] > p) | (p == 0))
+    before = running(found, F.lit(0).cast("bigint"), lambda p, x: F.greatest(p, x["e"]), lambda p, x: F.struct(p.alias("lo"), x["s"].alias("hi"), fresh(p, x).alias("mask")), "bigint", "struct<lo:bigint,hi:bigint,mask:boolean>")
+    tail = F.struct(F.array_max(F.transform(found, lambda x: x["e"])).alias("lo"), F.length(text).cast("bigint").alias("hi"), F.lit(False).alias("mask"))
+
+    def block(kept: Column, c: Column, i: Column) -> Column:
+        start = i.cast("bigint") * _BLOCK
+        here = F.filter(kept, lambda g: ((g["hi"] > g["lo"]) & (g["lo"] < start + _BLOCK) & (g["hi"] > start)) | (g["mask"] & (g["hi"] >= start) & (g["hi"] < start + _BLOCK)))
+        low, high = lambda g: F.greatest(g["lo"], start) - start, lambda g: F.least(g["hi"], start + _BLOCK) - start
+        piece = lambda g: F.when(high(g) > low(g), F.substring(c, (low(g) + 1).cast("int"), (high(g) - low(g)).cast("int"))).otherwise("")
+        return F.array_join(F.transform(here, lambda g: F.concat(piece(g), F.when(g["mask"] & (g["hi"] >= start) & (g["hi"] < start + _BLOCK), mask).otherwise(""))), "")
+
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % _BLOCK), F.lit(0))
+    return bound(F.concat(before, F.array(tail)), lambda kept: F.array_join(F.transform(blocks, lambda c, i: block(kept, c, i)), ""))
