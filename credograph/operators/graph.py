@@ -43,9 +43,68 @@ def peeled(edges: DataFrame) -> DataFrame:
     return left
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node): nodes that reach one another. Edges with a null end are
+    ignored.
+
+    Of what peeling leaves, every node takes the smallest node that reaches it as its colour. A node
+    of its own colour is a root; what reaches it within the colour is its component. Then components
+    and edges between colours go, and the rest is coloured again. A pass over a colour takes as many
+    rounds as its longest shortest way; only nodes and edges are kept, never pairs that reach one
+    another."""
+    edges = edges.filter("child is not null and parent is not null").select("child", "parent").distinct()
+    nodes = edges.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
+    left, found = peeled(edges.filter("child != parent")), []
+    while not left.isEmpty():
+        colours = cut(left.select(F.explode(F.array("child", "parent")).alias("node")).distinct().withColumn("colour", F.col("node")))
+        while True:
+            near = left.join(colours.withColumnRenamed("node", "child"), "child").groupBy(F.col("parent").alias("node")).agg(F.min("colour").alias("near"))
+            new = cut(colours.join(near, "node", "left").select("node", F.least("colour", "near").alias("colour"), (F.col("near") < F.col("colour")).alias("moved")))
+            colours = new.select("node", "colour")
+            if new.filter("moved").isEmpty():
+                break
+        ends = lambda side: colours.select(F.col("node").alias(side), F.col("colour").alias(f"c_{side}"))
+        inner = cut(left.join(ends("child"), "child").join(ends("parent"), "parent").filter("c_child = c_parent").select("child", "parent", F.col("c_child").alias("colour")))
+        own = front = cut(colours.filter("node = colour"))
+        while not front.isEmpty():
+            step = inner.join(front.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"), "colour").distinct()
+            front = cut(step.join(own, "node", "left_anti"))
+            own = cut(own.unionByName(front))
+        found.append(own)
+        gone = own.select("node")
+        left = peeled(inner.join(gone.withColumnRenamed("node", "child"), "child", "left_anti").join(gone.withColumnRenamed("node", "parent"), "parent", "left_anti"))
+    out = nodes
+    for own in found:
+        out = own.select("node", F.col("colour").alias("component")).unionByName(out.join(own, "node", "left_anti"), allowMissingColumns=True)
+    return out.select("node", F.coalesce("component", "node").alias("component")) if found else nodes.select("node", F.col("node").alias("component"))
+
+
+def condensed(edges: DataFrame, components: DataFrame) -> DataFrame:
+    """child, parent: edges between different strong components, by their names."""
+    name = lambda side: components.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+    joined = edges.select("child", "parent").join(name("child"), "child").join(name("parent"), "parent")
+    return joined.filter("c_child != c_parent").select(F.col("c_child").alias("child"), F.col("c_parent").alias("parent")).distinct()
+
+
+def distances(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """node, depth: the least number of edges from each node to a target (node), over parents."""
+    edges = cut(edges.select("child", "parent").distinct())
+    front = found = cut(targets.select("node", F.lit(0).alias("depth")).distinct())
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
+        step = edges.join(front.select(F.col("node").alias("parent")), "parent").select(F.col("child").alias("node"), F.lit(depth).alias("depth")).distinct()
+        front = cut(step.join(found, "node", "left_anti"))
+        found = cut(found.unionByName(front))
+    return found
+
+
 def cycles(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves. Only what peeling leaves is searched."""
-    return reachable(peeled(edges)).filter("node = ancestor").select("node")
+    """Nodes that reach themselves: those of a strong component with others, and those with an edge
+    to themselves."""
+    own = strong_components(edges)
+    alike = own.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
+    return own.join(alike, "component", "left_semi").select("node").union(edges.filter("child = parent").select("child")).distinct()
 
 
 def layers(edges: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ first, so a hub is no hot group. If only wider variables are left, an error says
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ from credograph.operators import factor_graph
 from credograph.sources.folders import cut
 
 WIDEST = 20
+#: Numbers in a batch that a task hands back.
+_NUMBERS = 1 << 20
 
 
 class TooWide(RuntimeError):
@@ -47,34 +50,58 @@ def _flat(table: np.ndarray) -> list[float]:
     return table.reshape(-1, order="F").tolist()
 
 
-def _eliminate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row (variable, factors) to its clique's table and the message with the variable summed out."""
-    for frame in frames:
-        rows = []
-        for v, factors in zip(frame["variable"], frame["f"]):
-            rest = sorted({u for f in factors for u in f["vars"]} - {v})
-            scope, table = [v, *rest], np.zeros((2,) * (len(rest) + 1))
-            for f in factors:
-                own = list(f["vars"])
-                table = table + _on(_cube(f["logs"], len(own)), own, scope)
-            rows.append((v, rest, _flat(table), _flat(_summed(table, (0,)))))
-        yield pd.DataFrame(rows, columns=["variable", "rest", "logs", "message"])
+def _chunks(rows: Iterator[tuple], columns: list[str], sized: int) -> Iterator[pd.DataFrame]:
+    """``rows`` in frames of about ``_NUMBERS`` numbers, counted in the list at place ``sized``."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[sized])
+        if n >= _NUMBERS:
+            yield pd.DataFrame(held, columns=columns)
+            held, n = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
+def product(scope: list[str], factors) -> np.ndarray:
+    """The sum of log tables (vars, logs) over all of ``scope``."""
+    table = np.zeros((2,) * len(scope))
+    for f in factors:
+        own = list(f["vars"])
+        table = table + _on(_cube(f["logs"], len(own)), own, scope)
+    return table
+
+
+def _eliminate(frames: Iterator[pd.DataFrame], largest: bool = False) -> Iterator[pd.DataFrame]:
+    """A row (variable, factors) to its clique's table and the message with the variable summed out,
+    or, with ``largest``, with its better value."""
+
+    def rows() -> Iterator[tuple]:
+        for frame in frames:
+            for v, factors in zip(frame["variable"], frame["f"]):
+                rest = sorted({u for f in factors for u in f["vars"]} - {v})
+                table = product([v, *rest], factors)
+                yield v, rest, _flat(table), _flat(table.max(axis=0) if largest else _summed(table, (0,)))
+
+    return _chunks(rows(), ["variable", "rest", "logs", "message"], 2)
 
 
 def _hand_down(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A clique's table times its parent's belief on what they share, less its own message."""
-    for frame in frames:
-        rows = []
-        for v, rest, logs, message, parent, rest_up, up in zip(*(frame[c] for c in ("variable", "rest", "logs", "message", "parent", "rest_up", "up"))):
-            rest = list(rest)
-            if parent is not None:
-                scope = [parent, *rest_up]
-                table = _cube(up, len(scope))
-                shared = _summed(table, tuple(i for i, u in enumerate(scope) if u not in rest)) if len(scope) > len(rest) else table
-                down = _on(shared, [u for u in scope if u in rest], rest) - _cube(message, len(rest))
-                logs = _flat(_cube(logs, len(rest) + 1) + down[None])
-            rows.append((v, rest, list(logs)))
-        yield pd.DataFrame(rows, columns=["variable", "rest", "belief"])
+
+    def rows() -> Iterator[tuple]:
+        for frame in frames:
+            for v, rest, logs, message, parent, rest_up, up in zip(*(frame[c] for c in ("variable", "rest", "logs", "message", "parent", "rest_up", "up"))):
+                rest = list(rest)
+                if parent is not None:
+                    scope = [parent, *rest_up]
+                    table = _cube(up, len(scope))
+                    shared = _summed(table, tuple(i for i, u in enumerate(scope) if u not in rest)) if len(scope) > len(rest) else table
+                    down = _on(shared, [u for u in scope if u in rest], rest) - _cube(message, len(rest))
+                    logs = _flat(_cube(logs, len(rest) + 1) + down[None])
+                yield v, rest, list(logs)
+
+    return _chunks(rows(), ["variable", "rest", "belief"], 2)
 
 
 def _added_up(cells: DataFrame) -> DataFrame:
@@ -83,8 +110,8 @@ def _added_up(cells: DataFrame) -> DataFrame:
     return sums.groupBy("vars").agg(F.sort_array(F.collect_list(F.struct("x", "w"))).alias("c")).select("vars", F.col("c.w").alias("logs"))
 
 
-def _start(variables: DataFrame, factors: DataFrame) -> DataFrame:
-    """Tables of all factors, their variables in order."""
+def log_tables(variables: DataFrame, factors: DataFrame) -> DataFrame:
+    """vars (in order), logs: all factors and the variables' own."""
     dense = factor_graph.tables(factors).select("vars", F.posexplode("pots").alias("x", "p"))
     place = lambda v: (F.array_position(F.array_sort("vars"), v) - 1).cast("int")
     moved = F.transform("vars", lambda v, j: F.call_function("shiftleft", F.call_function("shiftright", F.col("x"), j).bitwiseAND(1), place(v)))
@@ -93,33 +120,66 @@ def _start(variables: DataFrame, factors: DataFrame) -> DataFrame:
     return _added_up(turned.unionByName(alone))
 
 
+def _round(live: DataFrame, most: int, kept: DataFrame | None = None, strict: bool = True, largest: bool = False) -> tuple[DataFrame, DataFrame] | None:
+    """One round of elimination: the cliques of the variables that go (variable, rest, logs, message),
+    and the tables that are left. ``kept`` (variable) stay. None if no other is left, or, where not
+    ``strict``, if all others have more than ``most`` neighbours."""
+    ends = live.select("vars", F.explode("vars").alias("variable"))
+    pairs = ends.select("variable", F.explode("vars").alias("other")).distinct()
+    counted = pairs.groupBy("variable").agg(F.count("*").alias("d"))
+    if kept is not None:
+        counted = counted.join(kept, "variable", "left_anti")
+    rank = cut(counted.select("variable", "d", F.struct("d", F.xxhash64("variable").alias("h"), "variable").alias("rank")))
+    left = rank.agg(F.count("*").alias("n"), F.min("d").alias("d")).first()
+    if not left.n:
+        return None
+    if left.d - 1 > most:
+        if strict:
+            raise TooWide(f"every variable left has more than {most} neighbours")
+        return None
+    # each is its own neighbour too: it goes if none ranks before it
+    lowest = pairs.join(rank.select(F.col("variable").alias("other"), "d", F.col("rank").alias("r")), "other").groupBy("variable").agg(F.min_by("other", "r").alias("lowest"), F.min("d").alias("d"))
+    chosen = lowest.filter((F.col("lowest") == F.col("variable")) & (F.col("d") - 1 <= most)).select("variable")
+    held = ends.join(chosen, "variable").join(live, "vars").groupBy("variable").agg(F.collect_list(F.struct("vars", "logs")).alias("f"))
+    made = cut(held.mapInPandas(partial(_eliminate, largest=largest), "variable string, rest array<string>, logs array<double>, message array<double>"))
+    gone = made.select(F.col("variable").alias("v"))
+    stay = live.join(ends.join(gone, ends.variable == gone.v).select("vars"), "vars", "left_anti").select("vars", F.posexplode("logs").alias("x", "w"))
+    sent = made.filter(F.size("rest") > 0).select(F.col("rest").alias("vars"), F.posexplode("message").alias("x", "w"))
+    return made, cut(_added_up(stay.unionByName(sent)))
+
+
+def reduced(tables: DataFrame, kept: DataFrame, most: int = WIDEST, strict: bool = True, largest: bool = False) -> DataFrame:
+    """``tables`` (vars in order, logs) with all variables but ``kept`` (variable) summed out, up to a
+    factor for each connected part. Where not ``strict``, variables with more than ``most``
+    neighbours stay too. With ``largest`` each takes its better value instead of a sum."""
+    live = cut(_added_up(tables.select("vars", F.posexplode("logs").alias("x", "w"))))
+    while True:
+        step = _round(live, most, kept, strict, largest)
+        if step is None:
+            return live
+        live = step[1]
+
+
+def totals(tables: DataFrame, most: int = WIDEST) -> DataFrame:
+    """variable, log_total: the log sum over all variables of each connected part of ``tables``, named
+    after the variable that went last."""
+    live, ends = cut(_added_up(tables.select("vars", F.posexplode("logs").alias("x", "w")))), []
+    while (step := _round(live, most)) is not None:
+        made, live = step
+        ends.append(made.filter(F.size("rest") == 0).select("variable", F.col("message")[0].alias("log_total")))
+    return reduce(DataFrame.unionByName, ends) if ends else tables.select(F.col("vars")[0].alias("variable"), F.lit(0.0).alias("log_total")).limit(0)
+
+
 def cliques(variables: DataFrame, factors: DataFrame, most: int = WIDEST) -> DataFrame:
     """variable, round, rest (its neighbours when it went, sorted), logs (the clique's table: the
     variable is bit 0, then ``rest``), message (the variable summed out)."""
-    live, out, k = cut(_start(variables, factors)), [], 0
-    while True:
-        ends = live.select("vars", F.explode("vars").alias("variable"))
-        pairs = ends.select("variable", F.explode("vars").alias("other")).distinct()
-        rank = cut(pairs.groupBy("variable").agg(F.count("*").alias("d")).select("variable", "d", F.struct("d", F.xxhash64("variable").alias("h"), "variable").alias("rank")))
-        left = rank.agg(F.count("*").alias("n"), F.min("d").alias("d")).first()
-        if not left.n:
-            break
-        if left.d - 1 > most:
-            raise TooWide(f"every variable left has more than {most} neighbours")
-        # each is its own neighbour too: it goes if none ranks before it
-        lowest = pairs.join(rank.select(F.col("variable").alias("other"), "d", F.col("rank").alias("r")), "other").groupBy("variable").agg(F.min_by("other", "r").alias("lowest"), F.min("d").alias("d"))
-        chosen = lowest.filter((F.col("lowest") == F.col("variable")) & (F.col("d") - 1 <= most)).select("variable")
-        held = ends.join(chosen, "variable").join(live, "vars").groupBy("variable").agg(F.collect_list(F.struct("vars", "logs")).alias("f"))
-        made = cut(held.mapInPandas(_eliminate, "variable string, rest array<string>, logs array<double>, message array<double>").withColumn("round", F.lit(k)))
-        out.append(made)
-        gone = made.select(F.col("variable").alias("v"))
-        stay = live.join(ends.join(gone, ends.variable == gone.v).select("vars"), "vars", "left_anti").select("vars", F.posexplode("logs").alias("x", "w"))
-        sent = made.filter(F.size("rest") > 0).select(F.col("rest").alias("vars"), F.posexplode("message").alias("x", "w"))
-        live, k = cut(_added_up(stay.unionByName(sent))), k + 1
-    found = out[0] if out else None
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found if found is not None else variables.select("variable", F.array().cast("array<string>").alias("rest"), F.array().cast("array<double>").alias("logs"), F.array().cast("array<double>").alias("message"), F.lit(0).alias("round"))
+    live, out = cut(log_tables(variables, factors)), []
+    while (step := _round(live, most)) is not None:
+        made, live = step
+        out.append(made.withColumn("round", F.lit(len(out))))
+    if not out:
+        return variables.select("variable", F.array().cast("array<string>").alias("rest"), F.array().cast("array<double>").alias("logs"), F.array().cast("array<double>").alias("message"), F.lit(0).alias("round"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def width(found: DataFrame) -> int:
@@ -139,16 +199,16 @@ def calibrate(found: DataFrame) -> DataFrame:
     """variable, rest, belief: each clique's table of log weights given everything."""
     own = cut(found.join(tree(found), "variable"))
     rounds = [r[0] for r in own.select("round").distinct().orderBy(F.desc("round")).collect()]  # one number a round
-    done, schema = None, "variable string, rest array<string>, belief array<double>"
+    done: list[DataFrame] = []
     for k in rounds:
         here = own.filter(F.col("round") == k)
-        if done is None:
-            step = here.select("variable", "rest", F.col("logs").alias("belief"))
-        else:
-            above = done.select(F.col("variable").alias("parent"), F.col("rest").alias("rest_up"), F.col("belief").alias("up"))
-            step = here.join(above, "parent", "left").mapInPandas(_hand_down, schema)
-        done = cut(step if done is None else done.unionByName(step))
-    return done if done is not None else own.select("variable", "rest", F.col("logs").alias("belief"))
+        if not done:
+            done.append(cut(here.select("variable", "rest", F.col("logs").alias("belief"))))
+            continue
+        # each round is written once; a parent may be in any round before
+        above = reduce(DataFrame.unionByName, done).select(F.col("variable").alias("parent"), F.col("rest").alias("rest_up"), F.col("belief").alias("up"))
+        done.append(cut(here.join(above, "parent", "left").mapInPandas(_hand_down, "variable string, rest array<string>, belief array<double>")))
+    return reduce(DataFrame.unionByName, done) if done else own.select("variable", "rest", F.col("logs").alias("belief"))
 
 
 def marginals(variables: DataFrame, factors: DataFrame, most: int = WIDEST) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from credograph.operators import citations, coarsen, synthesis
+from credograph.operators import citations, coarsen, graph, synthesis
 from credograph.plans.checks import _name
 from credograph.plans.shared import EDGES
 from credograph.sources import tables as T
@@ -19,6 +19,52 @@ def coarse_edges(spark, sf_dir):
     return coarsen.coarse(T.strategy_edges(spark, sf_dir), _exports(spark, sf_dir))
 
 
+def _rings(spark, sf_dir):
+    """A ring of one to five claims for each supplier, which alone supports an export of the
+    supplier's nation; and that export."""
+    s = T.table(spark, sf_dir, "supplier")
+    long = F.col("s_suppkey") % 5 + 1
+    at = lambda j: F.concat(_name("q", F.col("s_suppkey")), F.lit("_"), j.cast("string"))
+    own = s.select("s_suppkey", "s_nationkey", long.alias("long"), F.explode(F.sequence(F.lit(0), long - 1)).alias("j"))
+    ring = own.select(at(F.col("j")).alias("child"), at((F.col("j") + 1) % F.col("long")).alias("parent"))
+    out = s.select(at(F.lit(0)).alias("child"), _name("x", "s_suppkey").alias("parent")).unionByName(s.select(_name("x", "s_suppkey").alias("child"), _name("n", "s_nationkey").alias("parent")))
+    return ring.unionByName(out), s.select(_name("x", "s_suppkey").alias("node"))
+
+
+def coarse_edges_rings(spark, sf_dir):
+    rings, exports = _rings(spark, sf_dir)
+    return coarsen.coarse(T.strategy_edges(spark, sf_dir).unionByName(rings), _exports(spark, sf_dir).unionByName(exports))
+
+
+def strong_components(spark, sf_dir):
+    return graph.strong_components(T.strategy_edges(spark, sf_dir).unionByName(_rings(spark, sf_dir)[0]))
+
+
+#: Inner claims between a supplier's and its customer's.
+INNER = 40
+
+
+def coarse_weights(spark, sf_dir):
+    """Each supplier's claim supports its customer's through a chain of inner claims, every third
+    with a prior, and a second premise joins half way."""
+    s = T.table(spark, sf_dir, "supplier")
+    key, share = F.col("s_suppkey"), F.round((F.col("s_acctbal") + 1000) / 11000 * 0.4 + 0.55, 6)
+    name = lambda kind, i=None: F.concat(_name(kind, key), F.lit("_"), i.cast("string")) if i is not None else _name(kind, key)
+    i = F.col("i").cast("int")
+    steps = s.select("s_suppkey", share.alias("share"), F.explode(F.sequence(F.lit(0), F.lit(INNER))).alias("i"))
+    none = F.lit(None).cast("array<double>")
+    before, after = F.when(i == 0, name("a")).otherwise(name("m", i)), F.when(i == INNER, name("t")).otherwise(name("m", i + 1))
+    links = steps.filter(i != INNER // 2).select(name("f", i).alias("factor"), F.lit("soft_entailment").alias("kind"), F.array(before).alias("inputs"), after.alias("conclusion"), F.col("share").alias("p1"), F.lit(0.8).alias("p2"), none.alias("weights"))
+    cells = F.array(F.lit(0.1), F.col("share") / 2, F.lit(0.4), F.col("share"))
+    middle = steps.filter(i == INNER // 2).select(name("f", i).alias("factor"), F.lit("conditional").alias("kind"), F.array(before, name("b")).alias("inputs"), after.alias("conclusion"), F.lit(None).cast("double").alias("p1"), F.lit(None).cast("double").alias("p2"), cells.alias("weights"))
+    prior = F.when(i % 3 == 0, 0.3)
+    variables = steps.filter(i < INNER).select(name("m", i + 1).alias("variable"), prior.cast("double").alias("prior"), F.lit(None).cast("int").alias("hard"))
+    ends = s.select(F.explode(F.array(name("a"), name("b"), name("t"))).alias("variable"), F.lit(0.9).alias("prior"), F.lit(None).cast("int").alias("hard"))
+    edges = s.select(F.explode(F.array(name("a"), name("b"))).alias("premise"), name("t").alias("conclusion"))
+    found = coarsen.coarse_tables(variables.unionByName(ends), links.unionByName(middle), edges)
+    return found.select("conclusion", F.array_join("premises", ",").alias("premises"), *[F.round(F.col("weights")[k], 6).alias(f"w{k}") for k in range(4)])
+
+
 def nearest_exports(spark, sf_dir):
     edges = T.strategy_edges(spark, sf_dir)
     return coarsen.nearest_exports(edges, _exports(spark, sf_dir), _exports(spark, sf_dir).unionByName(T.table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(_name("s", "s_suppkey").alias("node"))))
@@ -87,7 +133,27 @@ m AS (SELECT doc_id AS id, i::int AS "group", unnest(regexp_extract_all(bodies[i
 labels AS (SELECT 'doc' || r_regionkey AS key FROM region WHERE r_regionkey < 3), refs AS (SELECT DISTINCT unnest(['smith' || r_regionkey, 'doc1']) AS key FROM region WHERE r_regionkey > 0),
 k AS (SELECT *, CASE WHEN key IN (SELECT key FROM refs) THEN 'citation' WHEN key IN (SELECT key FROM labels) THEN 'knowledge' ELSE 'unknown' END AS kind FROM m)"""
 
+_RINGED = f"""r AS (SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey % 5 + 1 AS l, unnest(range(0, s_suppkey % 5 + 1)) AS j FROM supplier),
+ring AS (SELECT 'q' || k || '_' || j AS child, 'q' || k || '_' || (j + 1) % l AS parent FROM r), e AS (SELECT * FROM {EDGES} UNION SELECT * FROM ring
+  UNION SELECT 'q' || s_suppkey || '_0', 'x' || s_suppkey FROM supplier UNION SELECT 'x' || s_suppkey, 'n' || s_nationkey FROM supplier)"""
+#: Step by step, what each value of the last claim weighs for each value of the two premises.
+_CHAIN = f"""WITH RECURSIVE s AS (SELECT s_suppkey AS k, round((s_acctbal + 1000)::double / 11000 * 0.4::double + 0.55::double, 6) AS q FROM supplier),
+c(k, q, a, b, i, z0, z1) AS (
+  SELECT k, q, a, b, 0, 1.0::double - a, 0.0::double + a FROM s, range(2) t(a), range(2) u(b)
+  UNION ALL
+  SELECT k, q, a, b, i + 1, y0 / (y0 + y1), y1 / (y0 + y1) FROM (
+    SELECT k, q, a, b, i, (z1 * p1 + z0 * p0) * CASE WHEN i < {INNER} AND i % 3 = 0 THEN 0.3::double ELSE 1 END AS y1, (z1 * (1 - p1) + z0 * (1 - p0)) * CASE WHEN i < {INNER} AND i % 3 = 0 THEN 0.7::double ELSE 1 END AS y0
+    FROM (SELECT *, CASE WHEN i = {INNER // 2} AND b = 0 THEN q / 2 ELSE q END AS p1, CASE WHEN i != {INNER // 2} THEN 0.2::double WHEN b = 1 THEN 0.4::double ELSE 0.1::double END AS p0 FROM c WHERE i <= {INNER})))
+SELECT 't' || k AS conclusion, 'a' || k || ',b' || k AS premises, {", ".join(f"round(max(z1) FILTER (a + 2 * b = {j}), 6) AS w{j}" for j in range(4))} FROM c WHERE i = {INNER + 1} GROUP BY k"""
+
 SQL: dict[str, str] = {
+    "coarse_edges_rings": f"""WITH RECURSIVE {_RINGED}, x AS (SELECT 'n' || n_nationkey AS id FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT 'r' || r_regionkey FROM region UNION SELECT 'x' || s_suppkey FROM supplier), stops AS (SELECT id FROM x),
+depth AS (SELECT 'q' || s_suppkey || '_0' AS node, 1 AS d FROM supplier UNION SELECT child, d + 1 FROM depth JOIN ring ON parent = node WHERE d < 6), least AS (SELECT node, min(d) AS d FROM depth GROUP BY node),
+reach AS (SELECT child AS a, parent AS b FROM ring UNION SELECT a, parent FROM reach JOIN ring ON child = b), scc AS (SELECT r1.a AS node, min(r1.b) AS c FROM reach r1 JOIN reach r2 ON r1.a = r2.b AND r1.b = r2.a GROUP BY r1.a),
+surrogate AS (SELECT arg_min(node, (-d, node)) AS id FROM scc JOIN least USING (node) GROUP BY c),
+src AS (SELECT id FROM x UNION SELECT child FROM e WHERE child NOT IN (SELECT parent FROM e) UNION SELECT id FROM surrogate), {_WALK} SELECT DISTINCT source AS premise, node AS conclusion FROM w WHERE node IN (SELECT id FROM x) AND node != source""",
+    "strong_components": f"WITH RECURSIVE {_RINGED}, reach AS (SELECT child AS a, parent AS b FROM ring UNION SELECT a, parent FROM reach JOIN ring ON child = b), scc AS (SELECT r1.a AS node, min(r1.b) AS c FROM reach r1 JOIN reach r2 ON r1.a = r2.b AND r1.b = r2.a GROUP BY r1.a) SELECT node, coalesce(c, node) AS component FROM (SELECT child AS node FROM e UNION SELECT parent FROM e) LEFT JOIN scc USING (node)",
+    "coarse_weights": _CHAIN,
     "coarse_edges": f"WITH RECURSIVE e AS {EDGES}, {_X}, stops AS (SELECT id FROM x), src AS (SELECT id FROM x UNION SELECT child FROM e WHERE child NOT IN (SELECT parent FROM e)), {_WALK} SELECT DISTINCT source AS premise, node AS conclusion FROM w WHERE node IN (SELECT id FROM x) AND node != source",
     "nearest_exports": f"WITH RECURSIVE e AS (SELECT parent AS child, child AS parent FROM {EDGES}), {_X}, src AS (SELECT id FROM x), stops AS (SELECT id FROM x UNION SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0), {_WALK} SELECT DISTINCT source, node AS export FROM w WHERE node IN (SELECT id FROM stops) AND node != source",
     "contracted_weights": 'SELECT target, round(0.2::double * 0.9::double + 0.8::double * (1 - q), 6) AS without, round(q * 0.9::double + (1 - q) * (1 - q), 6) AS "with" FROM (SELECT s_suppkey AS target, round((s_acctbal + 1000)::double / 11000 * 0.9::double + 0.05::double, 6) AS q FROM supplier)',

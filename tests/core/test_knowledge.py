@@ -1,7 +1,5 @@
 import re
 
-import pytest
-
 from credograph.operators import citations, coarsen, synthesis
 
 
@@ -26,14 +24,6 @@ def test_coarse_graph_with_a_cycle_and_nulls(spark):
     assert coarsen.coarse(edges.limit(0), exports).count() == 0
 
 
-def test_contraction_of_unconnected_variables_fails(spark):
-    variables = spark.createDataFrame([("a", 0.2, None), ("b", None, None)], "variable string, prior double, hard int")
-    factors = spark.createDataFrame([], "factor string, kind string, inputs array<string>, conclusion string, p1 double, p2 double, weights array<double>")
-    targets = spark.createDataFrame([(1, ["a"], "b")], "target int, premises array<string>, conclusion string")
-    with pytest.raises(Exception, match="connected"):
-        coarsen.contract(variables, factors, targets).collect()
-
-
 def test_risks_and_grounds_without_rows_and_with_nulls(spark):
     items = spark.createDataFrame([("s", None, None), ("t", ["p", "p"], "c")], "target_id string, premises array<string>, conclusion string")
     findings = spark.createDataFrame([("f", "prior_hole", "info", ["p", "c"]), ("g", "x", None, ["pp"])], "finding string, kind string, severity string, target_ids array<string>")
