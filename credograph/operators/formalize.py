@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from credograph.functions import names
+
 #: The types with a template, and the roles that helpers have by operator.
 TEMPLATES = ("deduction", "support", "mathematical_induction", "elimination", "case_analysis", "abduction", "analogy", "extrapolation", "compare")
 ROLES = {
@@ -40,7 +42,12 @@ def formal(kind: Column, premises: Column, conclusion: Column, qualifier: str) -
     # an abduction without a second explanation is given one, which all later ids depend on
     other = _id(qualifier, kind, F.get(premises, F.lit(0)), conclusion, "alternative_explanation", F.lit(0))
     full = F.when((kind == "abduction") & (F.size(premises) == 1), F.concat(premises, F.array(other))).otherwise(premises)
-    listed = F.concat(F.lit("["), F.array_join(F.transform(full, lambda p: F.concat(F.lit("'"), p, F.lit("'"))), ", "), F.lit("]"))
+    # spelled out once for all ids
+    told = F.array(F.struct(full.alias("full"), names.listed(full).alias("listed")))
+    return F.get(F.transform(told, lambda o: _formal(kind, premises, conclusion, qualifier, o["full"], o["listed"])), F.lit(0))
+
+
+def _formal(kind: Column, premises: Column, conclusion: Column, qualifier: str, full: Column, listed: Column) -> Column:
     helper = lambda operator, index=0: _id(qualifier, kind, listed, conclusion, ROLES[operator], F.lit(index) if isinstance(index, int) else index)
     at = lambda i: F.get(full, F.lit(i) if isinstance(i, int) else i)
     conj = helper("conjunction")

@@ -1,65 +1,13 @@
-"""Exact enumeration of one small graph given as Python values, and comparison of models. Graphs as
-relations are in ``factor_graph`` and the modules that read it."""
+"""What premises tell about conclusions."""
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from credograph.functions.densities import log_gamma
-from credograph.functions.potentials import clamp, entropy_bits, potential
-
-MOST_VARIABLES = 26
-
-
-@dataclass
-class FactorGraph:
-    """A small graph: names with priors (None: no unary factor) and (kind, inputs, conclusion,
-    parameters) factors."""
-
-    priors: dict[str, float | None] = field(default_factory=dict)
-    factors: list[tuple] = field(default_factory=list)
-
-    def log_weight(self, bit: dict[str, Column]) -> Column:
-        total = F.lit(0.0)
-        for name, p in self.priors.items():
-            if p is not None:
-                total = total + F.log(F.when(bit[name] == 1, clamp(F.lit(p))).otherwise(1 - clamp(F.lit(p))))
-        for kind, inputs, conclusion, how in self.factors:
-            value = potential(kind, [bit[v] for v in inputs], bit[conclusion] if conclusion else None, **how)
-            total = total + F.log(value if kind == "pairwise" else clamp(value))
-        return total
-
-
-def states(spark: SparkSession, graph: FactorGraph) -> DataFrame:
-    """Every assignment with its bits and log weight; states are dealt out over all tasks."""
-    names = list(graph.priors)
-    if len(names) > MOST_VARIABLES:
-        raise ValueError(f"more than {MOST_VARIABLES} variables; use message_passing")
-    bits = {v: F.shiftright("id", i).bitwiseAND(1).cast("int") for i, v in enumerate(names)}
-    own = spark.range(1 << len(names)).select("id", *[b.alias(v) for v, b in bits.items()])
-    return own.withColumn("log_weight", graph.log_weight({v: F.col(v) for v in names}))
-
-
-def joint(spark: SparkSession, graph: FactorGraph, names: list[str]) -> DataFrame:
-    """The names' bits and the probability of each assignment of them."""
-    all_states = states(spark, graph)
-    top = all_states.agg(F.max("log_weight")).first()[0]
-    sums = all_states.groupBy(*names).agg(F.sum(F.exp(F.col("log_weight") - F.lit(top))).alias("w"))
-    total = sums.agg(F.sum("w")).first()[0]
-    return sums.select(*names, (F.col("w") / total).alias("p"))
-
-
-def marginals(spark: SparkSession, graph: FactorGraph) -> DataFrame:
-    """variable, posterior. All sums are made in one pass."""
-    all_states = states(spark, graph)
-    top = all_states.agg(F.max("log_weight")).first()[0]
-    weighted = all_states.withColumn("w", F.exp(F.col("log_weight") - F.lit(top)))
-    sums = weighted.agg(F.sum("w").alias("z"), *[F.sum(F.col(v) * F.col("w")).alias(v) for v in graph.priors])
-    return sums.select(F.inline(F.array(*[F.struct(F.lit(v).alias("variable"), (F.col(v) / F.col("z")).alias("posterior")) for v in graph.priors])))
-
+from credograph.functions.potentials import entropy_bits
 
 def conditional_information(rows: DataFrame, p1: str, p2: str, prior: str) -> Column:
     """Bits that a premise of the given prior tells about the conclusion of a soft entailment."""
@@ -67,6 +15,15 @@ def conditional_information(rows: DataFrame, p1: str, p2: str, prior: str) -> Co
     return F.greatest(entropy_bits(q * a + (1 - q) * b) - q * entropy_bits(a) - (1 - q) * entropy_bits(b), F.lit(0.0))
 
 
+def table_information(weights: Column, priors: Column) -> Column:
+    """Bits that premises of the given priors tell about a conclusion with the chances ``weights``
+    (bit i of the assignment: premise i). At most ``factor_graph.MOST_WIDE`` premises, as a table has."""
+    mass = lambda x: F.aggregate(F.transform(priors, lambda p, i: F.when(F.call_function("shiftright", x, i).bitwiseAND(1) == 1, p).otherwise(1 - p)), F.lit(1.0), lambda a, b: a * b)
+    cells = F.transform(weights, lambda w, x: F.struct(w.alias("w"), mass(x).alias("m")))
+    sums = F.aggregate(cells, F.struct(F.lit(0.0).alias("on"), F.lit(0.0).alias("left")), lambda a, c: F.struct((a["on"] + c["m"] * c["w"]).alias("on"), (a["left"] + c["m"] * entropy_bits(c["w"])).alias("left")))
+    return F.get(F.transform(F.array(sums), lambda s: F.greatest(entropy_bits(s["on"]) - s["left"], F.lit(0.0))), F.lit(0))
+
+
 def log_likelihood(observations: DataFrame, key: str, value: str, rates: dict[str, float]) -> DataFrame:
     """Per key, Poisson log likelihoods of whole-number observations under each rate, and the
     posterior of the models from equal priors. Only sums are shuffled."""

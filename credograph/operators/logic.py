@@ -1,14 +1,11 @@
-"""Formulas over a few atoms, decided by truth tables. A formula is an atom's name or a tuple:
+"""Formulas as columns over bits; formulas as rows are in ``formulas``. A formula is an atom's name or a tuple:
 ("not", f), ("and", f, ...), ("or", f, ...), ("implies", f, g), ("iff", f, g)."""
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-MOST_ATOMS = 20
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def atoms(formula) -> set[str]:
@@ -29,32 +26,6 @@ def truth(formula, bit: dict[str, Column]) -> Column:
     raise ValueError(f"unknown connective {kind} of {len(parts)} parts")
 
 
-def assignments(spark: SparkSession, formulas: dict[str, object]) -> DataFrame:
-    """A boolean column for each formula, a row for each assignment of their atoms."""
-    names = sorted(set().union(*map(atoms, formulas.values())))
-    if len(names) > MOST_ATOMS:
-        raise ValueError(f"more than {MOST_ATOMS} atoms")
-    bit = {a: F.shiftright("id", i).bitwiseAND(1) for i, a in enumerate(names)}
-    return spark.range(1 << len(names)).select(*[truth(f, bit).alias(k) for k, f in formulas.items()])
-
-
-def inspect(spark: SparkSession, formulas: dict[str, object]) -> DataFrame:
-    """subject, other, finding. Alone: unsatisfiable, tautology. Pairs that share an atom:
-    equivalent, incompatible, entails (subject entails other). One pass over the table."""
-    found = assignments(spark, formulas)
-    some = lambda c: F.max(c)
-    rows = []
-    for k in formulas:
-        rows += [(k, None, "unsatisfiable", ~some(F.col(k))), (k, None, "tautology", ~some(~F.col(k)))]
-    for a, b in combinations(formulas, 2):
-        if atoms(formulas[a]) & atoms(formulas[b]):
-            x, y = F.col(a), F.col(b)
-            apart, forth, back = ~some(x & y), ~some(x & ~y), ~some(y & ~x)
-            rows += [(a, b, "equivalent", forth & back), (a, b, "incompatible", apart), (a, b, "entails", forth & ~back & ~apart), (b, a, "entails", back & ~forth & ~apart)]
-    table = found.agg(F.array(*[F.struct(F.lit(s).alias("subject"), F.lit(o).cast("string").alias("other"), F.lit(f).alias("finding"), c.alias("holds")) for s, o, f, c in rows]).alias("all"))
-    return table.select(F.inline("all")).filter("holds").drop("holds")
-
-
 def event_probability(joint: DataFrame, formula) -> DataFrame:
     """One row: the probability mass of a joint table (bit columns, p) in which the formula holds."""
     held = truth(formula, {a: F.col(a) for a in atoms(formula)})

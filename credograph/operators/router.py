@@ -6,18 +6,20 @@ from pyspark.sql import DataFrame
 
 from credograph.operators import exact, junction_tree, mean_field, message_passing
 
-#: Most variables for the exact ways, and the width up to which trees are used.
-MOST_VARIABLES, MOST_WIDE = 2000, 20
+#: The width up to which trees are used, and the number of variables above which the original
+#: leaves exact ways.
+MOST_WIDE, MANY = 20, 2000
 METHODS = ("auto", "exact", "junction_tree", "loopy", "trw", "mean_field")
 
 
-def infer(variables: DataFrame, factors: DataFrame, method: str = "auto", large: str = "mean_field") -> tuple[DataFrame, str]:
-    """(variable and belief; the method used). ``auto``: ``large`` above 2000 variables (mean_field
-    or loopy), else a junction tree up to width 20, else tree-reweighted propagation."""
+def infer(variables: DataFrame, factors: DataFrame, method: str = "auto", large: str = "mean_field", most_variables: int | None = None) -> tuple[DataFrame, str]:
+    """(variable and belief; the method used). ``auto``: a junction tree up to width 20, whatever the
+    size, else tree-reweighted propagation. With ``most_variables`` (``MANY`` for the original's rule), a larger graph
+    goes to ``large`` (mean_field or loopy) unseen."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
     if method == "auto":
-        if variables.count() > MOST_VARIABLES:
+        if most_variables is not None and variables.count() > most_variables:
             method = large
         else:
             try:

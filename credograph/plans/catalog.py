@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from credograph.operators import changes, graph, inference, priors, reviews, trace
-from credograph.plans import beliefs, checks, knowledge, modeling
+from credograph.plans import beliefs, checks, compared, formulas, joined, knowledge, modeling
 from credograph.plans.shared import EDGES, PRIORS
 from credograph.sources import tables as T
 
@@ -227,11 +227,13 @@ l AS ({_LIKELIHOOD}) SELECT l_partkey, n AS n_observations, model, round(l, 4) A
 
 
 OWN = tuple(SQL)
-SQL |= modeling.SQL | beliefs.SQL | checks.SQL | knowledge.SQL
+PARTS = (modeling, beliefs, checks, knowledge, formulas, compared, joined)
+for _part in PARTS:
+    SQL |= _part.SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: globals()[name] for name in OWN} | {name: getattr(part, name) for part in (modeling, beliefs, checks, knowledge) for name in (*part.SQL, *part.ROWS_ONLY)}
+    return {name: globals()[name] for name in OWN} | {name: getattr(part, name) for part in PARTS for name in (*part.SQL, *part.ROWS_ONLY)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from credograph.functions.densities import log_density
-from credograph.operators import graph, inference, logic, lowering, priors, trace, validation
+from credograph.operators import graph, lowering, priors, trace, validation
 from credograph.plans import shared as S
 from credograph.sources import tables as T
 
-FORMULAS = {"f1": ("implies", "a", "b"), "f2": ("or", ("not", "a"), "b"), "f3": ("and", "a", ("not", "b")), "f4": ("iff", "c", "d"), "f5": ("and", "c", "d"), "f6": ("or", "d", ("not", "d"))}
-
-
 def _unit(column: str) -> Column:
     return F.col(column) / 600000
 
@@ -66,10 +63,6 @@ def connected_components(spark, sf_dir):
     return graph.components(T.strategy_edges(spark, sf_dir))
 
 
-def formula_findings(spark, sf_dir):
-    return logic.inspect(spark, FORMULAS)
-
-
 def log_densities(spark, sf_dir):
     x, whole = F.col("s_acctbal") / 1000, F.floor(F.abs(F.col("s_acctbal")) / 500)
     each = {
@@ -154,18 +147,6 @@ def _density_sql() -> str:
     return f"WITH t AS (SELECT s_suppkey, s_acctbal / 1000 AS {x}, floor(abs(s_acctbal) / 500) AS {w} FROM supplier) SELECT * FROM ({rows}) WHERE log_p IS NOT NULL"
 
 
-def _formula_sql() -> str:
-    f = {"f1": "(NOT a OR b)", "f2": "(NOT a OR b)", "f3": "(a AND NOT b)", "f4": "(c = d)", "f5": "(c AND d)", "f6": "(d OR NOT d)"}
-    none = lambda c: f"NOT bool_or({c})"
-    rows = [f"SELECT '{k}' AS subject, NULL::varchar AS other, '{n}' AS finding FROM {_BITS} HAVING {none(c)}" for k, v in f.items() for n, c in (("unsatisfiable", v), ("tautology", f"NOT {v}"))]
-    for x, y in (("f1", "f2"), ("f1", "f3"), ("f2", "f3"), ("f4", "f5"), ("f4", "f6"), ("f5", "f6")):
-        a, b = f[x], f[y]
-        apart, forth, back = none(f"{a} AND {b}"), none(f"{a} AND NOT {b}"), none(f"{b} AND NOT {a}")
-        for s, o, n, c in ((x, y, "equivalent", f"{forth} AND {back}"), (x, y, "incompatible", apart), (x, y, "entails", f"{forth} AND NOT ({back}) AND NOT ({apart})"), (y, x, "entails", f"{back} AND NOT ({forth}) AND NOT ({apart})")):
-            rows.append(f"SELECT '{s}', '{o}', '{n}' FROM {_BITS} HAVING {c}")
-    return " UNION ALL ".join(rows)
-
-
 _CLAIMS = "(SELECT c_custkey AS id, c_mktsegment AS label FROM customer)"
 _N = "(SELECT n_nationkey AS id FROM nation WHERE n_nationkey BETWEEN 2 AND 19)"
 
@@ -186,7 +167,6 @@ s AS (SELECT factor, bool_or(NOT hard) AS soft FROM h GROUP BY 1) SELECT factor,
     "moral_graph": "SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND x.l_suppkey < y.l_suppkey",
     "connected_components": f"""WITH RECURSIVE e AS (SELECT child AS x, parent AS y FROM {S.EDGES} UNION ALL SELECT parent, child FROM {S.EDGES}), up AS (SELECT child AS node, parent AS root FROM {S.EDGES} UNION SELECT node, parent FROM up JOIN {S.EDGES} g ON root = g.child),
 r AS (SELECT node, root FROM up WHERE root LIKE 'r%' UNION SELECT root, root FROM up WHERE root LIKE 'r%') SELECT node, min(node) OVER (PARTITION BY root) AS component FROM r""",
-    "formula_findings": _formula_sql(),
     "log_densities": _density_sql(),
     "prior_overridden": f"WITH p AS {S.PRIORS} SELECT knowledge_id, pos, round(value, 6) AS value, round(winner, 6) AS winner FROM (SELECT *, first_value(value) OVER (PARTITION BY knowledge_id ORDER BY created_at DESC, pos) AS winner FROM p) WHERE abs(value - winner) > 1e-9",
     "validate_priors": f"""WITH p AS {S.PRIORS}, f AS (SELECT 'prior_dangling' AS check_name, knowledge_id FROM p WHERE knowledge_id NOT IN (SELECT s_suppkey FROM supplier)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from credograph.functions import potentials
-from credograph.operators import graph, inference, message_passing, priors, trace
+from credograph.operators import exact, graph, message_passing, priors, trace
 
 TRUTH = {
     "implication": lambda a, b: not a or b, "conjunction": lambda a, b: a and b, "disjunction": lambda a, b: a or b,
@@ -26,27 +26,22 @@ def test_unknown_potential():
 
 
 def test_exact_and_propagated_beliefs_agree_on_a_tree(spark):
-    g = inference.FactorGraph({"a": 0.3, "b": 0.8, "c": 0.5, "d": 0.6}, [("soft_entailment", [x], y, {"p1": p1, "p2": p2}) for x, y, p1, p2 in (("a", "c", 0.9, 0.7), ("b", "c", 0.8, 0.6), ("c", "d", 0.95, 0.5))])
-    exact = {r.variable: r.posterior for r in inference.marginals(spark, g).collect()}
-    total, mass = 0.0, dict.fromkeys(g.priors, 0.0)
+    own, links = {"a": 0.3, "b": 0.8, "c": 0.5, "d": 0.6}, (("a", "c", 0.9, 0.7), ("b", "c", 0.8, 0.6), ("c", "d", 0.95, 0.5))
+    variables = spark.createDataFrame([(v, p, None) for v, p in own.items()], "variable string, prior double, hard int")
+    factors = spark.createDataFrame([(f"{m}>{c}", "soft_entailment", [m], c, p1, p2, None) for m, c, p1, p2 in links], "factor string, kind string, inputs array<string>, conclusion string, p1 double, p2 double, weights array<double>")
+    found = {r.variable: r.belief for r in exact.marginals(variables, factors).collect()}
+    total, mass = 0.0, dict.fromkeys(own, 0.0)
     for bits in itertools.product((0, 1), repeat=4):
-        x = dict(zip(g.priors, bits))
-        w = math.prod(p if x[v] else 1 - p for v, p in g.priors.items())
-        for _, (m,), c, how in g.factors:
-            p = how["p1"] if x[m] else 1 - how["p2"]
+        x = dict(zip(own, bits))
+        w = math.prod(p if x[v] else 1 - p for v, p in own.items())
+        for m, c, p1, p2 in links:
+            p = p1 if x[m] else 1 - p2
             w *= p if x[c] else 1 - p
         total += w
         for v in mass:
             mass[v] += w * x[v]
-    assert exact == pytest.approx({v: m / total for v, m in mass.items()}, abs=1e-9)
-    variables = spark.createDataFrame([(v, p, None) for v, p in g.priors.items()], "variable string, prior double, hard int")
-    factors = spark.createDataFrame([(f"{m}>{c}", kind, [m], c, how["p1"], how["p2"], None) for kind, (m,), c, how in g.factors], "factor string, kind string, inputs array<string>, conclusion string, p1 double, p2 double, weights array<double>")
-    assert {r.variable: r.belief for r in message_passing.loopy(variables, factors, damping=1.0).collect()} == pytest.approx(exact, abs=1e-9)
-
-
-def test_too_many_variables(spark):
-    with pytest.raises(ValueError):
-        inference.states(spark, inference.FactorGraph(dict.fromkeys(map(str, range(27)))))
+    assert found == pytest.approx({v: m / total for v, m in mass.items()}, abs=1e-9)
+    assert {r.variable: r.belief for r in message_passing.loopy(variables, factors, damping=1.0).collect()} == pytest.approx(found, abs=1e-9)
 
 
 def test_cycle_and_patterns(spark):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from credograph.functions.cumulative import cumulative
 from credograph.functions.densities import log_density
-from credograph.operators import graph, logic, trace
+from credograph.operators import graph, trace
 
 
 def test_densities(spark):
@@ -23,13 +23,6 @@ def test_densities(spark):
         log_density("normal", F.lit(1), mu=0)
 
 
-def test_formulas(spark):
-    with pytest.raises(ValueError):
-        logic.inspect(spark, {"f": ("xor", "a", "b")})
-    found = {(r.subject, r.other, r.finding) for r in logic.inspect(spark, {"f": ("and", "a", ("not", "a")), "g": "b"}).collect()}
-    assert found == {("f", None, "unsatisfiable")}
-
-
 def test_retry_ring_and_components(spark):
     ring = spark.createDataFrame([("a", "b", "retry"), ("b", "a", "retry")], "event_id string, parent_event_id string, kind string")
     with pytest.raises(RuntimeError):
