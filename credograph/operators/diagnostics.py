@@ -13,13 +13,123 @@ from credograph.operators import graph
 NOTES = ("note", "setting", "context")
 SEVERITIES = ("error", "warning", "info")
 _KINDS = {
-    "auto": "compile_error validation_error validation_warning structural_hole focus_weakness prior_hole belief_regression support_weak orphaned_claim background_only_claim possible_duplicate_claim stale_artifact focus_low_posterior unreviewed_warrant prior_without_justification rejected_warrant blocked_warrant_path focus_unsupported large_belief_drop overstrong_strategy_without_provenance claim_with_evidence_but_no_focus_connection",
-    "formalize": "compile_error validation_error validation_warning structural_hole prior_hole support_weak orphaned_claim background_only_claim possible_duplicate_claim focus_weakness belief_regression stale_artifact prior_without_justification unreviewed_warrant rejected_warrant focus_low_posterior blocked_warrant_path overstrong_strategy_without_provenance focus_unsupported large_belief_drop claim_with_evidence_but_no_focus_connection",
-    "explore": "compile_error focus_weakness support_weak structural_hole validation_error validation_warning belief_regression possible_duplicate_claim orphaned_claim background_only_claim prior_hole focus_low_posterior rejected_warrant unreviewed_warrant stale_artifact prior_without_justification focus_unsupported claim_with_evidence_but_no_focus_connection blocked_warrant_path large_belief_drop overstrong_strategy_without_provenance",
-    "verify": "compile_error validation_error support_weak prior_hole belief_regression validation_warning structural_hole focus_weakness possible_duplicate_claim orphaned_claim background_only_claim focus_low_posterior prior_without_justification stale_artifact rejected_warrant unreviewed_warrant overstrong_strategy_without_provenance large_belief_drop blocked_warrant_path focus_unsupported claim_with_evidence_but_no_focus_connection",
-    "publish": "compile_error validation_error validation_warning structural_hole prior_hole orphaned_claim support_weak background_only_claim belief_regression focus_weakness possible_duplicate_claim stale_artifact prior_without_justification unreviewed_warrant rejected_warrant focus_low_posterior blocked_warrant_path overstrong_strategy_without_provenance focus_unsupported large_belief_drop claim_with_evidence_but_no_focus_connection",
+    "auto": (
+        "compile_error",
+        "validation_error",
+        "validation_warning",
+        "structural_hole",
+        "focus_weakness",
+        "prior_hole",
+        "belief_regression",
+        "support_weak",
+        "orphaned_claim",
+        "background_only_claim",
+        "possible_duplicate_claim",
+        "stale_artifact",
+        "focus_low_posterior",
+        "unreviewed_warrant",
+        "prior_without_justification",
+        "rejected_warrant",
+        "blocked_warrant_path",
+        "focus_unsupported",
+        "large_belief_drop",
+        "overstrong_strategy_without_provenance",
+        "claim_with_evidence_but_no_focus_connection",
+    ),
+    "formalize": (
+        "compile_error",
+        "validation_error",
+        "validation_warning",
+        "structural_hole",
+        "prior_hole",
+        "support_weak",
+        "orphaned_claim",
+        "background_only_claim",
+        "possible_duplicate_claim",
+        "focus_weakness",
+        "belief_regression",
+        "stale_artifact",
+        "prior_without_justification",
+        "unreviewed_warrant",
+        "rejected_warrant",
+        "focus_low_posterior",
+        "blocked_warrant_path",
+        "overstrong_strategy_without_provenance",
+        "focus_unsupported",
+        "large_belief_drop",
+        "claim_with_evidence_but_no_focus_connection",
+    ),
+    "explore": (
+        "compile_error",
+        "focus_weakness",
+        "support_weak",
+        "structural_hole",
+        "validation_error",
+        "validation_warning",
+        "belief_regression",
+        "possible_duplicate_claim",
+        "orphaned_claim",
+        "background_only_claim",
+        "prior_hole",
+        "focus_low_posterior",
+        "rejected_warrant",
+        "unreviewed_warrant",
+        "stale_artifact",
+        "prior_without_justification",
+        "focus_unsupported",
+        "claim_with_evidence_but_no_focus_connection",
+        "blocked_warrant_path",
+        "large_belief_drop",
+        "overstrong_strategy_without_provenance",
+    ),
+    "verify": (
+        "compile_error",
+        "validation_error",
+        "support_weak",
+        "prior_hole",
+        "belief_regression",
+        "validation_warning",
+        "structural_hole",
+        "focus_weakness",
+        "possible_duplicate_claim",
+        "orphaned_claim",
+        "background_only_claim",
+        "focus_low_posterior",
+        "prior_without_justification",
+        "stale_artifact",
+        "rejected_warrant",
+        "unreviewed_warrant",
+        "overstrong_strategy_without_provenance",
+        "large_belief_drop",
+        "blocked_warrant_path",
+        "focus_unsupported",
+        "claim_with_evidence_but_no_focus_connection",
+    ),
+    "publish": (
+        "compile_error",
+        "validation_error",
+        "validation_warning",
+        "structural_hole",
+        "prior_hole",
+        "orphaned_claim",
+        "support_weak",
+        "background_only_claim",
+        "belief_regression",
+        "focus_weakness",
+        "possible_duplicate_claim",
+        "stale_artifact",
+        "prior_without_justification",
+        "unreviewed_warrant",
+        "rejected_warrant",
+        "focus_low_posterior",
+        "blocked_warrant_path",
+        "overstrong_strategy_without_provenance",
+        "focus_unsupported",
+        "large_belief_drop",
+        "claim_with_evidence_but_no_focus_connection",
+    ),
 }
-RANKS = {mode: {k: i for i, k in enumerate(kinds.split())} for mode, kinds in _KINDS.items()}
+RANKS = {mode: {k: i for i, k in enumerate(kinds)} for mode, kinds in _KINDS.items()}
 
 
 def _each(rows: DataFrame, column: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ Relations (``pos`` is the order of declaration everywhere):
 - ``strategies``: strategy_id, type, premises, conclusion, cpt, p_a_given_b, p_b_given_a,
   sub_strategies, formal (array of operator, variables, conclusion), base_rate, prior (of a support's
   helper, if that is made here), pos, action_label. Named ones without formal get their template's
-- ``priors``: id, prior (told for this run)
+- ``priors``: id, prior (told for this run), and pos if a claim may have several
 - ``reviews``: target_id, status, round, pos
 
 The result is what ``factor_graph`` reads. Priors have the order: helper of an expression, none;
@@ -17,7 +17,7 @@ label begins with two underscores, don't count."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from credograph.functions.potentials import EPSILON
 from credograph.operators import formalize, lowering, reviews as review
@@ -68,9 +68,10 @@ def asserts(operators: DataFrame) -> Column:
 
 
 def told_priors(claims: DataFrame, priors: DataFrame) -> DataFrame:
-    """``priors`` but for helpers, which take none."""
+    """``priors`` but for helpers, which take none. Of several for a claim the one with the greatest
+    ``pos`` counts (if there is that column; ties: the greatest prior)."""
     closed = claims.filter(F.col("helper") | F.coalesce(F.col("label").startswith("__"), F.lit(False))).select("id")
-    return priors.join(closed, "id", "left_anti").groupBy("id").agg(F.first("prior").alias("told"))
+    return priors.join(closed, "id", "left_anti").groupBy("id").agg(F.max_by("prior", F.struct("pos", "prior") if "pos" in priors.columns else F.struct("prior")).alias("told"))
 
 
 def claim_variables(claims: DataFrame, operators: DataFrame, told: DataFrame) -> DataFrame:
@@ -95,7 +96,9 @@ def expand(strategies: DataFrame, known: DataFrame | None = None) -> DataFrame:
     whole = strategies.filter(F.size(F.coalesce("sub_strategies", F.array().cast("array<string>"))) > 0)
     parts = whole.select("strategy_id", F.explode("sub_strategies").alias("part"))
     missing = parts.join((strategies if known is None else known).select(F.col("strategy_id").alias("part")), "part", "left_anti").agg(F.min("part").alias("part"))
-    leaves = strategies.join(whole.select("strategy_id"), "strategy_id", "left_anti").dropDuplicates(["strategy_id"])
+    leaves = strategies.join(whole.select("strategy_id"), "strategy_id", "left_anti")
+    # of rows with one id the first by pos stays
+    leaves = leaves.withColumn("_k", F.row_number().over(Window.partitionBy("strategy_id").orderBy("pos", "conclusion", "type"))).filter("_k = 1").drop("_k")
     guard = missing.select(F.when(F.col("part").isNotNull(), F.raise_error(F.concat(F.lit("composite names a missing strategy: "), F.col("part"))).cast("boolean")).otherwise(True).alias("whole"))
     return leaves.crossJoin(F.broadcast(guard)).filter("whole").drop("whole")  # one row
 

@@ -176,14 +176,17 @@ TYPES = ("infer", "noisy_and", "deduction", "support", "associate", "analogy", "
 
 def reasoning(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """A strategy of one of seven types for each supplier: from it and the customer of the same key
-    to a claim about both. A composite stands for the strategy of the supplier before it. Each
-    nation denies that two of its suppliers are right, said twice."""
+    to a claim about both. A composite stands for the strategy of the supplier before it; an
+    association whose chances would come too near 0 or 1 is an infer. Each nation denies that two of its suppliers are right, said
+    twice, and has a helper claim. Some told priors are repeated; the last counts."""
     s, c = T.table(spark, sf_dir, "supplier"), T.table(spark, sf_dir, "customer")
     key, k = F.col("s_suppkey"), F.col("s_suppkey") % 7
     name = lambda kind, x: F.concat(F.lit(kind), x.cast("string"))
     label, no = (lambda x: x.alias("label")), F.lit(False).alias("helper")
     claim = lambda df, x, p: df.select(x.alias("id"), label(x), no, p.cast("double").alias("prior"))
     claims = claim(s, name("s", key), (F.col("s_acctbal") + 1000) / 11000).unionByName(claim(c, name("c", F.col("c_custkey")), F.when(F.col("c_nationkey") < 20, (F.col("c_acctbal") + 1000) / 11000))).unionByName(claim(s, name("t", key), F.lit(None)))
+    nation = T.table(spark, sf_dir, "nation")
+    claims = claims.unionByName(nation.select(name("helper", F.col("n_nationkey")).alias("id"), F.lit("__made").alias("label"), F.lit(True).alias("helper"), F.lit(0.7).alias("prior")))
     pairs = s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("a"), F.max("s_suppkey").alias("b")).filter("a != b")
     claims = claims.unionByName(claim(pairs, name("not_both_", F.col("s_nationkey")), F.lit(0.3)))
     twice = pairs.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("time"))
@@ -191,17 +194,26 @@ def reasoning(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     operators = twice.select(F.concat_ws("-", "s_nationkey", "time").alias("operator_id"), F.lit("contradiction").alias("operator"), F.when(F.col("time") == 1, F.array(*ends)).otherwise(F.array(*ends[::-1])).alias("variables"), name("not_both_", F.col("s_nationkey")).alias("conclusion"), "time", F.lit(None).cast("string").alias("action_label"), F.lit(False).alias("connective"))
     operators = operators.withColumnRenamed("time", "pos")
     p = (F.col("s_acctbal") + 1000) / 11000
+    # the chances of an association fit the two claims' priors: what both hold lies half way between its bounds
+    b = F.when(F.col("c_nationkey") < 20, (F.col("c_acctbal") + 1000) / 11000)
+    s = s.join(c.select(F.col("c_custkey").alias("s_suppkey"), "c_nationkey", "c_acctbal"), "s_suppkey", "left")
+    inside = lambda x: x.between(0.05, 0.95)
+    meet = (F.greatest(p + b - 1, F.lit(0.0)) + F.least(p, b)) / 2
+    chance = {"p_a_given_b": F.coalesce(meet / b, F.lit(0.9)), "p_b_given_a": F.coalesce(meet / p, 0.9 * (1 - p))}
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (k + 1).cast("int"))
+    kind = F.when((kind == "associate") & ~(inside(p) & (b.isNull() | inside(b))), "infer").otherwise(kind)
     one = F.array(name("s", key))
     both = F.array(name("s", key), name("c", key))
     strategies = s.select(
         key.cast("string").alias("strategy_id"), kind.alias("type"), F.when(kind.isin("support", "composite"), one).otherwise(both).alias("premises"), name("t", key).alias("conclusion"),
         F.when(kind == "infer", F.array(p / 2, p / 3, p / 4, F.greatest(p, F.lit(0.0)))).when(kind == "noisy_and", F.array(p)).alias("cpt"),
-        F.when(kind == "associate", F.lit(0.4)).alias("p_a_given_b"), F.when(kind == "associate", 0.4 * p / ((F.col("s_suppkey") % 5 + 5) / 10)).alias("p_b_given_a"),
+        *[F.when(kind == "associate", v).alias(c) for c, v in chance.items()],
         F.when(kind == "composite", F.array((key - 1).cast("string"))).alias("sub_strategies"), F.lit(None).cast(FORMAL).alias("formal"),
         F.when(F.col("s_nationkey") % 2 == 0, 0.2).alias("base_rate"), F.when(kind == "support", p).alias("prior"), key.alias("pos"), F.when(F.col("s_nationkey") == 5, "act").alias("action_label"),
-    ).filter("type != 'associate'")
-    told = s.filter("s_suppkey % 2 = 0").select(name("t", key).alias("id"), (p / 2).cast("double").alias("prior"))
+    )
+    said = lambda rows, x, q, at: rows.select(x.alias("id"), q.cast("double").alias("prior"), F.lit(at).alias("pos"))
+    even = s.filter("s_suppkey % 2 = 0")
+    told = said(even.filter("s_suppkey % 3 = 0"), name("t", key), F.lit(0.11), 1).unionByName(said(even, name("t", key), p / 2, 2)).unionByName(said(nation, name("helper", F.col("n_nationkey")), F.lit(0.2), 1))
     reviews = s.select(key.cast("string").alias("target_id"), F.explode(F.array(F.struct(F.lit("accepted").alias("status"), F.lit(1).alias("round")), F.struct(F.when(key % 3 == 0, "rejected").otherwise("accepted").alias("status"), F.lit(2).alias("round")))).alias("x")).select("target_id", "x.status", "x.round", F.col("x.round").alias("pos"))
     return {"claims": claims, "operators": operators, "strategies": strategies, "priors": told, "reviews": reviews}
 
@@ -230,6 +242,8 @@ def repeated_operators(spark, sf_dir):
 
 
 _S = "(SELECT *, s_suppkey % 7 AS k, (s_acctbal + 1000) / 11000 AS p, s_nationkey != 5 OR s_suppkey % 3 != 0 AS pass, 's' || s_suppkey AS s, 'c' || s_suppkey AS c, 't' || s_suppkey AS t, CASE WHEN s_suppkey % 2 = 0 THEN (s_acctbal + 1000) / 22000 END AS told FROM supplier)"
+#: A supplier's strategy with its customer's prior b; an association that doesn't fit is an infer (0).
+_S = f"(SELECT * REPLACE (CASE WHEN k = 4 AND NOT (p BETWEEN 0.05 AND 0.95 AND coalesce(b, 0.5) BETWEEN 0.05 AND 0.95) THEN 0 ELSE k END AS k) FROM (SELECT x.*, CASE WHEN c_nationkey < 20 THEN (c_acctbal + 1000) / 11000 END AS b FROM {_S} x LEFT JOIN customer ON c_custkey = s_suppkey))"
 _LOWERED = f"""WITH s AS {_S}, f AS (
 SELECT 'infer:' || s_suppkey AS factor, 'conditional' AS kind, s || ',' || c AS inputs, t AS conclusion, NULL::double AS p1, NULL::double AS p2, 4 AS n_weights, p / 2 AS w0, p / 3 AS w1, greatest(p, 0) AS w3 FROM s WHERE k = 0 AND pass
 UNION ALL SELECT '_m_na_' || s_suppkey || ':and', 'conjunction', s || ',' || c, '_m_na_' || s_suppkey, NULL, NULL, 0, NULL, NULL, NULL FROM s WHERE k = 1 AND pass
@@ -238,6 +252,8 @@ UNION ALL SELECT 'formal:' || s_suppkey || ':0', 'conjunction', s || ',' || c, '
 UNION ALL SELECT 'formal:' || s_suppkey || ':1', 'conditional', 'conjunction_result', t, NULL, NULL, 2, coalesce(CASE WHEN s_nationkey % 2 = 0 THEN 0.2 END, told, 0.5), 0.999, NULL FROM s WHERE k = 2 AND pass
 UNION ALL SELECT 'formal:' || s_suppkey || ':0', 'soft_entailment', s, t, p * 0.999 + (1 - p) * 0.5, 0.5, 0, NULL, NULL, NULL FROM s WHERE k = 3 AND pass
 UNION ALL SELECT 'formal:' || s_suppkey || ':1', 'implication', 'conjunction_result,' || t, 'implication_result', NULL, NULL, 0, NULL, NULL, NULL FROM s WHERE k = 5 AND pass
+UNION ALL SELECT 'assoc:' || s_suppkey, 'pairwise', s, c, NULL, NULL, 4, (1 - a - b + m) / ((1 - a) * (1 - b)), (a - m) / (a * (1 - b)), m / (a * b) FROM (
+  SELECT *, CASE WHEN b0 IS NULL THEN 0.9 * a * (1 - a) ELSE (greatest(a + b0 - 1, 0) + least(a, b0)) / 2 END AS m, coalesce(b0, a * (1 - a)) AS b FROM (SELECT s_suppkey, s, c, p AS a, b AS b0 FROM s WHERE k = 4 AND pass))
 UNION ALL SELECT 'op:' || s_nationkey || '-1', 'contradiction', 's' || min(s_suppkey) || ',s' || max(s_suppkey), 'not_both_' || s_nationkey, NULL, NULL, 0, NULL, NULL, NULL FROM supplier GROUP BY s_nationkey HAVING count(*) > 1)
 SELECT factor, kind, inputs, conclusion, round(p1, 6) AS p1, round(p2, 6) AS p2, n_weights, round(w0, 6) AS w0, round(w1, 6) AS w1, round(w3, 6) AS w3 FROM f"""
 
@@ -253,8 +269,9 @@ SQL: dict[str, str] = {
     "lowered_factors": _LOWERED,
     "lowered_claims": """SELECT 's' || s_suppkey AS variable, round((s_acctbal + 1000) / 11000, 6) AS prior, NULL::int AS hard FROM supplier
 UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_nationkey < 20 THEN round((c_acctbal + 1000) / 11000, 6) END, NULL FROM customer
-UNION ALL SELECT 't' || s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN round((s_acctbal + 1000) / 22000, 6) END, NULL FROM supplier
-UNION ALL SELECT 'not_both_' || s_nationkey, NULL, 1 FROM supplier GROUP BY s_nationkey HAVING count(*) > 1""",
+UNION ALL SELECT t, round(told, 6), NULL FROM {S} WHERE NOT (k = 4 AND pass)
+UNION ALL SELECT 'helper' || n_nationkey, NULL, NULL FROM nation
+UNION ALL SELECT 'not_both_' || s_nationkey, NULL, 1 FROM supplier GROUP BY s_nationkey HAVING count(*) > 1""".replace("{S}", _S),
     "repeated_operators": "SELECT s_nationkey || '-2' AS operator_id, 'contradiction' AS operator, 'not_both_' || s_nationkey AS conclusion FROM supplier GROUP BY s_nationkey HAVING count(*) > 1",
 }
 

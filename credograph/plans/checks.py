@@ -143,11 +143,12 @@ def content_hashes(spark, sf_dir):
 
 
 _K = "SELECT *, s_suppkey % 7 AS k FROM supplier"
-_ROLES = f"""WITH s AS ({_K}), ends AS (SELECT unnest([min(s_suppkey), max(s_suppkey)]) AS e FROM supplier GROUP BY s_nationkey HAVING count(*) > 1),
-r AS (SELECT 's' || s_suppkey AS id, CASE WHEN k != 4 OR s_suppkey IN (SELECT e FROM ends) THEN 'independent' ELSE 'orphaned' END AS role FROM s
-UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey IN (SELECT s_suppkey FROM s WHERE k IN (0, 1, 2, 5)) THEN 'independent' ELSE 'orphaned' END FROM customer
-UNION ALL SELECT 't' || s_suppkey, CASE WHEN k != 4 THEN 'derived' ELSE 'orphaned' END FROM s
+_ROLES = f"""WITH s AS ({_K}),
+r AS (SELECT 's' || s_suppkey AS id, 'independent' AS role FROM s
+UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey IN (SELECT s_suppkey FROM s WHERE k IN (0, 1, 2, 4, 5)) THEN 'independent' ELSE 'orphaned' END FROM customer
+UNION ALL SELECT 't' || s_suppkey, 'derived' FROM s
 UNION ALL SELECT 'not_both_' || s_nationkey, 'structural' FROM supplier GROUP BY s_nationkey HAVING count(*) > 1
+UNION ALL SELECT 'helper' || n_nationkey, 'orphaned' FROM nation
 UNION ALL SELECT 'q' || r_regionkey, 'question' FROM region UNION ALL SELECT 'note' || n_nationkey, 'note' FROM nation)
 """
 _P = "(SELECT 's' || s_suppkey AS variable, (s_acctbal + 1000) / 11000 AS belief, (s_acctbal + 1000) / 16000 AS less, s_suppkey, s_nationkey FROM supplier)"
@@ -164,13 +165,13 @@ SQL: dict[str, str] = {
     "disconnected_evidence": f"WITH RECURSIVE e AS {EDGES}, up AS (SELECT child AS id, parent AS top FROM e UNION SELECT id, parent FROM up JOIN e ON top = child) SELECT DISTINCT child AS id FROM e WHERE child NOT IN (SELECT id FROM up WHERE top IN (SELECT 'r' || r_regionkey FROM region WHERE r_regionkey % 2 = 0))",
     "diagnostic_ranking": f"""SELECT label, kind, severity, coalesce(list_position({_list(diagnostics.RANKS["publish"])}, kind) - 1, 21)::int AS kind_rank, coalesce(list_position({_list(diagnostics.SEVERITIES)}, severity) - 1, 9)::int AS severity_rank
   FROM (SELECT s_name AS label, {_list([*diagnostics.RANKS["verify"], "something_else"])}[s_suppkey % 22 + 1] AS kind, {_list([*diagnostics.SEVERITIES, "other"])}[s_nationkey % 4 + 1] AS severity FROM supplier)""",
-    "gate_failures": f"SELECT s_suppkey::varchar AS target_id, 'rejected' AS status FROM ({_K}) WHERE k != 4 AND s_suppkey % 3 = 0",
+    "gate_failures": f"SELECT s_suppkey::varchar AS target_id, 'rejected' AS status FROM ({_K}) WHERE s_suppkey % 3 = 0",
     "validate_operators": """WITH o AS (SELECT *, CASE WHEN s_suppkey % 3 = 0 THEN 'op_' ELSE 'lco_' END || s_suppkey AS oid FROM supplier)
 SELECT 'operator_id_shape' AS check_name, oid AS id FROM o WHERE s_suppkey % 3 = 0 UNION ALL SELECT 'operator_reference_unknown', oid FROM o WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
 UNION ALL SELECT 'operator_reference_no_claim', oid FROM o WHERE s_suppkey % 5 = 0 UNION ALL SELECT 'operator_conclusion_in_variables', oid FROM o WHERE s_suppkey % 5 != 0 UNION ALL SELECT 'helper_with_prior', 's' || s_suppkey FROM o WHERE s_suppkey % 4 = 0""",
     "validate_composites": """SELECT DISTINCT 'part_unknown' AS check_name, 'n' || s_nationkey AS id FROM supplier WHERE s_acctbal < 0 UNION ALL SELECT DISTINCT 'strategy_id_repeated', 'r2' FROM nation WHERE n_regionkey = 2
 UNION ALL SELECT 'composite_cycle', unnest(['r1', 'n' || min(n_nationkey)]) FROM nation WHERE n_regionkey = 1""",
-    "validate_background": f"SELECT 'background_unknown' AS check_name, s_suppkey::varchar AS id FROM ({_K}) WHERE k != 4 AND s_nationkey = 3",
+    "validate_background": f"SELECT 'background_unknown' AS check_name, s_suppkey::varchar AS id FROM ({_K}) WHERE s_nationkey = 3",
     "validate_private": """SELECT DISTINCT 'private_reference' AS check_name, 'h' || k AS id FROM (SELECT n_nationkey AS k FROM nation UNION SELECT s_suppkey - 1 FROM supplier WHERE s_suppkey % 5 = 0) WHERE k IN (SELECT s_suppkey FROM supplier)""",
     "validate_closure": "SELECT CASE s_suppkey % 4 WHEN 1 THEN 'formal_reference_unknown' ELSE 'formal_cycle' END AS check_name, s_suppkey::varchar AS id FROM supplier WHERE s_suppkey % 4 IN (1, 2)",
     "qualified_names": rf"""SELECT p_partkey, regexp_full_match(name, '[a-z][a-z0-9_]*:[a-z0-9][a-z0-9_\-]*::[A-Za-z_][A-Za-z0-9_]*') AS ok, CASE WHEN ok THEN split_part(name, '::', 2) END AS label FROM (SELECT p_partkey, {_NAME} AS name FROM part)""",
