@@ -11,6 +11,9 @@ at once, counts once. A compaction lists batches and attempts once and records w
 batches that come later, also while it runs, are left for the next. ``totals`` adds up the last
 compaction and the batches after it. Commits may run side by side, also with a compaction;
 compactions have to take turns: one that finds its number taken when it ends changes nothing.
+A compaction and the batches in it stay readable until ``KEPT`` later ones are done, so that lazy
+totals and commits which began before still find what they read; whoever comes later still looks
+again.
 
 Hot groups: counts are added up in each task before they are shuffled, so a source with any share
 of the rows sends one row for each task.
@@ -27,10 +30,13 @@ import hashlib
 import uuid
 
 from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from credograph.llm.shared import delete
 
+#: Compactions that stay readable.
+KEPT = 3
 GROUPS = ("source", "lang", "version")
 _SCHEMA = "source string, lang string, version string, documents bigint, tokens bigint"
 
@@ -54,26 +60,38 @@ class Rollup:
                 done.append((self._fs.getFileStatus(end).getModificationTime(), x.getPath().getName()))
         return f"{self.folder}/batches/{batch}/{min(done)[1]}" if done else None
 
+    def _compactions(self) -> dict[int, str]:
+        """Finished compactions by number: a marker file names each one's folder."""
+        found = sorted(((int(x.getPath().getName()), x) for x in self._list("merged") if x.getLen()), reverse=True)[: KEPT + 1]
+        return {n: f"{self.folder}/tables/{self.spark.read.text(x.getPath().toString()).first()[0]}" for n, x in found}
+
     def _compaction(self) -> str | None:
-        """The last finished compaction: a marker file names its folder."""
-        for x in sorted(self._list("merged"), key=lambda x: x.getPath().getName(), reverse=True):
-            if x.getLen():
-                return f"{self.folder}/tables/{self.spark.read.text(x.getPath().toString()).first()[0]}"
-        return None
-
-    def _held(self, merged: str | None, names: list[str]) -> set[str]:
-        """Those of ``names`` that the compaction took in."""
+        found = self._compactions()
+        return found[max(found)] if found else None
+
+    def _held(self, merged: str | None, names: list[str]) -> dict[str, str]:
+        """Those of ``names`` that the compaction took in, with the attempt that counted."""
         if merged is None or not names:
-            return set()
+            return {}
         wanted = self.spark.createDataFrame([(x,) for x in names], "name string")
-        held = self.spark.read.schema("name string").parquet(f"{merged}/batches")
-        return {r.name for r in held.join(F.broadcast(wanted), "name").collect()}
+        held = self.spark.read.schema("name string, attempt string").parquet(f"{merged}/batches")
+        return {r.name: r.attempt for r in held.join(F.broadcast(wanted), "name").collect()}
+
+    def _looked_up(self, names: list[str]) -> tuple[str | None, dict[str, str]]:
+        """The last compaction and what it holds of ``names``; if it is removed meanwhile, the next."""
+        while True:
+            merged = self._compaction()
+            try:
+                return merged, self._held(merged, names)
+            except (AnalysisException, Py4JJavaError):
+                if merged == self._compaction():
+                    raise
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Store a batch of changes (source, lang, version, change: insert, delete or revise,
         tokens, old_tokens). False if it was there already."""
         name = hashlib.sha256(batch.encode()).hexdigest()
-        if self._attempt(name) or self._held(self._compaction(), [name]):
+        if self._attempt(name) or self._looked_up([name])[1]:
             return False
         new, old = F.coalesce("tokens", F.lit(0)), F.coalesce("old_tokens", F.lit(0))
         wrong = F.raise_error(F.concat(F.lit("unknown change: "), F.coalesce("change", F.lit("null"))))
@@ -82,13 +100,16 @@ class Rollup:
         delta = changes.groupBy(*GROUPS).agg(F.sum(sign).cast("long").alias("documents"), F.sum(signed).cast("long").alias("tokens"))
         own = f"{self.folder}/batches/{name}/{uuid.uuid4().hex}"
         delta.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(own)
-        return self._attempt(name) == own
+        first = self._looked_up([name])[1].get(name) or (self._attempt(name) or "").rsplit("/", 1)[-1]
+        if first and first != own.rsplit("/", 1)[1]:
+            delete(self.spark, own)
+            return False
+        return bool(first)
 
     def _parts(self) -> tuple[str | None, dict[str, str]]:
         """The last compaction, and the attempts that count of the batches after it."""
         names = [x.getPath().getName() for x in self._list("batches")]
-        merged = self._compaction()
-        held = self._held(merged, names)
+        merged, held = self._looked_up(names)
         attempts = {x: self._attempt(x) for x in names if x not in held}
         return merged, {x: place for x, place in attempts.items() if place}
 
@@ -103,16 +124,17 @@ class Rollup:
 
     def compact(self) -> bool:
         """Merge the totals so far into one table, beside the names of all batches ever in it.
-        Only then are the batches deleted, so a stop at any point loses and doubles nothing."""
+        Only then is what ``KEPT`` compactions have taken in deleted, so a stop at any point loses and
+        doubles nothing."""
         number = max((int(x.getPath().getName()) for x in self._list("merged")), default=-1) + 1
         merged, fresh = self._parts()
         if not fresh:
             return False
         own = uuid.uuid4().hex
         self._sums(merged, fresh).write.parquet(f"{self.folder}/tables/{own}/totals")
-        names = self.spark.createDataFrame([(x,) for x in fresh], "name string")
+        names = self.spark.createDataFrame([(x, place.rsplit("/", 1)[1]) for x, place in fresh.items()], "name string, attempt string")
         if merged:
-            names = names.unionByName(self.spark.read.schema("name string").parquet(f"{merged}/batches"))
+            names = names.unionByName(self.spark.read.schema(names.schema).parquet(f"{merged}/batches"))
         names.write.parquet(f"{self.folder}/tables/{own}/batches")
         try:
             marker = self._fs.create(self._path(f"{self.folder}/merged/{number:012d}"), False)
@@ -121,10 +143,11 @@ class Rollup:
             return False
         marker.write(bytearray(own.encode()))
         marker.close()
-        for x in fresh:
-            delete(self.spark, f"{self.folder}/batches/{x}")
-        if merged:
-            delete(self.spark, merged)
+        old = self._compactions().get(number - KEPT)
+        if old:
+            for x in self._held(old, [x.getPath().getName() for x in self._list("batches")]):
+                delete(self.spark, f"{self.folder}/batches/{x}")
+            delete(self.spark, old)
         return True
 
 

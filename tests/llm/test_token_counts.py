@@ -85,3 +85,27 @@ def test_commits_during_a_compaction_and_attempts_side_by_side(spark, monkeypatc
     assert rows(r.totals()) == [("a", "en", "1", 3, 111)]
     assert r.compact() and rows(r.totals()) == [("a", "en", "1", 3, 111)] and not r.compact()
     assert not r.commit("three", batch(100))
+
+
+def test_late_readers_and_commits_outlive_compactions(spark, monkeypatch):
+    r = C.Rollup(spark, new_path(spark, "rollup-test"))
+    batch = lambda n: spark.createDataFrame([("a", "en", "1", "insert", n, None, "x")], SCHEMA)
+    r.commit("b0", batch(1))
+    r.compact()
+    r.commit("b1", batch(10))
+    lazy = r.totals()  # reads the first compaction and batch b1
+    for k in range(2, C.KEPT + 1):
+        assert r.compact()
+        r.commit(f"b{k}", batch(10**k))
+    assert rows(lazy) == [("a", "en", "1", 2, 11)]
+    # a commit that has read an old marker, whose tables then go
+    old = r._compactions()[0]
+    for k in range(C.KEPT + 1, 2 * C.KEPT + 2):
+        r.compact()
+        r.commit(f"b{k}", batch(10**k))
+    seen, stale = C.Rollup._compaction, iter([old])
+    monkeypatch.setattr(C.Rollup, "_compaction", lambda self: next(stale, None) or seen(self))
+    assert not r.commit("b0", batch(1))
+    monkeypatch.setattr(C.Rollup, "_compaction", seen)
+    assert rows(r.totals()) == [("a", "en", "1", 2 * C.KEPT + 2, int("1" * (2 * C.KEPT + 2)))]
+    assert len(r._list("tables")) <= C.KEPT + 1
