@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from credograph.llm.shared import small_batches
-from credograph.llm.tokens import encoder
+from credograph.llm.tokens import encoder, release
 
 _COLUMNS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
@@ -126,6 +126,8 @@ def _pack(path: str, id_col: str, text_col: str, end_id: int, size: int, rows: i
                 if len(out[0]) >= rows:
                     yield batch()
             yield batch()
+        del tokens
+        release()
 
     return run
 

@@ -138,10 +138,14 @@ def _hand_back() -> None:
     global _calls
     _calls += 1
     if _calls % 16 == 0:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        hand_back()
+
+
+def hand_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def groups(column: pa.Array, lower: bool = False, limit: int = GROUP) -> Iterator[Group]:

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from credograph.llm.spans import Group, groups, hash_spans, hash_words
+from credograph.llm.spans import Group, groups, hand_back, hash_spans, hash_words
 
 #: Latin letters, Western punctuation and signs: here lower-casing and splitting are the same
 #: in Python and in the library.
@@ -137,3 +137,9 @@ def encoder(path: str) -> WordIds:
     if path not in _ENCODERS:
         _ENCODERS[path] = WordIds(path)
     return _ENCODERS[path]
+
+
+def release() -> None:
+    """Forget the encoders: a worker that goes on to other stages doesn't keep their words."""
+    _ENCODERS.clear()
+    hand_back()
