@@ -47,12 +47,20 @@ def canonical_json(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def payload(events: DataFrame) -> Column:
-    """An event as canonical JSON. All columns but the recorded ``prev_hash`` take part; columns
-    named ``*_json`` hold JSON already and go under the name without that ending."""
+def json_time(t: Column) -> Column:
+    """A time in UTC as text with a Z; parts of a second only where there are some."""
+    utc = F.to_utc_timestamp(t, F.current_timezone())
+    part = F.date_format(utc, "SSSSSS")
+    return json_text(F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), F.when(part != "000000", F.concat(F.lit("."), part)).otherwise(""), F.lit("Z")))
+
+
+def payload(events: DataFrame, but: tuple[str, ...] = ()) -> Column:
+    """An event as canonical JSON. All columns but the recorded ``prev_hash`` and ``but`` take part; columns
+    named ``*_json`` hold JSON already and go under the name without that ending. Texts, whole numbers,
+    booleans and times have one spelling; other types are refused."""
     fields = {}
     for f in events.schema:
-        if f.name == "prev_hash":
+        if f.name == "prev_hash" or f.name in but:
             continue
         c = F.col(f"`{f.name}`")
         kind = f.dataType.typeName()
@@ -60,8 +68,12 @@ def payload(events: DataFrame) -> Column:
             fields[f.name[:-5]] = F.coalesce(c, F.lit("null"))
         elif kind in ("byte", "short", "integer", "long", "boolean"):
             fields[f.name] = F.coalesce(c.cast("string"), F.lit("null"))
-        else:
+        elif kind in ("timestamp", "timestamp_ntz"):
+            fields[f.name] = json_time(c.cast("timestamp"))
+        elif kind in ("string", "void"):
             fields[f.name] = json_text(c.cast("string"))
+        else:
+            raise TypeError(f"{f.name}: {kind} has no canonical JSON here; give it as text or as {f.name}_json")
     return canonical_json(fields)
 
 
@@ -85,10 +97,10 @@ def verify(events: DataFrame, genesis: str = "") -> DataFrame:
     return events.select("trace_id").distinct().join(bad, "trace_id", "left").select("trace_id", F.col("first_broken").isNull().alias("ok"), "first_broken")
 
 
-def events_root(events: DataFrame) -> DataFrame:
-    """trace_id, root: the hash of the JSON list of a log's events. Logs are hashed as they stream
-    through a task in order; none is held whole."""
-    rows = events.select(F.col("trace_id").cast("string").alias("trace_id"), "seq", payload(events).alias("j")).repartition("trace_id").sortWithinPartitions("trace_id", "seq")
+def events_root(events: DataFrame, order: str = "seq", but: tuple[str, ...] = ()) -> DataFrame:
+    """trace_id, root: the hash of the JSON list of a log's events, in ``order``. Logs are hashed as they
+    stream through a task; none is held whole. Columns ``but`` take no part."""
+    rows = events.select(F.col("trace_id").cast("string").alias("trace_id"), F.col(order).alias("seq"), payload(events, but).alias("j")).repartition("trace_id").sortWithinPartitions("trace_id", "seq")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, digest, out = None, None, []

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from credograph.operators import changes, graph, inference, priors, reviews, trace
-from credograph.plans import beliefs, checks, compared, formulas, joined, knowledge, modeling
+from credograph.plans import beliefs, checks, compared, formulas, joined, knowledge, logs, modeling
 from credograph.plans.shared import EDGES, PRIORS
 from credograph.sources import tables as T
 
@@ -227,7 +227,7 @@ l AS ({_LIKELIHOOD}) SELECT l_partkey, n AS n_observations, model, round(l, 4) A
 
 
 OWN = tuple(SQL)
-PARTS = (modeling, beliefs, checks, knowledge, formulas, compared, joined)
+PARTS = (modeling, beliefs, checks, knowledge, formulas, compared, joined, logs)
 for _part in PARTS:
     SQL |= _part.SQL
 
