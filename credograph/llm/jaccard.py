@@ -43,12 +43,14 @@ _SKETCH = 1 << 20
 _SLICE = 1 << 10
 _FILTER = 1 << 27
 _PART = 1 << 15
+#: Bytes of texts whose shingles are made at once.
+_AT_ONCE = 1 << 19
 _SALT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted set of hashed shingles of each text."""
-    for g in groups(texts, lower=True):
+    for g in groups(texts, lower=True, limit=_AT_ONCE):
         h, first = g.words(BLANKS)
         whole = windows(h, k)
         for i, j in zip(first[:-1].tolist(), first[1:].tolist()):

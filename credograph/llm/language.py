@@ -34,6 +34,8 @@ from credograph.llm.shared import small_batches, unused
 from credograph.llm.spans import Group, groups, mix
 
 UNKNOWN = "und"
+#: Bytes of texts that a task counts or fits at once: a few arrays of ten to thirty times that are held.
+_TRAINED, _READ = 1 << 19, 1 << 18
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
@@ -59,7 +61,7 @@ def _count(lang_col: str, text_col: str, n: int, buckets: int):
         for batch in batches:
             names = batch.schema.names
             langs = batch.column(names.index(lang_col)).to_pylist()
-            for g in groups(batch.column(names.index(text_col)), lower=True):
+            for g in groups(batch.column(names.index(text_col)), lower=True, limit=_TRAINED):
                 codes, doc = grams(g, n, buckets)
                 own = langs[g.first : g.first + g.n]
                 order = {name: i for i, name in enumerate(dict.fromkeys(own))}
@@ -168,7 +170,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", n: in
 def _predict(model, text_col: str, fields: list[str], added: list[str], penalty: float, max_set: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = model.value
-        limit = max(1 << 16, (1 << 20) // max(1, len(own.languages) // 4))
+        limit = max(1 << 16, _READ // max(1, len(own.languages) // 4))
         for batch in batches:
             text = batch.column(batch.schema.names.index(text_col))
             langs, scores, clear = [UNKNOWN] * len(text), np.zeros(len(text)), np.ones(len(text), bool)

@@ -92,7 +92,7 @@ class WordIds:
 
     def encode_all(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text in turn; null counts as empty."""
-        for g in groups(texts):
+        for g in groups(texts, limit=1 << 19):
             yield from self._group(g)
 
     def _group(self, g: Group) -> Iterator[np.ndarray]:
