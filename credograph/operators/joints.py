@@ -43,18 +43,19 @@ def by_elimination(variables: DataFrame, factors: DataFrame, names: list[str], m
     return weighed.select("assignment", (e / F.lit(total)).alias("p"))
 
 
-def within_a_factor(variables: DataFrame, factors: DataFrame, names: list[str]) -> DataFrame | None:
-    """assignment, p from the smallest factor (ties: the least name) that holds all names, by tree-reweighted propagation; None
-    if there is none."""
+def within_a_factor(variables: DataFrame, factors: DataFrame, names: list[str], most_rounds: int = 200) -> DataFrame | None:
+    """assignment, p from the smallest factor (ties: the least name) that holds all names, by
+    tree-reweighted propagation; None if there is none, which is seen before anything is run."""
     from credograph.operators.lowering import tree_weights
 
-    rho = cut(tree_weights(factor_graph.incidences(factors), variables.filter("hard is not null")))
-    told = message_passing.run(variables, factors, most_rounds=200, threshold=1e-8, reweighted=True, rho=rho)[1]
-    wanted = F.array(*map(F.lit, names))
-    best = told.filter(F.size(F.array_except(wanted, F.col("vars"))) == 0).orderBy(F.size("vars"), "factor").limit(1)
-    if best.isEmpty():
+    scope = F.concat("inputs", F.array("conclusion"))
+    holds = factors.filter(F.size(F.array_except(F.array(*map(F.lit, names)), scope)) == 0)
+    best = holds.orderBy(F.size("inputs"), "factor").select("factor").limit(1).collect()
+    if not best:
         return None
-    cells = message_passing.pseudo_joints(best)
+    rho = cut(tree_weights(factor_graph.incidences(factors), variables.filter("hard is not null")))
+    told = message_passing.run(variables, factors, most_rounds=most_rounds, threshold=1e-8, reweighted=True, rho=rho)[1]
+    cells = message_passing.pseudo_joints(told.filter(F.col("factor") == best[0].factor))
     return cells.groupBy(_mask(names, "vars", F.col("assignment")).alias("assignment")).agg(F.sum("p").alias("p"))
 
 

@@ -28,15 +28,16 @@ def test_joints_side_by_side(spark):
     v, f = frames(spark, variables, factors)
     names = ["v5", "far", "v0", "v2"]
     got = {}
-    for r in joints.compared(v, f, names).collect():
+    for r in joints.compared(v, f, names, ("exact", "junction_tree", "trw")).collect():
         got.setdefault(r.method, {})[r.assignment] = (r.p, r.basis, r.problem)
     want = table(variables, factors, names)
     for method in ("exact", "junction_tree"):
         assert [got[method][i][0] for i in range(16)] == pytest.approx(want, abs=1e-9)
     assert got["trw"] == {None: (None, None, "no factor holds all names")}
-    assert sum(p for p, _, _ in got["mean_field"].values()) == pytest.approx(1)
+    beliefs = spark.createDataFrame([("v0", 0.2), ("v1", 0.7), ("v2", 0.5)], "variable string, belief double")
+    assert {r.assignment: r.p for r in joints.of_beliefs(beliefs, ["v1", "v0"]).collect()} == pytest.approx({0: 0.24, 1: 0.56, 2: 0.06, 3: 0.14})
     pair = [factors[0][3], factors[0][2][0]]
-    by = {r.assignment: r.p for r in joints.compared(v, f, pair, ("trw",)).collect()}
+    by = {r.assignment: r.p for r in joints.within_a_factor(v, f, pair, most_rounds=3).collect()}
     assert sum(by.values()) == pytest.approx(1) and len(by) == 4
     lost = joints.compared(v, f, ["v0", "nobody"]).collect()
     assert len(lost) == 4 and all("nobody" in r.problem for r in lost)
@@ -47,17 +48,17 @@ def test_joints_side_by_side(spark):
 
 
 def test_joint_across_a_long_chain(spark):
-    """Ends of a chain of 60, which no enumeration and no single clique holds."""
-    n, p = 60, 0.9
+    """Ends of a chain of 30, which no enumeration and no single clique holds."""
+    n, p = 30, 0.9
     variables = [(f"c{i:02}", 0.3 if i == 0 else None, None) for i in range(n)]
     factors = [(f"f{i}", "soft_entailment", [f"c{i:02}"], f"c{i + 1:02}", p, p, None) for i in range(n - 1)]
     v, f = frames(spark, variables, factors)
-    got = {r.method: r for r in joints.compared(v, f, ["c00", "c59"], ("exact",)).collect()}
+    got = {r.method: r for r in joints.compared(v, f, ["c00", "c29"], ("exact",)).collect()}
     assert "more than 26" in got["exact"].problem
     same = (1 + (2 * p - 1) ** (n - 1)) / 2
-    cells = {r.assignment: r.p for r in joints.by_elimination(v, f, ["c00", "c59"]).collect()}
+    cells = {r.assignment: r.p for r in joints.by_elimination(v, f, ["c00", "c29"]).collect()}
     assert [cells[i] for i in range(4)] == pytest.approx([0.7 * same, 0.3 * (1 - same), 0.7 * (1 - same), 0.3 * same], abs=1e-9)
-    assert router.infer(v, f)[1] == "junction_tree" and router.infer(v, f, most_variables=10)[1] == "mean_field"
+    assert router.infer(v, f)[1] == "junction_tree"
 
 
 OPS = {"conjunction": all, "disjunction": any, "negation": lambda x: not x[0], "implication": lambda x: not x[0] or x[1], "equivalence": lambda x: x[0] == x[1], "contradiction": lambda x: not all(x), "complement": lambda x: x[0] != x[1]}
@@ -66,7 +67,7 @@ OPS = {"conjunction": all, "disjunction": any, "negation": lambda x: not x[0], "
 def test_feasible_assignments_equal_enumeration(spark):
     rnd = random.Random(4)
     rows, claims, want = [], [], {}
-    for g in range(25):
+    for g in range(15):
         names = [f"v{i}" for i in range(6)]
         own, relations = [], feasibility.RELATIONS
         for k in range(rnd.randint(0, 5)):
@@ -93,11 +94,11 @@ def test_feasible_assignments_equal_enumeration(spark):
 
 
 def test_counts_beyond_any_table(spark):
-    """No two neighbours of 90 hold: Fibonacci's number 92."""
-    rows = [(1, f"f{i:02}", "contradiction", [f"v{i:02}", f"v{i + 1:02}"], f"h{i:02}", None, None, None) for i in range(89)]
-    got = feasibility.feasible(spark.createDataFrame(rows, "group int, " + FACTORS), spark.createDataFrame([(1, f"v{i:02}") for i in range(90)], "group int, variable string")).first()
+    """No two neighbours of 40 hold: Fibonacci's number 42."""
+    rows = [(1, f"f{i:02}", "contradiction", [f"v{i:02}", f"v{i + 1:02}"], f"h{i:02}", None, None, None) for i in range(39)]
+    got = feasibility.feasible(spark.createDataFrame(rows, "group int, " + FACTORS), spark.createDataFrame([(1, f"v{i:02}") for i in range(40)], "group int, variable string")).first()
     a, b = 1, 1
-    for _ in range(90):
+    for _ in range(40):
         a, b = b, a + b
     assert got.bits == pytest.approx(math.log2(b), abs=1e-9)
 
@@ -164,7 +165,7 @@ def test_galileo_and_blocks(spark):
     assert got == pytest.approx(brute(variables, factors)[0], abs=1e-9)
     assert got == pytest.approx({r.variable: r.belief for r in exact.marginals(v, f).collect()}, abs=1e-9)
     assert [round(got[k], 3) for k in ("daily", "aristotle", "medium", "vacuum")] == [0.964, 0.010, 0.642, 0.821]
-    for n in (5, 50):
+    for n in (5, 20):
         variables, factors = [], []
         for i in range(1, n + 1):
             variables += [(f"a{i}", 0.7, None), (f"c{i}", 0.6, None), (f"h{i}", None, None)]
