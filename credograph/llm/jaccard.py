@@ -37,7 +37,7 @@ from credograph.llm import signature_tree as tree
 from credograph.llm.components import components
 from credograph.llm import lookup
 from credograph.llm.shared import Scratch, id_key, new_path, small_batches, stored
-from credograph.llm.spans import BLANKS, groups, mix, windows
+from credograph.llm.spans import BLANKS, groups, hand_back, mix, windows
 
 _SKETCH = 1 << 20
 _SLICE = 1 << 10
@@ -218,6 +218,8 @@ def _by_block(work, least: tree.Threshold, schema: pa.Schema):
         if len(block.rows) > 1:
             out += work(block, least)
         yield from flush()
+        del block
+        hand_back()
 
     return run
 
@@ -227,16 +229,21 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _mark(column: str):
-    """Bits of the hashes in ``column``, in slices of a filter of ``_FILTER`` bits."""
+    """Bits of the hashes in ``column``, in slices of a filter of ``_FILTER`` bits. A task holds the
+    filter once, as bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[int, np.ndarray] = {}
+        own = np.zeros(_FILTER // 8, np.uint8)
         for batch in batches:
             bit = batch.column(batch.schema.names.index(column)).to_numpy(zero_copy_only=False) & (_FILTER - 1)
-            for i in np.unique(bit // _PART).tolist():
-                own = slices.setdefault(i, np.zeros(_PART, bool))
-                own[bit[bit // _PART == i] % _PART] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int64()), pa.array([np.packbits(x).tobytes() for x in slices.values()], pa.binary())], names=["slice", "bits"])
+            np.bitwise_or.at(own, bit >> 3, (128 >> (bit & 7)).astype(np.uint8))
+        slices = own.reshape(-1, _PART // 8)
+        used = np.flatnonzero(slices.any(axis=1))
+        for at in range(0, len(used), 256):
+            some = used[at : at + 256]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([slices[i].tobytes() for i in some], pa.binary())], names=["slice", "bits"])
+        del own, slices
+        hand_back()
 
     return run
 
