@@ -372,7 +372,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", limit: int
             for i, s in enumerate(batch.column(batch.schema.names.index(added[0])).to_pylist()):
                 long = [(a, b) for a, b in zip(s[::2], s[1::2]) if b - a > max_span]
                 if long:
-                    g = next(groups(pa.array([texts[i]], pa.string())))
+                    g = next(groups(pa.array([texts[i]], pa.string()), lower=True))
                     starts, ends, _ = g.spans(NON_ALNUM)
                     raw, out, at = texts[i].encode(), [], 0
                     for a, b in long:

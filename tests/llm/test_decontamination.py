@@ -102,3 +102,16 @@ def test_stage_cuts_long_spans_of_documents_that_stay(spark, tmp_path):
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.decontamination_stage(spark, frame, str(tmp_path)).collect()}
     assert got == want
     assert 90 in want and items[8][1] not in got[90][0] and 3 < len(want) < len(docs)
+
+
+def test_spans_are_cut_at_their_words_in_texts_with_capitals(spark):
+    """Capitals are letters of words, in the cut as in the search."""
+    from credograph.llm import decontamination as D
+
+    item = " ".join(f"Word{i}" for i in range(20))
+    before, after = " ".join(f"The Old{i}" for i in range(300)), " ".join(f"AND New{i}" for i in range(300))
+    docs = spark.createDataFrame([(1, f"{before} {item.upper()}, {after}", 0), (2, f"{before} ENDS {item}", 0), (3, item, 0), (4, before, 0)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in D.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), max_span=12, length_col="n_chars").collect()}
+    want = {1: f"{before} , {after}", 2: f"{before} ENDS ", 4: before}
+    assert {k: t for k, (t, _) in got.items()} == want
+    assert all(n == (len(t) if k != 4 else 0) for k, (t, n) in got.items())
