@@ -198,17 +198,20 @@ def reasoning(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     b = F.when(F.col("c_nationkey") < 20, (F.col("c_acctbal") + 1000) / 11000)
     s = s.join(c.select(F.col("c_custkey").alias("s_suppkey"), "c_nationkey", "c_acctbal"), "s_suppkey", "left")
     inside = lambda x: x.between(0.05, 0.95)
-    meet = (F.greatest(p + b - 1, F.lit(0.0)) + F.least(p, b)) / 2
+    # greatest and least pass over nulls: without the customer's prior there are no bounds
+    meet = F.when(b.isNotNull(), (F.greatest(p + b - 1, F.lit(0.0)) + F.least(p, b)) / 2)
     chance = {"p_a_given_b": F.coalesce(meet / b, F.lit(0.9)), "p_b_given_a": F.coalesce(meet / p, 0.9 * (1 - p))}
     kind = F.element_at(F.array(*map(F.lit, TYPES)), (k + 1).cast("int"))
     kind = F.when((kind == "associate") & ~(inside(p) & (b.isNull() | inside(b))), "infer").otherwise(kind)
+    # a composite whose supplier before it is in no table has no parts, so it stands for nothing
+    s = s.join(s.select((key + 1).alias("s_suppkey"), F.lit(True).alias("after")), "s_suppkey", "left")
     one = F.array(name("s", key))
     both = F.array(name("s", key), name("c", key))
     strategies = s.select(
         key.cast("string").alias("strategy_id"), kind.alias("type"), F.when(kind.isin("support", "composite"), one).otherwise(both).alias("premises"), name("t", key).alias("conclusion"),
         F.when(kind == "infer", F.array(p / 2, p / 3, p / 4, F.greatest(p, F.lit(0.0)))).when(kind == "noisy_and", F.array(p)).alias("cpt"),
         *[F.when(kind == "associate", v).alias(c) for c, v in chance.items()],
-        F.when(kind == "composite", F.array((key - 1).cast("string"))).alias("sub_strategies"), F.lit(None).cast(FORMAL).alias("formal"),
+        F.when((kind == "composite") & F.col("after"), F.array((key - 1).cast("string"))).alias("sub_strategies"), F.lit(None).cast(FORMAL).alias("formal"),
         F.when(F.col("s_nationkey") % 2 == 0, 0.2).alias("base_rate"), F.when(kind == "support", p).alias("prior"), key.alias("pos"), F.when(F.col("s_nationkey") == 5, "act").alias("action_label"),
     )
     said = lambda rows, x, q, at: rows.select(x.alias("id"), q.cast("double").alias("prior"), F.lit(at).alias("pos"))

@@ -83,3 +83,29 @@ def test_templates(spark):
     assert [x[0] for x in got[5]] == [x[0] for x in got[6]] == ["conjunction", "implication"]
     why = spark.createDataFrame([("compare", ["a"]), ("elimination", ["a", "b"]), ("reductio", ["a"]), ("support", ["a"])], "k string, p array<string>").select(formalize.problem(F.col("k"), F.col("p")).alias("w"))
     assert [r.w for r in why.collect()] == ["premises", "premises", "no template", None]
+
+
+def test_an_association_without_its_customers_prior_has_no_bounds(spark):
+    from credograph.plans import beliefs
+
+    sf = "/root/testdata/sf0.01"
+    customers = beliefs.T.table(spark, sf, "customer").filter("c_nationkey >= 20").select(F.col("c_custkey").cast("string").alias("strategy_id"))
+    told = beliefs.reasoning(spark, sf)["strategies"].filter("type = 'associate'").join(customers, "strategy_id").join(beliefs.T.table(spark, sf, "supplier"), F.col("strategy_id") == F.col("s_suppkey").cast("string"))
+    rows = told.select("s_acctbal", "p_a_given_b", "p_b_given_a").collect()
+    assert rows
+    for r in rows:
+        assert r.p_a_given_b == 0.9 and abs(r.p_b_given_a - 0.9 * (1 - (float(r.s_acctbal) + 1000) / 11000)) < 1e-12
+
+
+def test_composites_after_a_gap_in_the_keys(spark, tmp_path):
+    from credograph.plans import beliefs
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("supplier", "customer", "nation"):
+        rows = beliefs.T.table(spark, sf, name)
+        (rows.unionByName(rows.withColumn("s_suppkey", F.col("s_suppkey") + 13)) if name == "supplier" else rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    strategies = beliefs.reasoning(spark, str(tmp_path))["strategies"]
+    # 13 is a composite, but there is no 12
+    assert strategies.filter("strategy_id = '13' and type = 'composite' and sub_strategies is null").count() == 1
+    leaves = {r.strategy_id for r in L.expand(strategies).collect()}
+    assert leaves == {str(k) for k in (*range(10), *range(13, 23)) if k % 7 != 6 or k == 13}
