@@ -43,10 +43,20 @@ def feasible(factors: DataFrame, claims: DataFrame, most: int = junction_tree.WI
     holds = named.filter(F.col("kind").isin(*RELATIONS)).select(F.array("conclusion").alias("vars"), F.array(F.lit(_NEVER), F.lit(0.0)).alias("logs")).distinct()
     free = counted.select(F.array(within(F.col("variable"))).alias("vars"), F.array(F.lit(0.0), F.lit(0.0)).alias("logs"))
     kept = counted.select(within(F.col("variable")).alias("variable"))
-    left = junction_tree.reduced(logs.unionByName(holds).unionByName(free), kept, most, largest=True)
-    sums = junction_tree.totals(left, most).select(F.substring("variable", 1, 32).alias("mark"), "log_total")
+    mark_of = lambda c: F.substring(c, 1, 32)
+
+    def summed(rows: DataFrame) -> DataFrame:
+        """mark, log_total of the connected parts: what tasks sum of a group, and the rest in rounds."""
+        own = junction_tree.within(rows.select(mark_of(F.col("vars")[0]).alias("part"), "vars", "logs"), most=most)
+        rest = junction_tree.totals(own.filter(F.size("vars") > 0).select("vars", "logs"), most)
+        return own.filter(F.size("vars") == 0).select(F.col("part").alias("mark"), F.col("logs")[0].alias("log_total")).unionByName(rest.select(mark_of("variable").alias("mark"), "log_total"))
+
+    every = logs.unionByName(holds).unionByName(free)
+    own = junction_tree.within(every.select(mark_of(F.col("vars")[0]).alias("part"), "vars", "logs"), kept.select(mark_of("variable").alias("part"), "variable"), most, largest=True)
+    left = junction_tree.reduced(own.filter(F.size("vars") > 0).select("vars", "logs"), kept, most, largest=True)
+    sums = summed(left)
     # parts without a counted claim must be possible too
-    alone = junction_tree.totals(logs.unionByName(holds), most).select(F.substring("variable", 1, 32).alias("mark"), (F.col("log_total") < _NEVER / 2).alias("never"))
+    alone = summed(logs.unionByName(holds)).select("mark", (F.col("log_total") < _NEVER / 2).alias("never"))
     never = alone.groupBy("mark").agg(F.max("never").alias("never"))
     total = sums.groupBy("mark").agg(F.sum("log_total").alias("t"))
     both = sizes.withColumn("mark", mark).join(total, "mark", "left").join(never, "mark", "left")
@@ -57,40 +67,58 @@ def feasible(factors: DataFrame, claims: DataFrame, most: int = junction_tree.WI
 
 #: Claims of a group that has a joint table.
 MOST_CLAIMS = 16
+#: Cells of the joints that move together in a task.
+_CELLS = 1 << 20
 
 
 def _fitted(frames: Iterator[pd.DataFrame], rounds: int, threshold: float) -> Iterator[pd.DataFrame]:
     """Each constraint in turn moves the table as little as makes it hold; rounds end when none moves."""
     for frame in frames:
-        rows = []
-        for group, claims, told in zip(frame["group"], frame["claims"], frame["told"]):
+        rows, alike = [], {}
+        for i, (claims, told) in enumerate(zip(frame["claims"], frame["told"])):
             claims = list(claims)
-            x = np.arange(1 << len(claims))
-            on = [(x >> i & 1).astype(bool) for i in range(len(claims))]
-            p, used, moved = np.full(len(x), 1.0 / len(x)), 0, 0.0
-            for used in range(1, rounds + 1):
-                moved = 0.0
-                for c in told:
-                    q = float(c["value"])
-                    a = on[claims.index(c["claim"])]
-                    b = on[claims.index(c["given"])] if c["given"] is not None else np.ones(len(x), bool)
-                    yes, no = p[a & b].sum(), p[~a & b].sum()
-                    if yes + no <= 0:
-                        continue
-                    moved = max(moved, abs(yes / (yes + no) - q))
-                    if 0 < q < 1 and yes > 0 and no > 0:
-                        step = np.log(q * no / ((1 - q) * yes))
-                        p = p * np.where(a & b, np.exp(step * (1 - q)), np.where(b, np.exp(-step * q), 1.0))
-                    else:
-                        p = np.where(b & (a != (q >= 1)), 0.0, p) if q in (0.0, 1.0) else p
-                    if p.sum() > 0:
-                        p = p / p.sum()
-                if moved < threshold:
-                    break
-            rows.append((group, claims, p.tolist(), used, bool(moved < threshold), float(moved)))
+            shape = (len(claims), *((claims.index(c["claim"]), None if c["given"] is None else claims.index(c["given"])) for c in told))
+            alike.setdefault(shape, []).append(i)
+        # groups whose rows have the same shape move together; each stops by itself
+        for (n, *ends), members in alike.items():
+            step = max(1, _CELLS >> n)
+            for at in range(0, len(members), step):
+                some = members[at : at + step]
+                values = np.array([[float(c["value"]) for c in frame["told"].iloc[i]] for i in some]).reshape(len(some), len(ends))
+                found = _fit(n, ends, values, rounds, threshold)
+                rows += [(frame["group"].iloc[i], list(frame["claims"].iloc[i]), p.tolist(), int(used), bool(gap < threshold), float(gap)) for i, p, used, gap in zip(some, *found)]
         yield pd.DataFrame(rows, columns=["group", "claims", "cells", "rounds", "converged", "gap"])
 
 
+def _fit(n: int, ends: list[tuple], values: np.ndarray, rounds: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Joints, rounds and last moves of groups with the same claims; ``values`` has a row for each group."""
+    x = np.arange(1 << n)
+    on = [(x >> i & 1).astype(bool) for i in range(n)]
+    masks = [(on[a], np.ones(len(x), bool) if b is None else on[b]) for a, b in ends]
+    joints, used, gaps = np.full((len(values), len(x)), 1.0 / len(x)), np.zeros(len(values), int), np.zeros(len(values))
+    left, p = np.arange(len(values)), joints.copy()
+    for k in range(1, rounds + 1):
+        moved, told = np.zeros(len(left)), values[left]
+        for j, (a, b) in enumerate(masks):
+            q = told[:, j]
+            yes, no = p[:, a & b].sum(axis=1), p[:, ~a & b].sum(axis=1)
+            some = yes + no > 0
+            moved = np.where(some, np.maximum(moved, np.abs(yes / np.where(some, yes + no, 1.0) - q)), moved)
+            soft = some & (q > 0) & (q < 1) & (yes > 0) & (no > 0)
+            step = np.log(np.where(soft, q * no, 1.0) / np.where(soft, (1 - q) * yes, 1.0))[:, None]
+            change = np.where(a & b, np.exp(step * (1 - q[:, None])), np.where(b, np.exp(-step * q[:, None]), 1.0))
+            sure = (some & ~soft & np.isin(q, (0.0, 1.0)))[:, None]
+            p = np.where(soft[:, None], p * change, np.where(sure & b & (a != (q[:, None] >= 1)), 0.0, p))
+            total = p.sum(axis=1, keepdims=True)
+            p = np.where(some[:, None] & (total > 0), p / np.where(total > 0, total, 1.0), p)
+        joints[left], used[left], gaps[left] = p, k, moved
+        going = moved >= threshold
+        if not going.any():
+            break
+        left, p = left[going], p[going]
+    return joints, used, gaps
+
+
 def largest_entropy(told: DataFrame, rounds: int = 5000, threshold: float = 1e-10) -> DataFrame:
     """group, claims (in order), cells (bit i: claims[i]), rounds, converged, gap, bits: the joint of
     largest entropy in which every row of ``told`` (group, claim, given, value) holds: the chance of the claim,

@@ -7,10 +7,14 @@ On trees and chains the number of rounds follows the logarithm of their size.
 
 Only variables with at most ``most`` neighbours are eliminated, and only their factors are gathered,
 so a row holds at most 2^(most + 1) numbers. Messages to the same variables are added up in tasks
-first, so a hub is no hot group. If only wider variables are left, an error says so."""
+first, so a hub is no hot group. If only wider variables are left, an error says so.
+
+Where parts that share no variable are known, those of few numbers are each eliminated in one pass of
+a task (``within``); rounds do what is left, wide variables and large parts."""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import partial, reduce
 
@@ -24,6 +28,8 @@ from credograph.sources.folders import cut
 WIDEST = 20
 #: Numbers in a batch that a task hands back.
 _NUMBERS = 1 << 20
+#: Numbers in the tables of a part that a task may eliminate, and neighbours of the variables that go there.
+_PART, _NARROW = 1 << 18, 8
 
 
 class TooWide(RuntimeError):
@@ -160,6 +166,67 @@ def reduced(tables: DataFrame, kept: DataFrame, most: int = WIDEST, strict: bool
         live = step[1]
 
 
+def _pass(frames: Iterator[pd.DataFrame], most: int, largest: bool) -> Iterator[pd.DataFrame]:
+    """A row (part, f, kept) to the tables that are left of the part. Those of no variable are its total."""
+
+    def rows() -> Iterator[tuple]:
+        for frame in frames:
+            for part, f, kept in zip(frame["part"], frame["f"], frame["kept"]):
+                live: dict[tuple, np.ndarray] = {}
+                of: dict[str, set] = {}
+                near: dict[str, set] = {}
+
+                def put(own: tuple, table: np.ndarray) -> None:
+                    if own in live:
+                        live[own] = live[own] + table
+                        return
+                    live[own] = table
+                    for v in own:
+                        of.setdefault(v, set()).add(own)
+                        near.setdefault(v, set()).update(own)
+
+                for x in f:
+                    put(tuple(x["vars"]), _cube(x["logs"], len(x["vars"])))
+                stay = set(kept if kept is not None else ())
+                queue = [(len(n), v) for v, n in near.items() if v not in stay]
+                heapq.heapify(queue)
+                while queue and queue[0][0] - 1 <= most:
+                    d, v = heapq.heappop(queue)
+                    if v not in near or len(near[v]) != d:
+                        continue  # it went, or stands elsewhere in the queue
+                    rest = sorted(near.pop(v) - {v})
+                    table = np.zeros((2,) * d)
+                    for own in of.pop(v):
+                        table = table + _on(live.pop(own), list(own), [v, *rest])
+                        for u in own:
+                            if u != v:
+                                of[u].discard(own)
+                    for u in rest:
+                        near[u].discard(v)
+                    put(tuple(rest), table.max(axis=0) if largest else _summed(table, (0,)))
+                    for u in rest:
+                        if u not in stay:
+                            heapq.heappush(queue, (len(near[u]), u))
+                for own, table in live.items():
+                    yield part, list(own), _flat(table)
+
+    return _chunks(rows(), ["part", "vars", "logs"], 2)
+
+
+def within(tables: DataFrame, kept: DataFrame | None = None, most: int = _NARROW, largest: bool = False) -> DataFrame:
+    """``tables`` (part, vars in order, logs) after the variables with at most ``most`` neighbours are
+    summed out, all but ``kept`` (part, variable). No two parts share a variable. Parts of more than
+    ``_PART`` numbers stay as they are. A table of no variable holds its part's total."""
+    sizes = tables.groupBy("part").agg(F.sum(F.size("logs")).alias("n"))
+    marked = cut(tables.select("part", "vars", "logs").join(sizes.select("part", (F.col("n") <= _PART).alias("small")), "part"))
+    held = marked.filter("small").groupBy("part").agg(F.collect_list(F.struct("vars", "logs")).alias("f"))
+    names = None if kept is None else kept.groupBy("part").agg(F.collect_set("variable").alias("kept"))
+    held = held.withColumn("kept", F.lit(None).cast("array<string>")) if names is None else held.join(names, "part", "left")
+    kind = tables.schema["part"].dataType.simpleString()
+    done = held.select("part", "f", "kept").mapInPandas(partial(_pass, most=min(most, _NARROW), largest=largest), f"part {kind}, vars array<string>, logs array<double>")
+    return cut(done.unionByName(marked.filter("not small").select("part", "vars", "logs")))
+
+
 def totals(tables: DataFrame, most: int = WIDEST) -> DataFrame:
     """variable, log_total: the log sum over all variables of each connected part of ``tables``, named
     after the variable that went last."""

@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 
 from credograph.operators import exact, feasibility, inference, joints, junction_tree, router
@@ -180,3 +181,28 @@ def test_galileo_and_blocks(spark):
         else:
             # a link that nothing else holds says nothing: each block is alike
             assert all(got[f"a{i}"] == pytest.approx(got["a1"], abs=1e-3) for i in range(2, n + 1))
+
+
+def test_parts_are_summed_in_a_pass_as_by_rounds(spark, monkeypatch):
+    """Small parts in a task, others by rounds: the same counts, of long chains too."""
+    rows = [(g, f"f{g}-{i}", "contradiction", [f"v{i:03}", f"v{i + 1:03}"], f"h{i:03}", None, None, None) for g, n in ((1, 20), (2, 3)) for i in range(n - 1)]
+    claims = [(g, f"v{i:03}") for g, n in ((1, 20), (2, 3)) for i in range(n)]
+    count = lambda: {r.group: r.bits for r in feasibility.feasible(spark.createDataFrame(rows, "group int, " + FACTORS), spark.createDataFrame(claims, "group int, variable string")).collect()}
+    fib = [1, 2]
+    while len(fib) < 21:
+        fib.append(fib[-1] + fib[-2])
+    want = {1: math.log2(fib[20]), 2: math.log2(fib[3])}
+    rounds, once = [], junction_tree._round
+    monkeypatch.setattr(junction_tree, "_round", lambda *a, **k: rounds.append(1) or once(*a, **k))
+    assert count() == pytest.approx(want, abs=1e-9) and len(rounds) <= 3
+    monkeypatch.setattr(junction_tree, "_PART", 100)
+    assert count() == pytest.approx(want, abs=1e-9) and len(rounds) > 3
+
+
+def test_entropy_groups_of_one_shape_stop_by_themselves():
+    ends, values = [(0, 1), (1, 0)], [[0.4, 0.7], [0.9, 0.2], [0.5, 0.5]]
+    together = feasibility._fit(2, ends, np.array(values), 5000, 1e-10)
+    for i, v in enumerate(values):
+        alone = feasibility._fit(2, ends, np.array([v]), 5000, 1e-10)
+        assert list(together[0][i]) == pytest.approx(list(alone[0][0]), abs=1e-15) and together[1][i] == alone[1][0]
+    assert len(set(together[1])) > 1
