@@ -18,7 +18,8 @@ FAULTS = {3: "json decode", 5: "unknown kind", 7: "missing"}
 def _written(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """A log for each nation: its customers in order of their keys are the events. Every eleventh line
     by key has a fault; nations of region 1 have manifests without a name; and some roots are wrong."""
-    c, n = T.table(spark, sf_dir, "customer"), T.table(spark, sf_dir, "nation")
+    # a small file is one split, but its lines take long to write: dealt out to all tasks
+    c, n = T.table(spark, sf_dir, "customer").repartition(spark.sparkContext.defaultParallelism, "c_custkey"), T.table(spark, sf_dir, "nation")
     fault = F.when(F.col("c_custkey") % 11 == 0, F.col("c_custkey") % 9)
     own = c.select(
         "c_nationkey", "c_custkey", fault.alias("fault"), _name("e", "c_custkey").alias("event_id"), F.col("c_custkey").alias("seq"), F.timestamp_seconds(F.col("c_custkey") * 3600).alias("ts"),

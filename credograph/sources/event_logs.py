@@ -16,6 +16,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from credograph.sources.folders import cut
+
 #: The kinds of events and of references, and the fields of each record with what they must be.
 KINDS = ("decision", "tool_call", "tool_result", "intermediate_state", "retry", "claim_ref")
 RELATIONS = ("asserts", "uses", "contradicts")
@@ -94,14 +96,15 @@ def _problem(kind: str, field: str) -> Column:
 
 def _checked(items: DataFrame, fields: dict[str, str]) -> tuple[DataFrame, DataFrame]:
     """The items with nothing wrong, with variant ``v``; and the issues of the others."""
-    own = items.withColumn("v", _parsed(F.col("value")))
+    own = cut(items.withColumn("v", _parsed(F.col("value"))))
     sort = F.schema_of_variant("v")
     whole = F.when(sort.isNull(), "json decode").when(~sort.startswith("OBJECT"), "must be an object")
     each = F.array(*[F.struct(F.lit(f".{k}").alias("field"), _problem(kind, k).alias("message")) for k, kind in fields.items()])
     more = F.transform(F.array_except(F.coalesce(F.json_object_keys("value"), F.array().cast("array<string>")), F.array(*map(F.lit, fields))), lambda k: F.struct(F.concat(F.lit("."), k).alias("field"), F.lit("unknown field").alias("message")))
     one = F.array(F.struct(F.lit("").alias("field"), whole.alias("message")))
     found = F.filter(F.when(whole.isNotNull(), one).otherwise(F.concat(each, more)), lambda x: x["message"].isNotNull())
-    own = own.withColumn("wrong", found)
+    # written once: else the filter below and every field parse and check each record again
+    own = cut(own.withColumn("wrong", found))
     issues = own.select("file", "place", F.explode("wrong").alias("x")).select("file", F.concat("place", "x.field").alias("location"), "x.message")
     return own.filter(F.size("wrong") == 0), issues
 

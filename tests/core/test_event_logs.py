@@ -77,3 +77,10 @@ def test_payload_refuses_what_has_several_spellings(spark):
 
     with pytest.raises(TypeError):
         trace.payload(spark.createDataFrame([(0.1,)], "x double"))
+
+
+def test_records_are_parsed_once(spark, tmp_path):
+    """What is read from checked records must not parse them again, field by field."""
+    (tmp_path / "a.jsonl").write_text('{"arm_id":"a"}\n{"event_id":"e"}\n')
+    for rows in L.read(spark, f"file://{tmp_path}").values():
+        assert "parse_json" not in rows._jdf.queryExecution().optimizedPlan().toString() or rows.columns == ["file", "location", "message"]
