@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from credograph.operators import factor_graph, graph
-from credograph.sources.folders import cut
+from credograph.sources.folders import apart, cut
 
 MOST_VARIABLES = 26
 _BUCKET = 256.0
@@ -22,23 +22,23 @@ def components(variables: DataFrame, factors: DataFrame) -> DataFrame:
 
     each = factor_graph.incidences(factors)
     first = each.groupBy("factor").agg(F.min("variable").alias("parent"))
-    edges = each.join(first, "factor").filter("variable != parent").select(F.col("variable").alias("child"), "parent").distinct()
+    edges = each.join(apart(first), "factor").filter("variable != parent").select(F.col("variable").alias("child"), "parent").distinct()
     joined = graph.components(edges).select(F.col("node").alias("variable"), "component")
-    own = variables.select("variable").join(joined, "variable", "left").select("variable", F.coalesce("component", "variable").alias("component"))
+    own = variables.select("variable").join(apart(joined), "variable", "left").select("variable", F.coalesce("component", "variable").alias("component"))
     size = own.groupBy("component").agg(F.count("*").alias("n"))
     too_large = F.raise_error(F.lit(f"a component of more than {MOST_VARIABLES} variables; use junction_tree or message_passing")).cast("bigint")
-    sized = own.join(size.select("component", F.when(F.col("n") <= MOST_VARIABLES, F.col("n")).otherwise(too_large).alias("n")), "component")
+    sized = own.join(apart(size).select("component", F.when(F.col("n") <= MOST_VARIABLES, F.col("n")).otherwise(too_large).alias("n")), "component")
     return sized.withColumn("slot", F.row_number().over(Window.partitionBy("component").orderBy("variable")) - 1)
 
 
 def states(variables: DataFrame, factors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """component, n, state, w (log weight of each assignment: slot i is bit i); and the slots."""
     slots = cut(components(variables, factors))
-    base = factor_graph.unary(variables).join(slots, "variable").groupBy("component", "n").agg(F.sort_array(F.collect_list(F.struct("slot", "base"))).alias("b"))
+    base = factor_graph.unary(variables).join(apart(slots), "variable").groupBy("component", "n").agg(F.sort_array(F.collect_list(F.struct("slot", "base"))).alias("b"))
     dense = factor_graph.tables(factors).select("factor", "vars", F.transform("pots", lambda p: F.log(p)).alias("logs"))
-    placed = dense.select("factor", F.posexplode("vars").alias("pos", "variable")).join(slots, "variable")
-    scoped = placed.groupBy("factor", "component").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "slot"))), lambda x: x["slot"]).alias("at")).join(dense.select("factor", "logs"), "factor")
-    held = base.join(scoped.groupBy("component").agg(F.collect_list(F.struct("at", "logs")).alias("f")), "component", "left")
+    placed = dense.select("factor", F.posexplode("vars").alias("pos", "variable")).join(apart(slots), "variable")
+    scoped = placed.groupBy("factor", "component").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "slot"))), lambda x: x["slot"]).alias("at")).join(apart(dense).select("factor", "logs"), "factor")
+    held = apart(base).join(scoped.groupBy("component").agg(F.collect_list(F.struct("at", "logs")).alias("f")), "component", "left")
     # a row for each block of 2^12 states carries its component's factors; states are made within it
     low, high = F.least("n", F.lit(_BLOCK)).cast("int"), F.greatest(F.col("n") - _BLOCK, F.lit(0)).cast("int")
     two = lambda k: F.call_function("shiftleft", F.lit(1).cast("bigint"), k)
@@ -58,7 +58,7 @@ def _mass(rows: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFram
     parts = rows.withColumn("bucket", bucket).withColumn("e", e).groupBy(*keys, "bucket").agg(*[F.sum(c * F.col("e")).alias(k) for k, c in sums.items()])
     tops = parts.groupBy(*keys).agg(F.max(F.when(F.greatest(*[F.col(k) for k in sums], F.lit(0.0)) > 0, F.col("bucket"))).alias("top"))
     scale = F.exp((F.col("bucket") - F.col("top")) * _BUCKET)
-    return parts.join(tops, keys).groupBy(*keys, "top").agg(*[F.sum(F.col(k) * scale).alias(k) for k in sums])
+    return parts.join(apart(tops), keys).groupBy(*keys, "top").agg(*[F.sum(F.col(k) * scale).alias(k) for k in sums])
 
 
 def marginals(variables: DataFrame, factors: DataFrame) -> DataFrame:
@@ -70,9 +70,9 @@ def marginals(variables: DataFrame, factors: DataFrame) -> DataFrame:
     shares = F.array(*[F.col(f"s{i}") / F.col("z") for i in range(widest)]) if widest else F.array().cast("array<double>")
     # a unary factor is kept as log odds; its own share of log Z is added per variable
     p = F.when(F.col("hard").isNotNull(), F.lit(0.999)).otherwise(F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("prior"))))
-    zero = variables.join(slots, "variable").groupBy("component").agg(F.sum(F.when(F.coalesce(F.col("hard"), F.lit(0)) == 1, F.log(F.lit(0.001))).when(F.col("hard").isNotNull(), F.log(F.lit(0.999))).when(F.col("prior").isNotNull(), F.log(1 - p)).otherwise(0.0)).alias("zero"))
-    found = total.select("component", shares.alias("share"), (F.log("z") + F.col("top") * _BUCKET).alias("log_z")).join(zero, "component")
-    return slots.join(found, "component").select("variable", F.get("share", F.col("slot")).alias("belief"), (F.col("log_z") + F.col("zero")).alias("log_z"))
+    zero = variables.join(apart(slots), "variable").groupBy("component").agg(F.sum(F.when(F.coalesce(F.col("hard"), F.lit(0)) == 1, F.log(F.lit(0.001))).when(F.col("hard").isNotNull(), F.log(F.lit(0.999))).when(F.col("prior").isNotNull(), F.log(1 - p)).otherwise(0.0)).alias("zero"))
+    found = total.select("component", shares.alias("share"), (F.log("z") + F.col("top") * _BUCKET).alias("log_z")).join(apart(zero), "component")
+    return apart(slots).join(found, "component").select("variable", F.get("share", F.col("slot")).alias("belief"), (F.col("log_z") + F.col("zero")).alias("log_z"))
 
 
 def joint(variables: DataFrame, factors: DataFrame, names: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from credograph.sources.folders import cut
+from credograph.sources.folders import apart, cut
 
 
 def reachable(edges: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -158,10 +158,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("child").alias("node"), F.col("parent").alias("other")).unionByName(edges.select(F.col("parent").alias("node"), F.col("child").alias("other"))).distinct()
     labels = both.select("node", F.col("node").alias("label")).distinct()
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = cut(labels.join(near, "node").select("node", "label", F.least("label", "near").alias("low")))
+        near = apart(both).join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        step = cut(apart(labels).join(near, "node").select("node", "label", F.least("label", "near").alias("low")))
         jump = step.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        new = cut(step.join(jump, "low").select("node", "label", F.least("low", "lower").alias("next")))
+        new = cut(apart(step).join(jump, "low").select("node", "label", F.least("low", "lower").alias("next")))
         labels = new.select("node", F.col("next").alias("label"))
         if new.filter("label != next").isEmpty():
             return labels.withColumnRenamed("label", "component")
