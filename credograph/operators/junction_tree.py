@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from credograph.operators import factor_graph
-from credograph.sources.folders import cut
+from credograph.sources.folders import apart, cut
 
 WIDEST = 20
 #: Numbers in a batch that a task hands back.
@@ -134,7 +134,7 @@ def _round(live: DataFrame, most: int, kept: DataFrame | None = None, strict: bo
     pairs = ends.select("variable", F.explode("vars").alias("other")).distinct()
     counted = pairs.groupBy("variable").agg(F.count("*").alias("d"))
     if kept is not None:
-        counted = counted.join(kept, "variable", "left_anti")
+        counted = apart(counted).join(kept, "variable", "left_anti")
     rank = cut(counted.select("variable", "d", F.struct("d", F.xxhash64("variable").alias("h"), "variable").alias("rank")))
     left = rank.agg(F.count("*").alias("n"), F.min("d").alias("d")).first()
     if not left.n:
@@ -144,12 +144,12 @@ def _round(live: DataFrame, most: int, kept: DataFrame | None = None, strict: bo
             raise TooWide(f"every variable left has more than {most} neighbours")
         return None
     # each is its own neighbour too: it goes if none ranks before it
-    lowest = pairs.join(rank.select(F.col("variable").alias("other"), "d", F.col("rank").alias("r")), "other").groupBy("variable").agg(F.min_by("other", "r").alias("lowest"), F.min("d").alias("d"))
+    lowest = apart(pairs).join(rank.select(F.col("variable").alias("other"), "d", F.col("rank").alias("r")), "other").groupBy("variable").agg(F.min_by("other", "r").alias("lowest"), F.min("d").alias("d"))
     chosen = lowest.filter((F.col("lowest") == F.col("variable")) & (F.col("d") - 1 <= most)).select("variable")
-    held = ends.join(chosen, "variable").join(live, "vars").groupBy("variable").agg(F.collect_list(F.struct("vars", "logs")).alias("f"))
+    held = apart(ends).join(chosen, "variable").join(apart(live), "vars").groupBy("variable").agg(F.collect_list(F.struct("vars", "logs")).alias("f"))
     made = cut(held.mapInPandas(partial(_eliminate, largest=largest), "variable string, rest array<string>, logs array<double>, message array<double>"))
     gone = made.select(F.col("variable").alias("v"))
-    stay = live.join(ends.join(gone, ends.variable == gone.v).select("vars"), "vars", "left_anti").select("vars", F.posexplode("logs").alias("x", "w"))
+    stay = apart(live).join(apart(ends).join(gone, ends.variable == gone.v).select("vars"), "vars", "left_anti").select("vars", F.posexplode("logs").alias("x", "w"))
     sent = made.filter(F.size("rest") > 0).select(F.col("rest").alias("vars"), F.posexplode("message").alias("x", "w"))
     return made, cut(_added_up(stay.unionByName(sent)))
 
@@ -218,10 +218,10 @@ def within(tables: DataFrame, kept: DataFrame | None = None, most: int = _NARROW
     summed out, all but ``kept`` (part, variable). No two parts share a variable. Parts of more than
     ``_PART`` numbers stay as they are. A table of no variable holds its part's total."""
     sizes = tables.groupBy("part").agg(F.sum(F.size("logs")).alias("n"))
-    marked = cut(tables.select("part", "vars", "logs").join(sizes.select("part", (F.col("n") <= _PART).alias("small")), "part"))
+    marked = cut(tables.select("part", "vars", "logs").join(apart(sizes).select("part", (F.col("n") <= _PART).alias("small")), "part"))
     held = marked.filter("small").groupBy("part").agg(F.collect_list(F.struct("vars", "logs")).alias("f"))
     names = None if kept is None else kept.groupBy("part").agg(F.collect_set("variable").alias("kept"))
-    held = held.withColumn("kept", F.lit(None).cast("array<string>")) if names is None else held.join(names, "part", "left")
+    held = held.withColumn("kept", F.lit(None).cast("array<string>")) if names is None else apart(held).join(names, "part", "left")
     kind = tables.schema["part"].dataType.simpleString()
     done = held.select("part", "f", "kept").mapInPandas(partial(_pass, most=min(most, _NARROW), largest=largest), f"part {kind}, vars array<string>, logs array<double>")
     return cut(done.unionByName(marked.filter("not small").select("part", "vars", "logs")))
@@ -258,13 +258,13 @@ def tree(found: DataFrame) -> DataFrame:
     """variable, parent: each clique (named after its variable) below that of the neighbour which
     goes next; null for a component's last."""
     order = found.select(F.col("variable").alias("other"), F.col("round").alias("then"))
-    up = found.select("variable", F.explode("rest").alias("other")).join(order, "other").groupBy("variable").agg(F.min_by("other", "then").alias("parent"))
-    return found.select("variable").join(up, "variable", "left")
+    up = found.select("variable", F.explode("rest").alias("other")).join(apart(order), "other").groupBy("variable").agg(F.min_by("other", "then").alias("parent"))
+    return found.select("variable").join(apart(up), "variable", "left")
 
 
 def calibrate(found: DataFrame) -> DataFrame:
     """variable, rest, belief: each clique's table of log weights given everything."""
-    own = cut(found.join(tree(found), "variable"))
+    own = cut(apart(found).join(tree(found), "variable"))
     rounds = [r[0] for r in own.select("round").distinct().orderBy(F.desc("round")).collect()]  # one number a round
     done: list[DataFrame] = []
     for k in rounds:
@@ -274,7 +274,7 @@ def calibrate(found: DataFrame) -> DataFrame:
             continue
         # each round is written once; a parent may be in any round before
         above = reduce(DataFrame.unionByName, done).select(F.col("variable").alias("parent"), F.col("rest").alias("rest_up"), F.col("belief").alias("up"))
-        done.append(cut(here.join(above, "parent", "left").mapInPandas(_hand_down, "variable string, rest array<string>, belief array<double>")))
+        done.append(cut(apart(here).join(above, "parent", "left").mapInPandas(_hand_down, "variable string, rest array<string>, belief array<double>")))
     return reduce(DataFrame.unionByName, done) if done else own.select("variable", "rest", F.col("logs").alias("belief"))
 
 
