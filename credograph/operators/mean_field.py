@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from credograph.functions.potentials import EPSILON, logit, sigmoid
 from credograph.operators import factor_graph
-from credograph.sources.folders import cut
+from credograph.sources.folders import apart, cut
 
 #: How far beliefs and potentials stay from 0.
 BOUND, FLOOR = 1e-6, 1e-10
@@ -25,15 +25,15 @@ def classes(factors: DataFrame) -> DataFrame:
     """variable, class: numbers from 0 so that variables of one factor differ. In each round those
     that come first among their open neighbours (by hash) take the round's number."""
     ends = factor_graph.incidences(factors)
-    pairs = cut(ends.join(ends.select("factor", F.col("variable").alias("other")), "factor").filter("variable != other").select("variable", "other").distinct())
+    pairs = cut(apart(ends).join(ends.select("factor", F.col("variable").alias("other")), "factor").filter("variable != other").select("variable", "other").distinct())
     open_ones, done, k = cut(ends.select("variable").distinct()), None, 0
     rank = lambda c: F.struct(F.xxhash64(c), F.col(c))
     while not open_ones.isEmpty():
-        near = pairs.join(open_ones, "variable").join(open_ones.withColumnRenamed("variable", "other"), "other")
+        near = apart(pairs).join(open_ones, "variable").join(apart(open_ones).withColumnRenamed("variable", "other"), "other")
         behind = near.filter(rank("other") < rank("variable")).select("variable").distinct()
-        first = cut(open_ones.join(behind, "variable", "left_anti").withColumn("class", F.lit(k)))
+        first = cut(apart(open_ones).join(behind, "variable", "left_anti").withColumn("class", F.lit(k)))
         done = first if done is None else done.unionByName(first)
-        open_ones, k = cut(open_ones.join(first, "variable", "left_anti")), k + 1
+        open_ones, k = cut(apart(open_ones).join(first, "variable", "left_anti")), k + 1
     return done if done is not None else open_ones.withColumn("class", F.lit(0))
 
 
@@ -51,10 +51,10 @@ def _cells(factors: DataFrame) -> DataFrame:
 
 def _weighted(cells: DataFrame, mu: DataFrame) -> DataFrame:
     """factor, x, vars, log, and ``q``: the chance of each variable's value in the assignment."""
-    ends = cells.select("factor", "vars").distinct().select("factor", F.posexplode("vars").alias("pos", "variable")).join(mu.select("variable", "mu"), "variable")
+    ends = cells.select("factor", "vars").distinct().select("factor", F.posexplode("vars").alias("pos", "variable")).join(apart(mu).select("variable", "mu"), "variable")
     held = ends.groupBy("factor").agg(F.sort_array(F.collect_list(F.struct("pos", "mu"))).alias("m"))
     bit = lambda i: F.call_function("shiftright", F.col("x"), i).bitwiseAND(1) == 1
-    return cells.join(held, "factor").withColumn("q", F.transform("m", lambda v: F.when(bit(v["pos"]), v["mu"]).otherwise(1 - v["mu"])))
+    return apart(cells).join(held, "factor").withColumn("q", F.transform("m", lambda v: F.when(bit(v["pos"]), v["mu"]).otherwise(1 - v["mu"])))
 
 
 def run(variables: DataFrame, factors: DataFrame, most_sweeps: int = 500, threshold: float = 1e-6) -> tuple[DataFrame, int, bool]:
@@ -66,14 +66,14 @@ def run(variables: DataFrame, factors: DataFrame, most_sweeps: int = 500, thresh
     while not converged and sweep < most_sweeps:
         before = state
         for k in range(count):
-            rows = _weighted(cells, state).select("x", "log", "q", F.posexplode("vars").alias("pos", "variable")).join(turn.filter(F.col("class") == k).select("variable"), "variable")
+            rows = _weighted(cells, state).select("x", "log", "q", F.posexplode("vars").alias("pos", "variable")).join(apart(turn).filter(F.col("class") == k).select("variable"), "variable")
             others = F.aggregate(F.filter("q", lambda v, i: i != F.col("pos")), F.lit(1.0), lambda a, v: a * v)
             sign = F.when(F.call_function("shiftright", F.col("x"), F.col("pos")).bitwiseAND(1) == 1, 1.0).otherwise(-1.0)
             pull = rows.groupBy("variable").agg(F.sum(sign * others * F.col("log")).alias("pull"))
             new = F.when(F.col("fixed") | F.col("pull").isNull(), F.col("mu")).otherwise(_held(sigmoid(F.col("base") + F.col("pull"))))
-            state = cut(state.join(pull, "variable", "left").select("variable", "fixed", "base", new.alias("mu")))
+            state = cut(apart(state).join(pull, "variable", "left").select("variable", "fixed", "base", new.alias("mu")))
         sweep += 1
-        moved = state.join(before.select("variable", F.col("mu").alias("old")), "variable").agg(F.max(F.abs(F.col("mu") - F.col("old")))).first()[0]
+        moved = apart(state).join(before.select("variable", F.col("mu").alias("old")), "variable").agg(F.max(F.abs(F.col("mu") - F.col("old")))).first()[0]
         converged = moved is None or moved < threshold
     return state.select("variable", F.col("mu").alias("belief")), sweep, converged
 
