@@ -15,6 +15,8 @@ from credograph.operators import factor_graph
 from credograph.sources.folders import cut
 
 _TINY = 1e-300
+#: Factors that are held in partitions of their own.
+_MANY = 20000
 
 
 def _bit(x: Column, i: Column) -> Column:
@@ -40,7 +42,10 @@ def run(variables: DataFrame, factors: DataFrame, damping: float = 0.5, most_rou
     base = cut(factor_graph.unary(variables))
     dense = factor_graph.tables(factors, 0.0, 1.0).select("factor", "vars", F.transform("pots", lambda p: F.log(F.greatest(p, F.lit(_TINY)))).alias("logs"))
     dense = dense.join(rho, "factor", "left") if rho is not None else dense.withColumn("rho", F.lit(1.0))
-    dense = dense.repartition("factor").persist()
+    # many factors stay where they are hashed to; few would cost a task a partition in every round
+    dense = cut(dense)
+    many = dense.count() > _MANY
+    dense = dense.repartition("factor").persist() if many else dense.coalesce(1)
     ends = cut(dense.select("factor", F.posexplode("vars").alias("pos", "variable")).withColumn("p", F.lit(0.5)).withColumn("before", F.lit(0.0)))
 
     def totals(state: DataFrame) -> DataFrame:
@@ -73,7 +78,8 @@ def run(variables: DataFrame, factors: DataFrame, damping: float = 0.5, most_rou
     if history:
         seen.append(told_by(total, "total").withColumn("round", F.lit(k)))
     told = cut(inward(ends, total).select("factor", "vars", "logs", F.col("e.m").alias("told")))
-    dense.unpersist()
+    if many:
+        dense.unpersist()
     found = (told_by(total, "total"), told, k, converged)
     return (*found, seen) if history else found
 
