@@ -196,3 +196,10 @@ def test_evidence_and_checks(spark):
     assert {r.variable: r.prior for r in soft.collect()}["b"] == pytest.approx(0.999 * 0.5 / (0.999 * 0.5 + 0.001))
     both, all_factors = factor_graph.merge((seen, f), (v.withColumn("variable", F.concat("variable", F.lit("2"))), f))
     assert both.count() == 6 and all_factors.count() == 10 and both.filter("hard is not null").count() == 2
+
+
+def test_rows_made_of_a_small_table_are_not_broadcast(spark):
+    from credograph.plans import beliefs
+
+    found = exact.marginals(*beliefs.gallery(spark, "/root/testdata/sf0.001"))
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
