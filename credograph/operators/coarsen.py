@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from credograph.operators import factor_graph, graph, junction_tree
-from credograph.sources.folders import cut
+from credograph.sources.folders import apart, cut
 
 
 def exports_reached(edges: DataFrame, sources: DataFrame, exports: DataFrame) -> DataFrame:
@@ -76,7 +76,8 @@ def contract(variables: DataFrame, factors: DataFrame, targets: DataFrame, most:
     connected to the conclusion changes nothing; a conclusion without factors has chance 0.5.
 
     Sums are made by elimination: first, once for all targets, over variables that are no target's
-    premise or conclusion; what is left is copied to each target and reduced to its own. Tables are
+    premise or conclusion; what is left is copied to each target and reduced to its own. A connected
+    part of few numbers is done in one pass of a task, whatever its depth; others by rounds. Tables are
     logarithms and sums are scaled by their largest term, so depth doesn't wear them out. A target's
     table has 2^n numbers; more than ``MOST_WIDE`` premises raise an error."""
     most_wide = factor_graph.MOST_WIDE
@@ -87,21 +88,27 @@ def contract(variables: DataFrame, factors: DataFrame, targets: DataFrame, most:
     named = each.select("net", F.explode(F.concat("premises", F.array("conclusion"))).alias("variable")).distinct()
     ends = cut(named.select("variable").distinct())
     free = variables.join(ends.withColumn("free", F.lit(True)), "variable", "left").select("variable", F.when(F.col("free").isNull(), F.col("prior")).alias("prior"), F.when(F.col("free").isNull(), F.col("hard")).alias("hard"))
-    left = junction_tree.reduced(junction_tree.log_tables(free, factors), ends, min(most, _SHARED), strict=False)
+    # connected parts first: small ones are then summed out in one pass of a task, without rounds
+    whole = cut(junction_tree.log_tables(free, factors).withColumn("parent", F.col("vars")[0]))
+    links = whole.select("parent", F.explode("vars").alias("child")).filter("child != parent").distinct()
+    alone = whole.select(F.explode("vars").alias("node")).distinct()
+    parts = cut(apart(alone).join(graph.components(links), "node", "left").select(F.col("node").alias("variable"), F.coalesce("component", "node").alias("part")))
+    own = parts.withColumnRenamed("variable", "parent")
+    passed = junction_tree.within(apart(whole).join(own, "parent").select("part", "vars", "logs"), apart(parts).join(ends, "variable").select("part", "variable"), min(most, _SHARED))
+    left = junction_tree.reduced(passed.filter(F.size("vars") > 0).select("vars", "logs"), ends, min(most, _SHARED), strict=False)
     # a target needs the tables of its conclusion's connected part
-    tables = cut(left.withColumn("parent", F.col("vars")[0]))
-    links = tables.select("parent", F.explode("vars").alias("child")).filter("child != parent").distinct()
-    alone = tables.select(F.explode("vars").alias("node")).distinct()
-    parts = cut(alone.join(graph.components(links), "node", "left").select(F.col("node").alias("variable"), F.coalesce("component", "node").alias("part")))
-    asked = each.select("net", F.col("conclusion").alias("variable")).join(parts, "variable").select("net", "part")
-    inner = tables.join(parts.withColumnRenamed("variable", "parent"), "parent").join(asked, "part").select("net", "vars", "logs")
+    tables = cut(apart(left.withColumn("parent", F.col("vars")[0])).join(own, "parent").select("part", "vars", "logs"))
+    asked = cut(apart(each.select("net", F.col("conclusion").alias("variable"))).join(parts, "variable").select("net", "part"))
+    inner = apart(tables).join(asked, "part").select("net", "vars", "logs")
     # the priors of what is another target's end, but not one's own
-    others = factor_graph.unary(variables).join(ends, "variable", "left_semi").join(parts, "variable").join(asked, "part").join(named, ["net", "variable"], "left_anti")
+    others = apart(factor_graph.unary(variables)).join(ends, "variable", "left_semi").join(apart(parts), "variable").join(apart(asked), "part").join(apart(named), ["net", "variable"], "left_anti")
     inner = inner.unionByName(others.select("net", F.array("variable").alias("vars"), F.array(F.lit(0.0), F.col("base")).alias("logs")))
     within = lambda v: F.concat("net", F.lit(":"), v)
-    done = junction_tree.reduced(inner.select(F.transform("vars", within).alias("vars"), "logs"), named.select(within(F.col("variable")).alias("variable")), most)
+    kept = cut(named.select(F.col("net").alias("part"), within(F.col("variable")).alias("variable")))
+    own = junction_tree.within(inner.select(F.col("net").alias("part"), F.transform("vars", within).alias("vars"), "logs"), kept, most)
+    done = junction_tree.reduced(own.filter(F.size("vars") > 0).select("vars", "logs"), kept.select("variable"), most)
     plain = done.select(F.substring(F.col("vars")[0], 1, 32).alias("net"), F.transform("vars", lambda v: F.substring(v, F.lit(34), F.length(v))).alias("vars"), "logs")
-    held = each.join(plain.groupBy("net").agg(F.collect_list(F.struct("vars", "logs")).alias("f")), "net", "left")
+    held = apart(each).join(plain.groupBy("net").agg(F.collect_list(F.struct("vars", "logs")).alias("f")), "net", "left")
     kind = targets.schema["target"].dataType.simpleString()
     return held.select("target", "premises", "conclusion", "f").mapInPandas(_chances, f"target {kind}, weights array<double>")
 

@@ -94,3 +94,17 @@ def test_contraction_of_what_is_not_connected(spark):
     assert got == {1: [round(0.3 * 0.9 + 0.7 * 0.2, 9)] * 2, 2: [0.5, 0.5], 3: [0.2, 0.9, 0.2, 0.9]}
     with pytest.raises(Exception, match="own premise"):
         coarsen.contract(variables, factors, spark.createDataFrame([(1, ["b"], "b")], "target int, premises array<string>, conclusion string")).collect()
+
+
+def test_deep_parts_are_contracted_without_rounds(spark, monkeypatch):
+    from credograph.operators import junction_tree
+
+    rounds, plain = [], junction_tree._round
+    monkeypatch.setattr(junction_tree, "_round", lambda *a, **k: rounds.append(plain(*a, **k)) or rounds[-1])
+    n = 10
+    variables = [(f"v{i}", 0.3 if i % 3 == 0 else None, None) for i in range(n + 1)]
+    factors = [(f"f{i}", "soft_entailment", [f"v{i}"], f"v{i + 1}", 0.9, 0.7, None) for i in range(n)]
+    targets = spark.createDataFrame([(1, ["v0"], f"v{n}")], "target int, premises array<string>, conclusion string")
+    got = coarsen.contract(spark.createDataFrame(variables, VARIABLES), spark.createDataFrame(factors, FACTORS), targets).first()
+    assert got.weights == pytest.approx(chances(variables, factors, ["v0"], f"v{n}"), abs=1e-9)
+    assert rounds == [None, None]
