@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP = 1 << 21
-SEGMENT = 1 << 20
+GROUP = 1 << 20
+#: Bytes that are hashed at once. Hashes don't depend on it; a worker holds 16 bytes for each.
+SEGMENT = 1 << 17
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)

@@ -51,37 +51,45 @@ class WordIds:
         self._clear()
 
     def _clear(self) -> None:
-        self.code: dict[int, int] = {}
-        self.flat = np.zeros(1 << 20, np.int32)
-        self.at = np.zeros(1 << 18, np.int64)
-        self.size = np.zeros(1 << 18, np.int64)
+        # arrays in order of hash, as a dictionary's numbers would take five times as much
+        self.keys = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int32)
+        self.size = np.zeros(0, np.int32)
+        self.flat = np.zeros(1 << 18, np.int32)
         self.used = 0
 
-    def _add(self, hashes: list[int], words: list[str]) -> None:
-        for h, one in zip(hashes, self.library.encode_batch(words, add_special_tokens=False)):
-            ids, k = one.ids, len(self.code)
-            if k == len(self.at):
-                self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.code[h] = k
+    def _add(self, hashes: np.ndarray, words: list[str]) -> None:
+        """``hashes`` are sorted and new."""
+        at, size = np.zeros(len(words), np.int32), np.zeros(len(words), np.int32)
+        for i in range(0, len(words), 1000):
+            for k, one in enumerate(self.library.encode_batch(words[i : i + 1000], add_special_tokens=False), i):
+                ids = one.ids
+                while self.used + len(ids) > len(self.flat):
+                    self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+                self.flat[self.used : self.used + len(ids)] = ids
+                at[k], size[k] = self.used, len(ids)
+                self.used += len(ids)
+        where = np.searchsorted(self.keys, hashes)
+        self.keys, self.at, self.size = (np.insert(x, where, new) for x, new in ((self.keys, hashes), (self.at, at), (self.size, size)))
 
     def _ids(self, hashes: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and after how many ids each word ends; word(i) is the i-th word."""
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.code) + sum(k not in self.code for k in keys) > self.limit:
+        new = np.flatnonzero(~self._known(distinct))
+        if len(self.keys) + len(new) > self.limit:
             self._clear()
-        new = [i for i, k in enumerate(keys) if k not in self.code]
-        if new:
-            self._add([keys[i] for i in new], [word(int(first[i])) for i in new])
-        codes = np.fromiter(map(self.code.__getitem__, keys), np.int64, len(keys))[inverse]
-        size = self.size[codes]
+            new = np.arange(len(distinct))
+        if len(new):
+            self._add(distinct[new], [word(int(first[i])) for i in new])
+        places = np.searchsorted(self.keys, distinct)[inverse]
+        size = self.size[places].astype(np.int64)
         ends = np.cumsum(size)
-        return self.flat[np.repeat(self.at[codes] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+        return self.flat[np.repeat(self.at[places] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+    def _known(self, distinct: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(distinct), bool)
+        return self.keys[np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)] == distinct
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of ``text`` as int32, without special tokens."""

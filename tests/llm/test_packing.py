@@ -1,4 +1,6 @@
+import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -32,6 +34,18 @@ def test_every_plain_character():
         assert ids.tolist() == want, repr(t)
 
 
+def test_table_of_words_is_small():
+    own, words = WordIds(PATH), [f"{a}{b}" for a in ("mon", "tur", "bel", "ka") for b in map("".join, itertools.product("aeioubdfg", repeat=5))]
+    few = len(list(own.encode_all(pa.array(["a"]))))
+    tracemalloc.start()
+    before = tracemalloc.get_traced_memory()[0]
+    for k in range(0, len(words), 10000):
+        few += sum(map(len, own.encode_all(pa.array([" ".join(words[k : k + 10000])]))))
+    used = tracemalloc.get_traced_memory()[0] - before
+    tracemalloc.stop()
+    assert few > len(words) and used < 60 * len(words)
+
+
 def test_pieces_tile_documents_and_sequences(spark):
     rnd = random.Random(2)
     docs = [(i, " ".join(rnd.choice(["the", "of", "weird", "zq", "ß"]) for _ in range(rnd.choice([0, 3, 900, 5000])))) for i in range(300)]
