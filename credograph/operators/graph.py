@@ -141,15 +141,22 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("p").alias("n_parents"), F.sum("c").alias("n_children"))
 
 
+#: Rows of factors that a task takes.
+_ROWS = 250_000
+
+
 def moral_edges(factors: DataFrame, most: int = 26) -> DataFrame:
     """a, b (a < b): variables that share a factor. ``factors`` has factor and variable; a factor
     of more than ``most`` variables, which no table could hold, raises an error."""
-    once = factors.select("factor", "variable").distinct()
+    # as many tasks as the input needs, so that none holds more when there is more
+    n = max(int(factors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-factors.count() // _ROWS))
+    once = factors.select("factor", "variable").repartition(n, "factor").distinct()
     wide = once.groupBy("factor").agg(F.count("*").alias("n"))
     # counted first, so that no wide factor is ever gathered
     fit = wide.select(F.when(F.col("n") <= most, F.col("factor")).otherwise(F.raise_error(F.lit("factor too wide")).cast(wide.schema["factor"].dataType)).alias("factor"))
-    checked = once.join(fit, "factor").groupBy("factor").agg(F.sort_array(F.collect_list("variable")).alias("v"))
-    return checked.select("v", F.posexplode("v").alias("i", "a")).select("a", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("b")).distinct()
+    checked = apart(once).join(fit, "factor").groupBy("factor").agg(F.sort_array(F.collect_list("variable")).alias("v"))
+    pairs = checked.select("v", F.posexplode("v").alias("i", "a")).select("a", F.explode(F.slice("v", F.col("i") + 2, F.size("v"))).alias("b"))
+    return pairs.repartition(n, "a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

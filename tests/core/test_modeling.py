@@ -1,3 +1,5 @@
+import itertools
+
 import math
 
 import pytest
@@ -33,3 +35,10 @@ def test_retry_ring_and_components(spark):
     assert {r.node: r.component for r in graph.components(edges).collect()} == {**{str(i): "1" for i in range(1, 9)}, "x": "x", "y": "x"}
     with pytest.raises(Exception, match="too wide"):
         graph.moral_edges(spark.createDataFrame([(1, i) for i in range(5)], "factor int, variable int"), most=4).collect()
+
+
+def test_moral_edges_take_tasks_by_their_input(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_ROWS", 10)
+    found = graph.moral_edges(spark.createDataFrame([(i // 4, i % 7) for i in range(200)], "factor int, variable int"))
+    assert found.rdd.getNumPartitions() == 20
+    assert {tuple(r) for r in found.collect()} == {(a, b) for f in range(50) for a, b in itertools.combinations(sorted({i % 7 for i in range(4 * f, 4 * f + 4)}), 2)}
