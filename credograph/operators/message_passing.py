@@ -23,10 +23,11 @@ def _bit(x: Column, i: Column) -> Column:
     return F.call_function("shiftright", x, i).bitwiseAND(1)
 
 
-def _weights(told: Column) -> Column:
-    """Of each assignment: its potential times what the variables tell, over the largest."""
-    logs = F.transform("logs", lambda w, x: w + F.aggregate(F.sequence(F.lit(0), F.size(told) - 1), F.lit(0.0), lambda a, i: a + _bit(x, i) * F.get(told, i)))
-    return F.transform(logs, lambda w: F.exp(w - F.array_max(logs)))
+def _massed(told: DataFrame) -> DataFrame:
+    """With ``mass``, of each assignment: its potential times what the variables tell (told), over the largest."""
+    logs = F.transform("logs", lambda w, x: w + F.aggregate(F.sequence(F.lit(0), F.size("told") - 1), F.lit(0.0), lambda a, i: a + _bit(x, i) * F.get("told", i)))
+    weighed = told.withColumn("weighed", logs).withColumn("top", F.array_max("weighed"))
+    return weighed.withColumn("mass", F.transform("weighed", lambda w: F.exp(w - F.col("top")))).drop("weighed", "top")
 
 
 def _answers(told: Column) -> Column:
@@ -59,7 +60,7 @@ def run(variables: DataFrame, factors: DataFrame, damping: float = 0.5, most_rou
         return told.join(dense, "factor")
 
     def outward(told: DataFrame) -> DataFrame:
-        told = told.withColumn("told", F.col("e.m")).withColumn("mass", _weights(F.col("told"))).withColumn("out", _answers(F.col("told")))
+        told = _massed(told.withColumn("told", F.col("e.m"))).withColumn("out", _answers(F.col("told")))
         new = F.arrays_zip("vars", F.col("e.p").alias("p"), F.col("e.total").alias("total"), F.transform("out", lambda x: sigmoid(x * F.col("rho"))).alias("q"))
         damped = F.transform(new, lambda x: F.struct(x["vars"].alias("variable"), (damping * x["q"] + (1 - damping) * x["p"]).alias("p"), x["total"].alias("before")))
         return told.select("factor", F.posexplode(damped).alias("pos", "x")).select("factor", "pos", "x.variable", "x.p", "x.before")
@@ -69,7 +70,9 @@ def run(variables: DataFrame, factors: DataFrame, damping: float = 0.5, most_rou
     for k in range(1, most_rounds + 1):
         if history:
             seen.append(told_by(total, "total").withColumn("round", F.lit(k - 1)))
-        ends = cut(outward(inward(ends, total)))
+        new = outward(inward(ends, total))
+        # what is cut is run twice; of many factors it is then only what was shuffled
+        ends = cut(new.repartition("variable") if many else new)
         total = totals(ends)
         moved = total.agg(F.max(F.abs(sigmoid(F.col("total")) - sigmoid(F.col("before"))))).first()[0]
         if moved is None or moved < threshold:
@@ -99,7 +102,7 @@ def tree_reweighted(variables: DataFrame, factors: DataFrame, most_rounds: int =
 
 def pseudo_joints(told: DataFrame) -> DataFrame:
     """factor, vars, assignment, p: a factor's table times what its variables last told it."""
-    mass = told.withColumn("mass", _weights(F.col("told")))
+    mass = _massed(told)
     total = F.aggregate("mass", F.lit(0.0), lambda a, x: a + x)
     return mass.select("factor", "vars", total.alias("total"), F.posexplode("mass").alias("assignment", "w")).select("factor", "vars", "assignment", (F.col("w") / F.col("total")).alias("p"))
 
