@@ -12,7 +12,8 @@ is listed under these shingles and only lists are searched:
 3. In each block of what remains, the tree is traversed again and pairs that no bound excludes
    are counted exactly. Pairs that are already connected are skipped, so a block gives at most
    as many links as it has members. Each node's largest block comes first; of the others only
-   those that still hold several components follow.
+   those that still hold several components follow, and of their members only those that a tree
+   over finer bitmaps leaves a possible partner of another component.
 4. Lists that were dealt out and still hold several components are searched whole: the blocks of
    their largest component against those of the others, and the others among themselves.
 
@@ -43,6 +44,8 @@ _SKETCH = 1 << 20
 _SLICE = 1 << 10
 _FILTER = 1 << 27
 _PART = 1 << 15
+#: Bits for each element of the finer bitmaps.
+_FINE = 8
 #: Bytes of texts whose shingles are made at once.
 _AT_ONCE = 1 << 19
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -137,6 +140,12 @@ def _whole_sets(hash_col: str, text_col: str, k: int, marks):
     return run
 
 
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        own = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, own), pa.int64()), pa.array([tree.bitmap(x, _FINE).tobytes() for x in own], pa.binary())], names=["node", "n", "bits"])
+
+
 class _Block:
     """The rows of one block: nodes with sizes, bitmaps or whole sets, sides and labels."""
 
@@ -262,10 +271,11 @@ class _Search:
         self.work, self.docs, self.summaries, self.nodes = work, docs, summaries, nodes
         self.id_col, self.text_col, self.k, self.least = id_col, text_col, k, least
 
-    def possible(self, members: DataFrame) -> DataFrame:
+    def possible(self, members: DataFrame, bitmaps: DataFrame | None = None) -> DataFrame:
         """Of members (key, block, node, side, label), those with a possible partner in their
-        block; blocks with the same members stay once."""
-        dealt = members.join(self.nodes.select("node", "n", "bits"), "node").repartition("key", "block").sortWithinPartitions("key", "block")
+        block, by their own or other ``bitmaps`` (node, n, bits); blocks with the same members stay
+        once."""
+        dealt = members.join((self.nodes if bitmaps is None else bitmaps).select("node", "n", "bits"), "node").repartition("key", "block").sortWithinPartitions("key", "block")
         some = dealt.select("key", "block", "node", "n", "side", "label", "bits").mapInArrow(_by_block(_possible, self.least, _MEMBER), "key bigint, block string, node bigint, n bigint, side int, label bigint")
         some = self.work.write(some, "possible")
         alike = some.groupBy("key", "block").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node", "side")).alias("h"))
@@ -285,6 +295,10 @@ class _Search:
         made = texts.mapInArrow(_whole_sets("w", self.text_col, self.k, marks), "node bigint, elements binary")
         return self.work.write(made.join(wanted.distinct(), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
+    def finer(self, sets: DataFrame) -> DataFrame:
+        """node, n, bits: bitmaps of ``_FINE`` bits for each element of a set."""
+        return self.work.write(sets.mapInArrow(_finer, "node bigint, n bigint, bits binary"), "finer")
+
     def links(self, some: DataFrame, sets: DataFrame) -> DataFrame:
         """Links within the blocks of ``some``."""
         full = some.join(sets, "node").select("key", "block", "node", "n", "side", "label", "elements").repartition("key", "block").sortWithinPartitions("key", "block")
@@ -318,7 +332,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     summaries = work.write(docs.mapInArrow(_summaries(id_col, text_col, shingle, least, classes), f"`{id_col}` {kind}, n bigint, node bigint, keys array<bigint>, bits binary"), "summaries")
     nodes = work.write(summaries.filter("n > 0").select("node", "n", "keys", "bits").dropDuplicates(["node"]), "nodes")
 
-    listed = nodes.select("node", F.explode("keys").alias("key"))
+    # dealt out by key once; both the counts and the members are taken from that
+    listed = nodes.select("node", F.explode("keys").alias("key")).filter("key is not null").repartition("key")
     lists = listed.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("h")).filter("c > 1")
     lists = lists.groupBy("c", "h").agg(F.min("key").alias("key")).select("key", "c")
     members = work.write(listed.join(lists, "key"), "members")
@@ -338,6 +353,8 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = left.join(open_blocks, ["key", "block"]).select(*_MEMBER.names)
     if not dealt_out.isEmpty():
         left = left.unionByName(search.possible(_rest(dealt_out, labels, block)).select(*_MEMBER.names))
+    # a pair that doesn't link stands in many blocks: finer bitmaps exclude it without its sets
+    left = search.possible(left.drop("n"), search.finer(sets)).select(*_MEMBER.names)
     more = search.links(left, sets)
     if not more.isEmpty():
         labels = components(links.unionByName(more), f"{work.path}/more-labels")

@@ -1,7 +1,7 @@
 """A tree over token bitmaps that finds pairs of sets which may overlap enough.
 
-A set is summarised by its size and a bitmap with about one bit for each element (a power of
-two; wider ones fold onto narrower ones). A node holds the OR of the bitmaps below it, the range
+A set is summarised by its size and a bitmap with about one bit for each element, or a few (a
+power of two; wider ones fold onto narrower ones). A node holds the OR of the bitmaps below it, the range
 of their sizes, and the largest number of elements that share a bit with another element of
 their set. Two sets under two nodes can't overlap by more than the common bits of the nodes plus
 the smaller of these two numbers, nor can sets whose sizes differ too much; such pairs of nodes
@@ -22,8 +22,9 @@ def width(n: int) -> int:
     return min(max(1 << (max(n, 1) - 1).bit_length(), _NARROW), _WIDE)
 
 
-def bitmap(elements: np.ndarray) -> np.ndarray:
-    w = width(len(elements))
+def bitmap(elements: np.ndarray, per: int = 1) -> np.ndarray:
+    """At least ``per`` bits for each element, up to the widest."""
+    w = width(len(elements) * per)
     bits = np.zeros(w, bool)
     bits[(elements & np.uint64(w - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little")

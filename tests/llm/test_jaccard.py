@@ -104,3 +104,21 @@ def test_components_of_a_chain(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 70), (70, 90)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long"), new_path(spark, "test")).collect()}
     assert got == {**{i: 0 for i in range(61)}, 70: 70, 90: 70, 100: 70}
+
+
+def test_pairs_that_do_not_link_do_not_send_their_sets_again(spark, monkeypatch):
+    """A pair below the limit stands in a block of each rare shingle that it shares; after the largest
+    ones, finer bitmaps exclude it."""
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(402)]
+    docs = []
+    for d in range(12):
+        own = list(base)
+        for at in rnd.sample(range(0, 400, 5), 6):
+            own[at] = f"d{d}_{at}"
+        docs.append((d, " ".join(own)))
+    sent, links = [], J._Search.links
+    monkeypatch.setattr(J._Search, "links", lambda self, some, sets: sent.append(some.count()) or links(self, some, sets))
+    got = {r.doc_id: r.component_id for r in J.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {d: d for d, _ in docs}
+    assert sent[0] > 0 and sent[1] == 0
