@@ -357,35 +357,37 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", limit: int
     longer hit spans are also cut out of the documents that stay; ``length_col``, if there, is
     set anew for these."""
     names = docs.columns
-    marked, added = mark(docs, items, text_col, **how)
-    _, contaminated = _flag(added, limit)
-    kept = marked.filter(~contaminated)
     if max_span is None:
-        return kept.select(*names)
-    schema = docs.schema
+        marked, added = mark(docs, items, text_col, **how)
+        return marked.filter(~_flag(added, limit)[1]).select(*names)
+    folders, added = automata(items, **how), unused(names, "hit_spans", "hit_items", "hit_words")
+    scan = _scan(folders, text_col, added, True)
 
+    # found and cut by one worker: a second operator would be a second worker for each core
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = lambda name: batch.column(batch.schema.names.index(name)).to_pylist()
-            texts, lengths = column(text_col), column(length_col) if length_col else []
-            changed = {text_col: texts} | ({length_col: lengths} if length_col else {})
-            for i, s in enumerate(batch.column(batch.schema.names.index(added[0])).to_pylist()):
-                long = [(a, b) for a, b in zip(s[::2], s[1::2]) if b - a > max_span]
-                if long:
-                    g = next(groups(pa.array([texts[i]], pa.string()), lower=True))
+        for batch in scan(batches):
+            spans, _, words = (batch.column(batch.schema.names.index(c)).to_pylist() for c in added)
+            n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+            stays = [i for i, (n, w) in enumerate(zip(n_hit, words)) if not (n > 0 and n * limit >= w)]
+            own = {n: batch.column(batch.schema.names.index(n)).take(pa.array(stays, pa.int64())) for n in names}
+            long = {k: x for k, i in enumerate(stays) if (x := [(a, b) for a, b in zip(spans[i][::2], spans[i][1::2]) if b - a > max_span])}
+            if long:
+                changed = {n: own[n].to_pylist() for n in (text_col, length_col) if n}
+                for k, x in long.items():
+                    text = changed[text_col][k]
+                    g = next(groups(pa.array([text], pa.string()), lower=True))
                     starts, ends, _ = g.spans(NON_ALNUM)
-                    raw, out, at = texts[i].encode(), [], 0
-                    for a, b in long:
+                    raw, out, at = text.encode(), [], 0
+                    for a, b in x:
                         out.append(raw[at : starts[a]])
                         at = ends[b - 1]
-                    texts[i] = b"".join([*out, raw[at:]]).decode()
+                    changed[text_col][k] = b"".join([*out, raw[at:]]).decode()
                     if length_col:
-                        lengths[i] = len(texts[i])
-            own = [batch.column(batch.schema.names.index(n)) for n in names]
-            arrays = [pa.array(changed[n], c.type) if n in changed else c for n, c in zip(names, own)]
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                        changed[length_col][k] = len(changed[text_col][k])
+                own |= {n: pa.array(x, own[n].type) for n, x in changed.items()}
+            yield pa.RecordBatch.from_arrays(list(own.values()), names=names)
 
-    return kept.mapInArrow(cut, schema)
+    return small_batches(docs).mapInArrow(cut, docs.schema)
 
 
 #: ``report`` over ``documents`` and ``benchmark`` in DuckDB's SQL.

@@ -115,3 +115,11 @@ def test_spans_are_cut_at_their_words_in_texts_with_capitals(spark):
     want = {1: f"{before} , {after}", 2: f"{before} ENDS ", 4: before}
     assert {k: t for k, (t, _) in got.items()} == want
     assert all(n == (len(t) if k != 4 else 0) for k, (t, n) in got.items())
+
+
+def test_spans_are_found_and_cut_by_one_worker(spark):
+    """A second Python operator in a stage is a second worker for each core of an executor."""
+    docs = spark.createDataFrame([(1, "a b c", 5)], "doc_id long, text string, n_chars int")
+    items = spark.createDataFrame([(7, "a b")], "item_id long, text string")
+    plan = D.clean(docs, items, max_span=12, length_col="n_chars")._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"\bMapInArrow\b", plan)) == 1
