@@ -37,11 +37,15 @@ def coarse(edges: DataFrame, exports: DataFrame, helpers: DataFrame | None = Non
     leaves = graph.leaves(edges) if helpers is None else graph.leaves(edges).join(helpers, "node", "left_anti")
     starts = leaves.unionByName(exports.select("node")) if premises is None else leaves.unionByName(exports.select("node")).unionByName(premises.select("node"))
     found = exports_reached(edges, starts, exports)
-    # an export on a cycle of its own supports itself, which is no edge but is support
-    looped = graph.cycles(edges).join(exports.select("node").distinct(), "node", "left_semi")
-    orphans = cut(exports.select("node").distinct().join(found.select(F.col("export").alias("node")), "node", "left_anti").join(looped, "node", "left_anti"))
-    if not orphans.isEmpty():
-        found = found.unionByName(exports_reached(edges, surrogates(edges, orphans, helpers), exports)).distinct()
+    unreached = cut(exports.select("node").distinct().join(found.select(F.col("export").alias("node")), "node", "left_anti"))
+    if not unreached.isEmpty():
+        # their cycles and beginnings lie among what reaches them
+        before = cut(graph.reaching(edges, unreached))
+        within = cut(edges.join(before.withColumnRenamed("node", "child"), "child", "left_semi").join(before.withColumnRenamed("node", "parent"), "parent", "left_semi").select("child", "parent"))
+        # an export on a cycle of its own supports itself, which is no edge but is support
+        orphans = cut(unreached.join(graph.cycles(within), "node", "left_anti"))
+        if not orphans.isEmpty():
+            found = found.unionByName(exports_reached(edges, surrogates(within, orphans, helpers), exports)).distinct()
     return found.select(F.col("source").alias("premise"), F.col("export").alias("conclusion"))
 
 

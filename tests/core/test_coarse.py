@@ -108,3 +108,14 @@ def test_deep_parts_are_contracted_without_rounds(spark, monkeypatch):
     got = coarsen.contract(spark.createDataFrame(variables, VARIABLES), spark.createDataFrame(factors, FACTORS), targets).first()
     assert got.weights == pytest.approx(chances(variables, factors, ["v0"], f"v{n}"), abs=1e-9)
     assert rounds == [None, None]
+
+
+def test_cycles_are_sought_among_what_reaches_an_unreached_export(spark, monkeypatch):
+    """Here the ring before x; the export y has a leaf, and the cycle after it reaches no orphan."""
+    ring = [("r0", "r1"), ("r1", "r2"), ("r2", "r0"), ("r0", "x"), ("x", "y"), ("l", "y"), ("y", "c0"), ("c0", "c1"), ("c1", "c0"), ("o", "o")]
+    seen, own = [], graph.strong_components
+    monkeypatch.setattr(graph, "strong_components", lambda edges: seen.append({(r.child, r.parent) for r in edges.collect()}) or own(edges))
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    got = {tuple(r) for r in coarsen.coarse(frame(ring, "child string, parent string"), frame([("x",), ("y",), ("o",)], "node string")).collect()}
+    assert got == {("r1", "x"), ("x", "y"), ("l", "y")}
+    assert seen and all(edges <= {*ring[:4], ("o", "o")} for edges in seen)
