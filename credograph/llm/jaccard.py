@@ -5,8 +5,10 @@ only classes are compared. Any two similar sets share a shingle among the first
 one fixed order, here from rare to frequent by a count sketch of all documents, so every class
 is listed under these shingles and only lists are searched:
 
-1. Lists with the same members are searched once. A list longer than ``block`` is dealt out to
-   blocks at random.
+1. Of the members of a list only those stay that have a partner in it by size and by place in the
+   order: a pair can't overlap by more than what either has from the shared shingle on. Lists
+   with the same members are searched once. A list longer than ``block`` is dealt out to blocks
+   at random.
 2. In each block a signature tree over bitmaps of the sets finds members that have a possible
    partner; only their whole sets are sent.
 3. In each block of what remains, the tree is traversed again and pairs that no bound excludes
@@ -46,6 +48,8 @@ _FILTER = 1 << 27
 _PART = 1 << 15
 #: Bits for each element of the finer bitmaps.
 _FINE = 8
+#: Members of lists that are compared at once by size and place.
+_LISTED = 1 << 16
 #: Bytes of texts whose shingles are made at once.
 _AT_ONCE = 1 << 19
 _SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -126,6 +130,53 @@ def _summaries(id_col: str, text_col: str, k: int, least: tree.Threshold, classe
     return run
 
 
+def _partners(least: tree.Threshold, block: int, at_once: int = _LISTED):
+    """Of members (key, node, n, rest) in order of key and n, where ``rest`` elements of a set aren't
+    before the key's, those that another member of their list can link with. The first
+    shingle that two sets share bounds their overlap by either's rest, so a linked pair stays in
+    its list. Lists longer than ``block`` stay whole; a task holds ``at_once`` members, or a list
+    that begins there."""
+
+    def some(key: np.ndarray, n: np.ndarray, rest: np.ndarray, long: int | None) -> np.ndarray:
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        length = np.diff(np.append(first, len(key)))
+        stays = np.repeat(length > block, length)
+        if long is not None:
+            stays |= key == long
+        i, d = np.flatnonzero(~stays), 0
+        while True:
+            d += 1
+            i = i[i + d < len(key)]
+            i = i[(key[i] == key[i + d]) & (100 * n[i] >= least.of * n[i + d])]
+            if not len(i):
+                return stays
+            pair = i[least.overlap(n[i], n[i + d]) <= np.minimum(rest[i], rest[i + d])]
+            stays[pair] = stays[pair + d] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        long = None
+
+        def part(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, long
+            key, node, n, rest = (np.concatenate(x) for x in zip(*held))
+            # the last list may go on, unless it is longer than all that is held
+            end = len(key) if last else int(np.searchsorted(key, key[-1])) or len(key)
+            own = np.flatnonzero(some(key[:end], n[:end], rest[:end], long))
+            long = key[-1] if end == len(key) else None
+            held = [[x[end:] for x in (key, node, n, rest)]]
+            yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(node[own])], names=["key", "node"])
+
+        for batch in batches:
+            held.append([batch.column(i).to_numpy() for i in range(4)])
+            if sum(len(x[0]) for x in held) >= max(at_once, block + 1):
+                yield from part(False)
+        if any(len(x[0]) for x in held):
+            yield from part(True)
+
+    return run
+
+
 def _whole_sets(hash_col: str, text_col: str, k: int, marks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits: np.ndarray = marks.value
@@ -321,6 +372,20 @@ def _rest(lists: DataFrame, labels: DataFrame, size: int) -> DataFrame:
     return own.select("key", "node", "label", F.explode(blocks).alias("b")).select("key", "b.block", "node", "b.side", "label")
 
 
+def _classes(work: Scratch, summaries: DataFrame) -> DataFrame:
+    """One of ``summaries`` for each set that isn't empty. Keys and bitmaps aren't shuffled: rows that
+    repeat a set are looked up in sorted arrays."""
+    rows = summaries.filter("n > 0").select("node", "row")
+    again = rows.join(rows.groupBy("node").agg(F.min("row").alias("first")), "node").filter("row != first")
+    table = lookup.write(work.write(again.select(F.col("row").alias("key"), F.lit(0).alias("value")), "again"), f"{work.path}/repeats")
+
+    @F.pandas_udf("boolean")
+    def repeats(row: pd.Series) -> pd.Series:
+        return pd.Series(table.find(pa.array(row, pa.int64()))[0])
+
+    return summaries.filter("n > 0").filter(~repeats("row")).select("node", "n", "keys", "bits")
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, percent: int = 90, block: int = 256) -> DataFrame:
     """One row for each document: its id, n_shingles, and component_id, the smallest id that it
     reaches over links of at least ``percent`` hundredths of similarity."""
@@ -329,12 +394,15 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind, least = docs.schema[id_col].dataType.simpleString(), tree.Threshold(percent)
     classes = spark.sparkContext.broadcast(frequency_classes(docs, text_col, shingle))
     path, work = new_path(spark, "jaccard"), Scratch(spark, "jaccard-work")
-    summaries = work.write(docs.mapInArrow(_summaries(id_col, text_col, shingle, least, classes), f"`{id_col}` {kind}, n bigint, node bigint, keys array<bigint>, bits binary"), "summaries")
-    nodes = work.write(summaries.filter("n > 0").select("node", "n", "keys", "bits").dropDuplicates(["node"]), "nodes")
-
-    # dealt out by key once; both the counts and the members are taken from that
-    listed = nodes.select("node", F.explode("keys").alias("key")).filter("key is not null").repartition("key")
-    lists = listed.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("h")).filter("c > 1")
+    summaries = docs.mapInArrow(_summaries(id_col, text_col, shingle, least, classes), f"`{id_col}` {kind}, n bigint, node bigint, keys array<bigint>, bits binary")
+    summaries = work.write(summaries.withColumn("row", F.monotonically_increasing_id()), "summaries")
+    nodes = _classes(work, summaries)
+
+    # dealt out by key once; bitmaps are sent only for members that have a partner there
+    listed = nodes.select("node", "n", F.posexplode("keys").alias("at", "key")).filter("key is not null").select("key", "node", "n", (F.col("n") - F.col("at")).alias("rest"))
+    listed = listed.repartition("key").sortWithinPartitions("key", "n").mapInArrow(_partners(least, block), "key bigint, node bigint")
+    listed = work.write(listed, "listed")
+    lists = listed.groupBy("key").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node")).alias("h"))
     lists = lists.groupBy("c", "h").agg(F.min("key").alias("key")).select("key", "c")
     members = work.write(listed.join(lists, "key"), "members")
     search = _Search(work, docs, summaries, nodes, id_col, text_col, shingle, least)
@@ -354,7 +422,7 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not dealt_out.isEmpty():
         left = left.unionByName(search.possible(_rest(dealt_out, labels, block)).select(*_MEMBER.names))
     # a pair that doesn't link stands in many blocks: finer bitmaps exclude it without its sets
-    left = search.possible(left.drop("n"), search.finer(sets)).select(*_MEMBER.names)
+    left = work.write(search.possible(left.drop("n"), search.finer(sets)).select(*_MEMBER.names), "left")
     more = search.links(left, sets)
     if not more.isEmpty():
         labels = components(links.unionByName(more), f"{work.path}/more-labels")

@@ -4,6 +4,7 @@ import re
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from credograph.llm import jaccard as J
 from credograph.llm import signature_tree as S
@@ -122,3 +123,41 @@ def test_pairs_that_do_not_link_do_not_send_their_sets_again(spark, monkeypatch)
     got = {r.doc_id: r.component_id for r in J.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {d: d for d, _ in docs}
     assert sent[0] > 0 and sent[1] == 0
+
+
+def test_members_without_a_partner_by_size_do_not_send_bitmaps(spark, monkeypatch):
+    """Documents that share rare shingles but differ too much in size stand in one list; their bitmaps
+    aren't sent."""
+    shared, frequent = [f"r{i}" for i in range(8)], [f"f{i}" for i in range(700)]
+    docs = [(d, " ".join(shared + frequent[:n])) for d, n in enumerate((40, 80, 160, 320))]
+    docs += [(10, " ".join(f"x{i}" for i in range(60))), (11, " ".join(f"x{i}" for i in range(61)))]
+    docs += [(d, " ".join(frequent)) for d in range(20, 32)]
+    sent, possible = [], J._Search.possible
+    monkeypatch.setattr(J._Search, "possible", lambda self, members, *a: sent.append({r.node for r in members.collect()}) or possible(self, members, *a))
+    got = {r.doc_id: r.component_id for r in J.link_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 10: 10, 11: 10, **{d: 20 for d in range(20, 32)}}
+    assert len(sent[0]) == 2
+
+
+def test_partners_by_size_and_place():
+    """Against all pairs of a list, in batches and parts of any size; lists longer than a block stay whole."""
+    rnd = random.Random(5)
+    for of, block, at_once in ((90, 6, 1), (80, 6, 9), (50, 3, 4), (90, 100, 1 << 16)):
+        least, rows = S.Threshold(of), []
+        for key in range(60):
+            for node in range(rnd.choice([1, 2, 2, 3, 5, 6, 9, 40])):
+                n = rnd.randint(1, 60)
+                rows.append((key, 1000 * key + node, n, n - rnd.randrange(least.prefix(n))))
+        rows.sort(key=lambda r: (r[0], r[2]))
+        want = set()
+        for key in range(60):
+            own = [r for r in rows if r[0] == key]
+            want |= {(key, a[1]) for a in own if len(own) > block or any(a is not b and least.overlap(a[2], b[2]) <= min(a[3], b[3]) for b in own)}
+        at, batches = 0, []
+        while at < len(rows):
+            size = rnd.randint(1, 12)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[at : at + size])], names=["key", "node", "n", "rest"]))
+            at += size
+        got = [(r["key"], r["node"]) for b in J._partners(least, block, at_once)(iter(batches)) for r in b.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert not list(J._partners(least, block)(iter([])))
