@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from credograph.sources.folders import apart, cut
@@ -57,9 +59,9 @@ def strong_components(edges: DataFrame) -> DataFrame:
     left, found = peeled(edges.filter("child != parent")), []
     while not left.isEmpty():
         colours = cut(left.select(F.explode(F.array("child", "parent")).alias("node")).distinct().withColumn("colour", F.col("node")))
-        while True:
+        for k in count():
             near = left.join(colours.withColumnRenamed("node", "child"), "child").groupBy(F.col("parent").alias("node")).agg(F.min("colour").alias("near"))
-            new = cut(colours.join(near, "node", "left").select("node", F.least("colour", "near").alias("colour"), (F.col("near") < F.col("colour")).alias("moved")))
+            new = cut(colours.join(near, "node", "left").select("node", F.least("colour", "near").alias("colour"), (F.col("near") < F.col("colour")).alias("moved")), k)
             colours = new.select("node", "colour")
             if new.filter("moved").isEmpty():
                 break
@@ -115,9 +117,9 @@ def layers(edges: DataFrame) -> DataFrame:
         raise ValueError("the graph has a cycle")
     nodes = edges.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
     out = nodes.select("node", F.lit(0).alias("layer"))
-    while True:
+    for k in count():
         deeper = edges.join(out, edges.parent == out.node).groupBy("child").agg((F.max("layer") + 1).alias("next"))
-        new = cut(out.join(deeper, out.node == deeper.child, "left").select("node", F.coalesce("next", F.lit(0)).alias("layer"), (F.coalesce("next", F.lit(0)) != F.col("layer")).alias("moved")))
+        new = cut(out.join(deeper, out.node == deeper.child, "left").select("node", F.coalesce("next", F.lit(0)).alias("layer"), (F.coalesce("next", F.lit(0)) != F.col("layer")).alias("moved")), k)
         out = new.select("node", "layer")
         if new.filter("moved").isEmpty():
             return out
@@ -164,11 +166,11 @@ def components(edges: DataFrame) -> DataFrame:
     then that label's own label, which halves the way."""
     both = edges.select(F.col("child").alias("node"), F.col("parent").alias("other")).unionByName(edges.select(F.col("parent").alias("node"), F.col("child").alias("other"))).distinct()
     labels = both.select("node", F.col("node").alias("label")).distinct()
-    while True:
+    for k in count():
         near = apart(both).join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("near"))
         step = cut(apart(labels).join(near, "node").select("node", "label", F.least("label", "near").alias("low")))
         jump = step.select(F.col("node").alias("low"), F.col("low").alias("lower"))
-        new = cut(apart(step).join(jump, "low").select("node", "label", F.least("low", "lower").alias("next")))
+        new = cut(apart(step).join(jump, "low").select("node", "label", F.least("low", "lower").alias("next")), k)
         labels = new.select("node", F.col("next").alias("label"))
         if new.filter("label != next").isEmpty():
             return labels.withColumnRenamed("label", "component")

@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from functools import partial, reduce
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -126,8 +127,8 @@ def log_tables(variables: DataFrame, factors: DataFrame) -> DataFrame:
     return _added_up(turned.unionByName(alone))
 
 
-def _round(live: DataFrame, most: int, kept: DataFrame | None = None, strict: bool = True, largest: bool = False) -> tuple[DataFrame, DataFrame] | None:
-    """One round of elimination: the cliques of the variables that go (variable, rest, logs, message),
+def _round(live: DataFrame, k: int, most: int, kept: DataFrame | None = None, strict: bool = True, largest: bool = False) -> tuple[DataFrame, DataFrame] | None:
+    """Round ``k`` of elimination: the cliques of the variables that go (variable, rest, logs, message),
     and the tables that are left. ``kept`` (variable) stay. None if no other is left, or, where not
     ``strict``, if all others have more than ``most`` neighbours."""
     ends = live.select("vars", F.explode("vars").alias("variable"))
@@ -151,7 +152,7 @@ def _round(live: DataFrame, most: int, kept: DataFrame | None = None, strict: bo
     gone = made.select(F.col("variable").alias("v"))
     stay = apart(live).join(apart(ends).join(gone, ends.variable == gone.v).select("vars"), "vars", "left_anti").select("vars", F.posexplode("logs").alias("x", "w"))
     sent = made.filter(F.size("rest") > 0).select(F.col("rest").alias("vars"), F.posexplode("message").alias("x", "w"))
-    return made, cut(_added_up(stay.unionByName(sent)))
+    return made, cut(_added_up(stay.unionByName(sent)), k)
 
 
 def reduced(tables: DataFrame, kept: DataFrame, most: int = WIDEST, strict: bool = True, largest: bool = False) -> DataFrame:
@@ -159,8 +160,8 @@ def reduced(tables: DataFrame, kept: DataFrame, most: int = WIDEST, strict: bool
     factor for each connected part. Where not ``strict``, variables with more than ``most``
     neighbours stay too. With ``largest`` each takes its better value instead of a sum."""
     live = cut(_added_up(tables.select("vars", F.posexplode("logs").alias("x", "w"))))
-    while True:
-        step = _round(live, most, kept, strict, largest)
+    for k in count():
+        step = _round(live, k, most, kept, strict, largest)
         if step is None:
             return live
         live = step[1]
@@ -231,7 +232,7 @@ def totals(tables: DataFrame, most: int = WIDEST) -> DataFrame:
     """variable, log_total: the log sum over all variables of each connected part of ``tables``, named
     after the variable that went last."""
     live, ends = cut(_added_up(tables.select("vars", F.posexplode("logs").alias("x", "w")))), []
-    while (step := _round(live, most)) is not None:
+    while (step := _round(live, len(ends), most)) is not None:
         made, live = step
         ends.append(made.filter(F.size("rest") == 0).select("variable", F.col("message")[0].alias("log_total")))
     return reduce(DataFrame.unionByName, ends) if ends else tables.select(F.col("vars")[0].alias("variable"), F.lit(0.0).alias("log_total")).limit(0)
@@ -241,7 +242,7 @@ def cliques(variables: DataFrame, factors: DataFrame, most: int = WIDEST) -> Dat
     """variable, round, rest (its neighbours when it went, sorted), logs (the clique's table: the
     variable is bit 0, then ``rest``), message (the variable summed out)."""
     live, out = cut(log_tables(variables, factors)), []
-    while (step := _round(live, most)) is not None:
+    while (step := _round(live, len(out), most)) is not None:
         made, live = step
         out.append(made.withColumn("round", F.lit(len(out))))
     if not out:

@@ -71,7 +71,7 @@ def run(variables: DataFrame, factors: DataFrame, most_sweeps: int = 500, thresh
             sign = F.when(F.call_function("shiftright", F.col("x"), F.col("pos")).bitwiseAND(1) == 1, 1.0).otherwise(-1.0)
             pull = rows.groupBy("variable").agg(F.sum(sign * others * F.col("log")).alias("pull"))
             new = F.when(F.col("fixed") | F.col("pull").isNull(), F.col("mu")).otherwise(_held(sigmoid(F.col("base") + F.col("pull"))))
-            state = cut(apart(state).join(pull, "variable", "left").select("variable", "fixed", "base", new.alias("mu")))
+            state = cut(apart(state).join(pull, "variable", "left").select("variable", "fixed", "base", new.alias("mu")), sweep * count + k)
         sweep += 1
         moved = apart(state).join(before.select("variable", F.col("mu").alias("old")), "variable").agg(F.max(F.abs(F.col("mu") - F.col("old")))).first()[0]
         converged = moved is None or moved < threshold

@@ -51,7 +51,8 @@ def run(variables: DataFrame, factors: DataFrame, damping: float = 0.5, most_rou
 
     def totals(state: DataFrame) -> DataFrame:
         came = state.groupBy("variable").agg(F.sum(logit(F.col("p"))).alias("m"), F.max("before").alias("before"))
-        return cut(base.join(came, "variable", "left").select("variable", "base", "fixed", "before", (F.col("base") + F.coalesce("m", F.lit(0.0))).alias("total")))
+        sums = base.join(came, "variable", "left").select("variable", "base", "fixed", "before", (F.col("base") + F.coalesce("m", F.lit(0.0))).alias("total"))
+        return cut(sums) if many else sums  # few are added up again sooner than written
 
     def inward(state: DataFrame, total: DataFrame) -> DataFrame:
         own = F.col("total") - logit(F.col("p"))
@@ -72,7 +73,7 @@ def run(variables: DataFrame, factors: DataFrame, damping: float = 0.5, most_rou
             seen.append(told_by(total, "total").withColumn("round", F.lit(k - 1)))
         new = outward(inward(ends, total))
         # what is cut is run twice; of many factors it is then only what was shuffled
-        ends = cut(new.repartition("variable") if many else new)
+        ends = cut(new.repartition("variable") if many else new, k)
         total = totals(ends)
         moved = total.agg(F.max(F.abs(sigmoid(F.col("total")) - sigmoid(F.col("before"))))).first()[0]
         if moved is None or moved < threshold:

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -203,3 +204,11 @@ def test_rows_made_of_a_small_table_are_not_broadcast(spark):
 
     found = exact.marginals(*beliefs.gallery(spark, "/root/testdata/sf0.001"))
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_size_estimates_do_not_grow_from_round_to_round(spark):
+    """Estimated sizes whose digits doubled in each round held the driver up."""
+    v, f = frames(spark, *loops(5, n=6))
+    found = message_passing.tree_reweighted(v, f, most_rounds=11, threshold=0.0)
+    shown = found._jdf.queryExecution().optimizedPlan().stats().simpleString()
+    assert not re.search(r"E\+\d{3}", shown)
