@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from credograph.operators import factor_graph, graph, junction_tree
-from credograph.sources.folders import apart, cut
+from credograph.sources.folders import apart, cut, small_batches
 
 
 def exports_reached(edges: DataFrame, sources: DataFrame, exports: DataFrame) -> DataFrame:
@@ -114,22 +114,25 @@ def contract(variables: DataFrame, factors: DataFrame, targets: DataFrame, most:
     plain = done.select(F.substring(F.col("vars")[0], 1, 32).alias("net"), F.transform("vars", lambda v: F.substring(v, F.lit(34), F.length(v))).alias("vars"), "logs")
     held = apart(each).join(plain.groupBy("net").agg(F.collect_list(F.struct("vars", "logs")).alias("f")), "net", "left")
     kind = targets.schema["target"].dataType.simpleString()
-    return held.select("target", "premises", "conclusion", "f").mapInPandas(_chances, f"target {kind}, weights array<double>")
+    return small_batches(held).select("target", "premises", "conclusion", "f").mapInPandas(_chances, f"target {kind}, weights array<double>")
 
 
 def _chances(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for target, premises, conclusion, factors in zip(*(frame[c] for c in ("target", "premises", "conclusion", "f"))):
-            scope = [*dict.fromkeys(premises), conclusion]
-            table = junction_tree.product(scope, factors if factors is not None else ())
-            odds = (table[..., 1] - table[..., 0]).reshape(-1, order="F")
-            cells = np.arange(1 << len(premises))
-            # a premise named twice has one value; cells that say otherwise take the first's
-            at = np.zeros(len(cells), np.int64)
-            for i, p in enumerate(premises):
-                if premises[i] not in list(premises[:i]):
-                    at |= ((cells >> i) & 1) << scope.index(p)
-            yield pd.DataFrame({"target": [target], "weights": [(1 / (1 + np.exp(-np.clip(odds[at], -700, 700)))).tolist()]})
+    def rows() -> Iterator[tuple]:
+        for frame in frames:
+            for target, premises, conclusion, factors in zip(*(frame[c] for c in ("target", "premises", "conclusion", "f"))):
+                scope = [*dict.fromkeys(premises), conclusion]
+                table = junction_tree.product(scope, factors if factors is not None else ())
+                odds = (table[..., 1] - table[..., 0]).reshape(-1, order="F")
+                cells = np.arange(1 << len(premises))
+                # a premise named twice has one value; cells that say otherwise take the first's
+                at = np.zeros(len(cells), np.int64)
+                for i, p in enumerate(premises):
+                    if premises[i] not in list(premises[:i]):
+                        at |= ((cells >> i) & 1) << scope.index(p)
+                yield target, (1 / (1 + np.exp(-np.clip(odds[at], -700, 700)))).tolist()
+
+    return junction_tree.chunks(rows(), ["target", "weights"], 1)
 
 
 def coarse_tables(variables: DataFrame, factors: DataFrame, edges: DataFrame) -> DataFrame:

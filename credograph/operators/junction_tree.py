@@ -24,11 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from credograph.operators import factor_graph
-from credograph.sources.folders import apart, cut
+from credograph.sources.folders import apart, cut, small_batches
 
 WIDEST = 20
-#: Numbers in a batch that a task hands back.
-_NUMBERS = 1 << 20
+#: Numbers in a batch that a task hands back, and what a row weighs beside its own, in numbers.
+_NUMBERS, _ROW = 1 << 20, 64
 #: Numbers in the tables of a part that a task may eliminate, and neighbours of the variables that go there.
 _PART, _NARROW = 1 << 18, 8
 
@@ -57,12 +57,12 @@ def _flat(table: np.ndarray) -> list[float]:
     return table.reshape(-1, order="F").tolist()
 
 
-def _chunks(rows: Iterator[tuple], columns: list[str], sized: int) -> Iterator[pd.DataFrame]:
+def chunks(rows: Iterator[tuple], columns: list[str], sized: int) -> Iterator[pd.DataFrame]:
     """``rows`` in frames of about ``_NUMBERS`` numbers, counted in the list at place ``sized``."""
     held, n = [], 0
     for row in rows:
         held.append(row)
-        n += len(row[sized])
+        n += len(row[sized]) + _ROW
         if n >= _NUMBERS:
             yield pd.DataFrame(held, columns=columns)
             held, n = [], 0
@@ -90,7 +90,7 @@ def _eliminate(frames: Iterator[pd.DataFrame], largest: bool = False) -> Iterato
                 table = product([v, *rest], factors)
                 yield v, rest, _flat(table), _flat(table.max(axis=0) if largest else _summed(table, (0,)))
 
-    return _chunks(rows(), ["variable", "rest", "logs", "message"], 2)
+    return chunks(rows(), ["variable", "rest", "logs", "message"], 2)
 
 
 def _hand_down(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -108,7 +108,7 @@ def _hand_down(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     logs = _flat(_cube(logs, len(rest) + 1) + down[None])
                 yield v, rest, list(logs)
 
-    return _chunks(rows(), ["variable", "rest", "belief"], 2)
+    return chunks(rows(), ["variable", "rest", "belief"], 2)
 
 
 def _added_up(cells: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def _round(live: DataFrame, k: int, most: int, kept: DataFrame | None = None, st
     lowest = apart(pairs).join(rank.select(F.col("variable").alias("other"), "d", F.col("rank").alias("r")), "other").groupBy("variable").agg(F.min_by("other", "r").alias("lowest"), F.min("d").alias("d"))
     chosen = lowest.filter((F.col("lowest") == F.col("variable")) & (F.col("d") - 1 <= most)).select("variable")
     held = apart(ends).join(chosen, "variable").join(apart(live), "vars").groupBy("variable").agg(F.collect_list(F.struct("vars", "logs")).alias("f"))
-    made = cut(held.mapInPandas(partial(_eliminate, largest=largest), "variable string, rest array<string>, logs array<double>, message array<double>"))
+    made = cut(small_batches(held).mapInPandas(partial(_eliminate, largest=largest), "variable string, rest array<string>, logs array<double>, message array<double>"))
     gone = made.select(F.col("variable").alias("v"))
     stay = apart(live).join(apart(ends).join(gone, ends.variable == gone.v).select("vars"), "vars", "left_anti").select("vars", F.posexplode("logs").alias("x", "w"))
     sent = made.filter(F.size("rest") > 0).select(F.col("rest").alias("vars"), F.posexplode("message").alias("x", "w"))
@@ -211,7 +211,7 @@ def _pass(frames: Iterator[pd.DataFrame], most: int, largest: bool) -> Iterator[
                 for own, table in live.items():
                     yield part, list(own), _flat(table)
 
-    return _chunks(rows(), ["part", "vars", "logs"], 2)
+    return chunks(rows(), ["part", "vars", "logs"], 2)
 
 
 def within(tables: DataFrame, kept: DataFrame | None = None, most: int = _NARROW, largest: bool = False) -> DataFrame:
@@ -224,7 +224,7 @@ def within(tables: DataFrame, kept: DataFrame | None = None, most: int = _NARROW
     names = None if kept is None else kept.groupBy("part").agg(F.collect_set("variable").alias("kept"))
     held = held.withColumn("kept", F.lit(None).cast("array<string>")) if names is None else apart(held).join(names, "part", "left")
     kind = tables.schema["part"].dataType.simpleString()
-    done = held.select("part", "f", "kept").mapInPandas(partial(_pass, most=min(most, _NARROW), largest=largest), f"part {kind}, vars array<string>, logs array<double>")
+    done = small_batches(held).select("part", "f", "kept").mapInPandas(partial(_pass, most=min(most, _NARROW), largest=largest), f"part {kind}, vars array<string>, logs array<double>")
     return cut(done.unionByName(marked.filter("not small").select("part", "vars", "logs")))
 
 
@@ -275,7 +275,7 @@ def calibrate(found: DataFrame) -> DataFrame:
             continue
         # each round is written once; a parent may be in any round before
         above = reduce(DataFrame.unionByName, done).select(F.col("variable").alias("parent"), F.col("rest").alias("rest_up"), F.col("belief").alias("up"))
-        done.append(cut(apart(here).join(above, "parent", "left").mapInPandas(_hand_down, "variable string, rest array<string>, belief array<double>")))
+        done.append(cut(small_batches(apart(here).join(above, "parent", "left")).mapInPandas(_hand_down, "variable string, rest array<string>, belief array<double>")))
     return reduce(DataFrame.unionByName, done) if done else own.select("variable", "rest", F.col("logs").alias("belief"))
 
 

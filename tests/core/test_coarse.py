@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 
+import pandas as pd
 import pytest
 
 from credograph.operators import coarsen, graph
@@ -119,3 +120,25 @@ def test_cycles_are_sought_among_what_reaches_an_unreached_export(spark, monkeyp
     got = {tuple(r) for r in coarsen.coarse(frame(ring, "child string, parent string"), frame([("x",), ("y",), ("o",)], "node string")).collect()}
     assert got == {("r1", "x"), ("x", "y"), ("l", "y")}
     assert seen and all(edges <= {*ring[:4], ("o", "o")} for edges in seen)
+
+
+def test_batches_to_and_from_python_are_bounded(spark):
+    """A worker's memory followed the rows of its task: ten thousand parts came at once, and small tables went back by their numbers alone."""
+    from credograph.operators import junction_tree
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    targets = spark.createDataFrame([(1, ["a"], "b")], "target int, premises array<string>, conclusion string")
+    factors = spark.createDataFrame([("f", "soft_entailment", ["a"], "b", 0.9, 0.8, None)], FACTORS)
+    coarsen.contract(spark.createDataFrame([("a", None, None), ("b", None, None)], VARIABLES), factors, targets).collect()
+
+    def rows(frames):
+        for frame in frames:
+            yield frame.iloc[:1].assign(n=len(frame))[["n"]]
+
+    wide = spark.range(0, 9000, 1, 1).selectExpr("repeat('x', 1000) AS x")
+    assert wide.mapInPandas(rows, "n int").agg({"n": "max"}).first()[0] * 1000 < 5 << 20
+    sent = [len(frame) for frame in junction_tree.chunks(((i, ["v"], [0.0, 1.0]) for i in range(50_000)), ["part", "vars", "logs"], 2)]
+    assert sum(sent) == 50_000 and max(sent) < 20_000
+    made = [{"target": i, "premises": [], "conclusion": "b", "f": None} for i in range(100)]
+    assert [len(frame) for frame in coarsen._chances(iter([pd.DataFrame(made)]))] == [100]
