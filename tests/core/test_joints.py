@@ -104,6 +104,17 @@ def test_counts_beyond_any_table(spark):
     assert got.bits == pytest.approx(math.log2(b), abs=1e-9)
 
 
+def test_counts_beyond_a_double(spark):
+    """No two neighbours of 1500 hold: about 2^1041 ways, which no double holds."""
+    n = 1500
+    rows = [(1, f"f{i:04}", "contradiction", [f"v{i:04}", f"v{i + 1:04}"], f"h{i:04}", None, None, None) for i in range(n - 1)]
+    got = feasibility.feasible(spark.createDataFrame(rows, "group int, " + FACTORS), spark.createDataFrame([(1, f"v{i:04}") for i in range(n)], "group int, variable string")).first()
+    a, b = 1, 1
+    for _ in range(n):
+        a, b = b, a + b
+    assert b > 2**1024 and got.bits == pytest.approx(math.log2(b), abs=1e-8)
+
+
 def test_largest_entropy(spark):
     told = [("two", "a", "b", 0.4), ("two", "b", "a", 0.7), ("free", "a", None, 0.25), ("free", "b", None, 0.5), ("bad", "a", None, 0.2), ("bad", "a", None, 0.8), (None, "a", None, 0.1)]
     rnd = random.Random(7)
